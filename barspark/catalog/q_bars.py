@@ -31,7 +31,7 @@ def _ordinal(k):
             f"ORDER BY datetime) - 1) // {k} AS b2")
 
 
-for _freq, _k in (("15min", 3), ("30min", 8), ("60min", 12)):
+for _freq, _k in (("15min", 3), ("30min", 6), ("60min", 12)):
     @query(f"bars_{_freq}", "C1 C6", _agg_sql(["bars"], "bars", _freq, _ordinal(_k), _k))
     def _(spark, sf, freq=_freq):
         return rounded(B.aggregate_bars(I.bars_5min(spark, sf), freq), 8)

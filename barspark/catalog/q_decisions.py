@@ -1,0 +1,346 @@
+"""Decisions, as-of joins, partial bars, sequences and steps."""
+
+from pyspark.sql import functions as F
+
+from ..operators import asof as A
+from ..operators import bars as B
+from ..operators import decisions as D
+from ..operators import sequences as S
+from ..operators.features import bar_features
+from ..operators.snapshot import decision_snapshots
+from ..plans import dataset as P
+from ..plans.registry import DEFAULT_SPEC, compile_blueprint
+from ..schema import CONSTRAINT_FIELDS, CONTEXT_FIELDS, SEQUENCE_WINDOWS
+from . import inputs as I
+from .inputs import with_inputs
+from .registry import query, rounded
+
+# Decisions of the session bars with dated status, as SQL.
+DECISIONS = """, day AS (SELECT symbol, adjust, date_trunc('day', datetime)::TIMESTAMP AS s, min(datetime) AS fb, max(datetime) AS lb,
+  min_by(open, session.datetime) AS fo, max_by(close, session.datetime) AS lc FROM session GROUP BY symbol, adjust, date_trunc('day', datetime)::TIMESTAMP),
+day2 AS (SELECT *, lag(lc) OVER (PARTITION BY symbol, adjust ORDER BY s) AS prev_close, lag(lb) OVER (PARTITION BY symbol, adjust ORDER BY s) AS prev_bar FROM day),
+day3 AS (SELECT d.*, st.is_st IS NOT NULL AS status_known, coalesce(st.is_st, false) AS is_st FROM day2 d
+  LEFT JOIN status st ON st.symbol = d.symbol AND st.date = d.s::DATE),
+moments AS (SELECT b.symbol, b.adjust, b.datetime AS decision_time, 'bar_close' AS stage, b.close AS execution_price, d.prev_close AS limit_reference_close,
+    b.datetime AS visible_bar_end, b.datetime AS source_bar_end, d.is_st, d.status_known, b.volume <= 0 AS is_zero_volume
+  FROM session b JOIN day3 d ON d.symbol = b.symbol AND d.adjust = b.adjust AND d.s = date_trunc('day', b.datetime)
+  UNION ALL SELECT symbol, adjust, fb - INTERVAL 5 MINUTE, 'open_auction', fo, prev_close, prev_bar, NULL, is_st, status_known, false FROM day3),
+rules AS (SELECT *, coalesce(limit_reference_close > 0, false) AS has_limit_reference, NOT is_zero_volume AS is_tradeable,
+  CASE WHEN is_st THEN 0.05 WHEN symbol[1:3] IN ('688', '689', '300', '301') THEN 0.2 WHEN symbol[1] IN ('8', '4') THEN 0.3 ELSE 0.1 END::DOUBLE AS limit_pct FROM moments),
+flags AS (SELECT *, has_limit_reference AND execution_price >= limit_reference_close * (1 + limit_pct - 1e-4) AS is_limit_up,
+  has_limit_reference AND execution_price <= limit_reference_close * (1 - limit_pct + 1e-4) AS is_limit_down FROM rules),
+dec AS (SELECT symbol || '|' || adjust || '|' || strftime(decision_time, '%Y%m%d%H%M%S') || '|' || stage AS decision_id, *,
+  status_known AND has_limit_reference AND is_tradeable AND NOT is_st AND NOT coalesce(is_limit_up, false) AS market_can_buy,
+  status_known AND has_limit_reference AND is_tradeable AND NOT coalesce(is_limit_down, false) AS market_can_sell FROM flags)"""
+_IN = ("session", "status")
+_COLUMNS = """decision_id, symbol, adjust, decision_time, stage, execution_price, limit_reference_close, visible_bar_end, source_bar_end, is_st, status_known,
+  has_limit_reference, limit_pct, market_can_buy, market_can_sell, is_tradeable, coalesce(is_limit_up, false) AS is_limit_up,
+  coalesce(is_limit_down, false) AS is_limit_down, is_zero_volume"""
+
+
+def decisions(spark, sf, **kw):
+    return D.decision_points(I.session_bars(spark, sf), I.status(spark, sf), **kw)
+
+
+def sql(body, *extra):
+    return with_inputs(*_IN, *extra, body=DECISIONS + "\n" + body)
+
+
+@query("decision_points", "I1 I2 E2 D18 H3 H4", sql(f"SELECT {_COLUMNS} FROM dec"))
+def _(spark, sf):
+    return decisions(spark, sf)
+
+
+@query("decisions_with_reference", "I3", sql(f"SELECT {_COLUMNS} FROM dec WHERE has_limit_reference"))
+def _(spark, sf):
+    return decisions(spark, sf, require_limit_reference=True)
+
+
+@query("decisions_without_status", "I1", with_inputs("session", body=DECISIONS.replace(
+    "LEFT JOIN status st ON st.symbol = d.symbol AND st.date = d.s::DATE", "LEFT JOIN (SELECT NULL::VARCHAR AS symbol, false AS is_st) st ON true").replace(
+    "st.is_st IS NOT NULL AS status_known", "true AS status_known") + """
+SELECT decision_id, stage, is_st, status_known, limit_pct, market_can_buy, market_can_sell FROM dec WHERE stage = 'bar_close'"""))
+def _(spark, sf):
+    out = D.decision_points(I.session_bars(spark, sf), None, include_open_auction=False)
+    return out.select("decision_id", "stage", "is_st", "status_known", "limit_pct", "market_can_buy", "market_can_sell")
+
+
+@query("previous_session_values", "D18 D17", sql("""SELECT symbol, s AS session, fb AS first_bar, lb AS last_bar, prev_close AS previous_close, prev_bar AS previous_bar,
+  row_number() OVER (PARTITION BY symbol, adjust ORDER BY s) AS session_rank FROM day2"""))
+def _(spark, sf):
+    out = D.sessions(I.session_bars(spark, sf))
+    return rounded(out.select("symbol", "session", "first_bar", "last_bar", "previous_close", "previous_bar", "session_rank"))
+
+
+@query("decision_context", "H2 H1", sql("""
+SELECT decision_id, symbol, decision_time, stage, round(least(ceil(g / 5.0), 48) / 48.0, 6) AS bar_slot_norm, round(g / 240.0, 6) AS day_progress,
+  CASE WHEN m BETWEEN 570 AND 690 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_morning_session, CASE WHEN m BETWEEN 780 AND 900 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_afternoon_session,
+  round((240 - g) / 240.0, 6) AS minutes_to_close_norm, CASE WHEN stage = 'open_auction' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_open_auction
+FROM (SELECT *, CAST(CASE WHEN m <= 570 THEN 0 WHEN m <= 690 THEN m - 570 WHEN m < 780 THEN 120 WHEN m <= 900 THEN m - 660 ELSE 240 END AS DOUBLE) AS g
+  FROM (SELECT *, hour(decision_time) * 60 + minute(decision_time) AS m FROM dec))"""))
+def _(spark, sf):
+    return rounded(D.decision_context(decisions(spark, sf)))
+
+
+_AS_DOUBLES = ", ".join(f"CAST(coalesce({c}, false) AS INTEGER)::DOUBLE AS {c}" for c in CONSTRAINT_FIELDS)
+
+
+@query("constraints", "I4", sql(f"SELECT decision_id, {_AS_DOUBLES} FROM dec"))
+def _(spark, sf):
+    return D.constraints(decisions(spark, sf))
+
+
+@query("context_with_constraints", "E9 E11", sql(f"""
+SELECT decision_id, execution_price, CASE WHEN stage = 'open_auction' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_open_auction, {_AS_DOUBLES} FROM dec"""))
+def _(spark, sf):
+    d = decisions(spark, sf)
+    both = D.context_with_constraints(D.decision_context(d), D.constraints(d))
+    return d.select("decision_id", "execution_price").join(both.select("decision_id", "is_open_auction", *CONSTRAINT_FIELDS), ["decision_id"], "left")
+
+
+@query("decision_filter", "B18 E7", sql("""SELECT decision_id FROM dec WHERE symbol IN ('000001.SZ', '688001.SH')
+  AND decision_time >= TIMESTAMP '2024-01-05' AND decision_time < TIMESTAMP '2024-01-20' AND stage = 'bar_close'"""))
+def _(spark, sf):
+    wanted = I.ticks(spark, sf).filter(F.col("symbol").isin("000001.SZ", "688001.SH")).select("symbol")
+    return D.pick_decisions(decisions(spark, sf), symbols=wanted, start="2024-01-05", end="2024-01-19 00:00:00", stages=["bar_close"]).select("decision_id")
+
+
+@query("first_decisions", "F1 F2", sql("""SELECT decision_id FROM dec ORDER BY decision_time, CASE stage WHEN 'open_auction' THEN 0 ELSE 1 END, symbol LIMIT 25"""))
+def _(spark, sf):
+    return D.ordered(decisions(spark, sf)).limit(25).select("decision_id")
+
+
+@query("decision_timeline", "C21", sql("SELECT decision_time, stage, count(DISTINCT symbol) AS active_symbols FROM dec GROUP BY ALL"))
+def _(spark, sf):
+    return D.timeline(decisions(spark, sf))
+
+
+@query("decision_dates", "C22", sql("SELECT DISTINCT date_trunc('day', decision_time)::TIMESTAMP AS date FROM dec"))
+def _(spark, sf):
+    return rounded(D.trading_dates(decisions(spark, sf)))
+
+
+@query("first_and_last_decision", "G2", sql("""
+SELECT * FROM (SELECT decision_id, 'first' AS edge FROM dec ORDER BY decision_time, stage DESC, symbol LIMIT 1)
+UNION ALL SELECT * FROM (SELECT decision_id, 'last' FROM dec ORDER BY decision_time DESC, stage, symbol DESC LIMIT 1)"""))
+def _(spark, sf):
+    return D.first_and_last(decisions(spark, sf)).select("decision_id", "edge")
+
+
+@query("episode_index", "C24", sql("""
+SELECT symbol, first_decision, last_decision, decisions, CAST(sum(decisions) OVER (ORDER BY symbol) - decisions AS BIGINT) AS "offset" FROM (
+  SELECT symbol, min(decision_time) AS first_decision, max(decision_time) AS last_decision, count(*) AS decisions FROM dec GROUP BY symbol)"""))
+def _(spark, sf):
+    return rounded(D.episode_index(decisions(spark, sf)))
+
+
+@query("decisions_with_liquidity", "I16 E4 E5", sql("""
+SELECT decision_id, CASE WHEN stage = 'open_auction' THEN coalesce(p.volume, 0) ELSE coalesce(b.volume, 0) END AS liquidity_volume,
+  round(CASE WHEN stage = 'open_auction' THEN coalesce(p.amount, 0) ELSE coalesce(b.amount, 0) END, 6) AS liquidity_amount
+FROM dec LEFT JOIN session b ON b.symbol = dec.symbol AND b.datetime = dec.source_bar_end
+ASOF LEFT JOIN daily p ON p.symbol = dec.symbol AND p.datetime < date_trunc('day', dec.decision_time)::TIMESTAMP""", "daily"))
+def _(spark, sf):
+    out = D.with_liquidity(decisions(spark, sf), I.session_bars(spark, sf), I.bars_daily(spark, sf))
+    return rounded(out.select("decision_id", "liquidity_volume", "liquidity_amount"))
+
+
+@query("replay_bars", "E12", sql("""
+SELECT d.decision_id, b.open, b.high, b.low, b.close, b.volume FROM dec d JOIN session b ON b.symbol = d.symbol AND b.adjust = d.adjust AND b.datetime = d.source_bar_end"""))
+def _(spark, sf):
+    return D.replay_bars(decisions(spark, sf), I.session_bars(spark, sf)).select("decision_id", "open", "high", "low", "close", "volume")
+
+
+@query("latest_bar_as_of", "E3", with_inputs("bars", "daily", body="""
+SELECT d.symbol, d.datetime AS asked, b.datetime AS seen, b.close, (SELECT count(*) FROM bars c WHERE c.symbol = d.symbol AND c.datetime <= d.datetime + INTERVAL 10 HOUR) AS bars
+FROM daily d ASOF LEFT JOIN bars b ON b.symbol = d.symbol AND b.datetime <= d.datetime + INTERVAL 10 HOUR"""))
+def _(spark, sf):
+    asked = I.bars_daily(spark, sf).select("symbol", F.col("datetime").alias("asked"), (F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(10))).alias("_at"))
+    bars = I.bars_5min(spark, sf).select("symbol", F.col("datetime").alias("seen"), "close")
+    return A.as_of(asked, bars, ["symbol"], left_time="_at", right_time="seen", take=["seen", "close"], count="bars").drop("_at")
+
+
+@query("bars_from_rebuild_start", "E14 E15", with_inputs("bars", body="""
+, plan AS (SELECT symbol, adjust, date_trunc('week', max(datetime))::TIMESTAMP AS start FROM bars GROUP BY ALL)
+SELECT b.symbol, count(*) AS rows, min(b.datetime) AS first_datetime, (SELECT max_by(c.close, c.datetime) FROM bars c WHERE c.symbol = b.symbol AND c.datetime < p.start)
+  AS previous_close FROM bars b JOIN plan p USING (symbol, adjust) WHERE b.datetime >= p.start GROUP BY b.symbol, p.start"""))
+def _(spark, sf):
+    bars = I.bars_5min(spark, sf)
+    plan = bars.groupBy("symbol", "adjust").agg(F.trunc(F.to_date(F.max("datetime")), "week").cast("timestamp_ntz").alias("start"))
+    kept = A.from_bound(bars, plan, "start").groupBy("symbol").agg(F.count("*").alias("rows"), F.min("datetime").alias("first_datetime"))
+    return kept.join(A.last_close_before(bars, plan, "start").select("symbol", "previous_close"), ["symbol"], "left")
+
+
+@query("eligible_sessions", "E17 D17", sql("""SELECT symbol, datetime FROM session WHERE date_trunc('day', datetime)::TIMESTAMP >
+  (SELECT min(s) FROM day WHERE day.symbol = session.symbol)"""))
+def _(spark, sf):
+    bars = I.session_bars(spark, sf).withColumn("session", F.to_date("datetime"))
+    good = D.sessions(bars).filter("session_rank > 1").select("symbol", "adjust", "session")
+    return bars.join(good, ["symbol", "adjust", "session"], "left_semi").select("symbol", "datetime")
+
+
+# ---- partial bars and sequences ---------------------------------------------------
+_PARTIAL = """, o AS (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime) - 1 AS o,
+  lag(close) OVER (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime) AS before FROM session),
+short AS (SELECT k.freq, o.symbol, datetime, o % k.n + 1 AS rows, k.n, first(open) OVER w AS open, max(high) OVER w AS high, min(low) OVER w AS low, close,
+    sum(volume) OVER w AS volume, sum(amount) OVER w AS amount, first(before) OVER w AS before
+  FROM o, (VALUES ('15min', 3), ('30min', 6), ('60min', 12)) k(freq, n)
+  WINDOW w AS (PARTITION BY k.freq, o.symbol, date_trunc('day', datetime), o // k.n ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
+dayrun AS (SELECT symbol, datetime, o, first(open) OVER w AS open, max(high) OVER w AS high, min(low) OVER w AS low, close, sum(volume) OVER w AS volume,
+    sum(amount) OVER w AS amount FROM o WINDOW w AS (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
+part_day AS (SELECT d.decision_id, d.symbol, d.decision_time, open, high, low, close, volume, amount, least((o + 1) / 48.0, 1.0) AS progress
+    FROM dec d JOIN dayrun r ON r.symbol = d.symbol AND r.datetime = d.source_bar_end
+  UNION ALL SELECT decision_id, symbol, decision_time, execution_price, execution_price, execution_price, execution_price, 0.0, 0.0, 0.0 FROM dec WHERE stage = 'open_auction'),
+prior AS (SELECT d.decision_id, u.unit, min_by(y.open, y.datetime) AS open, max(y.high) AS high, min(y.low) AS low, sum(y.volume) AS volume, sum(y.amount) AS amount, count(y.datetime) AS days
+  FROM dec d CROSS JOIN (VALUES ('weekly'), ('monthly')) u(unit) LEFT JOIN daily y ON y.symbol = d.symbol AND y.datetime < date_trunc('day', d.decision_time)::TIMESTAMP
+    AND y.datetime >= CASE u.unit WHEN 'weekly' THEN date_trunc('week', d.decision_time)::TIMESTAMP ELSE date_trunc('month', d.decision_time)::TIMESTAMP END GROUP BY ALL),
+snap AS (SELECT d.decision_id, s.freq, d.decision_time AS bar_datetime, s.open, s.high, s.low, s.close, s.volume, s.amount,
+    s.close / coalesce(nullif(s.before, 0), s.open) - 1 AS "pctChg", s.rows / CAST(s.n AS DOUBLE) AS progress
+  FROM dec d JOIN short s ON s.symbol = d.symbol AND s.datetime = d.source_bar_end WHERE s.rows < s.n
+  UNION ALL SELECT decision_id, 'daily', date_trunc('day', decision_time)::TIMESTAMP, open, high, low, close, volume, amount, close / open - 1, progress FROM part_day
+  UNION ALL SELECT p.decision_id, w.unit, date_trunc('day', p.decision_time)::TIMESTAMP, coalesce(w.open, p.open), greatest(w.high, p.high), least(w.low, p.low), p.close,
+    coalesce(w.volume, 0) + p.volume, coalesce(w.amount, 0) + p.amount, p.close / coalesce(w.open, p.open) - 1,
+    least((w.days + 1) / CASE w.unit WHEN 'weekly' THEN 5.0 ELSE 21.0 END, 1.0) FROM part_day p JOIN prior w USING (decision_id))"""
+
+
+@query("decision_snapshots", "I7 I9 I6", sql(_PARTIAL.lstrip() + """
+SELECT decision_id, freq, bar_datetime, open, high, low, close, volume, round(amount, 6) AS amount, round("pctChg", 6) + 0.0 AS "pctChg", round(progress, 6) AS progress FROM snap""", "daily"))
+def _(spark, sf):
+    out = decision_snapshots(decisions(spark, sf), I.session_bars(spark, sf), I.bars_daily(spark, sf), ["15min", "30min", "60min", "daily", "weekly", "monthly"])
+    return rounded(out.select("decision_id", "freq", "bar_datetime", "open", "high", "low", "close", "volume", "amount", "pctChg", "progress"))
+
+
+def _stable(spark, sf):
+    return P.stable_bars(I.session_bars(spark, sf), I.bars_daily(spark, sf))
+
+
+_STABLE = """, st_ord AS (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime) - 1 AS o FROM session),
+stable AS (SELECT k.freq, symbol, max(datetime) AS t FROM st_ord, (VALUES ('5min', 1), ('15min', 3), ('30min', 6), ('60min', 12)) k(freq, n)
+    GROUP BY k.freq, symbol, date_trunc('day', datetime), o // k.n
+  UNION ALL SELECT 'daily', symbol, datetime FROM daily
+  UNION ALL SELECT 'weekly', symbol, max(datetime) FROM daily GROUP BY symbol, date_trunc('week', datetime)
+  UNION ALL SELECT 'monthly', symbol, max(datetime) FROM daily GROUP BY symbol, date_trunc('month', datetime)),
+asked AS (SELECT d.*, f.freq, f.w, coalesce(visible_bar_end, decision_time) AS seen, CASE f.freq WHEN 'daily' THEN date_trunc('day', decision_time)::TIMESTAMP - INTERVAL 1 MICROSECOND
+    WHEN 'weekly' THEN date_trunc('week', decision_time)::TIMESTAMP - INTERVAL 1 MICROSECOND WHEN 'monthly' THEN date_trunc('month', decision_time)::TIMESTAMP - INTERVAL 1 MICROSECOND
+    ELSE coalesce(visible_bar_end, decision_time) END AS cutoff FROM dec d, (VALUES """ + ", ".join(f"('{f}', {w})" for f, w in SEQUENCE_WINDOWS.items()) + """) f(freq, w)),
+found AS (SELECT a.decision_id, a.symbol, a.freq, a.w, a.stage, a.seen, max(s.t) AS stable_end, count(s.t) AS n FROM asked a
+  LEFT JOIN stable s ON s.symbol = a.symbol AND s.freq = a.freq AND s.t <= a.cutoff GROUP BY ALL),
+idx AS (SELECT *, CASE WHEN freq = '5min' THEN false WHEN freq IN ('15min', '30min', '60min') THEN stage <> 'open_auction' AND (stable_end IS NULL OR stable_end < seen)
+  ELSE true END AS req FROM found)"""
+
+
+@query("decision_index", "I8 I11 E3", sql(_STABLE.lstrip() + """
+SELECT decision_id, symbol, freq, CAST(w AS BIGINT) AS sequence_window, stable_end AS stable_end_datetime, req AS snapshot_required,
+  CAST(least(w, n + CAST(req AS INTEGER)) AS BIGINT) AS valid_rows, round(least(w, n + CAST(req AS INTEGER)) / CAST(w AS DOUBLE), 6) AS sequence_valid_ratio FROM idx""", "daily"))
+def _(spark, sf):
+    out = S.decision_index(decisions(spark, sf), _stable(spark, sf))
+    return rounded(out.select("decision_id", "symbol", "freq", "sequence_window", "stable_end_datetime", "snapshot_required", "valid_rows", "sequence_valid_ratio"))
+
+
+@query("missing_index_rows", "I15", sql("SELECT decision_id, 'daily' AS freq FROM dec WHERE hour(decision_time) = 14", ))
+def _(spark, sf):
+    d = decisions(spark, sf)
+    index = d.filter(F.hour("decision_time") != 14).select("decision_id", F.explode(F.array(F.lit("5min"), F.lit("daily"))).alias("freq"))
+    index = index.unionByName(d.select("decision_id", F.lit("5min").alias("freq")))
+    return S.missing_index(d, index, ["5min", "daily"])
+
+
+@query("last_bars_per_bar", "E10 H12", with_inputs("bars", body="""
+SELECT symbol, datetime, count(*) OVER w AS rows, round(sum(close) OVER w, 3) AS close_sum, first(close) OVER w AS oldest FROM bars
+WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS 95 PRECEDING)"""))
+def _(spark, sf):
+    """The arrays behind every bar, reduced to comparable figures."""
+    bars = I.bars_5min(spark, sf)
+    out = S.tails(bars.withColumn("close", F.col("close").cast("float")), {"5min": ("close",)})
+    total = F.aggregate("stable_rows", F.lit(0.0), lambda a, r: a + F.round(r[0].cast("double"), 2))
+    return out.select("symbol", "datetime", F.size("stable_rows").cast("bigint").alias("rows"), F.round(total, 3).alias("close_sum"),
+                      F.round(F.col("stable_rows")[0][0].cast("double"), 2).alias("oldest"))
+
+
+def _dataset(spark, sf, freqs=("15min", "daily")):
+    return P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), liquidity=I.liquidity(spark, sf), freqs=freqs)
+
+
+_SMALL = compile_blueprint([
+    {"name": n, "stream": "market_sequence", "frequencies": ["15min", "daily"]} for n in ("open_close_ret", "sequence_valid_ratio", "progress")
+] + [{"name": n, "stream": "decision_context"} for n in ("day_progress", "market_can_buy")])
+
+
+_SEQ = _PARTIAL.lstrip() + _STABLE + """, agg15 AS (SELECT '15min' AS freq, symbol, max(datetime) AS t, min_by(open, st_ord.datetime) AS open, max_by(close, st_ord.datetime) AS close,
+    least(count(*) / 3.0, 1.0) AS progress FROM st_ord GROUP BY symbol, date_trunc('day', datetime), o // 3
+  UNION ALL SELECT 'daily', symbol, datetime, open, close, 1.0 FROM daily),
+stable_vals AS (SELECT i.decision_id, i.freq, i.w, a.t, least(greatest(a.close / a.open - 1, -0.3), 0.3) AS oc, a.progress, i.req,
+    row_number() OVER (PARTITION BY i.decision_id, i.freq ORDER BY a.t DESC) AS back
+  FROM idx i JOIN dec USING (decision_id) JOIN agg15 a ON a.symbol = i.symbol AND a.freq = i.freq AND a.t <= i.stable_end WHERE i.freq IN ('15min', 'daily') AND dec.has_limit_reference),
+used AS (SELECT decision_id, freq, oc, progress FROM stable_vals WHERE back <= w - CAST(req AS INTEGER)
+  UNION ALL SELECT s.decision_id, s.freq, least(greatest(s.close / s.open - 1, -0.3), 0.3), s.progress FROM snap s JOIN dec USING (decision_id)
+    JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE s.freq IN ('15min', 'daily') AND dec.has_limit_reference)"""
+
+
+@query("model_sequences", "I10 I13 I14 H11 D21", sql(_SEQ + """
+SELECT i.decision_id, i.freq, CAST(i.w AS BIGINT) AS window_rows, count(u.freq) AS rows, round(coalesce(sum(u.oc), 0), 3) + 0.0 AS open_close_sum, round(coalesce(sum(u.progress), 0), 3) AS progress_sum,
+  round(count(u.freq) / CAST(i.w AS DOUBLE), 4) AS valid_ratio, count(u.freq)::DOUBLE AS mask_sum
+FROM idx i JOIN dec USING (decision_id) LEFT JOIN used u ON u.decision_id = i.decision_id AND u.freq = i.freq WHERE i.freq IN ('15min', 'daily') AND dec.has_limit_reference
+GROUP BY i.decision_id, i.freq, i.w""", "daily"))
+def _(spark, sf):
+    """Padded sequences, reduced to sums of their channels and mask."""
+    ds = _dataset(spark, sf)
+    seq = P.dataset_sequences(ds, _SMALL)
+
+    def channel(i):
+        return F.aggregate("values", F.lit(0.0), lambda a, r: a + r[i].cast("double"))
+
+    out = seq.select("decision_id", "freq", F.size("values").alias("window_rows"), "rows", F.round(channel(0), 3).alias("open_close_sum"), F.round(channel(2), 3).alias("progress_sum"),
+                     F.round("valid_ratio", 4).alias("valid_ratio"), F.aggregate("mask", F.lit(0.0), lambda a, m: a + m.cast("double")).alias("mask_sum"))
+    return rounded(out)
+
+
+@query("expanded_sequences", "I13", sql(_SEQ + """
+SELECT decision_id, freq, row_number() OVER (PARTITION BY decision_id, freq ORDER BY pos) - 1 AS sequence_index, round(CAST(CAST(oc AS FLOAT) AS DOUBLE), 5) + 0.0 AS open_close_ret
+FROM (SELECT decision_id, freq, oc, t AS pos FROM stable_vals WHERE back <= w - CAST(req AS INTEGER)
+  UNION ALL SELECT s.decision_id, s.freq, least(greatest(s.close / s.open - 1, -0.3), 0.3), TIMESTAMP '9999-01-01' FROM snap s JOIN dec USING (decision_id)
+    JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE s.freq IN ('15min', 'daily') AND dec.has_limit_reference)""", "daily"))
+def _(spark, sf):
+    out = S.expanded(P.dataset_sequences(_dataset(spark, sf), _SMALL), _SMALL.channels["daily"])
+    return rounded(out.select("decision_id", "freq", "sequence_index", F.col("open_close_ret").cast("double").alias("open_close_ret")), 5)
+
+
+@query("model_inputs", "I14 I18 E9", sql("""
+SELECT decision_id, CAST(2 AS BIGINT) AS frequencies, CAST(64 * 3 AS BIGINT) AS flat_15min, CAST(60 * 3 AS BIGINT) AS flat_daily,
+  CAST(coalesce(market_can_buy, false) AS INTEGER)::DOUBLE AS can_buy FROM dec WHERE has_limit_reference"""))
+def _(spark, sf):
+    inputs = P.dataset_inputs(_dataset(spark, sf), _SMALL)
+    flat = S.flat_training_rows(inputs, _SMALL).select("decision_id", F.size("sequence_15min").alias("flat_15min"), F.size("sequence_daily").alias("flat_daily"))
+    out = inputs.select("decision_id", F.size("sequences").alias("frequencies"), F.col("decision_context")[1].cast("double").alias("can_buy"))
+    return rounded(out.join(flat, ["decision_id"]))
+
+
+@query("market_steps", "I17 E16", sql("""
+, steps AS (SELECT DISTINCT decision_time, stage FROM dec), u AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS slot FROM (SELECT DISTINCT symbol FROM bars))
+SELECT s.decision_time, s.stage, u.slot, u.symbol, d.decision_id IS NOT NULL AS active, d.execution_price, coalesce(d.is_zero_volume, true) AS is_zero_volume,
+  coalesce(d.market_can_buy, false) AS market_can_buy, coalesce(d.is_limit_up, false) AS is_limit_up
+FROM steps s CROSS JOIN u LEFT JOIN dec d ON d.decision_time = s.decision_time AND d.stage = s.stage AND d.symbol = u.symbol"""))
+def _(spark, sf):
+    rows = D.with_liquidity(decisions(spark, sf), I.session_bars(spark, sf), I.bars_daily(spark, sf))
+    out = S.step_rows(S.market_steps(rows, I.UNIVERSE))
+    return rounded(out.select("decision_time", "stage", "slot", "symbol", "active", "execution_price", "is_zero_volume", "market_can_buy", "is_limit_up"))
+
+
+@query("dataset_tables", "I12 C26", sql("""
+SELECT 'decisions' AS "table", '' AS freq, count(*) AS rows FROM dec WHERE has_limit_reference
+UNION ALL SELECT 'constraints', '', count(*) FROM dec WHERE has_limit_reference UNION ALL SELECT 'decision_context', '', count(*) FROM dec WHERE has_limit_reference
+UNION ALL SELECT 'decision_index', f, count(*) FROM dec, (VALUES ('15min'), ('daily')) t(f) WHERE has_limit_reference GROUP BY f
+UNION ALL SELECT 'decision_snapshots', freq, count(*) FROM snap JOIN dec USING (decision_id) WHERE has_limit_reference AND freq IN ('15min', 'daily') GROUP BY freq
+UNION ALL SELECT t, 'daily', count(*) FROM daily, (VALUES ('market_bars'), ('market_features')) v(t) GROUP BY t
+UNION ALL SELECT t, '15min', CAST(sum((n + 2) // 3) AS BIGINT) FROM (SELECT count(*) AS n FROM session GROUP BY symbol, date_trunc('day', datetime)), (VALUES ('market_bars'), ('market_features')) v(t) GROUP BY t
+""".replace("SELECT 'decisions'", _PARTIAL.lstrip() + "\nSELECT 'decisions'", 1), "daily"))
+def _(spark, sf):
+    return P.build_summary(_dataset(spark, sf))
+
+
+@query("features_with_raw_bars", "E13 B17", with_inputs("daily", body="""
+SELECT symbol || '|daily|none|' || strftime(datetime, '%Y%m%d%H%M%S') AS market_row_id, close AS raw_close,
+  round(least(greatest(close / open - 1, -0.3), 0.3), 6) + 0.0 AS open_close_ret FROM daily"""))
+def _(spark, sf):
+    daily = I.bars_daily(spark, sf)
+    feats = S.with_row_ids(bar_features(daily))
+    return rounded(S.features_with_bars(feats, S.with_row_ids(daily)).select("market_row_id", "raw_close", "open_close_ret"))

@@ -1,0 +1 @@
+"""Being written."""

@@ -104,10 +104,12 @@ def indicator_fields(item: Indicator, base: Column | None = None, prior_mid: Col
     if item.kind == "efi":
         return {n("2_norm"): safe_div(at("2"), base), n("13_norm"): safe_div(at("13"), base)}
     low, high, mid = F.least(at("fast"), at("slow")), F.greatest(at("fast"), at("slow")), (at("fast") + at("slow")) / 2.0
+    # Two averages of equal prices differ by rounding only: a channel that thin has no width.
+    width = F.when(high - low > F.abs(mid) * 1e-12, high - low).otherwise(0.0)
     return {
-        n("position"): safe_div_fill(F.col("close") - low, high - low, 0.5),
+        n("position"): safe_div_fill(F.col("close") - low, width, 0.5),
         n("gap"): safe_div("close", mid) - 1.0,
-        n("width"): safe_div_fill(high - low, mid, 0.0),
+        n("width"): safe_div_fill(width, mid, 0.0),
         n("slope"): safe_div_fill(mid, prior_mid, 1.0) - 1.0,
     }
 
