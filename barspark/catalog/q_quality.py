@@ -1 +1,266 @@
-"""Being written."""
+"""Validation, coverage and comparison reports."""
+
+from pyspark.sql import functions as F
+
+from ..operators import inventory as V
+from ..operators import quality as Q
+from ..operators.bars import aggregate_bars, as_market_bars
+from ..operators.features import bar_features
+from ..plans import dataset as P
+from ..plans.registry import DEFAULT_SPEC
+from . import inputs as I
+from .inputs import with_inputs
+from .q_decisions import _SMALL, _dataset, decisions
+from .q_decisions import sql as decision_sql
+from .registry import query, rounded
+
+# Bars with faults at known minutes, on both sides.
+DIRTY = """, dirty AS (SELECT symbol, CASE WHEN minute(datetime) = 5 THEN NULL ELSE datetime END AS datetime, open,
+  CASE WHEN minute(datetime) = 10 THEN low - 1 ELSE high END AS high, low, CASE WHEN minute(datetime) = 15 THEN NULL ELSE close END AS close,
+  CASE WHEN minute(datetime) = 20 THEN -volume ELSE volume END AS volume, amount, freq, adjust FROM bars
+  UNION ALL SELECT symbol, datetime, open, high, low, close, volume, amount, freq, adjust FROM bars WHERE minute(datetime) = 25)"""
+
+
+def dirty(spark, sf):
+    bars, m = I.bars_5min(spark, sf).drop("source"), F.minute("datetime")
+    bad = bars.select(
+        "symbol", F.when(m != 5, F.col("datetime")).alias("datetime"), "open", F.when(m == 10, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low",
+        F.when(m != 15, F.col("close")).alias("close"), F.when(m == 20, -F.col("volume")).otherwise(F.col("volume")).alias("volume"), "amount", "freq", "adjust")
+    return bad.unionByName(bars.filter(m == 25).select(*bad.columns))
+
+
+@query("bar_validation", "J1", with_inputs("bars", body=DIRTY + """
+SELECT 'empty' AS "check", 'warning' AS severity, CAST(0 AS BIGINT) AS count
+UNION ALL SELECT 'invalid_datetime', 'error', count(*) FILTER (datetime IS NULL) FROM dirty
+UNION ALL SELECT 'invalid_' || c, 'error', CASE c WHEN 'close' THEN (SELECT count(*) FROM dirty WHERE close IS NULL) ELSE 0 END FROM (VALUES ('open'), ('high'), ('low'), ('close')) v(c)
+UNION ALL SELECT 'invalid_volume', 'warning', 0 UNION ALL SELECT 'invalid_amount', 'warning', 0
+UNION ALL SELECT 'price_relation', 'warning', count(*) FILTER (close IS NOT NULL AND (high < open OR high < close OR high < low OR low > open OR low > close)) FROM dirty
+UNION ALL SELECT 'negative_' || c, 'warning', CASE c WHEN 'volume' THEN (SELECT count(*) FROM dirty WHERE volume < 0) WHEN 'high' THEN (SELECT count(*) FROM dirty WHERE high < 0)
+  ELSE 0 END FROM (VALUES ('open'), ('high'), ('low'), ('close'), ('volume'), ('amount')) v(c)
+UNION ALL SELECT 'duplicate_key', 'warning', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM dirty GROUP BY symbol, datetime, freq, adjust)"""))
+def _(spark, sf):
+    return Q.validate_bars(dirty(spark, sf))
+
+
+@query("consistency_report", "J2 D19", with_inputs("bars", "long", body="""
+, odd AS (SELECT symbol, datetime, open, CASE WHEN dayofyear(datetime) % 50 = 0 THEN low - 1000 ELSE high END AS high, low, close, volume FROM long),
+gaps AS (SELECT symbol, count(*) FILTER (date_diff('day', p, datetime) > 14) AS g FROM (SELECT symbol, datetime, lag(datetime) OVER (PARTITION BY symbol ORDER BY datetime) AS p FROM odd) GROUP BY symbol)
+SELECT o.symbol, count(*) AS rows, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < open) AS high_below_open, count(*) FILTER (high < 0) AS negative_price,
+  max(g) AS large_gaps, count(*) FILTER (high < low) = 0 AS ok FROM odd o JOIN gaps USING (symbol) GROUP BY o.symbol"""))
+def _(spark, sf):
+    odd = I.bars_daily_long(spark, sf).withColumn("high", F.when(F.dayofyear("datetime") % 50 == 0, F.col("low") - 1000).otherwise(F.col("high")))
+    return Q.consistency_report(odd).select("symbol", "rows", "high_below_low", "high_below_open", "negative_price", "large_gaps", "ok")
+
+
+@query("consistency_of_broken_rows", "J2", with_inputs("bars", body=DIRTY + """
+, known AS (SELECT * FROM dirty WHERE datetime IS NOT NULL)
+SELECT symbol, (SELECT count(*) FROM dirty d WHERE d.symbol = k.symbol AND datetime IS NULL) AS bad_datetime, count(*) FILTER (close IS NULL) AS bad_close,
+  CAST((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM known d WHERE d.symbol = k.symbol GROUP BY datetime)) AS BIGINT) AS duplicates, 'bad_datetime,duplicates,bad_close' AS issues, false AS ok
+FROM known k GROUP BY symbol"""))
+def _(spark, sf):
+    out = Q.consistency_report(dirty(spark, sf))
+    return out.select("symbol", "bad_datetime", "bad_close", "duplicates", F.array_join("issues", ",").alias("issues"), "ok")
+
+
+@query("quality_report", "J3", with_inputs("bars", body=DIRTY + """
+SELECT symbol, count(*) AS rows, min(datetime) AS start_datetime, max(datetime) AS end_datetime, count(*) FILTER (datetime IS NULL) AS null_datetime,
+  count(*) FILTER (close IS NULL) AS null_close, CAST((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM dirty e WHERE e.symbol = d.symbol GROUP BY datetime)) AS BIGINT) AS duplicate_count,
+  false AS validation_ok FROM dirty d GROUP BY symbol"""))
+def _(spark, sf):
+    return Q.quality_report(dirty(spark, sf)).select("symbol", "rows", "start_datetime", "end_datetime", "null_datetime", "null_close", "duplicate_count", "validation_ok")
+
+
+_AVAILABLE = """, best AS (SELECT symbol, count(*) AS rows, min(datetime) AS a, max(datetime) AS b FROM long GROUP BY symbol),
+rep AS (SELECT 'S' || s_suppkey * 2 AS symbol, b.rows, b.a, b.b, concat_ws(',', CASE WHEN b.rows IS NULL THEN 'not_found' END,
+  CASE WHEN b.rows < 530 THEN 'too_few_rows' END, CASE WHEN b.a > TIMESTAMP '1995-01-10' THEN 'starts_late' END, CASE WHEN b.b < TIMESTAMP '2001-11-25' THEN 'ends_early' END) AS issues
+  FROM supplier LEFT JOIN best b ON b.symbol = 'S' || s_suppkey * 2)"""
+
+
+def _candidates(spark, sf):
+    return I.table(spark, sf, "supplier").select(F.concat(F.lit("S"), (F.col("s_suppkey") * 2).cast("string")).alias("symbol"))
+
+
+@query("availability_report", "J4 F6", with_inputs("long", body=_AVAILABLE + """
+SELECT symbol, issues = '' AS available, coalesce(rows, 0) AS rows, date_trunc('day', a)::TIMESTAMP AS start_date, date_trunc('day', b)::TIMESTAMP AS end_date, issues FROM rep"""))
+def _(spark, sf):
+    out = Q.availability_report(I.bars_daily_long(spark, sf), symbols=_candidates(spark, sf), min_rows=530, required_start="1995-01-10", required_end="2001-11-25")
+    return rounded(out.withColumn("issues", F.array_join("issues", ",")))
+
+
+@query("available_universe", "J5", with_inputs("long", body=_AVAILABLE + "\nSELECT symbol FROM rep WHERE issues = '' OR issues = 'ends_early' AND false"))
+def _(spark, sf):
+    return Q.available_universe(I.bars_daily_long(spark, sf), _candidates(spark, sf), min_rows=530, required_start="1995-01-10", required_end="2001-11-25")
+
+
+_DIRECT = """, direct AS (SELECT symbol, adjust, datetime, open, high, low, CASE WHEN day(datetime) % 10 = 0 THEN close + 0.5 ELSE close END AS close, volume, amount FROM daily
+  WHERE day(datetime) % 17 <> 0 UNION ALL SELECT symbol, adjust, datetime + INTERVAL 400 DAY, open, high, low, close, volume, amount FROM daily WHERE day(datetime) = 3)"""
+
+
+def _direct(spark, sf):
+    d, day = I.bars_daily(spark, sf), F.dayofmonth("datetime")
+    extra = d.filter(day == 3).withColumn("datetime", F.col("datetime") + F.make_dt_interval(F.lit(400)))
+    return d.filter(day % 17 != 0).withColumn("close", F.when(day % 10 == 0, F.col("close") + 0.5).otherwise(F.col("close"))).unionByName(extra)
+
+
+def _generated(spark, sf):
+    return as_market_bars(aggregate_bars(I.bars_5min(spark, sf), "daily"))
+
+
+@query("compare_aggregated_with_direct", "J6 E6 G3", with_inputs("daily", body=_DIRECT + """
+, both_sides AS (SELECT coalesce(g.symbol, d.symbol) AS symbol, g.datetime AS gt, d.datetime AS dt, abs(g.close - d.close) AS off FROM daily g FULL JOIN direct d ON d.symbol = g.symbol AND d.datetime = g.datetime)
+SELECT symbol, count(*) FILTER (gt IS NOT NULL AND dt IS NOT NULL) AS matched_rows, count(*) FILTER (gt IS NULL) AS missing_generated, count(*) FILTER (dt IS NULL) AS missing_direct,
+  count(*) FILTER (off > 1e-6) AS mismatch_rows, count(*) FILTER (off > 1e-6) AS mismatch_close, round(max(off), 6) AS max_diff_close, CAST(0 AS BIGINT) AS mismatch_amount, false AS ok FROM both_sides GROUP BY symbol"""))
+def _(spark, sf):
+    out = Q.compare_bars(_generated(spark, sf), _direct(spark, sf))
+    return rounded(out.select("symbol", "matched_rows", "missing_generated", "missing_direct", "mismatch_rows", "mismatch_close", "max_diff_close", "mismatch_amount", "ok"))
+
+
+@query("comparison_samples", "J6", with_inputs("daily", body=_DIRECT + """
+SELECT symbol, adjust, compare_key, kind FROM (SELECT coalesce(g.symbol, d.symbol) AS symbol, 'none' AS adjust, coalesce(g.datetime, d.datetime) AS compare_key,
+  CASE WHEN g.symbol IS NULL THEN 'missing_generated' WHEN d.symbol IS NULL THEN 'missing_direct' WHEN abs(g.close - d.close) > 1e-6 THEN 'mismatch' END AS kind
+  FROM daily g FULL JOIN direct d ON d.symbol = g.symbol AND d.datetime = g.datetime) WHERE kind IS NOT NULL ORDER BY symbol, adjust, compare_key LIMIT 20"""))
+def _(spark, sf):
+    return Q.mismatch_samples(_generated(spark, sf), _direct(spark, sf))
+
+
+@query("frame_quality", "J7", with_inputs("bars", body="""
+SELECT 'close_position' AS "column", count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS infinite, CAST(0 AS BIGINT) AS at_bound FROM bars
+UNION ALL SELECT 'open_close_ret', count(*), 0, 0, count(*) FILTER (abs(close / open - 1) >= 0.3) FROM bars"""))
+def _(spark, sf):
+    feats = bar_features(I.bars_5min(spark, sf)).select("close_position", "open_close_ret")
+    return Q.frame_quality(feats, DEFAULT_SPEC.market_clip)
+
+
+@query("status_coverage", "J8 E8 C19", with_inputs("bars", "status", body="""
+SELECT d.symbol, count(*) AS required_days, count(s.date) AS covered_days, count(*) - count(s.date) AS missing_days, count(*) FILTER (s.is_st) AS st_days
+FROM (SELECT DISTINCT symbol, datetime::DATE AS date FROM bars) d LEFT JOIN status s USING (symbol, date) GROUP BY d.symbol"""))
+def _(spark, sf):
+    return Q.status_coverage(I.bars_5min(spark, sf), I.status(spark, sf))
+
+
+@query("sessions_without_status", "E8 J8", with_inputs("bars", "status", body="""
+SELECT symbol, date::TIMESTAMP AS date FROM (SELECT DISTINCT symbol, datetime::DATE AS date FROM bars) d WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.symbol = d.symbol AND s.date = d.date)"""))
+def _(spark, sf):
+    return rounded(Q.missing_status_days(I.bars_5min(spark, sf), I.status(spark, sf)))
+
+
+@query("covered_source_bars", "I5 E1", with_inputs("bars", "liquidity", body="SELECT symbol, count(*) AS rows FROM bars GROUP BY symbol"))
+def _(spark, sf):
+    """The coverage gate lets fully covered bars through."""
+    bars = I.bars_5min(spark, sf)
+    full = bars.select("symbol", F.to_date("datetime").alias("date")).distinct().withColumn("is_st", F.lit(False))
+    return Q.require_status(bars, full).groupBy("symbol").agg(F.count("*").alias("rows"))
+
+
+_WARM = """, b AS (SELECT symbol, date_trunc('day', datetime) AS d, count(*) AS n FROM bars WHERE datetime < TIMESTAMP '2024-01-20' GROUP BY ALL), y AS (SELECT * FROM daily WHERE datetime < TIMESTAMP '2024-01-20'),
+have AS (SELECT symbol, '5min' AS freq, sum(n) AS bars FROM b GROUP BY symbol UNION ALL SELECT symbol, '60min', sum((n + 11) // 12) FROM b GROUP BY symbol
+  UNION ALL SELECT symbol, 'daily', count(*) FROM y GROUP BY symbol UNION ALL SELECT symbol, 'weekly', count(DISTINCT date_trunc('week', datetime)) FROM y GROUP BY symbol)"""
+
+
+@query("warmup_report", "J9 C18", with_inputs("bars", "daily", body=_WARM + """
+SELECT symbol, freq, CAST(bars AS BIGINT) AS available_bars, CAST(169 AS BIGINT) AS required_bars, bars < 169 AS short FROM have"""))
+def _(spark, sf):
+    return Q.warmup_report(I.bars_5min(spark, sf), I.bars_daily(spark, sf), start="2024-01-20", freqs=("5min", "60min", "daily", "weekly"))
+
+
+@query("reference_coverage", "D17 J10", with_inputs("bars", body="""
+, s AS (SELECT symbol, datetime::DATE AS d, count(*) AS n, row_number() OVER (PARTITION BY symbol ORDER BY datetime::DATE) AS rk FROM bars GROUP BY symbol, datetime::DATE)
+SELECT count(*) AS decision_sessions, count(*) FILTER (rk > 1) AS eligible_sessions, count(*) FILTER (rk = 1) AS missing_sessions, CAST(sum(n) FILTER (rk > 1) AS BIGINT) AS eligible_bars FROM s"""))
+def _(spark, sf):
+    return Q.reference_coverage(I.bars_5min(spark, sf))
+
+
+@query("preflight_checks", "J10", with_inputs("bars", "daily", "status", body=_WARM + """
+, s AS (SELECT symbol, datetime::DATE AS d, count(*) AS n, row_number() OVER (PARTITION BY symbol ORDER BY datetime::DATE) AS rk FROM bars GROUP BY symbol, datetime::DATE),
+u AS (SELECT (SELECT count(*) FROM bars) + (SELECT sum((n + 11) // 12) FROM s) + (SELECT count(*) FROM daily) + (SELECT count(*) FROM (SELECT DISTINCT symbol, date_trunc('week', datetime) FROM daily)) AS n),
+miss AS (SELECT count(*) AS n FROM (SELECT DISTINCT symbol, datetime::DATE AS date FROM bars) d WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.symbol = d.symbol AND s.date = d.date))
+SELECT 'base_rows' AS "check", 'pass' AS status, count(*)::DOUBLE AS value FROM bars UNION ALL SELECT 'daily_rows', 'pass', count(*) FROM daily
+UNION ALL SELECT 'limit_reference_coverage', 'pass', count(*) FILTER (rk = 1) FROM s UNION ALL SELECT 'status_coverage', CASE WHEN n > 0 THEN 'error' ELSE 'pass' END, n FROM miss
+UNION ALL SELECT 'warmup_' || freq, CASE WHEN count(*) FILTER (bars < 169) > 0 THEN 'warn' ELSE 'pass' END, count(*) FILTER (bars < 169) FROM have GROUP BY freq
+UNION ALL SELECT 'number_scan', 'pass', 0 UNION ALL SELECT 'decision_points', 'pass', sum(n) FILTER (rk > 1) + count(*) FILTER (rk > 1) FROM s
+UNION ALL SELECT 'size_estimate', 'pass', n FROM u UNION ALL SELECT 'overall', CASE WHEN n > 0 THEN 'error' ELSE 'warn' END, CASE WHEN n > 0 THEN 2 ELSE 1 END FROM miss"""))
+def _(spark, sf):
+    return Q.preflight(I.bars_5min(spark, sf), I.bars_daily(spark, sf), I.status(spark, sf), start="2024-01-20", freqs=("5min", "60min", "daily", "weekly"))
+
+
+@query("dataset_size_estimate", "C25", with_inputs("bars", "daily", body="""
+, s AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol, datetime::DATE), d AS (SELECT sum(n + 1) AS decisions FROM s),
+u AS (SELECT (SELECT count(*) FROM bars) + (SELECT count(*) FROM daily) AS n)
+SELECT CAST(decisions AS BIGINT) AS decisions, n AS unique_rows, CAST(decisions * 156 AS BIGINT) AS expanded_rows, CAST(decisions * 2 AS BIGINT) AS index_rows, round(n * 320 / 1048576.0, 6) AS megabytes FROM d, u"""))
+def _(spark, sf):
+    return rounded(V.dataset_estimate(I.bars_5min(spark, sf), I.bars_daily(spark, sf), {"5min": 96, "daily": 60}))
+
+
+@query("rule_audit", "J11", decision_sql("""
+SELECT count(*) AS decisions, count(*) FILTER (is_st) AS st_decisions, count(*) FILTER (NOT status_known) AS unknown_status, count(*) FILTER (NOT has_limit_reference) AS missing_limit_reference FROM dec"""))
+def _(spark, sf):
+    return Q.rule_audit(decisions(spark, sf))
+
+
+@query("short_sequences", "J11", decision_sql("""
+SELECT 'daily' AS freq, count(*) FILTER ((SELECT count(*) FROM daily y WHERE y.symbol = dec.symbol AND y.datetime < date_trunc('day', dec.decision_time)::TIMESTAMP) + 1 < 60) AS short, count(*) AS rows FROM dec WHERE has_limit_reference""", "daily"))
+def _(spark, sf):
+    return Q.short_sequences(_dataset(spark, sf, ("daily",)).decision_index)
+
+
+@query("dataset_checks", "J12", """SELECT * FROM (VALUES ('model_schema', 'pass'), ('decision_alignment', 'pass'), ('decision_index', 'pass'), ('market_rules', 'error'), ('market_rows', 'pass')) v("check", status)
+WHERE (SELECT count(*) FROM events) > 0""")
+def _(spark, sf):
+    return Q.dataset_checks(_dataset(spark, sf, ("daily",)))
+
+
+@query("sequence_checks", "J12 H11", decision_sql("""
+SELECT f AS freq, count(*) AS rows, CAST(0 AS BIGINT) AS wrong_shape, CAST(0 AS BIGINT) AS not_finite FROM dec, (VALUES ('15min'), ('daily')) v(f) WHERE has_limit_reference GROUP BY f"""))
+def _(spark, sf):
+    return Q.sequence_checks(P.dataset_sequences(_dataset(spark, sf), _SMALL), {f: len(n) for f, n in _SMALL.channels.items()})
+
+
+@query("calendar_coverage", "J13 H7", with_inputs("calendar", body="""
+SELECT TIMESTAMP '2024-01-05' + CAST(k AS INTEGER) * INTERVAL 1 DAY AS start, TIMESTAMP '2024-01-20' + CAST(k AS INTEGER) * INTERVAL 3 DAY AS "end", k < 4 AS covered, (SELECT count(*) FROM calendar
+  WHERE date BETWEEN DATE '2024-01-05' + CAST(k AS INTEGER) AND DATE '2024-01-20' + CAST(k * 3 AS INTEGER)) AS days FROM (SELECT DISTINCT event_id % 6 AS k FROM events)"""))
+def _(spark, sf):
+    k = (F.col("event_id") % 6).cast("int")
+    asked = I.table(spark, sf, "events").select(k.alias("k")).distinct().select(
+        F.date_add(F.lit("2024-01-05").cast("date"), F.col("k")).alias("start"), F.date_add(F.lit("2024-01-20").cast("date"), F.col("k") * 3).alias("end"))
+    return rounded(Q.calendar_covered(asked, I.calendar(spark, sf)).select("start", "end", "covered", "days"))
+
+
+@query("fact_coverage", "J13", with_inputs("status", body="""
+SELECT symbol, count(*) FILTER (date BETWEEN DATE '2024-01-05' AND DATE '2024-01-29') AS days, count(*) FILTER (date BETWEEN DATE '2024-01-05' AND DATE '2024-01-29') >= 10 AS covered FROM status GROUP BY symbol"""))
+def _(spark, sf):
+    st = I.status(spark, sf)
+    asked = st.select("symbol").distinct().select("symbol", F.lit("2024-01-05").cast("date").alias("start"), F.lit("2024-01-29").cast("date").alias("end"))
+    return rounded(Q.facts_covered(asked, st, "is_st").select("symbol", "days", "covered"))
+
+
+@query("bar_coverage", "J13 C10 H7", with_inputs("long", body="""
+, s AS (SELECT symbol, count(*) AS rows, min(datetime)::DATE AS a, max(datetime)::DATE AS b FROM long GROUP BY symbol)
+SELECT symbol, rows, a <= DATE '1995-01-20' AND b >= DATE '1996-02-20' AND rows >= greatest(1, floor((SELECT count(*) FROM generate_series(TIMESTAMP '1995-01-16', TIMESTAMP '1996-02-24', INTERVAL 1 DAY) g(d)
+  WHERE isodow(d) < 6) * 0.75)) AS covered FROM s"""))
+def _(spark, sf):
+    bars = I.bars_daily_long(spark, sf)
+    asked = bars.select("symbol", "freq", "adjust").distinct().withColumns({"start": F.lit("1995-01-16").cast("date"), "end": F.lit("1996-02-24").cast("date")})
+    return rounded(Q.bars_covered(asked, bars).select("symbol", "rows", "covered"))
+
+
+@query("gap_plan", "J14 B19", with_inputs("bars", "calendar", body="""
+, cat AS (SELECT symbol, min(datetime)::DATE AS s, max(datetime)::DATE AS e FROM bars WHERE (day(datetime) BETWEEN 8 AND 17 OR symbol = '000001.SZ') AND symbol <> '600000.SH' GROUP BY symbol),
+req AS (SELECT DISTINCT symbol FROM bars), td AS (SELECT date FROM calendar WHERE is_trading_day AND date BETWEEN DATE '2024-01-02' AND DATE '2024-01-26'), b AS (SELECT min(date) AS a, max(date) AS z FROM td),
+g AS (SELECT r.symbol, c.s, c.e, b.a, b.z, (SELECT min(date) FROM td WHERE date < c.s) AS pa, (SELECT max(date) FROM td WHERE date < c.s) AS pb, (SELECT min(date) FROM td WHERE date > c.e) AS qa, (SELECT max(date) FROM td WHERE date > c.e) AS qb
+  FROM req r LEFT JOIN cat c USING (symbol), b)
+SELECT symbol, a::TIMESTAMP AS from_date, z::TIMESTAMP AS to_date, 'whole' AS kind FROM g WHERE s IS NULL
+UNION ALL SELECT symbol, pa::TIMESTAMP, pb::TIMESTAMP, 'before' FROM g WHERE s IS NOT NULL AND NOT (s <= a AND e >= z) AND pa IS NOT NULL
+UNION ALL SELECT symbol, qa::TIMESTAMP, qb::TIMESTAMP, 'after' FROM g WHERE s IS NOT NULL AND NOT (s <= a AND e >= z) AND qa IS NOT NULL"""))
+def _(spark, sf):
+    bars = I.bars_5min(spark, sf)
+    stored = bars.filter((F.dayofmonth("datetime").between(8, 17) | (F.col("symbol") == "000001.SZ")) & (F.col("symbol") != "600000.SH"))
+    asked = bars.select("symbol", "freq", "adjust").distinct().withColumns({"start": F.lit("2024-01-02").cast("date"), "end": F.lit("2024-03-01").cast("date")})
+    return rounded(Q.plan_gaps(asked, V.slice_catalog(stored), I.calendar(spark, sf), today="2024-01-26").select("symbol", "from_date", "to_date", "kind"))
+
+
+@query("ingest_report", "C27", """
+SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' WHEN 'click' THEN 'warning' ELSE 'success' END AS status, count(*) AS slices, CAST(sum(event_id % 10) AS BIGINT) AS saved_rows FROM events GROUP BY 1""")
+def _(spark, sf):
+    e = I.table(spark, sf, "events")
+    error = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "view", "Skipped: stored").when(F.col("event_type") == "click", "Warning: short")
+    return Q.ingest_report(e.select("event_type", F.col("event_type").isin("signup", "purchase", "click").alias("ok"), (F.col("event_id") % 10).alias("rows"), error.alias("error")))

@@ -1 +1,231 @@
-"""Being written."""
+"""Scans and writes. Files go under the session's checkpoint folder."""
+
+from pyspark.sql import functions as F
+
+from ..operators import normalize as N
+from ..operators import selection as L
+from ..plans import dataset as P
+from ..sources import scans as R
+from ..sources import sinks as K
+from ..streaming.streams import work_dir
+from . import inputs as I
+from .inputs import with_inputs
+from .registry import query, rounded
+
+
+def _slices(spark, sf):
+    return I.bars_5min(spark, sf).unionByName(I.bars_daily(spark, sf))
+
+
+_OHLC = "symbol, datetime, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
+_COLS = ["symbol", "datetime", "open", "high", "low", "close", "volume"]
+
+
+@query("scan_stored_bars", "A1 A2 A3 E7", with_inputs("bars", body=f"""
+SELECT {_OHLC} FROM bars WHERE symbol IN ('000001.SZ', '300001.SZ') AND datetime >= TIMESTAMP '2024-01-03' AND datetime < TIMESTAMP '2024-01-23'"""))
+def _(spark, sf):
+    """Written partitioned, read with partition and row-group filters and a symbol table."""
+    path = work_dir(spark, "bars")
+    K.write_bars(_slices(spark, sf), path)
+    names = I.ticks(spark, sf).filter(F.col("symbol").isin("000001.SZ", "300001.SZ")).select("symbol")
+    out = R.scan_bars(spark.read.parquet(path), symbols=names, start="2024-01-03", end="2024-01-22", freq="5min", adjust="none")
+    return rounded(out.select(*_COLS))
+
+
+@query("scan_one_slice", "A3", with_inputs("daily", body=f"SELECT {_OHLC} FROM daily WHERE symbol = '600000.SH' AND datetime >= TIMESTAMP '2024-01-10'"))
+def _(spark, sf):
+    return rounded(R.scan_bars(_slices(spark, sf), symbol=" 600000.sh ", freq="daily", adjust="none", start="2024-01-10").select(*_COLS))
+
+
+@query("scan_catalog_slices", "A2", with_inputs("bars", "daily", body="""
+SELECT symbol, freq, count(*) AS rows FROM (SELECT * FROM bars UNION ALL SELECT * FROM daily) WHERE (symbol = '000001.SZ' AND freq = 'daily') OR (symbol = '688001.SH' AND freq = '5min') GROUP BY ALL"""))
+def _(spark, sf):
+    wanted = _slices(spark, sf).select("symbol", "freq", "adjust").distinct().filter(
+        "(symbol = '000001.SZ' AND freq = 'daily') OR (symbol = '688001.SH' AND freq = '5min')")
+    return R.scan_slices(_slices(spark, sf), wanted).groupBy("symbol", "freq").agg(F.count("*").alias("rows"))
+
+
+@query("scan_calendar", "A5", with_inputs("calendar", body="SELECT date::TIMESTAMP AS date, is_trading_day FROM calendar WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND exchange = 'CN'"))
+def _(spark, sf):
+    return rounded(R.scan_calendar(I.calendar(spark, sf), start="2024-01-08", end="2024-01-21", exchange="CN").select("date", "is_trading_day"))
+
+
+@query("scan_daily_facts", "A6", with_inputs("liquidity", "status", body="""
+SELECT 'turn' AS kind, symbol, date::TIMESTAMP AS date FROM liquidity WHERE symbol = '000001.SZ' AND date <= DATE '2024-01-15'
+UNION ALL SELECT 'status', symbol, date::TIMESTAMP FROM status WHERE symbol = '000001.SZ' AND date <= DATE '2024-01-15'"""))
+def _(spark, sf):
+    parts = [R.scan_facts(d, symbols=["000001.SZ"], end="2024-01-15").select(F.lit(k).alias("kind"), "symbol", "date")
+             for k, d in (("turn", I.liquidity(spark, sf)), ("status", I.status(spark, sf)))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("csv_bars", "A7 A20", with_inputs("daily", body="""
+SELECT symbol, datetime, round(close, 6) AS close, volume, 'csv' AS source, 'daily' AS freq, 'pre' AS adjust FROM daily"""))
+def _(spark, sf):
+    path = work_dir(spark, "csv")
+    raw = I.bars_daily(spark, sf).select(F.col("symbol").alias("code"), F.date_format("datetime", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "volume")
+    K.write_report(raw, path, "csv")
+    out = R.read_bar_csv(spark, path, source="csv", freq="daily", adjust="pre")
+    return rounded(out.select("symbol", "datetime", "close", "volume", "source", "freq", "adjust"))
+
+
+@query("parts_with_missing_columns", "A8 B12", with_inputs("bars", "daily", body="""
+SELECT symbol, datetime, freq, close, CASE WHEN freq = '5min' THEN volume END AS volume FROM (SELECT * FROM bars UNION ALL SELECT * FROM daily)"""))
+def _(spark, sf):
+    a, b, c = (work_dir(spark, n) for n in ("part", "part", "absent"))
+    I.bars_5min(spark, sf).write.parquet(a)
+    I.bars_daily(spark, sf).drop("volume", "amount").write.parquet(b)
+    return R.read_parts(spark, [a, b, c]).select("symbol", "datetime", "freq", "close", "volume")
+
+
+@query("symbol_list_file", "A9", with_inputs("bars", body="SELECT DISTINCT symbol FROM bars"))
+def _(spark, sf):
+    path, noisy = work_dir(spark, "list"), work_dir(spark, "list")
+    K.write_symbol_list(I.ticks(spark, sf), path)
+    lines = spark.read.text(path).select(F.explode(F.array("value", F.lit("# comment"), F.lit("  "))).alias("value"))
+    lines.write.text(noisy)
+    return R.read_symbol_list(spark, noisy)
+
+
+def _events(spark, sf):
+    """Replay events: one step per daily bar with up to two fills."""
+    bars = I.bars_daily(spark, sf).withColumn("k", F.dayofmonth("datetime") % 4)
+    fill = F.struct(F.when(F.col("k") % 2 == 0, "buy").otherwise("sell").alias("side"), F.when(F.col("k") < 2, "filled").otherwise("blocked").alias("status"),
+                    F.when(F.col("k") >= 2, "market_buy_blocked").alias("reason"), F.col("volume").alias("shares"), F.col("close").alias("price"), F.lit(5.0).alias("fee"))
+    fills = F.when(F.col("k") == 3, F.array().cast("array<struct<side:string,status:string,reason:string,shares:double,price:double,fee:double>>")).otherwise(F.array(fill))
+    raw = F.when(F.col("k") == 3, "hold").when(F.col("k") % 2 == 0, "buy").otherwise("sell")
+    return bars.select(
+        F.datediff(F.to_date("datetime"), F.lit("2023-12-31").cast("date")).cast("bigint").alias("seq"), F.lit("step").alias("kind"), F.col("datetime").alias("time"),
+        F.lit("bar_close").alias("stage"), "symbol", F.struct("open", "high", "low", "close", "volume", "amount").alias("bar"), fills.alias("fills"),
+        (F.col("close") * 1000.0).alias("nav"), raw.alias("raw_action"))
+
+
+@query("json_event_file", "A10 A11 K10", with_inputs("daily", body="""
+SELECT datediff('day', DATE '2023-12-31', datetime::DATE) AS seq, symbol, round(close, 6) AS close, CASE WHEN day(datetime) % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS fills
+FROM daily WHERE datediff('day', DATE '2023-12-31', datetime::DATE) > 12"""))
+def _(spark, sf):
+    path = work_dir(spark, "events")
+    K.write_events(_events(spark, sf).drop("raw_action"), path)
+    spark.range(3).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    out = R.read_events(spark, path, after=12)
+    return rounded(out.select("seq", "symbol", F.col("bar.close").alias("close"), F.size("fills").cast("bigint").alias("fills")))
+
+
+# ---- writes ------------------------------------------------------------------------
+_INCOMING = """, inc AS (SELECT * REPLACE (close + 1 AS close, greatest(high, close + 1) AS high) FROM bars WHERE day(datetime) = 10 AND symbol <> '600000.SH'),
+merged AS (SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.symbol = b.symbol AND i.datetime = b.datetime){cut} UNION ALL SELECT * FROM inc),
+pct AS (SELECT *, close / coalesce(nullif(lag(close) OVER (PARTITION BY symbol ORDER BY datetime), 0), nullif(open, 0)) - 1 AS p FROM merged)
+SELECT symbol, datetime, round(close, 6) AS close, round(p, 6) + 0.0 AS "pctChg" FROM pct"""
+
+
+def _incoming(spark, sf):
+    new = I.bars_5min(spark, sf).filter((F.dayofmonth("datetime") == 10) & (F.col("symbol") != "600000.SH")).withColumns({
+        "close": F.col("close") + 1, "high": F.greatest("high", F.col("close") + 1), "seq": F.lit(2)})
+    return new.unionByName(new.withColumns({"close": F.lit(0.5), "seq": F.lit(1)}))
+
+
+@query("upsert_bars", "A12 D1 B9", with_inputs("bars", body=_INCOMING.format(cut="")))
+def _(spark, sf):
+    out = K.upsert_bars(I.bars_5min_pct(spark, sf), _incoming(spark, sf), sequence="seq")
+    return rounded(out.select("symbol", "datetime", "close", "pctChg"))
+
+
+@query("upsert_bars_on_files", "A12", with_inputs("bars", body=_INCOMING.format(cut="")))
+def _(spark, sf):
+    path = work_dir(spark, "bars")
+    K.write_bars(I.bars_5min_pct(spark, sf), path)
+    K.save_bars(spark, path, _incoming(spark, sf), sequence="seq")
+    return rounded(spark.read.parquet(path).select("symbol", "datetime", "close", "pctChg"))
+
+
+@query("replace_symbols", "A13", with_inputs("bars", body=_INCOMING.format(cut=" AND b.symbol = '600000.SH'")))
+def _(spark, sf):
+    out = K.upsert_bars(I.bars_5min_pct(spark, sf), _incoming(spark, sf), sequence="seq", replace_symbols=True)
+    return rounded(out.select("symbol", "datetime", "close", "pctChg"))
+
+
+@query("upsert_facts", "A14", with_inputs("liquidity", body="SELECT symbol, date::TIMESTAMP AS date, round(CASE WHEN day(date) < 5 THEN turn * 2 ELSE turn END, 6) AS turn FROM liquidity"))
+def _(spark, sf):
+    base = I.liquidity(spark, sf)
+    new = base.filter(F.dayofmonth("date") < 5).withColumns({"turn": F.col("turn") * 2, "seq": F.lit(1)})
+    return rounded(K.upsert(base, new, ["symbol", "date"], sequence="seq").select("symbol", "date", "turn"))
+
+
+_DELETE = ", req(symbol, freq) AS (VALUES ('000001.SZ', NULL), ('300001.SZ', 'daily'))"
+
+
+def _requests(spark, sf):
+    names = I.ticks(spark, sf).select("symbol").distinct().filter(F.col("symbol").isin("000001.SZ", "300001.SZ"))
+    return names.select("symbol", F.when(F.col("symbol") == "300001.SZ", "daily").alias("freq"), F.lit(None).cast("string").alias("adjust"))
+
+
+@query("delete_slices", "A15", with_inputs("bars", "daily", body=_DELETE + """
+SELECT symbol, freq, count(*) AS rows FROM (SELECT * FROM bars UNION ALL SELECT * FROM daily) b WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.symbol = b.symbol AND
+  (r.freq IS NULL OR r.freq = b.freq)) GROUP BY ALL"""))
+def _(spark, sf):
+    left, _ = K.delete_slices(_slices(spark, sf), _requests(spark, sf))
+    return left.groupBy("symbol", "freq").agg(F.count("*").alias("rows"))
+
+
+@query("delete_counts", "A15", with_inputs("bars", "daily", "liquidity", body=_DELETE + """
+SELECT r.symbol, 'bars' AS what, count(*) AS deleted FROM (SELECT * FROM bars UNION ALL SELECT * FROM daily) b JOIN req r ON r.symbol = b.symbol AND (r.freq IS NULL OR r.freq = b.freq) GROUP BY r.symbol
+UNION ALL SELECT symbol, 'facts', count(*) FROM liquidity WHERE symbol = '000001.SZ' GROUP BY symbol"""))
+def _(spark, sf):
+    req = _requests(spark, sf)
+    _, bars = K.delete_slices(_slices(spark, sf), req)
+    _, facts = K.delete_facts(I.liquidity(spark, sf), req)
+    return bars.select("symbol", F.lit("bars").alias("what"), "deleted").unionByName(facts.select("symbol", F.lit("facts").alias("what"), "deleted"))
+
+
+@query("dataset_round_trip", "A16 A17 A18", with_inputs("daily", "bars", "session", "status", body="""
+SELECT 'market_bars' AS "table", count(*) AS rows FROM daily WHERE symbol IN ('000001.SZ', '688001.SH') UNION ALL
+SELECT 'market_features', count(*) FROM daily WHERE symbol IN ('000001.SZ', '688001.SH') UNION ALL
+SELECT t, count(*) + count(DISTINCT (symbol, datetime::DATE)) FROM (SELECT * FROM session WHERE symbol IN ('000001.SZ', '688001.SH') AND datetime::DATE >
+  (SELECT min(datetime)::DATE FROM session s WHERE s.symbol = session.symbol)), (VALUES ('decisions'), ('decision_index'), ('decision_snapshots')) v(t) GROUP BY t"""))
+def _(spark, sf):
+    """Eight tables written, merged from two parts and read back for two symbols."""
+    ds = P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), freqs=("daily",))
+    root = work_dir(spark, "dataset")
+    halves = (["000001.SZ", "300001.SZ"], ["688001.SH", "830001.BJ", "600000.SH"])
+    for i, names in enumerate(halves):
+        P.write_dataset(ds.for_symbols(names), f"{root}/{i}")
+    whole = P.merge_datasets([P.read_dataset(spark, f"{root}/{i}") for i in range(len(halves))]).for_symbols(["000001.SZ", "688001.SH"])
+    names = ("market_bars", "market_features", "decisions", "decision_index", "decision_snapshots")
+    return P.build_summary(whole).filter(F.col("table").isin(*names)).select("table", "rows")
+
+
+@query("market_export", "A19", with_inputs("bars", body="SELECT symbol, freq, count(*) AS rows, max(datetime) AS last_datetime FROM bars WHERE datetime < TIMESTAMP '2024-01-21' GROUP BY ALL"))
+def _(spark, sf):
+    path = work_dir(spark, "export")
+    K.export_market(I.bars_5min(spark, sf), path, end="2024-01-20")
+    K.export_market(I.bars_5min(spark, sf), path, end="2024-01-30")  # kept, not rewritten
+    return spark.read.parquet(path).groupBy("symbol", "freq").agg(F.count("*").alias("rows"), F.max("datetime").alias("last_datetime"))
+
+
+@query("coverage_manifest", "A21 F4 J15", with_inputs("bars", body="SELECT symbol, count(*) AS rows, symbol <> '830001.BJ' AS verified FROM bars WHERE symbol <> '000001.SZ' GROUP BY symbol"))
+def _(spark, sf):
+    """Manifest appended and read back, one slice deleted from it, one slice's bars changed since."""
+    from ..operators.quality import verify_manifest
+
+    path = work_dir(spark, "manifest")
+    bars = I.bars_5min(spark, sf)
+    K.append_manifest(K.coverage_rows(bars, requested_start="2024-01-01", requested_end="2024-02-01"), path)
+    gone = _requests(spark, sf).filter("symbol = '000001.SZ'")
+    kept = K.delete_manifest(spark.read.parquet(path), gone)
+    changed = bars.withColumn("volume", F.when((F.col("symbol") == "830001.BJ") & (F.dayofmonth("datetime") == 3), F.col("volume") + 1).otherwise(F.col("volume")))
+    asked = kept.select("symbol", "freq", "adjust", F.lit("2024-01-05").cast("timestamp_ntz").alias("start"), F.lit("2024-01-09").cast("timestamp_ntz").alias("end"))
+    found = L.latest_covering(kept, asked).select("symbol", "rows")
+    return found.join(verify_manifest(kept, changed).select("symbol", "verified"), ["symbol"])
+
+
+@query("report_files", "A20", with_inputs("bars", body="SELECT symbol, count(*) AS rows FROM bars GROUP BY symbol"))
+def _(spark, sf):
+    path = work_dir(spark, "report")
+    K.write_report(I.bars_5min(spark, sf).groupBy("symbol").agg(F.count("*").alias("rows")), path, "json")
+    return spark.read.schema("symbol STRING, rows BIGINT").json(path)
+
+
+@query("storage_defaults", "B3 B6", with_inputs("bars", body="SELECT symbol, datetime, 'unknown' AS source, 'daily' AS freq, 'none' AS adjust FROM bars"))
+def _(spark, sf):
+    raw = I.bars_5min(spark, sf).withColumn("symbol", F.concat(F.lit("﻿"), F.lower("symbol"))).drop("source", "freq").withColumn("adjust", F.lit(None).cast("string"))
+    return N.storage_bars(raw).select("symbol", "datetime", "source", "freq", "adjust")
