@@ -9,8 +9,8 @@ from ..operators import sequences as S
 from ..operators.features import bar_features
 from ..operators.snapshot import decision_snapshots
 from ..plans import dataset as P
-from ..plans.registry import DEFAULT_SPEC, compile_blueprint
-from ..schema import CONSTRAINT_FIELDS, CONTEXT_FIELDS, SEQUENCE_WINDOWS
+from ..plans.registry import FeatureSpec, compile_blueprint
+from ..schema import CONSTRAINT_FIELDS, SEQUENCE_WINDOWS
 from . import inputs as I
 from .inputs import with_inputs
 from .registry import query, rounded
@@ -257,7 +257,9 @@ def _(spark, sf):
 
 
 def _dataset(spark, sf, freqs=("15min", "daily")):
-    return P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), liquidity=I.liquidity(spark, sf), freqs=freqs)
+    """A dataset without indicators, which the small blueprint below does not read."""
+    return P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), liquidity=I.liquidity(spark, sf), freqs=freqs,
+                           spec=FeatureSpec(indicators=()), model=_SMALL, stage=True)
 
 
 _SMALL = compile_blueprint([

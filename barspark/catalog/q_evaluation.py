@@ -132,7 +132,7 @@ def _(spark, sf):
 
 
 @query("walk_forward_parts", "L9", """
-, d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)""".lstrip(", ").replace("d AS", "WITH d AS", 1) + """, n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d),
+WITH d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d),
 f AS (SELECT n.*, fold, n - 252 AS t, n - 252 - 20 - 1 - (3 - fold) * 146 AS ve FROM n, (VALUES (1), (2), (3)) v(fold))
 SELECT CAST(fold AS BIGINT) AS fold, date::TIMESTAMP AS date, CASE WHEN i >= t THEN 'test' WHEN i >= t - 20 THEN 'embargo' WHEN i > ve THEN 'unused' WHEN i >= ve - 125 THEN 'validation' WHEN i >= ve - 145 THEN 'embargo' ELSE 'train' END AS part FROM f""")
 def _(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory as V
 from ..operators.bars import stored_bars
 from ..plans import incremental as N
+from ..plans.staging import staged
 from . import inputs as I
 from .inputs import with_inputs
 from .q_bars import _ordinal, _stored_sql
@@ -22,12 +23,13 @@ def _state(spark, sf):
     now = I.bars_5min(spark, sf)
     early = now.filter((F.col("datetime") < F.lit(_CUT).cast("timestamp_ntz")) | F.col("symbol").isin("830001.BJ", "300001.SZ"))
     old = early.withColumn("close", F.when((F.col("symbol") == "688001.SH") & (F.dayofmonth("datetime") == 5), F.col("close") + 1).otherwise(F.col("close")))
-    target = stored_bars(old, "15min", "5min").filter("symbol <> '600000.SH'")
+    now, old = staged(now, "bars"), staged(old, "bars")
+    target = staged(stored_bars(old, "15min", "5min").filter("symbol <> '600000.SH'"), "target")
     empty = spark.createDataFrame([], "symbol STRING, base_freq STRING, target_freq STRING, adjust STRING, source STRING, base_start TIMESTAMP_NTZ, base_end TIMESTAMP_NTZ, "
                                       "base_rows BIGINT, base_hash BIGINT, target_rows BIGINT, generated_at TIMESTAMP_NTZ")
     first = N.plan_rebuild(old, target, empty, base_freq="5min", target_freq="15min")
     manifest = N.next_manifest(empty, first, target, base_freq="5min", target_freq="15min").filter("symbol NOT IN ('300001.SZ', '600000.SH')")
-    return now, target, manifest
+    return now, target, staged(manifest, "manifest")
 
 
 @query("rebuild_plan", "K1 K2 K7 C15 C16 C17", with_inputs("bars", body=f"""
@@ -63,6 +65,7 @@ def _(spark, sf):
 def _(spark, sf):
     now, target, manifest = _state(spark, sf)
     new, listed, _ = N.materialize(now, target, manifest, base_freq="5min", target_freq="15min")
+    new, listed = staged(new, "target"), staged(listed, "manifest")
     return N.plan_rebuild(now, new, listed, base_freq="5min", target_freq="15min").select("symbol", "action")
 
 

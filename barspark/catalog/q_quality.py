@@ -72,7 +72,7 @@ def _(spark, sf):
 
 _AVAILABLE = """, best AS (SELECT symbol, count(*) AS rows, min(datetime) AS a, max(datetime) AS b FROM long GROUP BY symbol),
 rep AS (SELECT 'S' || s_suppkey * 2 AS symbol, b.rows, b.a, b.b, concat_ws(',', CASE WHEN b.rows IS NULL THEN 'not_found' END,
-  CASE WHEN b.rows < 530 THEN 'too_few_rows' END, CASE WHEN b.a > TIMESTAMP '1995-01-10' THEN 'starts_late' END, CASE WHEN b.b < TIMESTAMP '2001-11-25' THEN 'ends_early' END) AS issues
+  CASE WHEN b.rows < 500 THEN 'too_few_rows' END, CASE WHEN b.a > TIMESTAMP '1995-01-20' THEN 'starts_late' END, CASE WHEN b.b < TIMESTAMP '2001-10-25' THEN 'ends_early' END) AS issues
   FROM supplier LEFT JOIN best b ON b.symbol = 'S' || s_suppkey * 2)"""
 
 
@@ -83,13 +83,13 @@ def _candidates(spark, sf):
 @query("availability_report", "J4 F6", with_inputs("long", body=_AVAILABLE + """
 SELECT symbol, issues = '' AS available, coalesce(rows, 0) AS rows, date_trunc('day', a)::TIMESTAMP AS start_date, date_trunc('day', b)::TIMESTAMP AS end_date, issues FROM rep"""))
 def _(spark, sf):
-    out = Q.availability_report(I.bars_daily_long(spark, sf), symbols=_candidates(spark, sf), min_rows=530, required_start="1995-01-10", required_end="2001-11-25")
+    out = Q.availability_report(I.bars_daily_long(spark, sf), symbols=_candidates(spark, sf), min_rows=500, required_start="1995-01-20", required_end="2001-10-25")
     return rounded(out.withColumn("issues", F.array_join("issues", ",")))
 
 
-@query("available_universe", "J5", with_inputs("long", body=_AVAILABLE + "\nSELECT symbol FROM rep WHERE issues = '' OR issues = 'ends_early' AND false"))
+@query("available_universe", "J5", with_inputs("long", body=_AVAILABLE + "\nSELECT symbol FROM rep WHERE issues = ''"))
 def _(spark, sf):
-    return Q.available_universe(I.bars_daily_long(spark, sf), _candidates(spark, sf), min_rows=530, required_start="1995-01-10", required_end="2001-11-25")
+    return Q.available_universe(I.bars_daily_long(spark, sf), _candidates(spark, sf), min_rows=500, required_start="1995-01-20", required_end="2001-10-25")
 
 
 _DIRECT = """, direct AS (SELECT symbol, adjust, datetime, open, high, low, CASE WHEN day(datetime) % 10 = 0 THEN close + 0.5 ELSE close END AS close, volume, amount FROM daily

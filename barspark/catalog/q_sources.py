@@ -184,7 +184,7 @@ SELECT t, count(*) + count(DISTINCT (symbol, datetime::DATE)) FROM (SELECT * FRO
   (SELECT min(datetime)::DATE FROM session s WHERE s.symbol = session.symbol)), (VALUES ('decisions'), ('decision_index'), ('decision_snapshots')) v(t) GROUP BY t"""))
 def _(spark, sf):
     """Eight tables written, merged from two parts and read back for two symbols."""
-    ds = P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), freqs=("daily",))
+    ds = P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), freqs=("daily",), stage=True)
     root = work_dir(spark, "dataset")
     halves = (["000001.SZ", "300001.SZ"], ["688001.SH", "830001.BJ", "600000.SH"])
     for i, names in enumerate(halves):

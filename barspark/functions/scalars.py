@@ -74,6 +74,14 @@ def minutes(n) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n) if isinstance(n, int) else n, F.lit(0))
 
 
+def naive_micros(c) -> Column:
+    """Microseconds since 1970 of a naive timestamp, whatever the session time zone is."""
+    c = col(c)
+    of_day = F.hour(c) * 3600 + F.minute(c) * 60
+    second = (F.extract(F.lit("SECOND"), c) * 1000000).cast("bigint")
+    return F.unix_date(F.to_date(c)).cast("bigint") * 86400000000 + of_day.cast("bigint") * 1000000 + second
+
+
 def range_filter(c, start: str | None = None, end: str | None = None) -> Column:
     """Inclusive range; a 10-character end date includes the whole day."""
     c, cond = col(c), F.lit(True)

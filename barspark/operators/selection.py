@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import board_group
+from ..functions.scalars import board_group, naive_micros
 from ..schema import SLICE
 from .series import running
 
@@ -96,8 +96,8 @@ def preview(parts: Sequence[DataFrame], order: Sequence[str], n: int) -> DataFra
 def last_rows(bars: DataFrame, n: int, keys: Sequence[str] = SLICE) -> DataFrame:
     """The last ``n`` rows of each series, numbered from the end."""
     backwards = running(
-        bars.withColumn("_neg", -F.unix_micros(F.col("datetime").cast("timestamp"))), keys, ["_neg"],
-        -F.year("datetime") * 10000 - F.month("datetime") * 100 - F.dayofmonth("datetime"), {"from_end": ("count", None)},
+        bars.withColumn("_neg", -naive_micros("datetime")), keys, ["_neg"],
+        -F.unix_date(F.to_date("datetime")), {"from_end": ("count", None)},
     )
     return backwards.filter(F.col("from_end") <= n).drop("_neg")
 

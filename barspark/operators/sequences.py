@@ -158,13 +158,6 @@ def expanded(sequences: DataFrame, channels: Sequence[str]) -> DataFrame:
     )
 
 
-def sequence_tail(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The last ``n`` rows of every series; counts come first, so no series is sorted whole."""
-    numbered = number_rows(rows, keys, ["datetime"], time_chunk())
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("_total"))
-    return numbered.join(totals, list(keys)).filter(F.col("rn") > F.col("_total") - n).drop("_total", "rn")
-
-
 def missing_index(decisions: DataFrame, index: DataFrame, freqs: Sequence[str]) -> DataFrame:
     """Decision and frequency pairs without an index row."""
     wanted = decisions.select("decision_id", F.explode(F.array(*map(F.lit, freqs))).alias("freq"))

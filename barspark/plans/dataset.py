@@ -15,7 +15,8 @@ from ..operators.bars import aggregate_bars, as_market_bars
 from ..operators.features import META, RAW, bar_features, prepare_bars
 from ..operators.snapshot import decision_snapshots, feature_states, snapshot_features
 from ..schema import FREQUENCIES, INTRADAY
-from .registry import DEFAULT_SPEC, FeatureSpec, ModelInput, compile_blueprint
+from .registry import DEFAULT_SPEC, FeatureSpec, ModelInput, compile_blueprint, needed_spec
+from .staging import staged
 
 
 @dataclass
@@ -81,13 +82,17 @@ def stable_bars(base: DataFrame, daily: DataFrame, freqs: Sequence[str] = FREQUE
 
 def build_dataset(base: DataFrame, daily: DataFrame, *, status: DataFrame | None = None, liquidity: DataFrame | None = None,
                   freqs: Sequence[str] = FREQUENCIES, spec: FeatureSpec = DEFAULT_SPEC, model: ModelInput | None = None,
-                  start: str | None = None, end: str | None = None, trade_freq: str = "5min") -> FeatureDataset:
+                  start: str | None = None, end: str | None = None, trade_freq: str = "5min", stage: bool = False) -> FeatureDataset:
+    """The eight tables. With ``stage`` the inputs, decisions and completed bars, which several tables
+    start from, are written to the shared folder first instead of being derived again for each.
+    """
+    cut = staged if stage else lambda df, name: df
     model = model or compile_blueprint(None, spec)
-    daily = daily if liquidity is None else with_turnover(daily, liquidity)
-    decisions = D.pick_decisions(
+    base, daily = cut(base, "base"), cut(daily if liquidity is None else with_turnover(daily, liquidity), "daily")
+    decisions = cut(D.pick_decisions(
         D.decision_points(base, status, trade_freq=trade_freq, require_limit_reference=True), start=start, end=end
-    )
-    stable = stable_bars(base, daily, freqs, trade_freq=trade_freq)
+    ), "decisions")
+    stable = cut(stable_bars(base, daily, freqs, trade_freq=trade_freq), "stable")
     index = S.decision_index(decisions, stable, freqs, spec=spec, trade_freq=trade_freq)
     snapshots = decision_snapshots(decisions, base, daily, [f for f in freqs if f != trade_freq], trade_freq=trade_freq)
     meta = {
@@ -113,7 +118,8 @@ def snapshot_feature_rows(ds: FeatureDataset, spec: FeatureSpec = DEFAULT_SPEC)
 
 def dataset_sequences(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
     features = ds.market_features.withColumnRenamed("bar_datetime", "datetime")
-    return S.model_sequences(ds.decision_index, features, snapshot_feature_rows(ds, spec), model, spec)
+    partial = snapshot_feature_rows(ds, needed_spec(spec, model))
+    return S.model_sequences(ds.decision_index, features, partial, model, spec)
 
 
 def dataset_inputs(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.scalars import period_start, range_filter
 from ..operators import inventory as V
 from ..operators.bars import stored_bars
 from ..schema import INTRADAY
+from .staging import staged
 
 KEY = ["symbol", "adjust"]
 SKIP, APPEND, FULL, ADOPT = "skip", "append", "full", "adopt"
@@ -103,9 +104,13 @@ def next_manifest(manifest: DataFrame, plan: DataFrame, new_target: DataFrame, *
 
 def materialize(base: DataFrame, target: DataFrame, manifest: DataFrame, *, base_freq: str, target_freq: str,
                 source: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(target, manifest, summary) after bringing every series up to date."""
-    plan = plan_rebuild(base, target, manifest, base_freq=base_freq, target_freq=target_freq, source=source)
-    made = generate(base, plan, base_freq=base_freq, target_freq=target_freq, source=source)
+    """(target, manifest, summary) after bringing every series up to date.
+
+    The plan (one row per series) and the generated rows are each needed several times, so both are
+    written to the shared folder once instead of being computed again.
+    """
+    plan = staged(plan_rebuild(base, target, manifest, base_freq=base_freq, target_freq=target_freq, source=source), "plan")
+    made = staged(generate(base, plan, base_freq=base_freq, target_freq=target_freq, source=source), "generated")
     new = apply_plan(target, made, plan)
     return new, next_manifest(manifest, plan, new, base_freq=base_freq, target_freq=target_freq, source=source), summary(plan, made, target_freq)
 

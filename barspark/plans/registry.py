@@ -203,6 +203,14 @@ def compile_blueprint(items: Iterable[Mapping] | None = None, spec: FeatureSpec
     )
 
 
+def needed_spec(spec: FeatureSpec, model: ModelInput) -> FeatureSpec:
+    """The indicators the model reads; all of them if it reads the coverage of the longest one."""
+    used = {n for names in model.channels.values() for n in names}
+    if "history_coverage" in used:
+        return spec
+    return FeatureSpec(tuple(i for i in spec.active if used & set(i.fields)), spec.windows)
+
+
 def schema_hash(items: Iterable[Mapping]) -> str:
     """sha256 of the canonical JSON of what decides array shapes."""
     kept = [

@@ -5,8 +5,6 @@ Streams use event time in UTC, because watermarks need zoned timestamps; results
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import keep_last
+from ..plans.staging import work_dir  # noqa: F401  (where streams keep their files)
 from ..schema import MINUTES
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def tick_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
