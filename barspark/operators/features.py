@@ -136,8 +136,8 @@ def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states:
         **{name: c for item in spec.active for name, c in indicator_inputs(item, w).items()},
     })
 
-    def deviation(name, frame):
-        return F.when(F.count(name).over(frame) >= 2, F.stddev_samp(name).over(frame))
+    def deviation(name, frame):  # NULL below two values
+        return F.stddev_samp(name).over(frame)
 
     df = df.withColumns({
         **{f"ret_{n}": safe_div("close", usable(F.lag("close", n).over(w), "first_close")) - 1.0 for n in RETURNS},
@@ -176,7 +176,7 @@ def _window_states(spec: FeatureSpec, w) -> dict[str, Column]:
         "st_volume_mean": F.avg("volume").over(tail(20)),
         "st_amount_mean": F.avg("amount").over(tail(20)),
         "st_turn_mean": F.avg("turn").over(tail(20)),
-        "st_turn_std": F.when(F.count("turn").over(tail(20)) >= 2, F.stddev_samp("turn").over(tail(20))),
+        "st_turn_std": F.stddev_samp("turn").over(tail(20)),
     }
     for i in spec.active:
         if i.kind == "kd":
