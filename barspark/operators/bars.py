@@ -35,11 +35,18 @@ def bar_ordinal(bars: DataFrame, out: str = "bar_ordinal", *, keys=("symbol", "a
     return bars.withColumn(out, F.row_number().over(w) - 1)
 
 
-def refresh_pct_chg(bars: DataFrame, *, ts: str = "datetime", keys=("symbol", "freq", "adjust")) -> DataFrame:
-    """Close over the previous close of the slice minus one; without one, close over open minus one."""
-    with_previous = running(
-        bars.drop("pctChg"), keys, [ts], time_chunk(ts), {"_previous": ("last", "close")}, exclusive=True
-    )
+def refresh_pct_chg(bars: DataFrame, *, ts: str = "datetime", keys=("symbol", "freq", "adjust"), one_per_day: bool = False) -> DataFrame:
+    """Close over the previous close of the slice minus one; without one, close over open minus one.
+
+    ``one_per_day`` says that no slice has more than one bar a day, so that a slice is short enough for one window.
+    """
+    if one_per_day:
+        previous = F.lag("close").over(Window.partitionBy(*keys).orderBy(ts))
+        with_previous = bars.drop("pctChg").withColumn("_previous", previous)
+    else:
+        with_previous = running(
+            bars.drop("pctChg"), keys, [ts], time_chunk(ts), {"_previous": ("last", "close")}, exclusive=True
+        )
     change = safe_div("close", usable("_previous", "open")) - 1.0
     return with_previous.withColumn("pctChg", change).drop("_previous")
 
@@ -86,7 +93,7 @@ def aggregate_bars(bars: DataFrame, target: str, base: str = "5min", *, decision
         "is_partial": F.col("source_rows") < F.col("expected_source_rows"),
         "progress": F.least(F.col("source_rows") / F.col("expected_source_rows"), F.lit(1.0)),
     })
-    return refresh_pct_chg(full, ts="bar_end").select(*AGGREGATED_COLUMNS)
+    return refresh_pct_chg(full, ts="bar_end", one_per_day=target not in INTRADAY and target != base).select(*AGGREGATED_COLUMNS)
 
 
 def stored_bars(bars: DataFrame, target: str, base: str, *, source: str | None = None,

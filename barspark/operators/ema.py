@@ -85,34 +85,36 @@ def with_emas(df: DataFrame, keys: Sequence[str], emas: Iterable[Ema], *, rn: st
         if size * -math.log1p(-s.alpha) > 600:
             raise ValueError(f"block of {size} rows is too long for alpha {s.alpha}")
 
-    # Built as SQL text: one parse per column instead of many calls into the JVM.
-    place = f"pmod({rn} - 1, {size})"
-    after = f"({size - 1} - {place})"  # distance to the end of a full block
+    # Built as SQL text: one parse per column instead of many calls into the JVM. The decay to a row's
+    # place in its block is computed once per alpha; every other power follows from it.
+    decay = {s.alpha: f"_p{i}" for i, s in enumerate({s.alpha: s for s in sums.values()}.values())}
+    df = df.withColumn("_at", F.expr(f"pmod({rn} - 1, {size})"))
+    df = df.withColumns({name: F.expr(f"exp(_at * {math.log1p(-a)!r}D)") for a, name in decay.items()})
 
     def weight(s: _Sum) -> str:
-        return f"(CASE WHEN _core THEN IF({rn} = 1, `{s.x}`, `{s.x}` * {s.gain!r}D) END)"
+        return f"(CASE WHEN _core THEN IF({rn} = 1, `{s.x}`, `{s.x}` * {s.gain!r}D) END / {decay[s.alpha]})"
 
-    def power(s: _Sum, exponent: str) -> str:
-        return f"exp({exponent} * {math.log1p(-s.alpha)!r}D)"
+    def full(s: _Sum) -> float:  # decay over a whole block, from its first row to its last
+        return math.exp((size - 1) * math.log1p(-s.alpha))
 
     ends = df.groupBy(*keys, "_blk").agg(
-        *[F.expr(f"sum({weight(s)} * {power(s, after)}) AS z_{s.id}") for s in sums.values()],
-        *[F.expr(f"sum({weight(s)} * {power(s, after)} * {after}) AS g_{s.id}") for s in sums.values() if s.moment],
+        *[F.expr(f"sum({weight(s)}) * {full(s)!r}D AS z_{s.id}") for s in sums.values()],
+        *[F.expr(f"sum({weight(s)} * ({size - 1} - _at)) * {full(s)!r}D AS g_{s.id}") for s in sums.values() if s.moment],
     )
     carries = _carries(ends, keys, sums.values(), size)
-    joined = df.join(carries, [*keys, "_blk"])
-    over = f"OVER (PARTITION BY {', '.join(keys)}, _blk ORDER BY {rn} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    inside = Window.partitionBy(*keys, "_blk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    windows = {f"s_{s.id}": F.sum(F.expr(weight(s))).over(inside) for s in sums.values()}
+    windows |= {f"m_{s.id}": F.sum(F.expr(f"{weight(s)} * _at")).over(inside) for s in sums.values() if s.moment}
+    joined = df.join(carries, [*keys, "_blk"]).withColumns(windows)
 
     def value(s: _Sum) -> Column:
-        weighted = f"{weight(s)} * {power(s, f'-{place}')}"
-        here = f"sum({weighted}) {over}"
+        p, q = decay[s.alpha], 1.0 - s.alpha
         if not s.moment:
-            return F.expr(f"({here} + cz_{s.id} * {1.0 - s.alpha!r}D) * {power(s, place)}")
-        moment = f"({here} * {place} - sum({weighted} * {place}) {over}) * {power(s, place)}"
-        return F.expr(f"{moment} + (cz_{s.id} * ({place} + 1) + cg_{s.id}) * {power(s, f'({place} + 1)')}")
+            return F.expr(f"(s_{s.id} + cz_{s.id} * {q!r}D) * {p}")
+        return F.expr(f"(s_{s.id} * _at - m_{s.id} + (cz_{s.id} * (_at + 1) + cg_{s.id}) * {q!r}D) * {p}")
 
-    drop = [c for c in carries.columns if c.startswith(("cz_", "cg_"))]
-    return joined.withColumns({e.out: F.when(F.col("_core"), _assemble(e, value)) for e in emas}).drop(*drop)
+    helpers = ["_at", *decay.values(), *windows, *[c for c in carries.columns if c.startswith(("cz_", "cg_"))]]
+    return joined.withColumns({e.out: F.when(F.col("_core"), _assemble(e, value)) for e in emas}).drop(*helpers)
 
 
 def _carries(ends: DataFrame, keys: list[str], sums: Iterable[_Sum], size: int) -> DataFrame:

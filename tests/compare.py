@@ -1,6 +1,8 @@
 """Run catalog queries and compare them with their DuckDB form.
 
     python tests/compare.py /root/testdata/sf0.001 [name ...]
+
+With PLAIN_SESSION=<time zone> the session has Spark's default settings and that time zone.
 """
 
 import os
@@ -9,6 +11,7 @@ import time
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,7 +61,12 @@ if __name__ == "__main__":
     from barspark.session import local_session
 
     sf, names = sys.argv[1], sys.argv[2:]
-    reg, spark, con = load(), local_session("compare"), duck(sf)
+    reg, con, zone = load(), duck(sf), os.environ.get("PLAIN_SESSION")
+    if zone:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", zone).config(
+            "spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = local_session("compare")
     failures = 0
     for name, fn in reg.QUERIES.items():
         if names and not any(name == n or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
