@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import period_start, row_id
@@ -61,15 +61,26 @@ def decision_index(decisions: DataFrame, stable: DataFrame, freqs: Sequence[str]
 
 
 def tails(features: DataFrame, channels: dict[str, tuple[str, ...]], spec: FeatureSpec = DEFAULT_SPEC, *,
-          size: int = BLOCK_ROWS) -> DataFrame:
-    """For every completed bar the channel arrays of the last N bars up to it, oldest first."""
+          ends: DataFrame | None = None, size: int = BLOCK_ROWS) -> DataFrame:
+    """For every completed bar the channel arrays of the last N bars up to it, oldest first.
+
+    With ``ends`` (slice and datetime) arrays are built for those bars only, and blocks without one are dropped first.
+    """
     parts = []
     for freq, names in channels.items():
         window = max(1, spec.windows[freq])
         rows = features.filter(F.col("freq") == freq).select(*SLICE, "datetime", named_vector(names).alias("_v"))
-        cut = blocks(number_rows(rows, SLICE, ["datetime"], time_chunk()), size=size, halo=window - 1)
+        numbered = number_rows(rows, SLICE, ["datetime"], time_chunk())
+        if ends is not None:
+            asked = ends.filter(F.col("freq") == freq).select(*SLICE, "datetime").distinct().withColumn("_asked", F.lit(1))
+            numbered = numbered.join(asked, [*SLICE, "datetime"], "left")
+        cut = blocks(numbered, size=size, halo=window - 1)
+        if ends is not None:
+            used = F.max(F.when(F.col("_core"), F.col("_asked"))).over(Window.partitionBy(*SLICE, "_blk"))
+            cut = cut.withColumn("_used", used).filter("_used = 1")
         last = F.collect_list("_v").over(block_window(SLICE).rowsBetween(-(window - 1), 0))
-        parts.append(core_rows(cut.withColumn("stable_rows", last), "_v", "rn"))
+        out = cut.withColumn("stable_rows", last)
+        parts.append(core_rows(out if ends is None else out.filter("_asked = 1"), "_v", "rn", "_asked", "_used"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -98,7 +109,8 @@ def model_sequences(index: DataFrame, features: DataFrame, snapshot_rows: DataFr
     """
     freqs = list(model.channels)
     wanted = index.filter(F.col("freq").isin(*freqs))
-    history = tails(features, model.channels, spec).withColumnRenamed("datetime", "stable_end_datetime")
+    ends = wanted.select(*SLICE, F.col("stable_end_datetime").alias("datetime")).filter("datetime IS NOT NULL")
+    history = tails(features, model.channels, spec, ends=ends).withColumnRenamed("datetime", "stable_end_datetime")
     partial = snapshot_vectors(snapshot_rows, model)
     joined = wanted.join(history, ["symbol", "adjust", "freq", "stable_end_datetime"], "left").join(
         partial, ["decision_id", "freq"], "left"
