@@ -7,6 +7,7 @@ With PLAIN_SESSION=<time zone> the session has Spark's default settings and that
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -64,7 +65,7 @@ if __name__ == "__main__":
     reg, con, zone = load(), duck(sf), os.environ.get("PLAIN_SESSION")
     if zone:
         spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", zone).config(
-            "spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+            "spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     else:
         spark = local_session("compare")
     failures = 0
