@@ -46,6 +46,11 @@ class Blocks:
         return said.groupBy("bucket").applyInArrow(
             lambda t: _rows(_HEARD, fn(t.column("block").to_numpy(), [np.frombuffer(x.as_py(), np.uint8) for x in t.column("data")])), HEARD)
 
+    def both(self, first: DataFrame, second: DataFrame) -> DataFrame:
+        """What a block heard in two rounds: data with a byte 0 or 1 before it."""
+        tag = lambda df, x: df.select("block", F.concat(F.lit(bytes([x])), F.col("data")).alias("data"))
+        return tag(first, 0).unionAll(tag(second, 1))
+
     def finish(self, fn: Callable, schema: str, heard: DataFrame | None = None) -> DataFrame:
         """``fn(block, docs, heard)`` returns the table of every block."""
         if heard is None:

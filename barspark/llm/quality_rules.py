@@ -130,9 +130,11 @@ def learn_rules(rows: DataFrame, features: list[str], target: str = "bad", bins:
         return []
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(3)) < 2
     rows = rows.select(F.col(target).alias("__bad"), part.alias("__grow"), *features)
-    binned = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("f"), F.size(F.filter(F.lit(cuts[f]).cast("array<double>"), lambda c, f=f: c <= F.col(f))).alias("b"))
-        for k, f in enumerate(features) if cuts[f]])).alias("x")
+
+    def bin_of(f: str) -> Column:  # how many cuts are at most the value
+        return F.size(F.filter(F.lit(cuts[f]).cast("array<double>"), lambda c: c <= F.col(f)))
+
+    binned = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), bin_of(f).alias("b")) for k, f in enumerate(features) if cuts[f]])).alias("x")
 
     def counts(df: DataFrame) -> tuple[int, int]:
         r = df.agg(F.count_if("__bad").alias("p"), F.count_if(~F.col("__bad")).alias("n")).first()
