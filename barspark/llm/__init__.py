@@ -3,6 +3,6 @@
 
 def load():
     """The registry with all query modules imported."""
-    from . import quality_rules, registry, simhash, substrings, token_files  # noqa: F401
+    from . import decontamination, quality_rules, registry, simhash, substrings, token_files  # noqa: F401
 
     return registry
