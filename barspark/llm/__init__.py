@@ -3,6 +3,6 @@
 
 def load():
     """The registry with all query modules imported."""
-    from . import decontamination, quality_rules, registry, simhash, substrings, token_files, url_filter  # noqa: F401
+    from . import byte_cnn, decontamination, quality_rules, registry, simhash, substrings, token_files, url_filter  # noqa: F401
 
     return registry

@@ -36,32 +36,37 @@ BITS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = (1 << 60) - 1
 GROUP = 256
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 FILE = "shard int, block int, first bigint, n_ids bigint, payload binary"
 
 
+WIDTHS = sorted(set(BITS))
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """The place in WIDTHS of the narrowest width that holds an id."""
+    if len(ids) and len(ids) > (top := int(ids.max())) + 1:  # look each up instead
+        return _rank(np.arange(top + 1, dtype=np.uint64))[ids]
+    return np.searchsorted(np.array([1 << b for b in WIDTHS[:-1]], np.uint64), ids, "right").astype(np.uint8)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escaped values of ``ids``; each word takes as many ids as fit."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     escaped = ids[ids >= ESCAPE]
     ids = np.minimum(ids, np.uint64(ESCAPE))
-    width = np.zeros(n, np.uint8)
-    for b in sorted(set(BITS[:-1])):
-        width += (ids >> np.uint64(b) != 0).astype(np.uint8)  # the rank of the narrowest fitting width
-    rank = {b: i for i, b in enumerate(sorted(set(BITS)))}
+    width = _rank(ids)
     choice = np.full(n, 15, np.uint8)
     widest, span = width, 1
     for s in range(14, -1, -1):  # ever more ids in a word
-        while span < COUNTS[s]:
+        while span < COUNTS[s] < n + 1:
             step = min(span, COUNTS[s] - span)
-            if len(widest) <= step:
-                widest = widest[:0]
-                break
             widest, span = np.maximum(widest[:-step], widest[step:]), span + step
-        if not len(widest):
+        fits = widest <= WIDTHS.index(BITS[s])
+        if span < COUNTS[s] or not fits.any():  # then no longer run fits fewer bits
             break
-        choice[: len(widest)][widest <= rank[BITS[s]]] = s
+        choice[: len(widest)][fits] = s
     jump, at, i = np.array(COUNTS)[choice].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -120,45 +125,68 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
     Byte-level pre-tokenisation always cuts before a space that stands between two characters which are not white space. The pieces between such
-    cuts are independent, so each piece's ids are kept (a bounded number of pieces) and only new pieces go through the tokenizer.
+    cuts are independent, so each piece's ids are kept (a bounded number of pieces) and only new pieces go through the tokenizer. A piece that may
+    have been cut elsewhere (white space at its ends) is never kept, and its text takes the slow way.
     """
 
     cut = re.compile(r"(?<=\S)(?= \S)")
-    odd = re.compile(r"\s | \s|^ | $")
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)").fullmatch
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.inner: dict[str, bytes] = {}  # pieces with a space before them, by the rest
+        self.rest: dict[str, bytes] = {}  # by the piece without the space before it
         self.first: dict[str, bytes] = {}
+        # Byte-level vocabularies name a byte by its Latin-1 character, or by the next character from 256 on where that is not a visible one.
+        shown = {b: chr(b) for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD}
+        self.names = shown | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.marks = {"": b""} | {c: self._ids(c) for c in ".,"}
 
-    def _learn(self, known: dict[str, bytes], pieces, before: str) -> None:
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        """Letters with a full stop or comma are one or two words to the tokenizer's model; other pieces take its whole way."""
+        pieces = {p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()}
         new = [p for p in pieces if p not in known]
         if len(known) + len(new) > self.cache:
             known.clear()
             new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        other, model = [], self.tokenizer.model.tokenize
+        for p in new:
+            if m := self.plain(p):
+                word = before + m[1]
+                known[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) + self.marks[m[2]] if (
+                    t := model(word.encode().decode("latin-1").translate(self.names))) else b""
+            else:
+                other.append(p)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _known(self, pieces: list[str]) -> bytes:
+        return self.first[pieces[0]] + b"".join([self.rest[p] for p in pieces[1:]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, first = [], set()
-        inner: set[str] = set()
-        for t in texts:
-            if self.odd.search(t):
-                pieces = self.cut.split(t)
-                pieces[1:] = [p[1:] for p in pieces[1:]]
-            else:
-                pieces = t.split(" ")
-            split.append(pieces)
-            first.add(pieces[0])
-            inner.update(pieces[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.inner, inner, " ")
-        head, rest = self.first, self.inner
-        return [head[p[0]] + b"".join([rest[x] for x in p[1:]]) for p in split]
+        out: list[bytes] = [b""] * len(texts)
+        new = []
+        for i, t in enumerate(texts):
+            pieces = t.split(" ")
+            try:
+                out[i] = self._known(pieces)
+            except KeyError:
+                new.append((i, pieces))
+        self._learn(self.first, {p[0] for _, p in new}, "")
+        self._learn(self.rest, {x for _, p in new for x in p[1:]}, " ")
+        for i, pieces in new:
+            try:
+                out[i] = self._known(pieces)
+            except KeyError:  # white space beside a space, or an empty text
+                cut = self.cut.split(texts[i])
+                out[i] = b"".join([self._ids(c) if k == 0 or (ids := self.rest.get(c[1:])) is None else ids for k, c in enumerate(cut)])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
