@@ -24,7 +24,8 @@ _HEARD = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 class Blocks:
     """Documents by block, with the number of blocks and of buckets for their size."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+                 carry: tuple[str, ...] = ()):
         spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -33,7 +34,7 @@ class Blocks:
         self.spark = spark
         self.docs = docs.select(
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.count)).alias("block"), F.col(id_col).cast("bigint").alias("doc_id"),
-            F.col(text_col).cast("string").alias("text"),
+            F.col(text_col).cast("string").alias("text"), *carry,
         )
 
     def say(self, fn: Callable, heard: DataFrame | None = None) -> DataFrame:
