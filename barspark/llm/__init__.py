@@ -3,6 +3,6 @@
 
 def load():
     """The registry with all query modules imported."""
-    from . import byte_cnn, context_mixing, decontamination, mixing, quality_rules, registry, simhash, substrings, token_files, url_filter  # noqa: F401
+    from . import byte_cnn, context_mixing, decontamination, mixing, quality_rules, registry, simhash, substrings, suffix_dedup, token_files, url_filter  # noqa: F401
 
     return registry
