@@ -131,6 +131,27 @@ def _(spark, sf):
     return rounded(E.across_symbols(res))
 
 
+@query("metric_means", "C23", with_inputs("long", body="""
+, b AS (SELECT symbol, max_by(close, datetime) / min_by(close, datetime) - 1 AS bh, max_by(close, datetime) / min_by(open, datetime) - 1 AS tr, count(*) AS n FROM long GROUP BY symbol)
+SELECT count(*) AS symbols, round(avg(tr), 6) + 0.0 AS total_return, round(avg(bh), 6) + 0.0 AS buy_hold_return, round(sum(CASE WHEN tr > 0 THEN tr ELSE 0 END) / count(*), 6) + 0.0 AS gain, CAST(sum(n) AS BIGINT) AS orders FROM b"""))
+def _(spark, sf):
+    bars = I.bars_daily_long(spark, sf)
+    own = bars.groupBy("symbol").agg((F.max_by("close", "datetime") / F.min_by("open", "datetime") - 1.0).alias("total_return"), F.count("*").alias("orders"))
+    res = own.join(E.buy_and_hold(bars).select("symbol", "buy_hold_return"), ["symbol"]).withColumn("gain", F.when(F.col("total_return") > 0, F.col("total_return")))
+    return rounded(E.metric_means(res))
+
+
+@query("portfolio_metrics_from_start", "L2", with_inputs("nav", body="""
+, s AS (SELECT strategy, date, nav FROM nav UNION ALL SELECT strategy, min(date) - INTERVAL 1 DAY, 0.9 FROM nav GROUP BY strategy),
+x AS (SELECT *, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER w - 1 AS dd FROM s WINDOW w AS (PARTITION BY strategy ORDER BY date))
+SELECT strategy, 0.9 AS initial_nav, round(max_by(nav, date) / 0.9 - 1, 6) + 0.0 AS total_return, round(pow(max_by(nav, date) / 0.9, 252.0 / count(r)) - 1, 6) + 0.0 AS annualized_return,
+  round(avg(r) * sqrt(252) / stddev_samp(r), 6) + 0.0 AS sharpe, round(-min(dd), 6) + 0.0 AS maximum_drawdown, count(r) AS return_observations FROM x GROUP BY strategy"""))
+def _(spark, sf):
+    """The first day counts as a return from a given starting value."""
+    return rounded(E.portfolio_metrics(I.nav(spark, sf), initial_nav=0.9).select(
+        "strategy", "initial_nav", "total_return", "annualized_return", "sharpe", "maximum_drawdown", "return_observations"))
+
+
 @query("walk_forward_parts", "L9", """
 WITH d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d),
 f AS (SELECT n.*, fold, n - 252 AS t, n - 252 - 20 - 1 - (3 - fold) * 146 AS ve FROM n, (VALUES (1), (2), (3)) v(fold))

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import normalize as N
 from ..operators import selection as L
 from ..plans import dataset as P
+from ..plans.staging import staged, work_dir
 from ..sources import scans as R
 from ..sources import sinks as K
-from ..streaming.streams import work_dir
 from . import inputs as I
 from .inputs import with_inputs
 from .registry import query, rounded
@@ -194,12 +194,17 @@ def _(spark, sf):
     return P.build_summary(whole).filter(F.col("table").isin(*names)).select("table", "rows")
 
 
-@query("market_export", "A19", with_inputs("bars", body="SELECT symbol, freq, count(*) AS rows, max(datetime) AS last_datetime FROM bars WHERE datetime < TIMESTAMP '2024-01-21' GROUP BY ALL"))
+@query("market_export", "A19", with_inputs("bars", body="""
+SELECT e."end" AS "end", symbol, freq, count(*) AS rows, max(datetime) AS last_datetime, e.written FROM bars, (VALUES ('2024-01-20', DATE '2024-01-20', 'true,false'), ('2024-01-30', DATE '2024-01-30', 'true,false')) e("end", day, written)
+WHERE datetime < e.day + INTERVAL 1 DAY GROUP BY ALL"""))
 def _(spark, sf):
-    path = work_dir(spark, "export")
-    K.export_market(I.bars_5min(spark, sf), path, end="2024-01-20")
-    K.export_market(I.bars_5min(spark, sf), path, end="2024-01-30")  # kept, not rewritten
-    return spark.read.parquet(path).groupBy("symbol", "freq").agg(F.count("*").alias("rows"), F.max("datetime").alias("last_datetime"))
+    """Two ends exported to one path, each asked for twice: the second request is kept, another end is written anew."""
+    bars, path, out = I.bars_5min(spark, sf), work_dir(spark, "export"), []
+    for end in ("2024-01-20", "2024-01-30"):
+        written = ",".join(str(K.export_market(bars, path, end=end)).lower() for _ in range(2))
+        got = spark.read.parquet(path).groupBy("symbol", "freq").agg(F.count("*").alias("rows"), F.max("datetime").alias("last_datetime"))
+        out.append(staged(got.select(F.lit(end).alias("end"), "*", F.lit(written).alias("written")), "export-summary"))
+    return out[0].unionAll(out[1])
 
 
 @query("coverage_manifest", "A21 F4 J15", with_inputs("bars", body="SELECT symbol, count(*) AS rows, symbol <> '830001.BJ' AS verified FROM bars WHERE symbol <> '000001.SZ' GROUP BY symbol"))

@@ -41,10 +41,20 @@ def drawdown(nav: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     return df.withColumn("drawdown", F.col("nav") / F.col("peak") - 1.0)
 
 
-def portfolio_metrics(nav: DataFrame, keys: Sequence[str] = ("strategy",), costs: DataFrame | None = None) -> DataFrame:
-    """Return, risk and drawdown figures per strategy; ``costs`` may add ``turnover_value`` and ``total_fees``."""
+def portfolio_metrics(nav: DataFrame, keys: Sequence[str] = ("strategy",), costs: DataFrame | None = None,
+                      initial_nav: float | DataFrame | None = None) -> DataFrame:
+    """Return, risk and drawdown figures per strategy; ``costs`` may add ``turnover_value`` and ``total_fees``.
+
+    ``initial_nav`` is the value before the first day, one for all or a frame of keys and ``initial_nav``; it is one more value of the series."""
     keys = list(keys)
     good = nav.filter("nav > 0")
+    if initial_nav is not None:
+        first = good.groupBy(*keys).agg(F.date_sub(F.to_date(F.min("date")), 1).cast(good.schema["date"].dataType).alias("date"))
+        if isinstance(initial_nav, DataFrame):
+            first = first.join(initial_nav.select(*keys, F.col("initial_nav").cast("double").alias("nav")), keys)
+        else:
+            first = first.withColumn("nav", F.lit(float(initial_nav)))
+        good = good.select(*keys, "date", "nav").unionByName(first.filter("nav > 0"))
     r = running(good, keys, ["date"], _year(), {"previous": ("last", "nav")}, exclusive=True)
     r = r.withColumn("r", F.col("nav") / F.col("previous") - 1.0)
     flow = r.groupBy(*keys).agg(
@@ -220,6 +230,14 @@ def across_symbols(results: DataFrame) -> DataFrame:
     )
 
 
+def metric_means(results: DataFrame, keys: Sequence[str] = ("symbol",), sums: Sequence[str] = ("orders", "blocked_orders", "steps")) -> DataFrame:
+    """The mean over symbols of every numeric column (a missing value counts as 0), sums of the counts, and the number of symbols."""
+    numeric = [n for n, t in results.dtypes if n not in (*keys, *sums) and (t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal"))]
+    return results.agg(
+        F.count("*").alias("symbols"), *[F.avg(F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(n) for n in numeric],
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in sums if n in results.columns])
+
+
 def walk_forward(dates: DataFrame, *, validation: int = 126, test: int = 252, embargo: int = 20, folds: int = 3) -> DataFrame:
     """Every trading date labelled train, validation, embargo, unused or test for every fold."""
     if validation <= 0 or test <= 0 or embargo < 0 or folds <= 0:

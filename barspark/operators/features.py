@@ -180,8 +180,9 @@ def _window_states(spec: FeatureSpec, w) -> dict[str, Column]:
     }
     for i in spec.active:
         if i.kind == "kd":
-            frame = tail(max(1, i.params["lookback"] - 1))
-            out |= {f"{i.id}__low": F.min("low").over(frame), f"{i.id}__high": F.max("high").over(frame)}
+            before = i.params["lookback"] - 1  # a window of one bar is the partial bar alone
+            for name, pick in (("low", F.min), ("high", F.max)):
+                out[f"{i.id}__{name}"] = pick(name).over(tail(before)) if before else F.lit(None).cast("double")
         if i.kind == "efi":
             out[f"{i.id}__absforce"] = F.avg(F.abs(f"{i.id}__force")).over(tail(i.params["baseline"]))
     return out

@@ -189,19 +189,29 @@ STEP_FLAGS = ("is_st", "market_can_buy", "market_can_sell", "is_tradeable", "is_
 STEP_NUMBERS = ("execution_price", "limit_reference_close", "limit_pct", "liquidity_volume", "liquidity_amount")
 
 
-def market_steps(rows: DataFrame, universe: Sequence[str]) -> DataFrame:
-    """One row per decision time and stage: an array over the universe in its given order.
+def universe_slots(universe: DataFrame) -> DataFrame:
+    """Symbols (``symbol``, and ``slot`` if the order is given) numbered from 0; without ``slot`` in order of the symbol."""
+    if "slot" in universe.columns:
+        return universe.select("symbol", F.col("slot").cast("int").alias("slot")).distinct()
+    # One row per symbol of the universe, whatever the number of bars.
+    return universe.select("symbol").distinct().withColumn("slot", F.row_number().over(Window.orderBy("symbol")) - 1)
 
-    Symbols without a decision are inactive with fixed defaults. A step's group holds at most one row
-    per universe symbol, and no product of steps and symbols is formed.
+
+def market_steps(rows: DataFrame, universe: DataFrame | Sequence[str]) -> DataFrame:
+    """One row per decision time, stage and (where rows have it) adjustment: an array over the universe in its order.
+
+    ``universe`` is a frame for ``universe_slots``, or symbols in the wanted order. Symbols without a decision are inactive with fixed
+    defaults. A step's group holds at most one row per universe symbol, no product of steps and symbols is formed, and the plan does not grow with
+    the universe: its symbols are one array in one row.
     """
+    if not isinstance(universe, DataFrame):
+        universe = rows.sparkSession.createDataFrame([(s, k) for k, s in enumerate(universe)], "symbol string, slot int")
+    slots = universe_slots(universe)
+    keys = ["decision_time", "stage", *[c for c in ("adjust",) if c in rows.columns]]
     fields = ["decision_id", *STEP_NUMBERS, *STEP_FLAGS]
     entry = F.struct(*[F.col(c) for c in fields], F.lit(True).alias("active"))
-    listed = rows.filter(F.col("symbol").isin(*universe))
-    steps = listed.groupBy("decision_time", "stage").agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", entry))).alias("_by_symbol"),
-        F.count("*").alias("active_symbols"),
-    )
+    steps = rows.join(slots, "symbol").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", entry))).alias("_by_slot"), F.count("*").alias("active_symbols"))
 
     def default(name: str) -> Column:
         kind = "string" if name == "decision_id" else "double" if name in STEP_NUMBERS else "boolean"
@@ -209,17 +219,16 @@ def market_steps(rows: DataFrame, universe: Sequence[str]) -> DataFrame:
         return F.lit(fallback).cast(kind).alias(name)
 
     absent = F.struct(*[default(n) for n in fields], F.lit(False).alias("active"))
-    slots = F.array(*[
-        F.struct(F.lit(s).alias("symbol"), F.coalesce(F.col("_by_symbol")[s], absent).alias("state")) for s in universe
-    ])
-    return steps.select("decision_time", "stage", "active_symbols", slots.alias("slots"))
+    order = slots.agg(F.array_sort(F.collect_list(F.struct("slot", "symbol"))).alias("_universe"))
+    filled = F.transform("_universe", lambda u: F.struct(
+        u["symbol"].alias("symbol"), F.coalesce(F.try_element_at("_by_slot", u["slot"]), absent).alias("state")))
+    return steps.crossJoin(F.broadcast(order)).select(*keys, "active_symbols", filled.alias("slots"))  # one row
 
 
 def step_rows(steps: DataFrame) -> DataFrame:
     """Market steps as one row per universe slot."""
-    return steps.select("decision_time", "stage", F.posexplode("slots").alias("slot", "s")).select(
-        "decision_time", "stage", "slot", F.col("s.symbol").alias("symbol"), F.col("s.state.*")
-    )
+    keys = [c for c in ("decision_time", "stage", "adjust") if c in steps.columns]
+    return steps.select(*keys, F.posexplode("slots").alias("slot", "s")).select(*keys, "slot", F.col("s.symbol").alias("symbol"), F.col("s.state.*"))
 
 
 def flat_training_rows(inputs: DataFrame, model: ModelInput) -> DataFrame:

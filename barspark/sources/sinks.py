@@ -6,9 +6,11 @@ a staged copy next to the table, so losing an executor or the driver leaves eith
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,23 +103,33 @@ def delete_facts(facts: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     return facts.join(whole, ["symbol"], "left_anti"), counts
 
 
-def export_market(bars: DataFrame, path: str, *, end: str | None = None, adjust: str | None = None, force: bool = False) -> bool:
+def export_market(bars: DataFrame, path: str, *, end: str | None = None, adjust: str | None = None, symbols: DataFrame | None = None,
+                  force: bool = False) -> bool:
     """Bars up to ``end`` as freq / adjust / symbol-bucket partitions; returns whether anything was written.
 
-    An existing export is kept unless ``force``; an export without rows still carries its schema.
+    An export is kept only if it was finished for the same ``end`` and ``adjust``, which ``path``.request tells, and no ``symbols`` (a frame) are
+    asked for; an export without rows still carries its schema. Months of a bucket are separate tasks, so a symbol with most bars is many.
     """
     from ..functions.scalars import range_filter, symbol_bucket
 
     spark = bars.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not force and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return False
+    asked = json.dumps({"end": end, "adjust": adjust})
+    if not force and symbols is None:
+        try:
+            if [r[0] for r in spark.read.text(f"{path}.request").collect()] == [asked]:
+                return False
+        except AnalysisException:
+            pass  # nothing was exported yet
     df = bars.filter(range_filter("datetime", None, end))
     if adjust is not None:
         df = df.filter(F.col("adjust") == adjust)
+    if symbols is not None:
+        df = df.join(symbols.select("symbol").distinct(), ["symbol"], "left_semi")
     df = df.withColumn("bucket", symbol_bucket("symbol", 100))
-    df.repartition("freq", "adjust", "bucket").sortWithinPartitions("symbol", "datetime").write.mode("overwrite").partitionBy(
-        "freq", "adjust", "bucket").parquet(path)
+    df.repartition("freq", "adjust", "bucket", F.trunc("datetime", "month")).sortWithinPartitions("freq", "adjust", "bucket", "symbol", "datetime").write.mode(
+        "overwrite").partitionBy("freq", "adjust", "bucket").parquet(path)
+    done = asked if symbols is None else json.dumps({"symbols": "some"})
+    spark.createDataFrame([(done,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.request")
     return True
 
 
