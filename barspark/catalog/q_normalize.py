@@ -245,7 +245,7 @@ def _(spark, sf):
 
 @query("last_page_of_bars", "A4 I22", with_inputs("bars", body=_PAGE.format(start="greatest(total_rows - 200, 0)", size=200)))
 def _(spark, sf):
-    return L.page(I.bars_5min(spark, sf).select("symbol", "datetime", "close"), ["symbol", "datetime"], limit=900, max_limit=200)
+    return L.page(I.bars_5min(spark, sf).select("symbol", "datetime", "close"), ["symbol", "datetime"], limit=200, max_limit=200)
 
 
 @query("preferred_adjustment", "F5", with_inputs("daily", body="""

@@ -11,11 +11,11 @@ from .features import display_lines, feature_frame, finish_features
 from .selection import last_rows
 
 
-def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = 4) -> DataFrame:
+def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = None) -> DataFrame:
     """Chart lines and clipped model fields of the last ``rows`` bars of each series.
 
-    ``warmup`` times the indicator's lookback of hidden earlier bars are computed and cut off;
-    ``None`` uses the whole history, so the values equal the stored features.
+    The whole history is used, so the values equal the stored features; with ``warmup`` only that many times the
+    indicator's lookback of hidden earlier bars are.
     """
     from dataclasses import replace
 

@@ -11,19 +11,19 @@ from ..functions.scalars import board_group, naive_micros
 from ..schema import SLICE
 from .series import running
 
-ADJUST_RANK = {"pre": 0, "none": 1}  # anything else comes last
-
 
 def canonical_order(bars: DataFrame) -> DataFrame:
     return bars.orderBy("symbol", "freq", "adjust", "datetime")
 
 
-def page(rows: DataFrame, order: Sequence[str], *, offset: int | None = None, limit: int = 500, max_limit: int = 5000) -> DataFrame:
-    """One page with the total count; ``offset=None`` is the last page.
+def page(rows: DataFrame, order: Sequence[str], *, offset: int | None = None, limit: int = 500, max_limit: int | None = None) -> DataFrame:
+    """One page with the total count; ``offset=None`` is the last page. A ``limit`` above ``max_limit`` is an error.
 
-    The total is a one-row aggregate joined to the at most ``max_limit`` rows of the page.
+    The total is a one-row aggregate joined to the rows of the page.
     """
-    size = max(1, min(limit, max_limit))
+    if max_limit is not None and limit > max_limit:
+        raise ValueError(f"a page has at most {max_limit} rows, asked for {limit}")
+    size = max(1, limit)
     total = rows.agg(F.count("*").alias("total_rows"))
     if offset is None:
         backwards = rows.orderBy(*[F.col(c).desc() for c in order]).limit(size)

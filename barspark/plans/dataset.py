@@ -131,11 +131,12 @@ PARTITIONS = {"market_bars": ["freq"], "market_features": ["freq"], "decision_in
 
 
 def write_dataset(ds: FeatureDataset, root: str, mode: str = "overwrite") -> None:
-    """Eight Parquet tables. Rows of one symbol and month land together, so symbol filters skip row groups."""
+    """Eight Parquet tables. Tasks are ranges of symbol and time, so symbol filters skip row groups and no symbol is one task."""
     for name, df in ds.tables.items():
         time = next((c for c in ("bar_datetime", "decision_time") if c in df.columns), None)
         if time and "symbol" in df.columns:
-            df = df.repartition("symbol", F.trunc(F.to_date(time), "month")).sortWithinPartitions("symbol", time)
+            order = [*PARTITIONS.get(name, []), "symbol", time]
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         writer = df.write.mode(mode)
         if name in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[name])

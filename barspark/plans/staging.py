@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder under the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

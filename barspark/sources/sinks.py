@@ -51,8 +51,8 @@ def with_month(bars: DataFrame) -> DataFrame:
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Bars partitioned by frequency, adjustment and month, sorted so that symbol filters skip row groups."""
-    df = with_month(bars).repartition(*BAR_PARTITIONS, F.pmod(F.xxhash64("symbol"), F.lit(16)))
-    df.sortWithinPartitions("symbol", "datetime").write.mode(mode).partitionBy(*BAR_PARTITIONS).parquet(path)
+    order = [*BAR_PARTITIONS, "symbol", "datetime"]  # ranges of rows, so a symbol with most bars is many tasks
+    with_month(bars).repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(*BAR_PARTITIONS).parquet(path)
 
 
 def save_bars(spark: SparkSession, path: str, incoming: DataFrame, *, sequence: str) -> None:
@@ -108,7 +108,7 @@ def export_market(bars: DataFrame, path: str, *, end: str | None = None, adjust:
     """Bars up to ``end`` as freq / adjust / symbol-bucket partitions; returns whether anything was written.
 
     An export is kept only if it was finished for the same ``end`` and ``adjust``, which ``path``.request tells, and no ``symbols`` (a frame) are
-    asked for; an export without rows still carries its schema. Months of a bucket are separate tasks, so a symbol with most bars is many.
+    asked for; an export without rows still carries its schema. Tasks are ranges of rows, so a symbol with most bars is many.
     """
     from ..functions.scalars import range_filter, symbol_bucket
 
@@ -126,8 +126,8 @@ def export_market(bars: DataFrame, path: str, *, end: str | None = None, adjust:
     if symbols is not None:
         df = df.join(symbols.select("symbol").distinct(), ["symbol"], "left_semi")
     df = df.withColumn("bucket", symbol_bucket("symbol", 100))
-    df.repartition("freq", "adjust", "bucket", F.trunc("datetime", "month")).sortWithinPartitions("freq", "adjust", "bucket", "symbol", "datetime").write.mode(
-        "overwrite").partitionBy("freq", "adjust", "bucket").parquet(path)
+    order = ["freq", "adjust", "bucket", "symbol", "datetime"]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("freq", "adjust", "bucket").parquet(path)
     done = asked if symbols is None else json.dumps({"symbols": "some"})
     spark.createDataFrame([(done,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.request")
     return True
