@@ -9,6 +9,9 @@ and still exact.
 An average of an average needs no second pass: for different decays it is a fixed
 combination of two plain averages of the input, for equal decays it needs the sum weighted
 by distance as well.
+
+That holds for inputs without NULLs. ``with_gap_emas`` is for the others: after k rows since the last value the old average
+weighs ``p^k / (p^k + alpha)``, a NULL keeps it, and leading NULLs have none.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import BLOCK_ROWS, blocks
+from .series import BLOCK_ROWS, blocks, running
 
 UNDERFLOW = 762.0  # ln of 2^1100: beyond this a weight leaves the range of a double
 SUPER_BLOCK = 4096
@@ -153,3 +156,67 @@ def _fold_pairs(pairs: Column, q: float, size: float) -> Column:
             (acc["z"] * q + x["z"]).alias("z"), ((acc["g"] + acc["z"] * size) * q + x["g"]).alias("g")
         ),
     )
+
+
+def with_gap_emas(df: DataFrame, keys: Sequence[str], emas: Iterable[Ema], *, rn: str = "rn", size: int = BLOCK_ROWS) -> DataFrame:
+    """``with_emas`` for inputs with NULLs; ``<out>__before`` is the average one row earlier.
+
+    Every row is an affine step of the average, so a block is one too and only its two numbers go on to later blocks. An average of an
+    average is a second scan over the first one's result. Blocks further back than the plain averages look are left out: they matter only
+    if that many blocks in a row hold hardly any value."""
+    emas, keys = list(emas), list(keys)
+    firsts = {(e.x, e.alpha) for e in emas}
+    names = {(x, a): f"_g{i}" for i, (x, a) in enumerate(sorted(firsts))}
+    df = _gap_scan(df, keys, names, rn, size)
+    seconds = {(names[e.x, e.alpha], e.then) for e in emas if e.then is not None}
+    more = {(x, a): f"_h{i}" for i, (x, a) in enumerate(sorted(seconds))}
+    if more:
+        df = _gap_scan(df, keys, more, rn, size)
+    final = {e.out: names[e.x, e.alpha] if e.then is None else more[names[e.x, e.alpha], e.then] for e in emas}
+    df = df.withColumns({f"{out}{part}": F.col(f"{name}{part}") for out, name in final.items() for part in ("", "__before")})
+    return df.drop(*[f"{n}{part}" for n in (*names.values(), *more.values()) for part in ("", "__before")])
+
+
+def _gap_scan(df: DataFrame, keys: list[str], outs: dict[tuple[str, float], str], rn: str, size: int) -> DataFrame:
+    inputs = sorted({x for x, _ in outs})
+    last = {x: f"_last{i}" for i, x in enumerate(inputs)}
+    held = df.groupBy(*keys, "_blk").agg(*[F.max(F.when(F.col("_core") & F.col(x).isNotNull(), F.col(rn))).alias(n) for x, n in last.items()])
+    chunk = F.floor(F.col("_blk") / SUPER_BLOCK)
+    held = running(held, keys, ["_blk"], chunk, {f"{n}_before": ("max", n) for n in last.values()}, exclusive=True).drop(*last.values())
+    inside = Window.partitionBy(*keys, "_blk").orderBy(rn)
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(held, [*keys, "_blk"])
+
+    def own(x: str) -> Column:
+        return F.col("_core") & F.col(x).isNotNull()
+
+    seen = {n: F.coalesce(F.last(F.when(own(x), F.col(rn)), ignorenulls=True).over(earlier), F.col(f"{n}_before")) for x, n in last.items()}
+    df = df.withColumns(seen)
+    steps = {}
+    for (x, a), out in outs.items():
+        old = F.exp((F.col(rn) - F.col(last[x])) * math.log1p(-a)) if a < 1 else F.lit(0.0)
+        first = F.col(last[x]).isNull()
+        # The log of the old average's weight; below e^-60 it is not seen in a double.
+        steps[f"{out}_l"] = F.when(own(x) & ~first, F.least(F.log(old + a) - F.coalesce(F.log(old), F.lit(-1000.0)), F.lit(60.0))).otherwise(0.0)
+        steps[f"{out}_b"] = F.when(own(x), F.when(first, F.col(x)).otherwise(F.col(x) * a / (old + a))).otherwise(0.0)
+    df = df.withColumns(steps)
+    df = df.withColumns({f"{out}_d": F.sum(f"{out}_l").over(upto) for out in outs.values()})
+    df = df.withColumns({f"{out}_s": F.sum(F.col(f"{out}_b") * F.exp(f"{out}_d")).over(upto) for out in outs.values()})
+    ends = df.groupBy(*keys, "_blk").agg(*[
+        F.max_by(F.struct(F.exp(-F.col(f"{out}_d")).alias("r"), (F.col(f"{out}_s") * F.exp(-F.col(f"{out}_d"))).alias("z")), F.when(F.col("_core"), F.col(rn))).alias(out)
+        for out in outs.values()])
+    reach = {out: max(1, math.ceil(UNDERFLOW / (size * -math.log1p(-a)))) if a < 1 else 1 for (_, a), out in outs.items()}
+    table = blocks(ends.withColumnRenamed("_blk", "_b").withColumn("_rn", F.col("_b") + 1), rn="_rn", size=SUPER_BLOCK, halo=max(reach.values()))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_rn")
+    carry = {f"{out}_c": F.aggregate(F.collect_list(out).over(w.rowsBetween(-reach[out], -1)), F.lit(0.0), lambda acc, e: acc * e["r"] + e["z"]) for out in outs.values()}
+    carries = table.withColumns(carry).filter("_core").select(*keys, F.col("_b").alias("_blk"), *carry)
+    df = df.join(carries, [*keys, "_blk"])
+    result = {}
+    for (x, _), out in outs.items():
+        s, d, c = (F.col(f"{out}_{k}") for k in "sdc")
+        known = F.col(last[x]).isNotNull()
+        lagged = (F.coalesce(F.lag(s).over(inside), F.lit(0.0)) + c) * F.exp(-F.coalesce(F.lag(d).over(inside), F.lit(0.0)))
+        result[out] = F.when(F.col("_core") & (known | own(x)), (s + c) * F.exp(-d))
+        result[f"{out}__before"] = F.when(F.col("_core") & known, lagged)
+    df = df.withColumns(result)
+    return df.drop(*[f"{o}_{k}" for o in outs.values() for k in "lbdsc"], *last.values(), *[f"{n}_before" for n in last.values()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, frequency_name, lookup, safe_div, safe_div_fill, usable
 from ..plans.registry import DEFAULT_SPEC, FeatureSpec, Indicator
 from ..schema import FREQUENCIES, SLICE
-from .ema import Ema, span, with_emas
+from .ema import Ema, span, with_emas, with_gap_emas
 from .series import BLOCK_ROWS, block_window, blocks, core_rows, running, time_chunk
 
 META = ("symbol", "datetime", "freq", "adjust")
@@ -85,7 +85,7 @@ def indicator_inputs(item: Indicator, w) -> dict[str, Column]:
         return {f"{item.id}__rsv": clip(safe_div_fill(F.col("close") - low, high - low, 0.5), 0.0, 1.0)}
     if item.kind == "efi":
         force = (F.col("close") - usable("prev_close", "close")) * F.col("volume")
-        return {f"{item.id}__force": F.when(F.col("rn") == 1, F.lit(0.0)).otherwise(force)}
+        return {f"{item.id}__force": F.when((F.col("rn") == 1) & F.col("close").isNotNull(), F.lit(0.0)).otherwise(force)}
     return {}
 
 
@@ -120,8 +120,16 @@ def halo_rows(spec: FeatureSpec) -> int:
     return max(looks) + 2
 
 
-def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states: bool = False, size: int = BLOCK_ROWS) -> DataFrame:
-    """Numbered bars with raw features, one row per bar; ``states`` adds what a partial bar needs later."""
+def has_gaps(bars: DataFrame) -> bool:
+    """Whether a price is missing anywhere; reads three columns until one is."""
+    return not prepare_bars(bars).filter("close IS NULL OR high IS NULL OR low IS NULL").isEmpty()
+
+
+def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states: bool = False, size: int = BLOCK_ROWS, gaps: bool | None = None) -> DataFrame:
+    """Numbered bars with raw features, one row per bar; ``states`` adds what a partial bar needs later.
+
+    ``gaps`` says whether prices may be missing, which takes a longer plan; None looks."""
+    gaps = has_gaps(bars) if gaps is None else gaps
     cut = blocks(numbered_bars(prepare_bars(bars)), size=size, halo=halo_rows(spec))
     w = block_window(SLICE)
     last20, prior20 = w.rowsBetween(-19, 0), w.rowsBetween(-20, -1)
@@ -156,7 +164,7 @@ def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states:
     if states:
         df = df.withColumns(_window_states(spec, w))
 
-    df = with_emas(df, SLICE, [e for i in spec.active for e in indicator_emas(i)], size=size)
+    df = (with_gap_emas if gaps else with_emas)(df, SLICE, [e for i in spec.active for e in indicator_emas(i)], size=size)
     return df.withColumns({
         f"{i.id}__dea": F.col(f"{i.id}__dea_fast") - F.col(f"{i.id}__dea_slow")
         for i in spec.active if i.kind == "macd"
@@ -212,9 +220,9 @@ def model_fields(df: DataFrame, spec: FeatureSpec, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.expr(e) for e in bounded])
 
 
-def bar_features(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, size: int = BLOCK_ROWS) -> DataFrame:
+def bar_features(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, size: int = BLOCK_ROWS, gaps: bool | None = None) -> DataFrame:
     """The model features of every bar of every slice."""
-    return finish_features(feature_frame(bars, spec, size=size), spec)
+    return finish_features(feature_frame(bars, spec, size=size, gaps=gaps), spec)
 
 
 def finish_features(frame: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *keep: str) -> DataFrame:
@@ -222,12 +230,15 @@ def finish_features(frame: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *keep: s
     fields: dict[str, Column] = {"pctChg": F.col("pct"), **availability(F.col("rn"), spec)}
     for item in spec.active:
         base = F.col(f"{item.id}__base") if item.kind == "efi" else None
-        mid = _previous_middle(item) if item.kind == "ema_channel" else None
+        mid = _previous_middle(item, frame) if item.kind == "ema_channel" else None
         fields |= {n: active_at(item, c) for n, c in indicator_fields(item, base, mid).items()}
     return model_fields(frame.filter("_core").withColumns(fields), spec, *META, *keep)
 
 
-def _previous_middle(item: Indicator) -> Column:
+def _previous_middle(item: Indicator, frame: DataFrame) -> Column:
+    if f"{item.id}__fast__before" in frame.columns:
+        return (F.col(f"{item.id}__fast__before") + F.col(f"{item.id}__slow__before")) / 2.0
+
     def before(part: str, n: int) -> Column:
         a = span(n)
         return F.col("prev_close") if a == 1.0 else (F.col(f"{item.id}__{part}") - F.col("close") * a) / (1.0 - a)

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barspark.catalog import inputs
-from barspark.operators.ema import Ema, span, with_emas
+from barspark.operators.ema import Ema, span, with_emas, with_gap_emas
 from barspark.operators.features import bar_features
 from barspark.operators.series import blocks, number_rows, time_chunk
 from barspark.plans.registry import DEFAULT_SPEC
@@ -39,3 +40,32 @@ def test_average_of_average_for_equal_and_different_decays(spark, sf):
         np.testing.assert_allclose(g["slow"], e(c, 2 / 501), rtol=1e-10)
         np.testing.assert_allclose(g["id"], c)
         np.testing.assert_allclose(g["half"], e(c, 2 / 6), rtol=1e-10)
+
+
+def test_averages_over_missing_values(spark, sf):
+    """NULLs first, alone, in runs, over block edges and over whole blocks; also an average of an average."""
+    bars = number_rows(inputs.bars_5min(spark, sf).select("symbol", "freq", "adjust", "datetime", "close"), SLICE, ["datetime"], time_chunk())
+    missing = F.col("rn").isin(1, 2, 9, 16, 17, 31, 32, 33) | F.col("rn").between(60, 105) | (F.pmod("rn", F.lit(7)) == 3)
+    cut = blocks(bars.withColumn("close", F.when(~missing, F.col("close"))), size=16, halo=3)
+    emas = [Ema("plain", "close", span(12)), Ema("slow", "close", span(100)), Ema("same", "close", 1 / 3, 1 / 3), Ema("diff", "close", span(12), span(9)), Ema("fast", "close", 2 / 3)]
+    out = with_gap_emas(cut, SLICE, emas, size=16).filter("_core").toPandas().sort_values(["symbol", "datetime"])
+    e = lambda s, a: s.ewm(alpha=a, adjust=False).mean()
+    for _, g in out.groupby("symbol"):
+        c = g["close"]
+        want = {"plain": e(c, 2 / 13), "slow": e(c, 2 / 101), "same": e(e(c, 1 / 3), 1 / 3), "diff": e(e(c, 2 / 13), 0.2), "fast": e(c, 2 / 3)}
+        for name, w in want.items():
+            np.testing.assert_allclose(g[name], w, rtol=1e-9, err_msg=name)
+            np.testing.assert_allclose(g[f"{name}__before"], w.shift(1), rtol=1e-9, err_msg=name)
+
+
+@pytest.mark.parametrize("size", [32, 512])
+def test_features_over_missing_closes_match_pandas(spark, sf, size):
+    bars = number_rows(inputs.bars_5min(spark, sf), SLICE, ["datetime"], time_chunk())
+    bars = bars.withColumn("close", F.when(~(F.col("rn").isin(5, 31, 32, 33, 70) | F.col("rn").between(40, 44)), F.col("close"))).drop("rn")
+    got = bar_features(bars, size=size).toPandas().sort_values(["symbol", "datetime"]).reset_index(drop=True)
+    src = bars.toPandas().sort_values(["symbol", "datetime"]).reset_index(drop=True)
+    want = src.groupby("symbol", group_keys=False)[src.columns.tolist()].apply(lambda g: pandas_features(g, 96))
+    for name, (lo, hi) in DEFAULT_SPEC.market_clip.items():
+        if name.startswith(("macd", "kd", "efi", "ema_channel")):
+            expected = want[name].clip(lo, hi).replace([np.inf, -np.inf], np.nan).fillna(0.0)
+            np.testing.assert_allclose(got[name], expected, rtol=1e-7, atol=1e-8, err_msg=name)
