@@ -36,7 +36,7 @@ BITS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = (1 << 60) - 1
 GROUP = 256
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 FILE = "shard int, block int, first bigint, n_ids bigint, payload binary"
 
 
@@ -66,7 +66,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = widest <= WIDTHS.index(BITS[s])
         if span < COUNTS[s] or not fits.any():  # then no longer run fits fewer bits
             break
-        choice[: len(widest)][fits] = s
+        np.copyto(choice[: len(widest)], s, where=fits)
     jump, at, i = np.array(COUNTS)[choice].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -77,8 +77,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(selector):
         if BITS[s]:
             which = np.flatnonzero(selector == s)
+            first, packed = at[which], words[which]
             for k in range(COUNTS[s]):
-                words[which] |= ids[at[which] + k] << np.uint64(4 + k * BITS[s])
+                packed |= ids[first + k] << np.uint64(4 + k * BITS[s])
+            words[which] = packed
     return words, escaped
 
 
@@ -90,8 +92,9 @@ def unpack(words: np.ndarray, escaped: np.ndarray) -> np.ndarray:
     for s in np.unique(selector):
         if BITS[s]:
             which = np.flatnonzero(selector == s)
+            first, packed = at[which], words[which] >> np.uint64(4)
             for k in range(COUNTS[s]):
-                out[at[which] + k] = (words[which] >> np.uint64(4 + k * BITS[s])) & np.uint64((1 << BITS[s]) - 1)
+                out[first + k] = packed >> np.uint64(k * BITS[s]) & np.uint64((1 << BITS[s]) - 1)
     out[out == ESCAPE] = escaped
     return out
 
@@ -154,38 +157,46 @@ class Encoder:
             known.clear()
             new = list(pieces)
         other, model = [], self.tokenizer.model.tokenize
+        lead = before.translate(self.names)
         for p in new:
-            if m := self.plain(p):
-                word = before + m[1]
-                known[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) + self.marks[m[2]] if (
-                    t := model(word.encode().decode("latin-1").translate(self.names))) else b""
+            if p.isascii():
+                mark = p[-1] if p[-1] in ".," else ""
+                word = p[:-1] if mark else p
+                if not word.isalpha():
+                    other.append(p)
+                    continue
+            elif m := self.plain(p):
+                word, mark = m[1].encode().decode("latin-1").translate(self.names), m[2]
             else:
                 other.append(p)
+                continue
+            ids = [x.id for x in model(lead + word)]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids) + self.marks[mark]
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
 
-    def _known(self, pieces: list[str]) -> bytes:
-        return self.first[pieces[0]] + b"".join([self.rest[p] for p in pieces[1:]])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        new = []
+        holes = []
         for i, t in enumerate(texts):
             pieces = t.split(" ")
-            try:
-                out[i] = self._known(pieces)
-            except KeyError:
-                new.append((i, pieces))
-        self._learn(self.first, {p[0] for _, p in new}, "")
-        self._learn(self.rest, {x for _, p in new for x in p[1:]}, " ")
-        for i, pieces in new:
-            try:
-                out[i] = self._known(pieces)
-            except KeyError:  # white space beside a space, or an empty text
+            ids = list(map(self.rest.get, pieces))
+            ids[0] = self.first.get(pieces[0])
+            if None in ids:
+                holes.append((i, pieces, ids, [k for k, x in enumerate(ids) if x is None]))
+            else:
+                out[i] = b"".join(ids)
+        self._learn(self.first, {p[0] for _, p, _, k in holes if k[0] == 0}, "")
+        self._learn(self.rest, {p[x] for _, p, _, k in holes for x in k if x}, " ")
+        for i, pieces, ids, missing in holes:
+            for k in missing:
+                ids[k] = (self.rest if k else self.first).get(pieces[k])
+            if None in ids:  # white space beside a space, or an empty text
                 cut = self.cut.split(texts[i])
-                out[i] = b"".join([self._ids(c) if k == 0 or (ids := self.rest.get(c[1:])) is None else ids for k, c in enumerate(cut)])
+                ids = [self._ids(c) if k == 0 or (known := self.rest.get(c[1:])) is None else known for k, c in enumerate(cut)]
+            out[i] = b"".join(ids)
         return out
 
 
