@@ -182,27 +182,32 @@ def learn_rules(rows: DataFrame, features: list[str], target: str = "bad", bins:
     return rules
 
 
-def learned(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **how) -> list[Rule]:
-    """Rules from the labelled documents that pass the base rule."""
+def learned(features: DataFrame, labels: DataFrame, label_col: str = "quality", **how) -> list[Rule]:
+    """Rules from the labelled documents that pass the base rule. ``features`` is a written table: only its counts meet the labels, not texts."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg((F.min(label_col) == 0).alias("bad"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")
-    # Filtered only after it is written: a filter pushed below the features would compute all of them again.
-    known = staged(text_features(rows, carry=("bad",)).select("doc_id", "bad", "base_failed", *FEATURES), "quality-labelled")
-    return learn_rules(known.where("not base_failed"), list(FEATURES), **how)
+    known = features.where("not base_failed").select("doc_id", *FEATURES).join(marked, "doc_id")
+    return learn_rules(staged(known, "quality-labelled"), list(FEATURES), **how)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> tuple[DataFrame, list[Rule]]:
+def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> tuple[DataFrame, list[Rule]]:
     """Every document's counts with ``base_failed``, ``rule`` (the number of the rule that rejects it) and ``kept``; and the rules."""
-    rules = learned(docs, labels, **how)
-    out = text_features(docs, carry=carry).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+    features = staged(text_features(docs), "quality-features")
+    rules = learned(features, labels, **how)
+    return _judged(features, rules), rules
+
+
+def _judged(features: DataFrame, rules: list[Rule]) -> DataFrame:
+    out = features.withColumn("rule", verdict(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the documents that are kept, whole."""
+    # Rows are judged where they are: texts are read twice but never shuffled, and repeated ids need no telling apart.
     names = {c: f"__own_{c}" for c in docs.columns}
     own = docs.withColumns({n: F.col(c) for c, n in names.items()})
-    out, _ = quality_rules(own, labels, carry=tuple(names.values()))
+    _, rules = quality_rules(docs, labels)
+    out = _judged(text_features(own, carry=tuple(names.values())), rules)
     # The row number keeps the filter above the features, which would be computed again inside it.
     out = out.withColumn("__row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__row") >= 0))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
