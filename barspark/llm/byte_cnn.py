@@ -11,12 +11,14 @@ gives an empty result; without labels of both classes the score is the share of
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import table
+from .files import sampled, table
 from .registry import query
 from .text import bytes_of, chunks, ramp
 
@@ -153,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     """A network fitted on a bounded sample of the labelled documents outside the held-out fold, or the share of label 1."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     known = marks.where(~held_out()).withColumn("h", F.xxhash64("doc_id"))
-    chosen = known.where("label = 0").orderBy("h").limit(sample).unionAll(known.where("label = 1").orderBy("h").limit(sample))  # at most 2 x sample ids
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = reduce(DataFrame.unionAll, [sampled(known.where(F.col("label") == v), sample, n.get(v, 0), "doc_id") for v in (0, 1)])  # at most 2 x sample ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("h").limit(2 * sample).collect()
     y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:

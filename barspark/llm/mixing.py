@@ -3,9 +3,10 @@
 A classifier fitted on labelled rows (documents whose domain is known; a bounded sample of ``SAMPLE`` for each domain) gives every document posteriors over
 the domains from its hashed byte trigrams. Document rates r >= 0 then solve the least squares
 
-    minimise  1/2 |sum_d r_d n_d p_d / N - T / N|^2   from r = 1
+    minimise  1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / N_k   from r = 1, where N_k are the domain's tokens now
 
-by projected gradient in the metric that weighs documents by their tokens, with Nesterov's momentum: r_d <- max(0, r_d - step * p_d . residual). A step
+by projected gradient in the metric that weighs documents by their tokens: r_d <- max(0, r_d - step * sum_k p_dk (total_k - T_k) / N_k). The scales
+N_k make the curvature nearly equal in all directions, so few steps are needed; Nesterov's momentum follows the curvature that is left. A step
 needs one sum over all documents of as many numbers as there are domains, and a document's rate is a function of its posteriors and the
 past residuals, so nothing is collected per document; the table is written anew every ``REWRITE`` steps to keep that function short.
 
@@ -16,12 +17,14 @@ one. An empty table gives an empty result; with fewer than two known domains eve
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import staged, table
+from .files import sampled, staged, table
 from .registry import query
 from .text import bytes_of, chunks
 
@@ -93,13 +96,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sam
     A document is labelled if ``labels`` has its id; its domain is then taken from the table."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("text_hash"), F.col(domain_col).cast("string").alias("domain"))
     known = d.join(labels.select("doc_id").distinct(), "doc_id").where(F.col("domain").isNotNull())
-    names = sorted(r[0] for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect())
+    many = {r["domain"]: r["count"] for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()}
+    names = sorted(many)
     if len(names) < 2:
         return d.select("doc_id", "text_hash", F.lit(0).cast("bigint").alias("n_tokens"), F.array(F.lit(1.0)).alias("p")), names
-    place = F.xxhash64("doc_id", F.lit("mix"))
-    rows = []
-    for name in names:
-        rows += known.where(F.col("domain") == name).select("text", "domain", place.alias("h")).orderBy("h").limit(sample).collect()
+    narrow = known.select("doc_id", "domain", F.xxhash64("doc_id", F.lit("mix")).alias("h"))
+    chosen = [sampled(narrow.where(F.col("domain") == name), sample, many[name], "doc_id") for name in names]  # at most ``sample`` ids of each domain
+    rows = d.select("doc_id", "text").join(reduce(DataFrame.unionAll, chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("h", "doc_id").collect()
     texts = [(r["text"] or "").encode() for r in rows]
     x = features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
     model = Classifier(x, np.array([names.index(r["domain"]) for r in rows]), len(names))
@@ -107,16 +110,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sam
     return d.select("doc_id", "text", "text_hash").mapInArrow(lambda b: _posteriors(b, shared), "doc_id bigint, text_hash bigint, n_tokens bigint, p array<double>"), names
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None = None, temperature: float = TEMPERATURE) -> tuple[DataFrame, list[float]]:
-    """``members`` (n_tokens, p) with ``rate``, and the token totals that were asked for.
+def fit_rates(members: DataFrame, k: int, targets: list[float] | None = None, temperature: float = TEMPERATURE) -> tuple[DataFrame, list[float]]:
+    """``members`` (n_tokens, p of ``k`` domains) with ``rate``, and the token totals that were asked for.
 
     Without targets, the weights are the domains' shares to the power ``temperature``, scaled so that the domain which
     loses most keeps its total, and no rate is below 1: nothing has to be thrown away."""
-    k = members.select(F.max(F.size("p"))).first()[0] or 0
     p = [F.element_at("p", i + 1) for i in range(k)]
     n = F.col("n_tokens").cast("double")
     m = staged(members.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0)), "rates")
-    have = np.array([x or 0.0 for x in m.agg(*[F.sum(n * c) for c in p]).first()]) if k else np.zeros(0)
+    sums = [F.sum(n * c) for c in p] + [F.sum(n * a * b) for a in p for b in p]
+    got = np.array([x or 0.0 for x in m.agg(*sums).first()]) if k else np.zeros(0)
+    have, gram = got[:k], got[k:].reshape(k, k)
     total = have.sum()
     if k < 2 or total <= 0:
         return m.drop("ahead"), have.tolist()
@@ -127,21 +131,23 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, temperatur
         w /= w.sum()
         targets = (w * (have[have > 0] / w[have > 0]).max()).tolist()
     want = np.array(targets, float)
-    gram = np.array([x or 0.0 for x in m.agg(*[F.sum(n * a * b) / total for a in p for b in p]).first()]).reshape(k, k)
-    step = 1 / max(1e-12, float(np.linalg.eigvalsh(gram)[-1]))
-    pending, momentum = [], 1.0
-    for i in range(STEPS):
-        expr = m.select(*[c for c in m.columns if c not in ("rate", "ahead")], *_replay(pending, least))
-        got = np.array([x or 0.0 for x in expr.agg(*[F.sum(n * F.col("ahead") * c) for c in p]).first()])
-        residual = (got - want) / total
-        done = np.abs(residual).max() < TOLERANCE
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        pending.append((residual * step, (momentum - 1) / after))
-        momentum = after
+    scale = np.maximum(have, 1e-9 * total)
+    curve = np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale)))
+    step = 1 / max(1e-12, float(curve[-1]))
+    flat = np.sqrt(max(curve[curve > 1e-6].min() * step, 0.0)) if (curve > 1e-6).any() else 1.0
+    momentum = (1 - flat) / (1 + flat)
+    pending, now, last = [], have, None
+    for _ in range(STEPS):
+        residual = (now - want) / scale
+        still = last is not None and np.abs(now - last).max() < TOLERANCE / 10 * total  # the bound keeps it from the targets
+        done, last = still or np.abs(now - want).max() < TOLERANCE * total, now
+        pending.append((residual * step, momentum))
         if done or len(pending) == REWRITE:
             m, pending = staged(m.select(*[c for c in m.columns if c not in ("rate", "ahead")], *_replay(pending, least)), "rates"), []
         if done:
             break
+        ahead = m.select("n_tokens", "p", *_replay(pending, least))
+        now = np.array([x or 0.0 for x in ahead.agg(*[F.sum(n * F.col("ahead") * c) for c in p]).first()])
     if pending:
         m = staged(m.select(*[c for c in m.columns if c not in ("rate", "ahead")], *_replay(pending, least)), "rates")
     return m.drop("ahead"), want.tolist()
@@ -171,7 +177,7 @@ def copies(rate, key):
 def mix(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", targets: list[float] | None = None) -> tuple[DataFrame, list[str], list[float]]:
     """Per document: doc_id, text_hash, n_tokens, p, rate, copies; the domains; the targets."""
     members, names = posteriors(docs, labels, domain_col)
-    rates, want = fit_rates(members, targets)
+    rates, want = fit_rates(members, max(1, len(names)), targets)
     return rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), names, want
 
 
