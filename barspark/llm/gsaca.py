@@ -25,45 +25,53 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     below = [-1, *range(len(members) - 1)]
     free = list(range(-1, n))  # free[i + 1]: a place at or before i from which to look for one that is in no finished group
     prev = [-1] * n
+    size = [len(m) for m in members]  # of those still in the group
     g, finished = len(members) - 1, []
     while g >= 0:
-        mine = [i for i in members[g] if group[i] == g]
-        if mine:
+        left = size[g]
+        if left:
+            mine = members[g]
+            if left < len(mine):
+                mine = [i for i in mine if group[i] == g]
             finished.append(mine)
             for i in mine:
                 free[i + 1] = i - 1
-            count: dict[int, int] = {}
-            for i in mine:
+            if left == 1:
+                i = mine[0]
                 p = free[i + 1]
-                while free[p + 1] != p:
-                    free[i + 1] = p = free[p + 1]
-                prev[i] = p
-                if p >= 0:
-                    count[p] = count.get(p, 0) + 1
-            if count:
-                if len(count) == 1:
-                    p = next(iter(count))
-                    moves = {(group[p], 0): [p]}
-                else:
-                    moves = {}
-                    for p, k in count.items():
-                        key = (group[p], k)
-                        if key in moves:
-                            moves[key].append(p)
-                        else:
-                            moves[key] = [p]
-                    if len(moves) > 1:
-                        moves = dict(sorted(moves.items(), reverse=True))
-                for (h, _), moved in moves.items():  # more pointers first: each later one goes between the group and it
-                    new = len(members)
-                    members.append(moved)
-                    for p in moved:
-                        group[p] = new
-                    up = above[h]
-                    above.append(up)
-                    below.append(h)
-                    above[h] = new
-                    below[up] = new
+                while (q := free[p + 1]) != p:
+                    p = q
+                free[i + 1] = prev[i] = p
+                moves = (((group[p], 1), (p,)),) if p >= 0 and size[group[p]] > 1 else ()
+            else:
+                count: dict[int, int] = {}
+                for i in mine:
+                    p = free[i + 1]
+                    while (q := free[p + 1]) != p:
+                        p = q
+                    free[i + 1] = prev[i] = p
+                    if p >= 0:
+                        count[p] = count.get(p, 0) + 1
+                by: dict[tuple[int, int], list[int]] = {}
+                for p, k in count.items():
+                    if size[h := group[p]] > 1:
+                        by.setdefault((h, k), []).append(p)
+                moves = sorted(by.items(), reverse=True) if len(by) > 1 else by.items()
+            for (h, _), moved in moves:  # more pointers first: each later one goes between the group and it
+                n_moved = len(moved)
+                if n_moved == size[h]:
+                    continue  # all that is left of the group
+                size[h] -= n_moved
+                new = len(members)
+                members.append(moved)
+                size.append(n_moved)
+                for p in moved:
+                    group[p] = new
+                up = above[h]
+                above.append(up)
+                below.append(h)
+                above[h] = new
+                below[up] = new
         g = below[g]
     start = [0] * len(members)
     at = 0

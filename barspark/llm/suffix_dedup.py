@@ -19,9 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Blocks, by_bucket, heard_keys, member, runs, say_keys, shared_keys
+from .blocks import Blocks, by_bucket, heard_keys, member, runs, say_keys, shared_keys, short
 from .files import table
 from .gsaca import suffix_array
 from .registry import query
@@ -33,11 +34,27 @@ ANCHOR = 20
 SIDE = LENGTH - ANCHOR
 CELL = LENGTH + SIDE
 PIECE = 1 << 18  # bytes that are worked on together
-SORTED = 1 << 20  # symbols of one suffix array
+SORTED = 1 << 19  # symbols of one suffix array
 _LEFT = np.uint64(0xA24BAED4963EE407)
 _ENTRY = np.dtype([("anchor", "<u8"), ("cell", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("text", "u1", (CELL,))])
 
 
+def squeeze(cells: np.ndarray) -> bytes:
+    """Cells column by column; hashes as they are, the rest compressed."""
+    rest = cells["doc"].tobytes() + cells["left"].tobytes() + cells["right"].tobytes() + cells["text"].tobytes()
+    return cells["anchor"].tobytes() + cells["cell"].tobytes() + zstandard.ZstdCompressor(level=1).compress(rest) + len(cells).to_bytes(4, "little")
+
+
+def expand(data: np.ndarray) -> np.ndarray:
+    n = int.from_bytes(data[-4:].tobytes(), "little")
+    out = np.zeros(n, _ENTRY)
+    out["anchor"], out["cell"] = data[: 8 * n].view("<u8"), data[8 * n : 16 * n].view("<u8")
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[16 * n : -4].tobytes()), np.uint8)
+    out["doc"], out["left"], out["right"] = rest[: 8 * n].view("<i8"), rest[8 * n : 9 * n], rest[9 * n : 10 * n]
+    out["text"] = rest[10 * n :].reshape(n, CELL)
+    return out
+
+
 class Anchors:
     """Anchors of some documents and their cells."""
 
@@ -89,7 +106,7 @@ def shared_anchors(docs: pa.Table, told):
     heard = heard_keys(told)
     for i, j, data, starts in pieces(docs):
         a = Anchors(data, starts)
-        yield i, j, data, starts, a.only(member(a.hash & ~np.uint64(1), heard))
+        yield i, j, data, starts, a.only(member(short(a.hash), heard))
 
 
 def smallest(cells: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +142,7 @@ def _say_cells(block, docs, told, buckets):
         every = np.concatenate(parts)
         every = every[smallest(every["cell"], every["doc"])[2]]
         for bucket, idx in by_bucket(every["anchor"], buckets):
-            yield bucket, every[idx].tobytes()
+            yield bucket, squeeze(every[idx])
 
 
 def string_owners(cells: np.ndarray) -> np.ndarray:
@@ -175,7 +192,7 @@ def string_owners(cells: np.ndarray) -> np.ndarray:
 
 def _hear_cells(blocks, data):
     """To each block, for its cells: the strings that a smaller document has (bit j: the one that starts j bytes before the anchor)."""
-    sent = [x.view(_ENTRY) for x in data]
+    sent = [expand(x) for x in data]
     every = np.concatenate(sent)
     _, _, place = smallest(every["cell"], every["doc"])
     distinct = every[place]
