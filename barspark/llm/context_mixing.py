@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, by_bucket, runs
-from .files import staged, table
+from .files import sampled, staged, table
 from .registry import query
 from .substrings import parts
-from .text import LOWER, NOT_SPACE, byte_values, mix, prefix, spans, words
+from .text import LOWER, NOT_SPACE, byte_values, covered, mix, prefix, spans, words
 
 LAST = 5  # bytes of the longest byte context
 ORDERS = LAST + 1  # and the word so far
 BITS = 21
 SLOTS = 1 << BITS
 SLICE = 1 << 16
-SAMPLE = 300
+HELD_BITS = 21
+HELD = 1 << HELD_BITS
+SAMPLE = 100
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"
 PADDING = b" " * LAST
@@ -67,22 +69,40 @@ def grams(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
     texts, kinds = [t for t, _ in plain_texts], np.array([k for _, k in plain_texts], np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     buffer = np.frombuffer(PADDING + PADDING.join(texts) + b"\0\0", np.uint8)
-    ends = np.cumsum(sizes + LAST)
-    place = np.arange(int(sizes.sum())) + np.repeat(ends - sizes - (np.cumsum(sizes) - sizes), sizes)
-    at = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
-    whole = at[place - LAST].astype(np.uint64) >> np.uint64(16)
-    begin = np.maximum.accumulate(np.where(buffer == 0x20, np.arange(1, len(buffer) + 1), 0))
-    begin = np.concatenate([[0], begin[:-1]])[place]
-    inside = np.minimum(place - begin, LAST).astype(np.uint64) + np.uint64(1)  # bytes of the word, with the one to predict
+    # All places of the buffer from the first text on are worked out side by side; the padding between texts goes at the end.
+    n = len(buffer) - 2 - LAST
+    whole = np.ndarray((n,), ">u8", buffer, strides=(1,)).astype(np.uint64) >> np.uint64(16)
+    at = np.arange(LAST, LAST + n, dtype=np.int32)
+    begin = np.maximum.accumulate(np.where(buffer[LAST - 1 : LAST - 1 + n] == 0x20, at, np.int32(0)))
+    inside = np.minimum(at - begin, LAST).astype(np.uint64) + np.uint64(1)  # bytes of the word, with the one to predict
     before = buffer[begin - 2]
-    kind = 1 + (before < 0x30).astype(np.uint64) + (before == 0x20)  # a word before, one that ends in punctuation, none
-    context = whole & ((np.uint64(1) << np.uint64(8) * inside) - np.uint64(1)) | np.where(inside <= LAST, kind << np.uint64(8) * inside, np.uint64(0)).astype(np.uint64)
-    return context | np.repeat(kinds, sizes) << np.uint64(60), spans(prefix(byte_values(buffer)), begin, place), sizes
+    kind = np.uint64(1) + (before < 0x30) + (before == 0x20)  # a word before, one that ends in punctuation, none
+    shift = np.uint64(8) * inside
+    context = whole & ((np.uint64(1) << shift) - np.uint64(1)) | np.where(inside <= LAST, kind.astype(np.uint64) << shift, np.uint64(0))
+    word = spans(prefix(byte_values(buffer)), begin, at)
+    ends = np.cumsum(sizes + LAST) - LAST
+    own = ~covered(n, ends[:-1], ends[:-1] + LAST)
+    return context[own] | np.repeat(kinds, sizes) << np.uint64(60), word[own], sizes
 
 
-def distinct(keys: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def all_grams(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams`` of many texts, in pieces that stay in a processor's cache."""
+    parts, i, size = [], 0, 0
+    for j, (t, _) in enumerate(plain_texts):
+        size += len(t)
+        if size >= 1 << 17 or j + 1 == len(plain_texts):
+            parts.append(grams(plain_texts[i : j + 1]))
+            i, size = j + 1, 0
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+
+def names(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for a byte and all its contexts."""
+    return mix(keys * _TURN ^ word)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places that stand for all equal ones, and for each place the number of its stand-in. (Some equal places stand for themselves.)"""
-    key = mix(keys * _TURN ^ word)
     cell = (key >> np.uint64(43)).astype(np.int64)
     at = np.arange(len(key), dtype=np.int32)
     holder = np.zeros(1 << 21, np.int32)
@@ -106,26 +126,47 @@ def places(keys: np.ndarray, word: np.ndarray):
 def _count(batches):
     """Slices of the tables of one task: order, slice, zeros and ones of its slots."""
     sums = np.zeros((ORDERS, 2 * SLOTS), np.uint32)
+    # Counts of what recurs are held by name and reach the tables once, when another name takes the cell or at the end.
+    held, held_key, held_word = (np.zeros(HELD, np.uint64) for _ in range(3))
+    held_n = np.zeros(HELD, np.uint32)
 
-    def add(texts):
-        keys, word, _ = grams(texts)
-        some, stand = distinct(keys, word)
-        n = np.bincount(stand, minlength=len(some)).astype(np.uint32)
-        for slots, bit, _ in places(keys[some], word[some]):
+    def put(keys, word, n):
+        for slots, bit, _ in places(keys, word):
             for o, s in enumerate(slots):
                 np.add.at(sums[o], (s << np.uint64(1) | bit).astype(np.int64), n)
 
+    def add(texts):
+        keys, word, _ = all_grams(texts)
+        name = names(keys, word)
+        some, stand = distinct(name)
+        n = np.bincount(stand, minlength=len(some)).astype(np.uint32)
+        keys, word, name = keys[some], word[some], name[some]
+        cell = (name >> np.uint64(64 - HELD_BITS)).astype(np.int64)
+        known = (held[cell] == name) & (held_n[cell] > 0)
+        np.add.at(held_n, cell[known], n[known])
+        keys, word, name, cell, n = (x[~known] for x in (keys, word, name, cell, n))
+        out = np.unique(cell[held_n[cell] > 0])
+        put(held_key[out], held_word[out], held_n[out])
+        last = np.zeros(len(cell), bool)
+        last[np.unique(cell[::-1], return_index=True)[1]] = True
+        last = last[::-1]  # of several new names for a cell one is held
+        put(keys[~last], word[~last], n[~last])
+        cell = cell[last]
+        held[cell], held_key[cell], held_word[cell], held_n[cell] = name[last], keys[last], word[last], n[last]
+
     texts, size, some = [], 0, False
     for batch in batches:
         for t in batch.column(0).to_pylist():
             texts.append(plain((t or "").encode()))
             size += len(texts[-1][0])
-            if size >= 4 << 20:
+            if size >= 1 << 20:
                 add(texts)
                 texts, size, some = [], 0, True
     if texts:
         add(texts)
     if texts or some:
+        rest = np.flatnonzero(held_n)
+        put(held_key[rest], held_word[rest], held_n[rest])
         for o in range(ORDERS):
             for k in range(SLOTS // SLICE):
                 part = sums[o, 2 * k * SLICE : 2 * (k + 1) * SLICE]
@@ -150,6 +191,7 @@ def _add_up(batches):
 
 class Mixer:
     def __init__(self):
+        self.memo: tuple[np.ndarray, np.ndarray] | None = None
         self.cells = np.zeros((ORDERS, SLOTS), np.int16)  # log-odds in 1/256, and how often seen in the low 3 bits
         self.weights = np.full((ORDERS, GATES), 0.35, np.float32)
         grid = np.linspace(-8, 8, STEPS)
@@ -216,18 +258,27 @@ class Mixer:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each plain text; equal bytes after equal contexts are predicted once."""
-        keys, word, sizes = grams(texts)
-        some, stand = distinct(keys, word)
-        return CLASS_BITS + np.add.reduceat(self.bits(keys[some], word[some])[stand], np.cumsum(sizes) - sizes)
+        if self.memo is None:
+            self.memo = np.zeros(HELD, np.uint64), np.zeros(HELD, np.float32)  # what was predicted before in this worker
+        keys, word, sizes = all_grams(texts)
+        name = names(keys, word)
+        some, stand = distinct(name)
+        name, (known, costs) = name[some], self.memo
+        cell = (name >> np.uint64(64 - HELD_BITS)).astype(np.int64)
+        cost = costs[cell]
+        new = np.flatnonzero(known[cell] != name)
+        cost[new] = self.bits(keys[some[new]], word[some[new]])
+        known[cell[new]], costs[cell[new]] = name[new], cost[new]
+        return CLASS_BITS + np.add.reduceat(cost[stand].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Mixer:
     """``docs`` (doc_id, text, training) are the training documents where ``training``."""
     spark = docs.sparkSession
     known = docs.where("training")
-    rows = known.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit("mixer")), "doc_id").limit(sample).collect()  # a bounded sample
+    rows = sampled(known.select("doc_id", "text"), sample, known.count(), "doc_id").collect()
     ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
-    rest = known.where(~F.coalesce(F.col("doc_id").isin(ids), F.lit(False))) if len(rows) == sample else known
+    rest = known.where(~F.coalesce(F.col("doc_id").isin(ids), F.lit(False))) if len(rows) == sample else known  # few texts: count and learn from all
     slices = rest.select("text").mapInArrow(_count, "slice bigint, data binary")
     summed = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_up, "slice bigint, data binary")
     mixer = Mixer()
@@ -305,7 +356,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             total.append(np.bincount(doc, logs[at], j - i))
             raw = data.tobytes()
             texts += [plain(raw[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            if sum(len(t) for t, _ in texts) >= 4 << 20 or j == docs.num_rows:
+            if sum(len(t) for t, _ in texts) >= 1 << 20 or j == docs.num_rows:
                 bits.append(model.score(texts))
                 length.append(np.array([len(t) for t, _ in texts], np.int64))
                 texts = []

@@ -86,7 +86,7 @@ def test_score_is_a_probability():
     assert abs((2.0 ** -m.bits(every, np.repeat(word[-1], 256))).sum() - 1) < 2e-3
 
 
-def test_model_beats_the_base_on_held_out_texts(spark, sf):
+def test_model_on_held_out_texts(spark, sf):
     docs, _ = tables(spark, sf.replace("sf0.001", "sf0.01"))
     r = context_mixing.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte")).first()
     assert r[0] > 1.03 * r[1] and r[2] < 3
