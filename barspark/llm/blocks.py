@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+# A block and a bucket exchange one row, so their numbers follow the text and not the session's partitions, and blocks grow before they become too many.
+BLOCK_BYTES, LARGEST_BLOCK = 2 << 20, 32 << 20
+MOST_BLOCKS = 4096
+LEAST = 24
 SAID = "bucket bigint, block bigint, data binary"
 HEARD = "block bigint, data binary"
 _SAID = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
@@ -28,9 +31,8 @@ class Blocks:
                  carry: tuple[str, ...] = ()):
         spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.count = max(2 * least, -(-total // block_bytes))
-        self.buckets = max(2 * least, -(-total // (block_bytes * 4)))
+        self.count = max(LEAST, -(-total // min(max(block_bytes, total // MOST_BLOCKS), LARGEST_BLOCK)))
+        self.buckets = max(LEAST, self.count // 4)
         self.spark = spark
         self.docs = docs.select(
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.count)).alias("block"), F.col(id_col).cast("bigint").alias("doc_id"),
@@ -72,10 +74,12 @@ def _rows(schema: pa.Schema, rows) -> pa.Table:
 
 def by_bucket(keys: np.ndarray, buckets: int):
     """The places of ``keys`` by bucket: (bucket, indices in order of the key)."""
+    if not len(keys):
+        return
     bucket = (keys >> np.uint64(1)) % np.uint64(buckets)
     order = np.lexsort((keys, bucket))
     bucket = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, int)
+    cut = runs(bucket)
     for i, j in zip(cut, [*cut[1:], len(keys)], strict=True):
         yield int(bucket[i]), order[i:j]
 
@@ -91,43 +95,58 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-# Keys that more than one document holds. The lowest bit of a sent key is 1 if several documents of the block hold it.
+# Keys that more than one document holds, by 47 bits of their hash: a chance match only means more to compare later. Six bytes a key are sent, the
+# lowest bit is 1 if several documents of the block hold it.
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(17)
+
+
+def six_bytes(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
-def say_keys(keys: np.ndarray, docs: np.ndarray, buckets: int):
-    keys = keys & ~np.uint64(1)
+def say_keys(hashes: np.ndarray, docs: np.ndarray, buckets: int):
+    keys = short(hashes)
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     at = runs(keys)
     if not len(at):
         return
     several = np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)
-    sent = keys[at] | several.astype(np.uint64)
+    sent = keys[at] << np.uint64(1) | several.astype(np.uint64)
     for bucket, idx in by_bucket(sent, buckets):
-        yield bucket, sent[idx].tobytes()
+        yield bucket, six_bytes(sent[idx])
 
 
 def shared_keys(blocks: np.ndarray, data: list[np.ndarray]):
     """To each block those of its keys that another document has too."""
-    sent = [x.view(np.uint64) for x in data]
+    sent = [from_six(x) for x in data]
     every = np.concatenate(sent)
-    key = np.sort(every & ~np.uint64(1))
+    key = np.sort(every >> np.uint64(1))
     at = runs(key)
     twice = key[at][np.diff(np.append(at, len(key))) > 1]
-    flagged = every[(every & np.uint64(1)) == 1] & ~np.uint64(1)
+    flagged = every[(every & np.uint64(1)) == 1] >> np.uint64(1)
     shared = np.union1d(twice, flagged)
     for b, x in zip(blocks, sent, strict=True):
-        own = x & ~np.uint64(1)
+        own = x >> np.uint64(1)
         if len(out := own[member(own, shared)]):
-            yield int(b), out.tobytes()
+            yield int(b), six_bytes(out)
 
 
 def member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """True where a key is in the sorted ``table``."""
     if not len(table):
-        return np.zeros(len(keys), bool)
+        return np.zeros(np.shape(keys), bool)
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
 def heard_keys(told: list[np.ndarray]) -> np.ndarray:
-    return np.sort(np.concatenate([x.view(np.uint64) for x in told])) if told else np.zeros(0, np.uint64)
+    return np.sort(np.concatenate([from_six(x) for x in told])) if told else np.zeros(0, np.uint64)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Blocks, by_bucket, heard_keys, member, runs, say_keys, shared_keys
+from .blocks import Blocks, by_bucket, heard_keys, member, runs, say_keys, shared_keys, short
 from .files import table
 from .registry import query
 from .text import NOT_SPACE, byte_values, bytes_of, chunks, covered, mix, prefix, ramp, spans, words
@@ -74,7 +74,7 @@ def shared_windows(docs: pa.Table, told, window, period, cover):
     for i, j, data, starts in parts(docs):
         w = Words(data, starts)
         h, place, doc = w.anchors(window, period, cover)
-        hit = member(h & ~np.uint64(1), heard)
+        hit = member(short(h), heard)
         yield i, j, data, starts, w, w.windows(window, period, place[hit], doc[hit])
 
 
