@@ -204,7 +204,8 @@ class Mixer:
         total = n.sum(1)
         here = slice(i * SLICE, (i + 1) * SLICE)
         odds = np.where(total > 0, np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), 0)
-        self.cells[o, here] = np.round(odds * 256).astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
+        odds = np.clip(np.round(odds * 256), -4096, 4095)  # 13 bits
+        self.cells[o, here] = odds.astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
 
     def inputs(self, slots) -> tuple[list[np.ndarray], np.ndarray]:
         """Log-odds of every context, and the gate."""

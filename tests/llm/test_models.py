@@ -86,6 +86,16 @@ def test_score_is_a_probability():
     assert abs((2.0 ** -m.bits(every, np.repeat(word[-1], 256))).sum() - 1) < 2e-3
 
 
+def test_certain_slots_keep_their_sign():
+    m = context_mixing.Mixer()
+    n = np.zeros((context_mixing.SLICE, 2), np.int64)
+    n[:9, 0] = n[10:19, 1] = [1, 1000, 444_000, 450_000, 10**6, 10**7, 10**8, 10**9, 10**10]
+    m.put(0, n.ravel())
+    odds = m.inputs([np.arange(19)] * context_mixing.ORDERS)[0][0]
+    assert (np.diff(odds[:9]) <= 0).all() and (np.diff(odds[10:]) >= 0).all() and odds[9] == 0
+    assert odds[8] == -16 and odds[18] > 15.9 and (m.cells[0, :9] & 7).tolist() == [1, 4, 4, 4, 4, 4, 4, 4, 4]
+
+
 def test_model_on_held_out_texts(spark, sf):
     docs, _ = tables(spark, sf.replace("sf0.001", "sf0.01"))
     r = context_mixing.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte")).first()
