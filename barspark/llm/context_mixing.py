@@ -171,7 +171,9 @@ def _count(batches):
             for k in range(SLOTS // SLICE):
                 part = sums[o, 2 * k * SLICE : 2 * (k + 1) * SLICE]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([o * (SLOTS // SLICE) + k]), pa.array([np.minimum(part, 2**16 - 1).astype("<u2").tobytes()])], ["slice", "data"])
+                    high = np.flatnonzero(part >> 16)  # few counts need more than 16 bits; where these are, and what is above
+                    data = part.astype("<u2").tobytes() + high.astype("<u4").tobytes() + (part[high] >> 16).astype("<u4").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([o * (SLOTS // SLICE) + k]), pa.array([data])], ["slice", "data"])
 
 
 def _add_up(batches):
@@ -179,12 +181,13 @@ def _add_up(batches):
     now, total = None, None
     for batch in batches:
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(data.as_buffer(), "<u2")
+            low, (at, high) = np.frombuffer(data.as_buffer(), "<u2", 2 * SLICE), np.frombuffer(data.as_buffer(), "<u4", offset=4 * SLICE).reshape(2, -1)
             if k != now:
                 if now is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
                 now, total = k, np.zeros(2 * SLICE, np.int64)
-            total += part
+            total += low
+            total[at] += high.astype(np.int64) << 16
     if now is not None:
         yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
 

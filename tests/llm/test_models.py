@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barspark.llm import byte_cnn, context_mixing, mixing, quality_rules, url_filter
@@ -96,6 +97,19 @@ def test_certain_slots_keep_their_sign():
     assert odds[8] == -16 and odds[18] > 15.9 and (m.cells[0, :9] & 7).tolist() == [1, 4, 4, 4, 4, 4, 4, 4, 4]
 
 
+def summed(*tasks):
+    slices = sorted((k, d) for t in tasks for b in context_mixing._count([pa.record_batch([pa.array(t)], ["text"])]) for k, d in zip(*b.to_pydict().values(), strict=True))
+    out = context_mixing._add_up([pa.record_batch([pa.array([k]), pa.array([d])], ["slice", "data"]) for k, d in slices])
+    return {k: np.frombuffer(d, np.int64) for b in out for k, d in zip(*b.to_pydict().values(), strict=True)}
+
+
+def test_counts_do_not_depend_on_tasks():
+    texts = ["stone of paper " * 4000 + "stone of sand"] * 20
+    one, many = summed(texts), summed(*[[t] for t in texts])
+    assert max(x.max() for x in one.values()) > 2 * 65_535  # both values of a bit, each above 16 bits
+    assert one.keys() == many.keys() and all((one[k] == many[k]).all() for k in one)
+
+
 def test_model_on_held_out_texts(spark, sf):
     docs, _ = tables(spark, sf.replace("sf0.001", "sf0.01"))
     r = context_mixing.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte")).first()
