@@ -1,12 +1,13 @@
 """LM scoring by online logistic context mixing.
 
 The model predicts a text's bits: its words in lower case (A-Z only), one space between two, one end mark. Six predictors look up the bits seen after
-the last 1 to 5 bytes, and after the word so far, in hashed tables of counts. A byte context reaches back to the start of the word and sees whether
-punctuation came before it; so most places of a corpus have contexts that recur, and each distinct one of a batch is predicted once. What the
-text before the word says about its language is said once: 4 bits name the text's class (a hash of its most frequent short word), on which contexts depend. A mixer adds their log-odds with weights that a gate chooses (how many contexts were seen
-before, and how often the one of three bytes), and an adaptive table refines the sum by the bits so far of the byte. Mixer and refinement learn online, batch after batch, on ``SAMPLE``
-training documents that the tables leave out; the tables count all other training documents. Every text is scored with the same finished model, so
-a score depends neither on order nor on partitions. ``score`` is log10 of the text's probability; ``bits_per_byte`` its total in bits over the bytes.
+the last 1 to 5 bytes (across words), and after the word so far, in hashed tables of counts. Most places of a corpus have contexts that recur, and each
+distinct one of a batch is predicted once. What the text says about its language is said once: 4 bits name the text's class (a hash of its most frequent
+short word), on which contexts depend. A mixer adds their log-odds with weights that a gate chooses (how many contexts were seen
+before, and how often the one of three bytes), and an adaptive table refines the sum by the bits so far of the byte. The tables count all training
+documents; mixer and refinement learn online from all of them too, block by block (see ``blocks``), each bit predicted without its own count, and are
+averaged over the blocks. Every text is scored with the same finished model, so a score depends neither on order nor on partitions. ``score`` is log10
+of the text's probability; ``bits_per_byte`` its total in bits over the bytes.
 
 Counting tasks send their tables in slices, which are summed slice by slice in a stream; the finished tables have a fixed size (``SLOTS`` for each order)
 and are broadcast. Word counts for the base go through blocks and buckets (see ``blocks``): 64-bit hashes of words with their counts.
@@ -18,10 +19,12 @@ An empty table gives an empty result; without training documents the predictors
 from __future__ import annotations
 
 from collections import Counter
+from copy import copy
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,6 @@ SLOTS = 1 << BITS
 SLICE = 1 << 16
 HELD_BITS = 21
 HELD = 1 << HELD_BITS
-SAMPLE = 100
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"
 PADDING = b" " * LAST
@@ -71,14 +73,9 @@ def grams(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
     buffer = np.frombuffer(PADDING + PADDING.join(texts) + b"\0\0", np.uint8)
     # All places of the buffer from the first text on are worked out side by side; the padding between texts goes at the end.
     n = len(buffer) - 2 - LAST
-    whole = np.ndarray((n,), ">u8", buffer, strides=(1,)).astype(np.uint64) >> np.uint64(16)
+    context = np.ndarray((n,), ">u8", buffer, strides=(1,)).astype(np.uint64) >> np.uint64(16)
     at = np.arange(LAST, LAST + n, dtype=np.int32)
     begin = np.maximum.accumulate(np.where(buffer[LAST - 1 : LAST - 1 + n] == 0x20, at, np.int32(0)))
-    inside = np.minimum(at - begin, LAST).astype(np.uint64) + np.uint64(1)  # bytes of the word, with the one to predict
-    before = buffer[begin - 2]
-    kind = np.uint64(1) + (before < 0x30) + (before == 0x20)  # a word before, one that ends in punctuation, none
-    shift = np.uint64(8) * inside
-    context = whole & ((np.uint64(1) << shift) - np.uint64(1)) | np.where(inside <= LAST, kind.astype(np.uint64) << shift, np.uint64(0))
     word = spans(prefix(byte_values(buffer)), begin, at)
     ends = np.cumsum(sizes + LAST) - LAST
     own = ~covered(n, ends[:-1], ends[:-1] + LAST)
@@ -196,6 +193,7 @@ class Mixer:
     def __init__(self):
         self.memo: tuple[np.ndarray, np.ndarray] | None = None
         self.cells = np.zeros((ORDERS, SLOTS), np.int16)  # log-odds in 1/256, and how often seen in the low 3 bits
+        self.few: np.ndarray | None = np.zeros((ORDERS, SLOTS), np.uint8)  # the smaller count up to 255; only learning needs it
         self.weights = np.full((ORDERS, GATES), 0.35, np.float32)
         grid = np.linspace(-8, 8, STEPS)
         self.refined = np.tile(1 / (1 + np.exp(-grid)), (256, 1)).astype(np.float32)
@@ -208,11 +206,25 @@ class Mixer:
         here = slice(i * SLICE, (i + 1) * SLICE)
         odds = np.where(total > 0, np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), 0)
         odds = np.clip(np.round(odds * 256), -4096, 4095)  # 13 bits
+        self.few[o, here] = np.minimum(n.min(1), 255)
         self.cells[o, here] = odds.astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
 
-    def inputs(self, slots) -> tuple[list[np.ndarray], np.ndarray]:
-        """Log-odds of every context, and the gate."""
-        got = [self.cells[o][s] for o, s in enumerate(slots)]
+    def without(self, o: int, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The cells as they would be if ``bit`` had been counted once less."""
+        cell, few = self.cells[o][slots], self.few[o][slots].astype(np.float32)
+        odds = (cell >> 3).astype(np.float32) * np.float32(1 / 256)
+        many = np.maximum(np.rint(np.exp(np.abs(odds)) * (few + np.float32(0.05)) - np.float32(0.05)), few)
+        one, high = bit == 1, odds > 0
+        mine = np.where(one == high, many, few) - 1  # the count of this bit; of two equal ones it does not matter which
+        other = np.where(one == high, few, many)
+        total = mine + other
+        left = np.log((np.maximum(mine, 0) + np.float32(0.05)) / (other + np.float32(0.05))) * np.where(one, np.float32(256), np.float32(-256))
+        left = np.where(total > 0, np.clip(np.rint(left), -4096, 4095), 0).astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
+        return np.where((few == 255) | (mine < 0), cell, left)
+
+    def inputs(self, slots, counted=None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Log-odds of every context, and the gate. ``counted``: the bit that came, where the tables have it, to be left out of them."""
+        got = [self.cells[o][s] if counted is None else self.without(o, s, counted) for o, s in enumerate(slots)]
         gate = np.zeros(len(got[0]), np.int16)
         for g in got:
             gate += (g & 7) > 0
@@ -230,22 +242,29 @@ class Mixer:
         part, cell, flat = at - low.astype(np.float32), node * STEPS + low, self.refined.reshape(-1)
         return low, part, (1 - part) * flat[cell] + part * flat[cell + 1]
 
-    def learn(self, texts: list[bytes], batch: int = 4096, rate: float = 0.02, pace: float = 0.02) -> None:
-        """Online: predict a batch of bits, then move the weights and the refinement towards what came."""
+    def learn(self, texts: list[tuple[bytes, int]], batch: int = 4096, rate: float = 0.02, pace: float = 0.02, counted: bool = False) -> None:
+        """Online: predict a batch of bits, then move the weights and the refinement towards what came.
+
+        Equal bytes after equal contexts are one place that weighs as often as it occurs. Places come in the order of their hashes, whatever the texts'.
+        ``counted``: the tables have these texts, so each bit is predicted without its own count."""
         if not texts:
             return
-        keys, word, _ = grams(texts)
+        keys, word, _ = all_grams(texts)
+        _, some, often = np.unique(names(keys, word), return_index=True, return_counts=True)
+        keys, word = keys[some], word[some]
         for i in range(0, len(keys), batch):
+            n = often[i : i + batch].astype(np.float32)
             for slots, bit, node in places(keys[i : i + batch], word[i : i + batch]):
-                x, gate = self.inputs(slots)
+                x, gate = self.inputs(slots, bit if counted else None)
                 z = self.mixed(x, gate)
                 low, part, _ = self.refine(z, node)
-                error = bit - 1 / (1 + np.exp(-z))
-                n = np.sqrt(np.maximum(np.bincount(gate, minlength=GATES), 1)) * 8
+                error = (bit - 1 / (1 + np.exp(-z))) * n
+                total = np.maximum(np.bincount(gate, n, GATES), 1)
+                pull = rate * np.minimum(np.sqrt(total) / 8, 4) / total
                 for w, y in zip(self.weights, x, strict=True):
-                    w += rate * np.bincount(gate, error * y, GATES) / n
+                    w += pull * np.bincount(gate, error * y, GATES)
                 flat, size = self.refined.reshape(-1), 256 * STEPS
-                for cell, w in ((node * STEPS + low, 1 - part), (node * STEPS + low + 1, part)):
+                for cell, w in ((node * STEPS + low, (1 - part) * n), (node * STEPS + low + 1, part * n)):
                     many = np.bincount(cell, w, size)
                     flat += (1 - (1 - pace) ** many) * (np.bincount(cell, w * bit, size) / np.maximum(many, 1e-9) - flat) * (many > 0)
 
@@ -276,19 +295,46 @@ class Mixer:
         return CLASS_BITS + np.add.reduceat(cost[stand].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Mixer:
-    """``docs`` (doc_id, text, training) are the training documents where ``training``."""
-    spark = docs.sparkSession
+LEARNED = "block bigint, n bigint, data binary"
+
+
+def _averaged(t: pa.Table) -> pa.Table:
+    """Sums of what blocks learned, in order of the blocks."""
+    t = t.sort_by("block")
+    total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in t.column("data")], axis=0)
+    return pa.table([t.column("block").slice(0, 1), pa.array([pa.compute.sum(t.column("n")).as_py()]), pa.array([total.tobytes()])], ["block", "n", "data"])
+
+
+def train(docs: DataFrame, blocks: Blocks, sample: int | None = None) -> Mixer:
+    """``docs`` (doc_id, text, training), dealt into ``blocks``, are the training documents where ``training``.
+
+    Each block learns mixer and refinement from all its training documents; the result is their average, weighted by bytes. ``sample``: learn from so many documents only."""
     known = docs.where("training")
-    rows = sampled(known.select("doc_id", "text"), sample, known.count(), "doc_id").collect()
-    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
-    rest = known.where(~F.coalesce(F.col("doc_id").isin(ids), F.lit(False))) if len(rows) == sample else known  # few texts: count and learn from all
-    slices = rest.select("text").mapInArrow(_count, "slice bigint, data binary")
+    slices = known.select("text").mapInArrow(_count, "slice bigint, data binary")
     summed = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_up, "slice bigint, data binary")
     mixer = Mixer()
     for r in summed.toLocalIterator():  # ORDERS x SLOTS counts, however large the input is
         mixer.put(r["slice"], np.frombuffer(r["data"], np.int64))
-    mixer.learn([plain((r["text"] or "").encode()) for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast(mixer)
+    ids = None if sample is None else {r["doc_id"] for r in sampled(known.select("doc_id"), sample, known.count(), "doc_id").collect()}
+
+    def learned(block, t, told):
+        rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
+        texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
+        own, n = copy(shared.value), sum(len(x) for x, _ in texts)
+        own.weights, own.refined = own.weights.copy(), own.refined.copy()
+        own.learn(texts, counted=True)
+        data = np.concatenate([own.weights.ravel(), own.refined.ravel()]).astype(np.float64) * n
+        return pa.table([pa.array([block], pa.int64()), pa.array([n]), pa.array([data.tobytes()])], ["block", "n", "data"])
+
+    parts_ = blocks.finish(learned, LEARNED).groupBy(F.pmod("block", F.lit(32))).applyInArrow(_averaged, LEARNED).collect()  # at most 32 rows
+    n = sum(r["n"] for r in parts_)
+    if n:
+        data = np.sum([np.frombuffer(r["data"], np.float64) for r in sorted(parts_, key=lambda r: r["block"])], axis=0) / n
+        mixer.weights = data[: mixer.weights.size].reshape(mixer.weights.shape).astype(np.float32)
+        mixer.refined = data[mixer.weights.size :].reshape(mixer.refined.shape).astype(np.float32)
+    shared.unpersist()
+    mixer.few = None
     return mixer
 
 
@@ -336,12 +382,12 @@ def _hear_counts(blocks, data):
 RESULT = "doc_id bigint, held_out boolean, n_words bigint, known bigint, logs double, bits double, n_bytes bigint"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("training", fold() != HELD_OUT)
-    shared = docs.sparkSession.sparkContext.broadcast(train(d, sample))  # 38 MB, whatever the input
     blocks = Blocks(d, carry=("training",))
+    shared = docs.sparkSession.sparkContext.broadcast(train(d, blocks, sample))  # 25 MB, whatever the input
     heard = staged(blocks.hear(blocks.say(_say_counts), _hear_counts), "word-counts")
 
     def result(block, docs, told):

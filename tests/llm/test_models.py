@@ -116,6 +116,38 @@ def test_model_on_held_out_texts(spark, sf):
     assert r[0] > 1.03 * r[1] and r[2] < 3
 
 
+def test_model_beats_the_base_on_held_out_texts(spark, sf):
+    docs, _ = tables(spark, sf.replace("sf0.001", "sf0.01"))
+    r = context_mixing.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
+def test_contexts_reach_across_words():
+    keys, _, _ = context_mixing.grams([context_mixing.plain(b"red house"), context_mixing.plain(b"big house")])
+    assert keys[4] & np.uint64((1 << 48) - 1) == int.from_bytes(b" red h", "big") and keys[4] != keys[14]
+
+
+def test_learning_leaves_out_the_bit_to_predict():
+    counts = [(0, 1), (1, 0), (1, 1), (3, 1), (1, 3), (0, 9), (40, 1), (1, 40), (700, 3), (3, 700), (20, 0), (60, 60)]
+    for bit in (0, 1):
+        full, less = context_mixing.Mixer(), context_mixing.Mixer()
+        n = np.zeros((context_mixing.SLICE, 2), np.int64)
+        n[: len(counts)] = counts
+        full.put(0, n.ravel())
+        at = np.flatnonzero(n[:, bit])
+        n[at, bit] -= 1
+        less.put(0, n.ravel())
+        assert np.abs((full.without(0, at, np.full(len(at), bit)) >> 3) - (less.cells[0, at] >> 3)).max() <= 2
+        assert ((full.without(0, at, np.full(len(at), bit)) & 7) == (less.cells[0, at] & 7)).all()
+
+
+def test_mixer_learns_from_all_training_texts(spark, messy):
+    d = messy.select("doc_id", "text", (context_mixing.fold() != context_mixing.HELD_OUT).alias("training"))
+    one, two, some = (context_mixing.train(x, context_mixing.Blocks(x, carry=("training",)), n) for x, n in ((d, None), (d.repartition(9), None), (d, 5)))
+    assert (one.weights == two.weights).all() and (one.refined == two.refined).all() and (one.cells == two.cells).all()
+    assert (one.weights != some.weights).any() and (one.cells == some.cells).all()
+
+
 def test_network_on_held_out_texts(spark, sf):
     docs, labels = tables(spark, sf.replace("sf0.001", "sf0.01"))
     out = byte_cnn.classify(docs, labels).join(labels, "doc_id").where("held_out")
