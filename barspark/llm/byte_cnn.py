@@ -34,18 +34,27 @@ RUN = 8
 PAD = 512
 
 
-def symbols(data: np.ndarray) -> np.ndarray:
-    """Bytes, plus 256 where 8 bytes in a row equal those some lag before."""
-    out = data.astype(np.uint16)
+def symbols(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, plus 256 where 8 bytes in a row equal those some lag before in the document; and where each document begins. WIDTH of padding comes after each."""
+    sizes = np.diff(starts)
+    begin = starts[:-1] + WIDTH * np.arange(len(sizes))
+    out = np.full(len(data) + WIDTH * len(sizes), PAD, np.uint16)
+    # Padding ends every run of equal bytes, but it equals itself where documents are shorter than a lag.
+    own = np.repeat(begin - starts[:-1], sizes) + np.arange(len(data))
+    out[own] = data
+    plain, inside = out.copy(), out < PAD
     for lag in LAGS:
-        if len(data) < lag + RUN:
+        if len(out) < lag + RUN:
             break
-        same = data[lag:] == data[:-lag]
+        same = (plain[lag:] == plain[:-lag]) & inside[lag:]
         span = 1
         while span < RUN:
             same, span = same[:-span] & same[span:], span * 2
-        out[lag : lag + len(same)] |= same.astype(np.uint16) << 8
-    return out
+        # RUN bytes in a row lie in one document; the bytes a lag before have to lie in it too.
+        hit = np.flatnonzero(same)
+        hit = hit[hit >= begin[np.searchsorted(begin, hit + lag, "right") - 1]]
+        out[lag + hit] |= 256
+    return out, begin
 
 
 def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +89,9 @@ class Network:
 
     def forward(self, data: np.ndarray, starts: np.ndarray, keep: bool = False):
         """Probability of each document; ``keep`` returns what ``step`` needs."""
-        x = np.concatenate([symbols(data), np.full(WIDTH, PAD, np.uint16)])
+        x, begins = symbols(data, starts)
         doc, at, length = layout(np.diff(starts))
-        first = starts[doc] + at
+        first = begins[doc] + at
         pooled = np.zeros((len(doc), FILTERS), np.float32)
         arg = np.zeros((len(doc), FILTERS), np.int64)
         for i in range(0, len(doc), 1024):

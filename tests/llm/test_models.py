@@ -164,6 +164,18 @@ def test_network_on_messy_rows(messy, messy_rows, marks, no_documents):
     assert rows_of(byte_cnn.classify(messy, marks.limit(0)).select("score").distinct(), "score") == [(0.5,)]
 
 
+def test_a_text_scores_the_same_alone_and_between_others():
+    r = np.random.default_rng(4)
+    texts = [b"", b"a", b"stone house", b"", b"house stone house stone", b"stone house stone ", b"house stone house st", b"x" * 9, b"x" * 40, b"", b"", b"", b"", b"", b"", b"xxxxxxxx"]
+    texts += [bytes(r.integers(97, 101, n).astype(np.uint8)) for n in (3, 254, 255, 256, 257, 448, 449, 900)] + [b""]
+    net = byte_cnn.Network()
+    run = lambda some: net.forward(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0] + [len(t) for t in some]))
+    alone = np.concatenate([run([t]) for t in texts])
+    np.testing.assert_allclose(run(texts), alone, rtol=1e-6)
+    np.testing.assert_allclose(run(texts[::-1])[::-1], alone, rtol=1e-6)
+    assert np.ptp(alone[[k for k, t in enumerate(texts) if not t]]) < 1e-6
+
+
 def test_chunks_cover_a_text():
     sizes = np.array([0, 1, 255, 256, 257, 1000, 5000])
     doc, at, length = byte_cnn.layout(sizes)
