@@ -3,6 +3,9 @@
 
 def load():
     """The registry with all query modules imported."""
-    from . import byte_cnn, context_mixing, decontamination, mixing, quality_rules, registry, simhash, substrings, suffix_dedup, token_files, url_filter  # noqa: F401
+    from . import (  # noqa: F401
+        byte_cnn, context_mixing, decontamination, exact_dedup, lexical_search, mixing, quality_rules, registry, resampling, simhash, substrings,
+        suffix_dedup, token_files, url_filter,
+    )
 
     return registry
