@@ -259,7 +259,7 @@ def _(spark, sf):
 def _dataset(spark, sf, freqs=("15min", "daily")):
     """A dataset without indicators, which the small blueprint below does not read."""
     return P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), liquidity=I.liquidity(spark, sf), freqs=freqs,
-                           spec=FeatureSpec(indicators=()), model=_SMALL, stage=True)
+                           spec=FeatureSpec(indicators=()), model=_SMALL, stage=True, gaps=False)
 
 
 _SMALL = compile_blueprint([
@@ -344,5 +344,5 @@ SELECT symbol || '|daily|none|' || strftime(datetime, '%Y%m%d%H%M%S') AS market_
   round(least(greatest(close / open - 1, -0.3), 0.3), 6) + 0.0 AS open_close_ret FROM daily"""))
 def _(spark, sf):
     daily = I.bars_daily(spark, sf)
-    feats = S.with_row_ids(bar_features(daily))
+    feats = S.with_row_ids(bar_features(daily, gaps=False))
     return rounded(S.features_with_bars(feats, S.with_row_ids(daily)).select("market_row_id", "raw_close", "open_close_ret"))

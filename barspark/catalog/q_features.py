@@ -73,22 +73,22 @@ _TURN = """, src AS (SELECT d.*, CAST(NULL AS DOUBLE) AS pct, l.turn FROM daily
 
 @query("bar_features_5min", "B14 B15 B16 D2 D3 D4 D5 D6 D8 D9 D10 D11 D12 D13 D14 D15", feature_sql(["bars"], "src", 96, _PLAIN.format("bars")))
 def _(spark, sf):
-    return rounded(bar_features(I.bars_5min(spark, sf)))
+    return rounded(bar_features(I.bars_5min(spark, sf), gaps=False))
 
 
 @query("bar_features_daily_history", "D2 D3 D4 D5 D6 D8 D9 D10 D11 D12 D13 D14 D15", feature_sql(["long"], "src", 60, _PLAIN.format("long")))
 def _(spark, sf):
-    return rounded(bar_features(I.bars_daily_long(spark, sf)))
+    return rounded(bar_features(I.bars_daily_long(spark, sf), gaps=False))
 
 
 @query("bar_features_with_turnover", "D7 D15 E1", feature_sql(["daily", "liquidity"], "src", 60, _TURN))
 def _(spark, sf):
-    return rounded(bar_features(with_turnover(I.bars_daily(spark, sf), I.liquidity(spark, sf))))
+    return rounded(bar_features(with_turnover(I.bars_daily(spark, sf), I.liquidity(spark, sf)), gaps=False))
 
 
-def _lines(spark, bars, *ids):
+def _lines(spark, bars, *ids, gaps=False):
     spec = spec_from_config([{"id": i.id, "kind": i.kind, "params": dict(i.params), "frequencies": ["5min", "daily"]} for i in DEFAULT_INDICATORS if i.id in ids])
-    frame = feature_frame(bars, spec).filter("_core")
+    frame = feature_frame(bars, spec, gaps=gaps).filter("_core")
     return frame.select("symbol", "datetime", *[c.alias(n) for i in spec.active for n, c in display_lines(frame, i).items()])
 
 
@@ -148,7 +148,7 @@ def _(spark, sf):
         {"id": "my", "kind": "kd", "params": {"lookback": 9, "smooth_k": 3, "smooth_d": 3}, "frequencies": ["daily"]},
         {"id": "off", "kind": "macd", "params": {"fast": 3, "slow": 6, "signal": 2}, "frequencies": ["5min"], "enabled": False},
     ])
-    out = bar_features(I.bars_5min(spark, sf), spec)
+    out = bar_features(I.bars_5min(spark, sf), spec, gaps=False)
     return rounded(out.select("symbol", "datetime", "ema_channel_short_gap", "history_coverage", "my_k_norm"))
 
 
@@ -163,7 +163,7 @@ def _(spark, sf):
         {"name": "kd_k_norm", "stream": "market_sequence", "frequencies": ["5min"]},
         {"name": "ret_5", "stream": "market_sequence", "frequencies": ["5min"], "enabled": False},
     ])
-    out = bar_features(I.bars_5min(spark, sf)).select("symbol", "datetime", model.channel_array("5min").alias("v"))
+    out = bar_features(I.bars_5min(spark, sf), gaps=False).select("symbol", "datetime", model.channel_array("5min").alias("v"))
     return rounded(out.select("symbol", "datetime", F.col("v")[0].cast("double").alias("c0"), F.col("v")[1].cast("double").alias("c1")), 5)
 
 
@@ -174,7 +174,7 @@ SELECT symbol, datetime, round(f13, 6) AS "13_21_fast", round(s21, 6) AS "13_21_
 def _(spark, sf):
     """The last 40 bars per symbol, computed with warm-up rows before them that are then cut off."""
     item = next(i for i in DEFAULT_INDICATORS if i.id == "13_21")
-    out = G.indicator_window(I.bars_daily_long(spark, sf), item, rows=40, warmup=None)
+    out = G.indicator_window(I.bars_daily_long(spark, sf), item, rows=40, warmup=None, gaps=False)
     return rounded(out.select("symbol", "datetime", "13_21_fast", "13_21_slow", "ema_channel_13_21_gap"))
 
 

@@ -127,7 +127,7 @@ def _(spark, sf):
 SELECT 'close_position' AS "column", count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS infinite, CAST(0 AS BIGINT) AS at_bound FROM bars
 UNION ALL SELECT 'open_close_ret', count(*), 0, 0, count(*) FILTER (abs(close / open - 1) >= 0.3) FROM bars"""))
 def _(spark, sf):
-    feats = bar_features(I.bars_5min(spark, sf)).select("close_position", "open_close_ret")
+    feats = bar_features(I.bars_5min(spark, sf), gaps=False).select("close_position", "open_close_ret")
     return Q.frame_quality(feats, DEFAULT_SPEC.market_clip)
 
 

@@ -11,7 +11,7 @@ from .features import display_lines, feature_frame, finish_features
 from .selection import last_rows
 
 
-def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = None) -> DataFrame:
+def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = None, gaps: bool = True) -> DataFrame:
     """Chart lines and clipped model fields of the last ``rows`` bars of each series.
 
     The whole history is used, so the values equal the stored features; with ``warmup`` only that many times the
@@ -23,7 +23,7 @@ def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int
     used = bars
     if warmup is not None:
         used = last_rows(bars, rows + max(20, item.lookback * warmup)).drop("from_end")
-    frame = feature_frame(used, spec)
+    frame = feature_frame(used, spec, gaps=gaps)
     lines = display_lines(frame, item)
     model = finish_features(frame.withColumns(lines), spec, *[n for n in lines if n not in item.fields])
     return last_rows(model.select("symbol", "datetime", "freq", "adjust", *item.fields, "history_coverage",

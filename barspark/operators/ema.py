@@ -23,10 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import BLOCK_ROWS, blocks, running
+from .series import BLOCK_ROWS, blocks
 
 UNDERFLOW = 762.0  # ln of 2^1100: beyond this a weight leaves the range of a double
 SUPER_BLOCK = 4096
+SCAN_FAN = 256  # steps that are composed in one list
 
 
 def span(n: float) -> float:
@@ -159,11 +160,11 @@ def _fold_pairs(pairs: Column, q: float, size: float) -> Column:
 
 
 def with_gap_emas(df: DataFrame, keys: Sequence[str], emas: Iterable[Ema], *, rn: str = "rn", size: int = BLOCK_ROWS) -> DataFrame:
-    """``with_emas`` for inputs with NULLs; ``<out>__before`` is the average one row earlier.
+    """``with_emas`` for inputs with NULLs; ``<out>__before`` is the average one row earlier, ``<x>__since`` how many rows ago the
+    input ``x`` was last there (0: on this row).
 
-    Every row is an affine step of the average, so a block is one too and only its two numbers go on to later blocks. An average of an
-    average is a second scan over the first one's result. Blocks further back than the plain averages look are left out: they matter only
-    if that many blocks in a row hold hardly any value."""
+    Every row is an affine step of the average, so a block is one too, and its two numbers are carried over any number of later blocks.
+    An average of an average is a second scan over the first one's result."""
     emas, keys = list(emas), list(keys)
     firsts = {(e.x, e.alpha) for e in emas}
     names = {(x, a): f"_g{i}" for i, (x, a) in enumerate(sorted(firsts))}
@@ -171,52 +172,80 @@ def with_gap_emas(df: DataFrame, keys: Sequence[str], emas: Iterable[Ema], *, rn
     seconds = {(names[e.x, e.alpha], e.then) for e in emas if e.then is not None}
     more = {(x, a): f"_h{i}" for i, (x, a) in enumerate(sorted(seconds))}
     if more:
-        df = _gap_scan(df, keys, more, rn, size)
+        df = _gap_scan(df, keys, more, rn, size).drop(*[f"{x}__since" for x, _ in more])
     final = {e.out: names[e.x, e.alpha] if e.then is None else more[names[e.x, e.alpha], e.then] for e in emas}
     df = df.withColumns({f"{out}{part}": F.col(f"{name}{part}") for out, name in final.items() for part in ("", "__before")})
     return df.drop(*[f"{n}{part}" for n in (*names.values(), *more.values()) for part in ("", "__before")])
 
 
+def gap_step(state: Column, since: Column, x: Column, alpha: float) -> Column:
+    """The average after one more row ``x``, when the last value before it came ``since`` + 1 rows earlier; a missing ``x`` keeps it."""
+    old = F.exp((since + 1) * math.log1p(-alpha)) if alpha < 1 else F.lit(0.0)
+    return F.coalesce((state * old + x * alpha) / (old + alpha), x, state)
+
+
 def _gap_scan(df: DataFrame, keys: list[str], outs: dict[tuple[str, float], str], rn: str, size: int) -> DataFrame:
-    inputs = sorted({x for x, _ in outs})
-    last = {x: f"_last{i}" for i, x in enumerate(inputs)}
-    held = df.groupBy(*keys, "_blk").agg(*[F.max(F.when(F.col("_core") & F.col(x).isNotNull(), F.col(rn))).alias(n) for x, n in last.items()])
-    chunk = F.floor(F.col("_blk") / SUPER_BLOCK)
-    held = running(held, keys, ["_blk"], chunk, {f"{n}_before": ("max", n) for n in last.values()}, exclusive=True).drop(*last.values())
+    """Plain averages over NULLs. Inside a block everything is relative to its first value, whose distance to the value before it is only known in
+    the table of blocks; so one aggregate per block and one join are enough."""
+    for _, a in outs:
+        if a < 1 and size * -math.log1p(-a) > 600:
+            raise ValueError(f"block of {size} rows is too long for alpha {a}")
+    place = {x: i for i, x in enumerate(sorted({x for x, _ in outs}))}
     inside = Window.partitionBy(*keys, "_blk").orderBy(rn)
     upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(held, [*keys, "_blk"])
-
-    def own(x: str) -> Column:
-        return F.col("_core") & F.col(x).isNotNull()
-
-    seen = {n: F.coalesce(F.last(F.when(own(x), F.col(rn)), ignorenulls=True).over(earlier), F.col(f"{n}_before")) for x, n in last.items()}
-    df = df.withColumns(seen)
-    steps = {}
-    for (x, a), out in outs.items():
-        old = F.exp((F.col(rn) - F.col(last[x])) * math.log1p(-a)) if a < 1 else F.lit(0.0)
-        first = F.col(last[x]).isNull()
-        # The log of the old average's weight; below e^-60 it is not seen in a double.
-        steps[f"{out}_l"] = F.when(own(x) & ~first, F.least(F.log(old + a) - F.coalesce(F.log(old), F.lit(-1000.0)), F.lit(60.0))).otherwise(0.0)
-        steps[f"{out}_b"] = F.when(own(x), F.when(first, F.col(x)).otherwise(F.col(x) * a / (old + a))).otherwise(0.0)
-    df = df.withColumns(steps)
-    df = df.withColumns({f"{out}_d": F.sum(f"{out}_l").over(upto) for out in outs.values()})
-    df = df.withColumns({f"{out}_s": F.sum(F.col(f"{out}_b") * F.exp(f"{out}_d")).over(upto) for out in outs.values()})
-    ends = df.groupBy(*keys, "_blk").agg(*[
-        F.max_by(F.struct(F.exp(-F.col(f"{out}_d")).alias("r"), (F.col(f"{out}_s") * F.exp(-F.col(f"{out}_d"))).alias("z")), F.when(F.col("_core"), F.col(rn))).alias(out)
-        for out in outs.values()])
-    reach = {out: max(1, math.ceil(UNDERFLOW / (size * -math.log1p(-a)))) if a < 1 else 1 for (_, a), out in outs.items()}
-    table = blocks(ends.withColumnRenamed("_blk", "_b").withColumn("_rn", F.col("_b") + 1), rn="_rn", size=SUPER_BLOCK, halo=max(reach.values()))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_rn")
-    carry = {f"{out}_c": F.aggregate(F.collect_list(out).over(w.rowsBetween(-reach[out], -1)), F.lit(0.0), lambda acc, e: acc * e["r"] + e["z"]) for out in outs.values()}
-    carries = table.withColumns(carry).filter("_core").select(*keys, F.col("_b").alias("_blk"), *carry)
-    df = df.join(carries, [*keys, "_blk"])
-    result = {}
-    for (x, _), out in outs.items():
-        s, d, c = (F.col(f"{out}_{k}") for k in "sdc")
-        known = F.col(last[x]).isNotNull()
-        lagged = (F.coalesce(F.lag(s).over(inside), F.lit(0.0)) + c) * F.exp(-F.coalesce(F.lag(d).over(inside), F.lit(0.0)))
-        result[out] = F.when(F.col("_core") & (known | own(x)), (s + c) * F.exp(-d))
-        result[f"{out}__before"] = F.when(F.col("_core") & known, lagged)
-    df = df.withColumns(result)
-    return df.drop(*[f"{o}_{k}" for o in outs.values() for k in "lbdsc"], *last.values(), *[f"{n}_before" for n in last.values()])
+
+    def own(x: str) -> str:
+        return f"(_core AND `{x}` IS NOT NULL)"
+
+    def old(a: float, rows: str) -> str:  # the weight of an average that many rows later
+        return f"exp(({rows}) * {math.log1p(-a)!r}D)" if a < 1 else "0D"
+
+    df = df.withColumns({f"_last{i}": F.last(F.expr(f"IF({own(x)}, {rn}, NULL)"), ignorenulls=True).over(earlier) for x, i in place.items()})
+    step = {o: (f"{own(x)} AND _last{place[x]} IS NOT NULL", old(a, f"{rn} - _last{place[x]}")) for (x, a), o in outs.items()}
+    # The log of what an old average is divided by; beyond e^60 it is not seen in a double.
+    df = df.withColumns({f"{o}_d": F.sum(F.expr(f"IF({step[o][0]}, least(ln({step[o][1]} + {a!r}D) - coalesce(ln({step[o][1]}), -1000D), 60D), 0D)")).over(upto) for (_, a), o in outs.items()})
+    df = df.withColumns({f"{o}_s": F.sum(F.expr(f"IF({step[o][0]}, `{x}` * {a!r}D / ({step[o][1]} + {a!r}D) * exp({o}_d), 0D)")).over(upto) for (x, a), o in outs.items()})
+    block = df.groupBy(*keys, "_blk").agg(
+        *[F.expr(e) for x, i in place.items() for e in (
+            f"min(IF({own(x)}, {rn}, NULL)) AS _first{i}", f"min_by(`{x}`, IF({own(x)}, {rn}, NULL)) AS _x{i}", f"max(IF({own(x)}, {rn}, NULL)) AS _end{i}")],
+        *[F.expr(f"max_by(struct({o}_d AS d, {o}_s AS s), IF(_core, {rn}, NULL)) AS {o}_e") for o in outs.values()])
+    sofar = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    block = block.withColumns({f"_prev{i}": F.max(f"_end{i}").over(sofar) for i in place.values()})
+    enter, steps = {}, {}
+    for (x, a), o in outs.items():
+        i, before = place[x], old(a, f"_first{place[x]} - _prev{place[x]}")
+        enter[o] = f"coalesce({before} / ({before} + {a!r}D), 0D)", f"IF(_prev{i} IS NULL, _x{i}, _x{i} * {a!r}D / ({before} + {a!r}D))"
+        steps[o] = F.expr(f"IF(_first{i} IS NULL, NULL, struct({enter[o][0]} * exp(-{o}_e.d) AS r, ({enter[o][1]} + {o}_e.s) * exp(-{o}_e.d) AS z))")
+    carried = affine_carries(block.withColumns(steps), keys, "_blk", list(outs.values()))
+    carried = carried.select(*keys, "_blk", *[f"_prev{i}" for i in place.values()], *[F.expr(e) for (x, _), o in outs.items() for e in (
+        f"IF(_prev{place[x]} IS NULL, NULL, {o}_c) AS {o}_c", f"{enter[o][0]} * {o}_c + {enter[o][1]} AS {o}_f")])
+    df = df.join(carried, [*keys, "_blk"])
+    df = df.withColumns({
+        **{f"{x}__since": F.expr(f"{rn} - coalesce(IF({own(x)}, {rn}, NULL), _last{i}, _prev{i})") for x, i in place.items()},
+        **{o: F.expr(f"IF(_core, IF({own(x)} OR _last{place[x]} IS NOT NULL, ({o}_f + {o}_s) * exp(-{o}_d), {o}_c), NULL)") for (x, _), o in outs.items()}})
+    df = df.withColumns({f"{o}__before": F.when(F.col("_core"), F.coalesce(F.lag(o).over(inside), f"{o}_c")) for o in outs.values()})
+    return df.drop(*[f"{o}_{k}" for o in outs.values() for k in "dscf"], *[f"_{n}{i}" for i in place.values() for n in ("last", "prev")])
+
+
+def affine_carries(table: DataFrame, keys: list[str], at: str, outs: list[str], *, fan: int = SCAN_FAN, levels: int = 3) -> DataFrame:
+    """``table`` with what the steps before each row make of 0, as ``<out>_c``; ``out`` holds a row's step s -> r * s + z as a struct (r, z), NULL for none.
+
+    ``at`` numbers the rows of a series from 0. Steps are composed inside chunks of ``fan`` rows; the last row of a chunk stands for it in the next
+    level, ``levels`` deep. So a value is held for any length, while no row looks at more than ``fan`` others on a level: three levels reach
+    8.6e9 bars of one series, and more than that raise."""
+    none = F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("z"))
+    df = table.withColumn("_whole", F.struct(*[F.coalesce(o, none).alias(o) for o in outs])).withColumn("_before", F.struct(*[none.alias(o) for o in outs]))
+    for level in range(levels):
+        chunk = Window.partitionBy(*keys, F.floor(F.col(at) / fan ** (level + 1))).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        ends = F.when(F.pmod(F.col(at) + 1, F.lit(fan**level)) == 0, F.col("_whole"))
+        df = df.withColumn("_list", F.collect_list(ends).over(chunk))
+        df = df.withColumn("_sofar", F.struct(*[F.aggregate("_list", none, _composed(o)).alias(o) for o in outs]))
+        df = df.withColumns({c: F.struct(*[_composed(o)(F.col("_sofar")[o], F.col(c)).alias(o) for o in outs]) for c in ("_whole", "_before")})
+    fits = F.col(at) < fan**levels
+    carry = {f"{o}_c": F.when(fits, F.col("_before")[o]["z"]).otherwise(F.raise_error(F.lit("series is too long for the levels of its scan")).cast("double")) for o in outs}
+    return df.withColumns(carry).drop("_whole", "_before", "_list", "_sofar")
+
+
+def _composed(out: str):
+    """The step ``out`` of a row after the steps before it."""
+    return lambda before, row: F.struct((before["r"] * row[out]["r"]).alias("r"), (before["z"] * row[out]["r"] + row[out]["z"]).alias("z"))

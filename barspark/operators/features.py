@@ -120,17 +120,19 @@ def halo_rows(spec: FeatureSpec) -> int:
     return max(looks) + 2
 
 
-def has_gaps(bars: DataFrame) -> bool:
-    """Whether a price is missing anywhere; reads three columns until one is."""
-    return not prepare_bars(bars).filter("close IS NULL OR high IS NULL OR low IS NULL").isEmpty()
+def complete_bars(bars: DataFrame) -> DataFrame:
+    """``bars``, which raise where a price is missing."""
+    price = "CASE WHEN close IS NULL OR high IS NULL OR low IS NULL THEN raise_error('a price is missing: gaps=False holds for complete bars only') ELSE close END"
+    return bars.withColumn("close", F.expr(f"cast({price} AS double)"))
 
 
-def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states: bool = False, size: int = BLOCK_ROWS, gaps: bool | None = None) -> DataFrame:
+def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states: bool = False, size: int = BLOCK_ROWS, gaps: bool = True) -> DataFrame:
     """Numbered bars with raw features, one row per bar; ``states`` adds what a partial bar needs later.
 
-    ``gaps`` says whether prices may be missing, which takes a longer plan; None looks."""
-    gaps = has_gaps(bars) if gaps is None else gaps
-    cut = blocks(numbered_bars(prepare_bars(bars)), size=size, halo=halo_rows(spec))
+    Prices may be missing. ``gaps=False`` is for bars that are known to be complete (validated ones): about half the plan, which fails on a missing price."""
+    prepared = prepare_bars(bars)
+    bars = prepared if gaps else complete_bars(prepared)
+    cut = blocks(numbered_bars(bars), size=size, halo=halo_rows(spec))
     w = block_window(SLICE)
     last20, prior20 = w.rowsBetween(-19, 0), w.rowsBetween(-20, -1)
 
@@ -164,7 +166,10 @@ def feature_frame(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, states:
     if states:
         df = df.withColumns(_window_states(spec, w))
 
-    df = (with_gap_emas if gaps else with_emas)(df, SLICE, [e for i in spec.active for e in indicator_emas(i)], size=size)
+    emas = [e for i in spec.active for e in indicator_emas(i)]
+    df = (with_gap_emas if gaps else with_emas)(df, SLICE, emas, size=size)
+    if states and not gaps:
+        df = df.withColumns({f"{x}__since": F.lit(0).cast("bigint") for x in {e.x for e in emas}})
     return df.withColumns({
         f"{i.id}__dea": F.col(f"{i.id}__dea_fast") - F.col(f"{i.id}__dea_slow")
         for i in spec.active if i.kind == "macd"
@@ -220,7 +225,7 @@ def model_fields(df: DataFrame, spec: FeatureSpec, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.expr(e) for e in bounded])
 
 
-def bar_features(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, size: int = BLOCK_ROWS, gaps: bool | None = None) -> DataFrame:
+def bar_features(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, *, size: int = BLOCK_ROWS, gaps: bool = True) -> DataFrame:
     """The model features of every bar of every slice."""
     return finish_features(feature_frame(bars, spec, size=size, gaps=gaps), spec)
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import at_midnight, clip, period_start, safe_div, safe_div_fill, usable
 from ..plans.registry import DEFAULT_SPEC, FeatureSpec, Indicator
 from ..schema import INTRADAY, MINUTES, OPEN_AUCTION, ROWS_FROM_5MIN, ROWS_FROM_DAILY
-from .ema import span
-from .features import RETURNS, active_at, availability, feature_frame, indicator_fields, model_fields, price_ratios
+from .ema import gap_step, span
+from .features import RETURNS, active_at, availability, feature_frame, indicator_emas, indicator_fields, model_fields, price_ratios
 
 PARTIAL_COLUMNS = ("open", "high", "low", "close", "volume", "amount", "pctChg", "turn", "progress")
 LONG_PERIODS = ("weekly", "monthly")
@@ -124,6 +124,7 @@ def feature_states(bars: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, **kw) -> D
     """Per completed bar the rolling and averaging state a following partial bar continues from."""
     frame = feature_frame(bars, spec, states=True, **kw).filter("_core")
     averages = [f"{i.id}__{p}" for i in spec.active for p in _state_parts(i)]
+    averages += sorted({f"{e.x}__since" for i in spec.active for e in indicator_emas(i)})
     names = [c for c in frame.columns if c.startswith("st_")] + averages
     return frame.select(
         "symbol", "freq", "adjust", "datetime", F.col("rn").alias("st_rn"), F.col("first_close").alias("st_first_close"),
@@ -169,18 +170,20 @@ def snapshot_features(snapshots: DataFrame, states: DataFrame, spec: FeatureSpec
     for item in spec.active:
         df = df.withColumns(_advance(item))
         if item.kind == "kd":
-            df = df.withColumn(f"{item.id}__d", _step(f"st_{item.id}__d", F.col(f"{item.id}__k"), 1.0 / item.params["smooth_d"]))
+            df = df.withColumn(f"{item.id}__d", _step(f"st_{item.id}__d", None, F.col(f"{item.id}__k"), 1.0 / item.params["smooth_d"]))
         if item.kind == "macd":
             dif = F.col(f"{item.id}__fast") - F.col(f"{item.id}__slow")
-            df = df.withColumn(f"{item.id}__dea", _step(f"st_{item.id}__dea", dif, span(item.params["signal"])))
+            df = df.withColumn(f"{item.id}__dea", _step(f"st_{item.id}__dea", None, dif, span(item.params["signal"])))
         base = F.col(f"st_{item.id}__absforce") if item.kind == "efi" else None
         mid = (F.col(f"st_{item.id}__fast") + F.col(f"st_{item.id}__slow")) / 2.0 if item.kind == "ema_channel" else None
         df = df.withColumns({n: active_at(item, c) for n, c in indicator_fields(item, base, mid).items()})
     return model_fields(df, spec, "snapshot_id", "decision_id", "symbol", "freq", "adjust", "bar_datetime")
 
 
-def _step(state: str, x: Column, alpha: float) -> Column:
-    return F.coalesce(F.col(state) * (1.0 - alpha) + x * alpha, x)
+def _step(state: str, since: str | None, x: Column, alpha: float) -> Column:
+    """One step of an average; without ``since`` its input is an average itself, which is never missing once it has begun."""
+    rows = F.coalesce(F.col(f"st_{since}__since"), F.lit(0)) if since else F.lit(0)
+    return gap_step(F.col(state), rows, x, alpha)
 
 
 def _advance(i: Indicator) -> dict[str, Column]:
@@ -188,13 +191,12 @@ def _advance(i: Indicator) -> dict[str, Column]:
     if i.kind == "kd":
         low, high = F.least("low", f"st_{i.id}__low"), F.greatest("high", f"st_{i.id}__high")
         rsv = clip(safe_div_fill(F.col("close") - low, high - low, 0.5), 0.0, 1.0)
-        return {f"{i.id}__k": _step(f"st_{i.id}__k", rsv, 1.0 / p["smooth_k"])}
+        return {f"{i.id}__k": _step(f"st_{i.id}__k", f"{i.id}__rsv", rsv, 1.0 / p["smooth_k"])}
     if i.kind == "efi":
-        force = (F.col("close") - F.col("ref")) * F.col("volume")
-        return {f"{i.id}__2": _step(f"st_{i.id}__2", force, span(p["fast"])),
-                f"{i.id}__13": _step(f"st_{i.id}__13", force, span(p["slow"]))}
-    return {f"{i.id}__fast": _step(f"st_{i.id}__fast", F.col("close"), span(p["fast"])),
-            f"{i.id}__slow": _step(f"st_{i.id}__slow", F.col("close"), span(p["slow"]))}
+        first = F.col("st_rn").isNull() & F.col("close").isNotNull()
+        force = F.when(first, F.lit(0.0)).otherwise((F.col("close") - usable("st_close", "close")) * F.col("volume"))
+        return {f"{i.id}__{n}": _step(f"st_{i.id}__{n}", f"{i.id}__force", force, span(p[part])) for n, part in (("2", "fast"), ("13", "slow"))}
+    return {f"{i.id}__{part}": _step(f"st_{i.id}__{part}", "close", F.col("close"), span(p[part])) for part in ("fast", "slow")}
 
 
 def _joined(tail: str, current: str) -> str:

@@ -82,9 +82,9 @@ def stable_bars(base: DataFrame, daily: DataFrame, freqs: Sequence[str] = FREQUE
 
 def build_dataset(base: DataFrame, daily: DataFrame, *, status: DataFrame | None = None, liquidity: DataFrame | None = None,
                   freqs: Sequence[str] = FREQUENCIES, spec: FeatureSpec = DEFAULT_SPEC, model: ModelInput | None = None,
-                  start: str | None = None, end: str | None = None, trade_freq: str = "5min", stage: bool = False) -> FeatureDataset:
+                  start: str | None = None, end: str | None = None, trade_freq: str = "5min", stage: bool = False, gaps: bool = True) -> FeatureDataset:
     """The eight tables. With ``stage`` the inputs, decisions and completed bars, which several tables
-    start from, are written to the shared folder first instead of being derived again for each.
+    start from, are written to the shared folder first instead of being derived again for each. ``gaps=False``: no bar lacks a price.
     """
     cut = staged if stage else lambda df, name: df
     model = model or compile_blueprint(None, spec)
@@ -103,28 +103,28 @@ def build_dataset(base: DataFrame, daily: DataFrame, *, status: DataFrame | None
     return FeatureDataset(
         decisions=decisions, decision_context=D.decision_context(decisions), constraints=D.constraints(decisions),
         market_bars=S.with_row_ids(stable).withColumnRenamed("datetime", "bar_datetime"),
-        market_features=S.with_row_ids(bar_features(stable, spec)).withColumnRenamed("datetime", "bar_datetime"),
+        market_features=S.with_row_ids(bar_features(stable, spec, gaps=gaps)).withColumnRenamed("datetime", "bar_datetime"),
         decision_index=index, decision_snapshots=snapshots,
         dataset_metadata=spark.createDataFrame(sorted(meta.items()), "key STRING, value STRING"),
     )
 
 
-def snapshot_feature_rows(ds: FeatureDataset, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def snapshot_feature_rows(ds: FeatureDataset, spec: FeatureSpec = DEFAULT_SPEC, *, gaps: bool = True) -> DataFrame:
     """Features of every required partial bar of a dataset."""
     ends = ds.decision_index.filter("snapshot_required").select("snapshot_id", "stable_end_datetime")
-    states = feature_states(ds.market_bars.withColumnRenamed("bar_datetime", "datetime"), spec)
+    states = feature_states(ds.market_bars.withColumnRenamed("bar_datetime", "datetime"), spec, gaps=gaps)
     return snapshot_features(ds.decision_snapshots.join(ends, ["snapshot_id"]), states, spec)
 
 
-def dataset_sequences(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def dataset_sequences(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC, *, gaps: bool = True) -> DataFrame:
     features = ds.market_features.withColumnRenamed("bar_datetime", "datetime")
-    partial = snapshot_feature_rows(ds, needed_spec(spec, model))
+    partial = snapshot_feature_rows(ds, needed_spec(spec, model), gaps=gaps)
     return S.model_sequences(ds.decision_index, features, partial, model, spec)
 
 
-def dataset_inputs(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def dataset_inputs(ds: FeatureDataset, model: ModelInput, spec: FeatureSpec = DEFAULT_SPEC, *, gaps: bool = True) -> DataFrame:
     context = D.context_with_constraints(ds.decision_context, ds.constraints)
-    return S.model_inputs(dataset_sequences(ds, model, spec), context, model)
+    return S.model_inputs(dataset_sequences(ds, model, spec, gaps=gaps), context, model)
 
 
 PARTITIONS = {"market_bars": ["freq"], "market_features": ["freq"], "decision_index": ["freq"], "decision_snapshots": ["freq"]}

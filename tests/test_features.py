@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.catalog import inputs
-from barspark.operators.ema import Ema, span, with_emas, with_gap_emas
+from barspark.operators.ema import Ema, affine_carries, span, with_emas, with_gap_emas
 from barspark.operators.features import bar_features
 from barspark.operators.series import blocks, number_rows, time_chunk
 from barspark.plans.registry import DEFAULT_SPEC
@@ -69,3 +69,44 @@ def test_features_over_missing_closes_match_pandas(spark, sf, size):
         if name.startswith(("macd", "kd", "efi", "ema_channel")):
             expected = want[name].clip(lo, hi).replace([np.inf, -np.inf], np.nan).fillna(0.0)
             np.testing.assert_allclose(got[name], expected, rtol=1e-7, atol=1e-8, err_msg=name)
+
+
+def test_averages_hold_over_ten_thousand_missing_rows(spark):
+    """No length of a gap changes a held average, also at a block's edge and over several chunks of the scan."""
+    rows = [("a", "5min", "none", i, float(10 + i % 3) if i <= 96 or i in (10_100, 10_101) else None) for i in range(1, 10_103)]
+    rows += [("b", "5min", "none", i, 5.0 if i <= 64 else 7.0 if i == 9_001 else None) for i in range(1, 9_100)]
+    rows += [("c", "5min", "none", i, None if i < 700 else float(i % 5)) for i in range(1, 800)]
+    bars = spark.createDataFrame(rows, "symbol string, freq string, adjust string, rn bigint, close double")
+    emas = [Ema("third", "close", 1 / 3), Ema("slow", "close", span(169)), Ema("twice", "close", 1 / 3, 1 / 3), Ema("signal", "close", span(12), span(9))]
+    out = with_gap_emas(blocks(bars, size=32, halo=3), SLICE, emas, size=32).filter("_core").toPandas().sort_values(["symbol", "rn"])
+    e = lambda s, a: s.ewm(alpha=a, adjust=False).mean()
+    for _, g in out.groupby("symbol"):
+        c = g["close"]
+        want = {"third": e(c, 1 / 3), "slow": e(c, 2 / 170), "twice": e(e(c, 1 / 3), 1 / 3), "signal": e(e(c, 2 / 13), 0.2)}
+        for name, w in want.items():
+            np.testing.assert_allclose(g[name], w, rtol=1e-9, err_msg=name)
+        last = c.notna() * g["rn"]
+        np.testing.assert_allclose(g["close__since"].astype(float), np.where(last.cummax() > 0, g["rn"] - last.cummax(), np.nan))
+
+
+def test_carries_at_every_level(spark):
+    rows = [("k", i, None if i % 7 == 3 else (0.5 + (i % 4) / 8, float(i % 5))) for i in range(300)] + [("m", 0, (0.0, 4.0)), ("m", 1, (1.0, 0.0))]
+    table = spark.createDataFrame(rows, "k string, at bigint, s struct<r: double, z: double>")
+    got = {(r["k"], r["at"]): r["s_c"] for r in affine_carries(table, ["k"], "at", ["s"], fan=8, levels=3).select('k', 'at', 's_c').collect()}
+    want, state = {}, {}
+    for k, at, step in rows:
+        want[k, at] = state.get(k, 0.0)
+        state[k] = want[k, at] if step is None else step[0] * want[k, at] + step[1]
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        assert np.isclose(got[key], w, rtol=1e-12)
+    with pytest.raises(Exception, match="too long"):
+        affine_carries(table, ["k"], "at", ["s"], fan=8, levels=2).collect()
+
+
+def test_missing_price_raises_where_none_was_promised(spark, sf):
+    bars = inputs.bars_5min(spark, sf)
+    holes = bars.withColumn("close", F.when(F.hour("datetime") != 5, F.col("close")))
+    assert bar_features(bars, gaps=False).count() == bars.count()
+    with pytest.raises(Exception, match="price is missing"):
+        bar_features(holes, gaps=False).collect()
