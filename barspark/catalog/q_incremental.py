@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import inventory as V
 from ..operators.bars import stored_bars
 from ..plans import incremental as N
-from ..plans.staging import staged
+from ..plans.staging import staged, work_dir
+from ..sources import sinks as K
+from ..sources.store import Change, Store
 from . import inputs as I
 from .inputs import with_inputs
 from .q_bars import _ordinal, _stored_sql
@@ -32,6 +34,14 @@ def _state(spark, sf):
     return now, target, staged(manifest, "manifest")
 
 
+def _stored(spark, sf):
+    """The same state as tables of a store."""
+    now, target, manifest = _state(spark, sf)
+    store = Store(spark, work_dir(spark, "bars"))
+    store.commit({"bars": Change(K.with_month(target), K.BAR_PARTITIONS, order=("symbol", "datetime")), "manifest": Change(manifest)})
+    return now, store
+
+
 @query("rebuild_plan", "K1 K2 K7 C15 C16 C17", with_inputs("bars", body=f"""
 , l AS (SELECT symbol, date_trunc('day', max(datetime))::TIMESTAMP AS d, max(datetime) AS m FROM bars WHERE datetime < TIMESTAMP '{_CUT}' GROUP BY symbol)
 SELECT DISTINCT b.symbol, CASE b.symbol WHEN '300001.SZ' THEN 'adopt' WHEN '688001.SH' THEN 'full' WHEN '830001.BJ' THEN 'skip' WHEN '600000.SH' THEN 'full' ELSE 'append' END AS action,
@@ -43,10 +53,10 @@ def _(spark, sf):
 
 @query("materialized_bars", "K3 K4 A12", _stored_sql(["bars"], "bars", "5min", "15min", _ordinal(3)))
 def _(spark, sf):
-    """Bringing the stored target up to date equals building it anew."""
-    now, target, manifest = _state(spark, sf)
-    new, _, _ = N.materialize(now, target, manifest, base_freq="5min", target_freq="15min")
-    return rounded(new, 8)
+    """Bringing the stored target up to date equals building it anew; read through the table's version."""
+    now, store = _stored(spark, sf)
+    N.materialize_store(now, store, base_freq="5min", target_freq="15min")
+    return rounded(K.read_bars(store), 8)
 
 
 @query("materialize_summary", "K4", with_inputs("bars", body=f"""
@@ -63,10 +73,9 @@ def _(spark, sf):
 
 @query("second_run_skips", "K1 K3", with_inputs("bars", body="SELECT DISTINCT symbol, 'skip' AS action FROM bars"))
 def _(spark, sf):
-    now, target, manifest = _state(spark, sf)
-    new, listed, _ = N.materialize(now, target, manifest, base_freq="5min", target_freq="15min")
-    new, listed = staged(new, "target"), staged(listed, "manifest")
-    return N.plan_rebuild(now, new, listed, base_freq="5min", target_freq="15min").select("symbol", "action")
+    now, store = _stored(spark, sf)
+    N.materialize_store(now, store, base_freq="5min", target_freq="15min")
+    return N.plan_rebuild(now, K.read_bars(store), store.read("manifest"), base_freq="5min", target_freq="15min").select("symbol", "action")
 
 
 @query("manifest_matches", "K5", with_inputs("bars", body="SELECT DISTINCT symbol, symbol = '830001.BJ' AS matches FROM bars WHERE symbol NOT IN ('300001.SZ', '600000.SH')"))

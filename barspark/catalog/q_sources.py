@@ -1,5 +1,8 @@
 """Scans and writes. Files go under the session's checkpoint folder."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import normalize as N
@@ -8,6 +11,7 @@ from ..plans import dataset as P
 from ..plans.staging import staged, work_dir
 from ..sources import scans as R
 from ..sources import sinks as K
+from ..sources.store import Store
 from . import inputs as I
 from .inputs import with_inputs
 from .registry import query, rounded
@@ -132,10 +136,10 @@ def _(spark, sf):
 
 @query("upsert_bars_on_files", "A12", with_inputs("bars", body=_INCOMING.format(cut="")))
 def _(spark, sf):
-    path = work_dir(spark, "bars")
-    K.write_bars(I.bars_5min_pct(spark, sf), path)
-    K.save_bars(spark, path, _incoming(spark, sf), sequence="seq")
-    return rounded(spark.read.parquet(path).select("symbol", "datetime", "close", "pctChg"))
+    store = Store(spark, work_dir(spark, "bars"))
+    K.create_bars(store, I.bars_5min_pct(spark, sf))
+    K.save_bars(store, _incoming(spark, sf), sequence="seq")
+    return rounded(K.read_bars(store).select("symbol", "datetime", "close", "pctChg"))
 
 
 @query("replace_symbols", "A13", with_inputs("bars", body=_INCOMING.format(cut=" AND b.symbol = '600000.SH'")))
@@ -195,16 +199,28 @@ def _(spark, sf):
 
 
 @query("market_export", "A19", with_inputs("bars", body="""
-SELECT e."end" AS "end", symbol, freq, count(*) AS rows, max(datetime) AS last_datetime, e.written FROM bars, (VALUES ('2024-01-20', DATE '2024-01-20', 'true,false'), ('2024-01-30', DATE '2024-01-30', 'true,false')) e("end", day, written)
-WHERE datetime < e.day + INTERVAL 1 DAY GROUP BY ALL"""))
+, runs AS (SELECT * FROM (VALUES (1, DATE '2024-01-20', 0, 'true'), (2, DATE '2024-01-20', 0, 'false'), (3, DATE '2024-01-30', 0, 'true'), (4, DATE '2024-01-30', 1, 'true'), (5, DATE '2024-01-20', 0, 'true')) t(run, day, extra, written))
+SELECT run, written, symbol, freq, count(*) AS rows, max(datetime) AS last_datetime, round(sum(close + CASE WHEN day(datetime) = 3 THEN extra ELSE 0 END), 6) AS closes FROM bars, runs
+WHERE datetime < runs.day + INTERVAL 1 DAY GROUP BY ALL"""))
 def _(spark, sf):
-    """Two ends exported to one path, each asked for twice: the second request is kept, another end is written anew."""
+    """Five requests to one path: asked again, another end, corrected bars under the same end, back to the first."""
     bars, path, out = I.bars_5min(spark, sf), work_dir(spark, "export"), []
-    for end in ("2024-01-20", "2024-01-30"):
-        written = ",".join(str(K.export_market(bars, path, end=end)).lower() for _ in range(2))
-        got = spark.read.parquet(path).groupBy("symbol", "freq").agg(F.count("*").alias("rows"), F.max("datetime").alias("last_datetime"))
-        out.append(staged(got.select(F.lit(end).alias("end"), "*", F.lit(written).alias("written")), "export-summary"))
-    return out[0].unionAll(out[1])
+    corrected = bars.withColumn("close", F.col("close") + F.when(F.dayofmonth("datetime") == 3, 1.0).otherwise(0.0))
+    for run, (end, df) in enumerate([("2024-01-20", bars)] * 2 + [("2024-01-30", bars), ("2024-01-30", corrected), ("2024-01-20", bars)], 1):
+        written = str(K.export_market(df, path, end=end)).lower()
+        got = K.read_export(spark, path).groupBy("symbol", "freq").agg(F.count("*").alias("rows"), F.max("datetime").alias("last_datetime"), F.round(F.sum("close"), 6).alias("closes"))
+        out.append(staged(got.select(F.lit(run).alias("run"), F.lit(written).alias("written"), "*"), "export-summary"))
+    return reduce(DataFrame.unionAll, out)
+
+
+@query("fact_export", "A19 A6", with_inputs("liquidity", "status", body="""
+SELECT symbol, date::TIMESTAMP AS date, round(turn, 6) AS turn, is_st FROM liquidity FULL JOIN status USING (symbol, date) WHERE date <= DATE '2024-01-20'"""))
+def _(spark, sf):
+    """Turnover and status exported beside the bars, and read back."""
+    path = work_dir(spark, "export")
+    K.export_market(I.bars_5min(spark, sf), path, end="2024-01-20", facts={"turnover": I.liquidity(spark, sf), "status": I.status(spark, sf)})
+    turn, st = (K.read_export(spark, path, n).drop("source") for n in ("turnover", "status"))
+    return rounded(turn.join(st, ["symbol", "date"], "full").select("symbol", F.col("date").cast("timestamp_ntz").alias("date"), "turn", "is_st"))
 
 
 @query("coverage_manifest", "A21 F4 J15", with_inputs("bars", body="SELECT symbol, count(*) AS rows, symbol <> '830001.BJ' AS verified FROM bars WHERE symbol <> '000001.SZ' GROUP BY symbol"))

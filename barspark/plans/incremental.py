@@ -12,6 +12,8 @@ from ..functions.scalars import period_start, range_filter
 from ..operators import inventory as V
 from ..operators.bars import stored_bars
 from ..schema import INTRADAY
+from ..sources.sinks import BAR_PARTITIONS, with_month
+from ..sources.store import Change, Store
 from .staging import staged
 
 KEY = ["symbol", "adjust"]
@@ -115,6 +117,33 @@ def materialize(base: DataFrame, target: DataFrame, manifest: DataFrame, *, base
     return new, next_manifest(manifest, plan, new, base_freq=base_freq, target_freq=target_freq, source=source), summary(plan, made, target_freq)
 
 
+MANIFEST = ("symbol STRING, base_freq STRING, target_freq STRING, adjust STRING, source STRING, base_start TIMESTAMP_NTZ, base_end TIMESTAMP_NTZ, "
+            "base_rows BIGINT, base_hash BIGINT, target_rows BIGINT, generated_at TIMESTAMP_NTZ")
+
+
+def materialize_store(base: DataFrame, store: Store, *, base_freq: str, target_freq: str, source: str | None = None) -> DataFrame:
+    """Bring the stored bars of ``target_freq`` up to date and return the summary.
+
+    Only months that lose or gain rows are written. They and the manifest rows are swapped in one version, so a lost driver leaves the old bars with
+    the old manifest, and the next run does the work again.
+    """
+    spark = base.sparkSession
+    empty = stored_bars(base.limit(0), target_freq, base_freq, source=source)
+    old = store.read("bars") if store.has("bars") else with_month(empty)
+    manifest = store.read("manifest") if store.has("manifest") else spark.createDataFrame([], MANIFEST)
+    target = old.filter(F.col("freq") == target_freq)
+    plan = staged(plan_rebuild(base, target.drop("month"), manifest, base_freq=base_freq, target_freq=target_freq, source=source), "plan")
+    made = staged(with_month(generate(base, plan, base_freq=base_freq, target_freq=target_freq, source=source)), "generated")
+    todo = plan.filter(F.col("action").isin(APPEND, FULL)).select(*KEY, F.date_format("rebuild_start", "yyyy-MM").alias("_from"))
+    lost = target.select(*KEY, *BAR_PARTITIONS[:1], "month").distinct().join(todo, KEY).filter("_from IS NULL OR month >= _from")
+    months = staged(lost.select(*BAR_PARTITIONS).unionByName(made.select(*BAR_PARTITIONS)).distinct(), "months")
+    rows = apply_plan(target.join(months, list(BAR_PARTITIONS), "left_semi"), made, plan)
+    counts = apply_plan(target.select(*KEY, "datetime", "source"), made.select(*KEY, "datetime", "source"), plan)
+    listed = next_manifest(manifest, plan, counts, base_freq=base_freq, target_freq=target_freq, source=source)
+    store.commit({"bars": Change(rows.select(*old.columns), BAR_PARTITIONS, touched=months, order=("symbol", "datetime")), "manifest": Change(listed)})
+    return summary(plan, made, target_freq)
+
+
 def summary(plan: DataFrame, generated: DataFrame, target_freq: str, requested: DataFrame | None = None) -> DataFrame:
     """Saved and base rows with a status per symbol, and a total row."""
     saved = generated.groupBy("symbol").agg(F.count("*").alias("saved_rows"))

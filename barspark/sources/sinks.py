@@ -1,16 +1,14 @@
 """Writing: upserts, deletes, exports, reports.
 
-An upsert is an anti join and a union. On files it rewrites only the partitions it changes, by way of
-a staged copy next to the table, so losing an executor or the driver leaves either the old or the new rows.
+An upsert is an anti join and a union. On files it writes the months that it changes beside the table and then swaps the table's
+version (``store``), so losing an executor or the driver leaves either the old or the new rows.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,9 @@ from ..functions.scalars import safe_div, usable
 from ..operators.bars import refresh_pct_chg
 from ..operators.normalize import keep_last, storage_bars
 from ..operators.series import running, time_chunk
+from ..plans.staging import staged
 from ..schema import BAR_KEY, SLICE
+from .store import Change, Store, batch_done, batch_note
 
 BAR_PARTITIONS = ("freq", "adjust", "month")
 
@@ -55,30 +55,57 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     with_month(bars).repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(*BAR_PARTITIONS).parquet(path)
 
 
-def save_bars(spark: SparkSession, path: str, incoming: DataFrame, *, sequence: str) -> None:
-    """Upsert into stored bars, rewriting only the months that hold an incoming bar or the bar right after one.
+def create_bars(store: Store, bars: DataFrame) -> None:
+    """A new table of bars, or all of it anew."""
+    store.commit({"bars": Change(with_month(bars), BAR_PARTITIONS, order=("symbol", "datetime"))})
 
-    The refreshed slices are written beside the table first; the months are then built from there.
+
+def read_bars(store: Store) -> DataFrame:
+    return store.read("bars").drop("month")
+
+
+def save_bars(store: Store, incoming: DataFrame, *, sequence: str, batch: tuple[str, int] | None = None) -> bool:
+    """Upsert into stored bars; False if this ``batch`` (stream, number) is in the table already.
+
+    Read are the months from the earliest incoming bar on, and of what lies before only each slice's last close. Written are the months that hold an
+    incoming bar or the bar right after one, whose pctChg changes.
     """
-    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
-    base = spark.read.parquet(path)
-    new = keep_last(storage_bars(incoming), list(BAR_KEY), sequence).drop(sequence).withColumn("_new", F.lit(1))
-    touched = new.select(*SLICE).distinct()
-    merged = upsert(base.drop("month").join(touched, list(SLICE), "left_semi"), new, BAR_KEY)
-    linked = running(merged, SLICE, ["datetime"], time_chunk(), {"_p": ("last", F.struct("close", "_new"))}, exclusive=True)
-    fresh = with_month(linked.withColumns({
+    if batch_done(store, batch):
+        return False
+    new = with_month(keep_last(storage_bars(incoming), list(BAR_KEY), sequence).drop(sequence))
+    new = staged(new.withColumn("_new", F.lit(1)), "incoming")
+    first = new.agg(F.min("month")).first()[0]
+    if first is None:
+        store.commit({}, batch_note(batch))
+        return True
+    base = store.read("bars") if store.has("bars") else new.drop("_new").limit(0)
+    start = new.groupBy(*SLICE).agg(F.min("month").alias("_from"))
+    old = base.join(start, list(SLICE))
+    before = old.filter("month < _from").groupBy(*SLICE).agg(F.max("datetime").alias("datetime"), F.max_by("close", "datetime").alias("close"))
+    later = old.filter((F.col("month") >= first) & (F.col("month") >= F.col("_from"))).drop("_from")
+    merged = upsert(later, new, BAR_KEY).unionByName(before.withColumn("_carried", F.lit(1)), allowMissingColumns=True)
+    linked = running(merged, SLICE, ["datetime"], time_chunk(), {"_p": ("last", F.struct("close", "_new"))}, exclusive=True).filter("_carried IS NULL")
+    fresh = staged(linked.withColumns({
         "pctChg": safe_div("close", usable(F.col("_p.close"), "open")) - 1.0,
-        "_changed": F.col("_new").isNotNull() | F.col("_p._new").isNotNull(),
-    })).drop("_new", "_p")
-    fresh.write.parquet(f"{staged}/slices")
+        "_changed": F.col("_new").isNotNull() | F.coalesce(F.col("_p._new").isNotNull(), F.lit(False)),
+    }).drop("_new", "_p", "_carried"), "slices")
+    months = fresh.filter("_changed").select(*BAR_PARTITIONS).distinct()
+    others = base.filter(F.col("month") >= first).join(months, list(BAR_PARTITIONS), "left_semi").join(
+        fresh.select(*SLICE, "month").distinct(), [*SLICE, "month"], "left_anti")
+    rows = others.unionByName(fresh.drop("_changed").join(months, list(BAR_PARTITIONS), "left_semi"), allowMissingColumns=True)
+    store.commit({"bars": Change(rows, BAR_PARTITIONS, touched=months, order=("symbol", "datetime"))}, batch_note(batch))
+    return True
+
 
-    slices = spark.read.parquet(f"{staged}/slices")
-    months = slices.filter("_changed").select(*BAR_PARTITIONS).distinct()
-    others = base.join(months, list(BAR_PARTITIONS), "left_semi").join(slices.select(*SLICE).distinct(), list(SLICE), "left_anti")
-    rows = others.unionByName(slices.drop("_changed").join(months, list(BAR_PARTITIONS), "left_semi"), allowMissingColumns=True)
-    write_bars(rows.drop("month"), f"{staged}/months")
-    ready = spark.read.parquet(f"{staged}/months")
-    ready.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*BAR_PARTITIONS).parquet(path)
+def save_facts(store: Store, name: str, incoming: DataFrame, keys: Sequence[str], *, sequence: str, batch: tuple[str, int] | None = None) -> bool:
+    """Upsert dated facts (with a column ``date``) into the table ``name``, keep-last on ``keys``; only months with an incoming row are read and written."""
+    if batch_done(store, batch):
+        return False
+    new = staged(keep_last(incoming, list(keys), sequence).drop(sequence).withColumn("month", F.date_format("date", "yyyy-MM")), "incoming")
+    months = new.select("month").distinct()
+    rows = upsert(store.read(name).join(months, ["month"], "left_semi"), new, keys) if store.has(name) else new
+    store.commit({name: Change(rows, ("month",), touched=months, order=tuple(keys))}, batch_note(batch))
+    return True
 
 
 def delete_slices(bars: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,35 +131,39 @@ def delete_facts(facts: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 
 
 def export_market(bars: DataFrame, path: str, *, end: str | None = None, adjust: str | None = None, symbols: DataFrame | None = None,
-                  force: bool = False) -> bool:
-    """Bars up to ``end`` as freq / adjust / symbol-bucket partitions; returns whether anything was written.
+                  facts: dict[str, DataFrame] | None = None, force: bool = False) -> bool:
+    """Bars up to ``end`` as freq / adjust / symbol-bucket partitions, and dated ``facts`` (by name) as bucket partitions; False if nothing was to do.
 
-    An export is kept only if it was finished for the same ``end`` and ``adjust``, which ``path``.request tells, and no ``symbols`` (a frame) are
-    asked for; an export without rows still carries its schema. Tasks are ranges of rows, so a symbol with most bars is many.
+    An export is kept only if it was made for the same request and the same rows, which the version's note tells: a count and an order-free hash of what
+    was selected of each table. Data and note are swapped together. An export without rows carries its schema. Tasks are ranges of rows, so a
+    symbol with most bars is many. ``read_export`` reads it.
     """
     from ..functions.scalars import range_filter, symbol_bucket
 
-    spark = bars.sparkSession
-    asked = json.dumps({"end": end, "adjust": adjust})
-    if not force and symbols is None:
-        try:
-            if [r[0] for r in spark.read.text(f"{path}.request").collect()] == [asked]:
-                return False
-        except AnalysisException:
-            pass  # nothing was exported yet
-    df = bars.filter(range_filter("datetime", None, end))
-    if adjust is not None:
-        df = df.filter(F.col("adjust") == adjust)
-    if symbols is not None:
-        df = df.join(symbols.select("symbol").distinct(), ["symbol"], "left_semi")
-    df = df.withColumn("bucket", symbol_bucket("symbol", 100))
-    order = ["freq", "adjust", "bucket", "symbol", "datetime"]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("freq", "adjust", "bucket").parquet(path)
-    done = asked if symbols is None else json.dumps({"symbols": "some"})
-    spark.createDataFrame([(done,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.request")
+    store = Store(bars.sparkSession, path)
+
+    def chosen(df: DataFrame, time: str) -> DataFrame:
+        df = df.filter(range_filter(time, None, end))
+        if symbols is not None:
+            df = df.join(symbols.select("symbol").distinct(), ["symbol"], "left_semi")
+        return df.withColumn("bucket", symbol_bucket("symbol", 100))
+
+    tables = {"bars": chosen(bars if adjust is None else bars.filter(F.col("adjust") == adjust), "datetime")}
+    tables |= {name: chosen(df, "date") for name, df in sorted((facts or {}).items())}
+    prints = {n: list(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0)), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns), F.lit(1)).cast("decimal(38,0)")), F.lit(0)).cast("string")).first())
+              for n, df in tables.items()}
+    asked = json.dumps({"end": end, "adjust": adjust, "some": symbols is not None, "rows": prints}, sort_keys=True)
+    if not force and store.note("request") == asked:
+        return False
+    by = {n: ("freq", "adjust", "bucket") if n == "bars" else ("bucket",) for n in tables}
+    store.commit({n: Change(df, by[n], order=("symbol", "datetime" if n == "bars" else "date")) for n, df in tables.items()}, {"request": asked})
     return True
 
 
+def read_export(spark: SparkSession, path: str, name: str = "bars") -> DataFrame:
+    return Store(spark, path).read(name).drop("bucket")
+
+
 def write_symbol_list(symbols: DataFrame, path: str) -> None:
     """Distinct symbols in order, one per line."""
     symbols.select("symbol").distinct().orderBy("symbol").write.mode("overwrite").text(path)
