@@ -214,13 +214,13 @@ def _(spark, sf):
 
 
 @query("fact_export", "A19 A6", with_inputs("liquidity", "status", body="""
-SELECT symbol, date::TIMESTAMP AS date, round(turn, 6) AS turn, is_st FROM liquidity FULL JOIN status USING (symbol, date) WHERE date <= DATE '2024-01-20'"""))
+SELECT symbol, date::TIMESTAMP AS date, round(turn, 6) AS turn, coalesce(is_st, false) AS is_st FROM liquidity FULL JOIN status USING (symbol, date) WHERE date <= DATE '2024-01-20'"""))
 def _(spark, sf):
     """Turnover and status exported beside the bars, and read back."""
     path = work_dir(spark, "export")
     K.export_market(I.bars_5min(spark, sf), path, end="2024-01-20", facts={"turnover": I.liquidity(spark, sf), "status": I.status(spark, sf)})
     turn, st = (K.read_export(spark, path, n).drop("source") for n in ("turnover", "status"))
-    return rounded(turn.join(st, ["symbol", "date"], "full").select("symbol", F.col("date").cast("timestamp_ntz").alias("date"), "turn", "is_st"))
+    return rounded(turn.join(st, ["symbol", "date"], "full").select("symbol", F.col("date").cast("timestamp_ntz").alias("date"), "turn", F.coalesce("is_st", F.lit(False)).alias("is_st")))
 
 
 @query("coverage_manifest", "A21 F4 J15", with_inputs("bars", body="SELECT symbol, count(*) AS rows, symbol <> '830001.BJ' AS verified FROM bars WHERE symbol <> '000001.SZ' GROUP BY symbol"))

@@ -130,17 +130,17 @@ def canonical_text() -> Column:
 
 
 def canonical_hash(bars: DataFrame) -> DataFrame:
-    """Order-free sha256 of each slice: of each time chunk's sorted rows, then of the sorted chunk hashes.
+    """Order-free sha256 of each slice, as a tree over time: of each time chunk's sorted rows (a day or a year), of a year's chunks, of 64 years, of those.
 
-    A chunk holds at most a few hundred bars, so no slice is gathered in one place.
+    Every node has a bounded number of children (a few hundred bars, 366 days, 64 years, 157 of these up to the year 9999), however long the slice is.
     """
-    chunks = bars.groupBy(*SLICE, time_chunk().alias("_chunk")).agg(
+    nodes = bars.groupBy(*SLICE, time_chunk().alias("_at")).agg(
         F.sha2(F.array_join(F.sort_array(F.collect_list(canonical_text())), "\n"), 256).alias("_h"), F.count("*").alias("n")
     )
-    return chunks.groupBy(*SLICE).agg(
-        F.sum("n").alias("rows"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("sha256"),
-    )
+    for level in (F.year("_at"), F.floor(F.col("_at") / 64), F.lit(0)):
+        children = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"])
+        nodes = nodes.groupBy(*SLICE, level.alias("_up")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("_h"), F.sum("n").alias("n")).withColumnRenamed("_up", "_at")
+    return nodes.select(*SLICE, F.col("n").alias("rows"), F.col("_h").alias("sha256"))
 
 
 def dataset_estimate(base: DataFrame, daily: DataFrame, windows: dict[str, int], *, bytes_per_row: int = 8 * 40) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BOUNDARY_DAYS, business_days, expected_minimum_rows, is_bad_number, lookup
 from ..plans.registry import DEFAULT_SPEC, FeatureSpec
 from ..schema import BAR_KEY, FREQUENCIES, PRICE_COLUMNS, SEQUENCE_WINDOWS, SLICE
 from . import inventory as V
+from .asof import as_of
 from .series import running, time_chunk
 
 REQUIRED = ("symbol", "datetime", "open", "high", "low", "close", "volume")
@@ -328,14 +329,38 @@ def _weekdays(start: Column, end: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.floor(business_days(start, end) * share)).cast("bigint")
 
 
+def neighbours(asked: DataFrame, days: DataFrame) -> DataFrame:
+    """For every different ``date`` of ``asked`` the nearest of ``days`` (date, n) at or before it (le), before it (lt), at or after (ge), after (gt), and
+    the sums of n up to it and before it. A row for each different date at most, so a few ten thousand are ordered."""
+    marked = asked.select(F.col("date").cast("date").alias("date"), F.lit(None).cast("bigint").alias("n")).unionByName(days.select("date", F.col("n").cast("bigint").alias("n")))
+    one = marked.filter("date IS NOT NULL").groupBy("date").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1))
+    w = Window.partitionBy("_all").orderBy("date")
+    here = F.when(F.col("n").isNotNull(), F.col("date"))
+    first, last, now = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+    return one.select(
+        "date", F.last(here, ignorenulls=True).over(w.rowsBetween(first, now)).alias("le"), F.last(here, ignorenulls=True).over(w.rowsBetween(first, -1)).alias("lt"),
+        F.first(here, ignorenulls=True).over(w.rowsBetween(now, last)).alias("ge"), F.first(here, ignorenulls=True).over(w.rowsBetween(1, last)).alias("gt"),
+        F.coalesce(F.sum("n").over(w.rowsBetween(first, now)), F.lit(0)).alias("n_le"), F.coalesce(F.sum("n").over(w.rowsBetween(first, -1)), F.lit(0)).alias("n_lt"))
+
+
+def _near(df: DataFrame, table: DataFrame, name: str, *take: str) -> DataFrame:
+    """``df`` with columns of ``neighbours`` for its date ``name``, as ``<name>_<column>``."""
+    side = table.select(F.col("date").alias("_k"), *[F.col(c).alias(f"{name}_{c}") for c in take])
+    return df.join(side, F.col(name).cast("date") == F.col("_k"), "left").drop("_k")
+
+
 def calendar_covered(requests: DataFrame, calendar: DataFrame, share: float = 0.75) -> DataFrame:
     """Requests (start, end) whose range the calendar bounds and fills to ``share`` of its days."""
-    have = calendar.groupBy("date").agg(F.count("*").alias("_n"))
-    inside = requests.join(have, F.col("date").between(F.col("start"), F.col("end")), "left").groupBy("start", "end").agg(
-        F.min("date").alias("first"), F.max("date").alias("last"), F.coalesce(F.sum("_n"), F.lit(0)).alias("days"))
+    have = calendar.groupBy(F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"))
+    ranges = requests.select("start", "end").distinct()
+    table = neighbours(ranges.select(F.explode(F.array(F.col("start").cast("date"), F.col("end").cast("date"))).alias("date")), have)
+    df = _near(_near(ranges, table, "start", "ge", "n_lt"), table, "end", "le", "n_le")
+    inside = F.coalesce(F.col("start_ge") <= F.col("end"), F.lit(False))
+    df = df.select("start", "end", F.when(inside, F.col("start_ge")).alias("first"), F.when(inside, F.col("end_le")).alias("last"),
+                   F.when(inside, F.col("end_n_le") - F.col("start_n_lt")).otherwise(0).alias("days"))
     need = F.greatest(F.lit(1), F.floor((F.datediff("end", "start") + 1) * share))
     ok = (F.col("end") >= F.col("start")) & (F.col("first") <= F.col("start")) & (F.col("last") >= F.col("end")) & (F.col("days") >= need)
-    return inside.withColumn("covered", F.coalesce(ok, F.lit(False)))
+    return df.withColumn("covered", F.coalesce(ok, F.lit(False)))
 
 
 def facts_covered(requests: DataFrame, facts: DataFrame, value: str, *, share: float = 0.6, tolerance_days: int = 4) -> DataFrame:
@@ -370,18 +395,17 @@ def plan_gaps(requests: DataFrame, catalog: DataFrame, calendar: DataFrame, *, t
     asked = requests.withColumn("end", F.least("end", F.lit(today).cast("date")))
     stored = catalog.select(*SLICE, F.to_date("start_datetime").alias("_s"), F.to_date("end_datetime").alias("_e"), "rows")
     joined = asked.join(stored, list(SLICE), "left")
-    # Only three edges of the calendar matter per distinct range, so it is joined to those few.
-    edges = joined.select("start", "end", "_s", "_e").distinct().join(days, F.col("_d").between(F.col("start"), F.col("end")), "left")
-    def bound(pick, cond):
-        return pick(F.when(cond, F.col("_d")))
-
-    edges = edges.groupBy("start", "end", "_s", "_e").agg(
-        F.min("_d").alias("first"), F.max("_d").alias("last"),
-        bound(F.min, F.col("_d") < F.col("_s")).alias("pre_a"), bound(F.max, F.col("_d") < F.col("_s")).alias("pre_b"),
-        bound(F.min, F.col("_d") > F.col("_e")).alias("post_a"), bound(F.max, F.col("_d") > F.col("_e")).alias("post_b"),
-    )
-    same = [F.col(f"j.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("start", "end", "_s", "_e")]
-    df = joined.alias("j").join(edges.alias("e"), same[0] & same[1] & same[2] & same[3]).select("j.*", "e.first", "e.last", "e.pre_a", "e.pre_b", "e.post_a", "e.post_b")
+    dates = joined.select(F.explode(F.array("start", "end", "_s", "_e")).alias("date"))
+    table = neighbours(dates, days.select(F.col("_d").alias("date"), F.lit(1).alias("n")))
+    df = _near(_near(_near(_near(joined, table, "start", "ge"), table, "end", "le"), table, "_s", "lt"), table, "_e", "gt")
+    lower, upper = F.col("start_ge"), F.col("end_le")  # the first and last trading day of the range, if there are any
+    some = F.coalesce(lower <= F.col("end"), F.lit(False))
+    pre_b = F.when(F.col("_s").isNotNull() & F.col("_s_lt").isNotNull(), F.least(upper, F.col("_s_lt")))
+    post_a = F.when(F.col("_e").isNotNull() & F.col("_e_gt").isNotNull(), F.greatest(lower, F.col("_e_gt")))
+    df = df.withColumns({
+        "first": F.when(some, lower), "last": F.when(some, upper),
+        "pre_a": F.when(some & (lower < F.col("_s")), lower), "pre_b": F.when(some & (pre_b >= lower), pre_b),
+        "post_a": F.when(some & (post_a <= upper), post_a), "post_b": F.when(some & (upper > F.col("_e")), upper)})
 
     def span(a, b, kind):
         return F.struct(F.col(a).alias("from_date"), F.col(b).alias("to_date"), F.lit(kind).alias("kind"))
@@ -397,10 +421,15 @@ def plan_gaps(requests: DataFrame, catalog: DataFrame, calendar: DataFrame, *, t
 def verify_manifest(manifest: DataFrame, bars: DataFrame) -> DataFrame:
     """Completed coverage rows against what is stored now, with the first reason that fails."""
     kept = manifest.filter("status = 'completed'")
-    inside = bars.join(kept, list(SLICE)).filter("datetime >= actual_start AND datetime <= actual_end")
-    now = inside.groupBy(*SLICE, "id").agg(
-        F.count("*").alias("_rows"), F.min("datetime").alias("_start"), F.max("datetime").alias("_end"), V.fingerprint().alias("_hash"))
-    df = kept.join(now, [*SLICE, "id"], "left")
+    # Counts and hashes up to every bar: a range is the difference of its two ends, however many ranges of a slice are listed.
+    upto = running(bars.withColumn("_x", F.xxhash64(*V.HASHED)), SLICE, ["datetime"], time_chunk(), {"_c": ("count", None), "_f": ("xor", "_x")})
+    upto = upto.select(*SLICE, F.col("datetime").alias("_at"), "_c", "_f")
+    ends = as_of(kept, upto.select(*SLICE, "_at", F.col("_at").alias("_end"), F.col("_c").alias("_c1"), F.col("_f").alias("_f1")), SLICE,
+                 left_time="actual_end", right_time="_at", take=["_end", "_c1", "_f1"])
+    both = as_of(ends, upto.select(*SLICE, "_at", F.col("_c").alias("_c0"), F.col("_f").alias("_f0")), SLICE, left_time="actual_start", right_time="_at", take=["_c0", "_f0"], strict=True)
+    first = upto.select(*SLICE, F.col("_c").alias("_next"), F.col("_at").alias("_start"))
+    df = both.withColumns({"_rows": F.coalesce("_c1", F.lit(0)) - F.coalesce("_c0", F.lit(0)), "_next": F.coalesce("_c0", F.lit(0)) + 1,
+                           "_hash": F.coalesce("_f1", F.lit(0)).bitwiseXOR(F.coalesce("_f0", F.lit(0)))}).join(first, [*SLICE, "_next"], "left")
     reason = (
         F.when(F.col("data_hash").isNull(), "no_hash").when(F.coalesce("_rows", F.lit(0)) != F.col("rows"), "rows_differ")
         .when(F.col("_start") != F.col("actual_start"), "start_differs").when(F.col("_end") != F.col("actual_end"), "end_differs")

@@ -41,7 +41,7 @@ def running(
 ) -> DataFrame:
     """Add running aggregates from the start of each series.
 
-    ``specs`` maps an output name to ``(kind, column)`` with kind ``count``, ``sum``,
+    ``specs`` maps an output name to ``(kind, column)`` with kind ``count``, ``sum``, ``xor``,
     ``max``, ``min``, ``first`` / ``last`` (by position, NULLs included) or
     ``first_valid`` / ``last_valid``. ``chunk`` must not decrease along ``order``.
     With ``exclusive`` the current row is left out.
@@ -84,6 +84,8 @@ def _boxed(kind: str, c) -> Column:
 def _total(kind: str, c: Column, position: Column) -> Column:
     if kind in ("count", "sum"):
         return F.sum(c)
+    if kind == "xor":
+        return F.bit_xor(c)
     if kind in ("max", "min"):
         return F.max(c) if kind == "max" else F.min(c)
     pick = F.max_by if kind.startswith("last") else F.min_by
@@ -93,6 +95,8 @@ def _total(kind: str, c: Column, position: Column) -> Column:
 def _over(kind: str, c: Column, w, merged: bool = False) -> Column:
     if kind in ("count", "sum"):
         return F.sum(c).over(w)
+    if kind == "xor":
+        return F.bit_xor(c).over(w)
     if kind in ("max", "min"):
         return (F.max(c) if kind == "max" else F.min(c)).over(w)
     pick = F.last if kind.startswith("last") else F.first
@@ -104,6 +108,8 @@ def _combine(kind: str, carry: Column, here: Column) -> Column:
         return (F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))).cast("bigint")
     if kind == "sum":
         return F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(carry + here)
+    if kind == "xor":
+        return F.coalesce(carry, F.lit(0)).bitwiseXOR(F.coalesce(here, F.lit(0)))
     if kind == "max":
         return F.greatest(carry, here)
     if kind == "min":

@@ -34,17 +34,19 @@ def plan_rebuild(base: DataFrame, target: DataFrame, manifest: DataFrame, *, bas
     ``base`` and ``target`` hold one frequency each. A changed row anywhere in the known prefix means full.
     """
     tag = source or f"derived_from_{base_freq}"
-    now, have = _stats(base, "now"), _stats(target.filter(F.col("source") == tag), "target")
+    have = _stats(target.filter(F.col("source") == tag), "target")
     known = manifest.filter((F.col("base_freq") == base_freq) & (F.col("target_freq") == target_freq)).select(
         *KEY, *[F.col(c).alias(f"m_{c}") for c in ("base_start", "base_end", "base_rows", "base_hash", "target_rows")]
     )
+    # One pass over the base gives the whole and the prefix that the manifest knows.
+    old = F.col("datetime") <= F.col("_known_end")
+    now = base.join(known.select(*KEY, F.col("m_base_end").alias("_known_end")), KEY, "left").withColumn("_x", F.xxhash64(*V.HASHED)).groupBy(*KEY).agg(
+        F.count("*").alias("now_rows"), F.min("datetime").alias("now_start"), F.max("datetime").alias("now_end"), F.bit_xor("_x").alias("now_hash"),
+        F.count(F.when(old, 1)).alias("prefix_rows"), F.bit_xor(F.when(old, F.col("_x"))).alias("prefix_hash"))
     want = V.expected_target_coverage(base.join(known, KEY, "left_anti"), target_freq, base_freq).select(
         *KEY, F.col("rows").alias("want_rows"), F.col("first_datetime").alias("want_start"), F.col("last_datetime").alias("want_end")
     )
-    prefix = base.join(known.select(*KEY, "m_base_end"), KEY).filter("datetime <= m_base_end").groupBy(*KEY).agg(
-        F.count("*").alias("prefix_rows"), V.fingerprint().alias("prefix_hash")
-    )
-    df = now.join(known, KEY, "left").join(have, KEY, "left").join(want, KEY, "left").join(prefix, KEY, "left")
+    df = now.join(known, KEY, "left").join(have, KEY, "left").join(want, KEY, "left")
 
     def same(*pairs: tuple[str, str]) -> Column:
         out = F.lit(True)

@@ -83,3 +83,16 @@ def test_walk_forward_needs_enough_days(spark):
     assert got[(1, "test")] == 20 and got[(1, "validation")] == 10 and got[(2, "embargo")] == 10 and got[(2, "train")] == 60
     with pytest.raises(Exception, match="needs"):
         E.walk_forward(days).collect()
+
+
+def test_splits_are_every_half(spark):
+    for n in (2, 6, 12):
+        masks = [r[0] for r in spark.range(math.comb(n, n // 2)).select(E.split_mask(F.col("id"), n)).collect()]
+        assert sorted(masks) == [m for m in range(2**n) if m.bit_count() == n // 2]
+
+
+def test_more_than_twenty_partitions(spark):
+    """24 partitions: every set once."""
+    n, splits = 24, math.comb(24, 12)
+    masks = spark.range(splits).select(E.split_mask(F.col("id"), n).alias("m"))
+    assert tuple(masks.agg(F.min("m"), F.max("m"), F.count_distinct("m"), F.min(F.bit_count("m")), F.max(F.bit_count("m"))).first()) == (2**12 - 1, (2**12 - 1) << 12, splits, 12, 12)

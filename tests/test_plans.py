@@ -41,12 +41,13 @@ def window_partitions(text):
 
 
 def test_feature_windows_are_cut_into_blocks(spark, sf):
-    text = plan(bar_features(read_table(spark, work_path(spark, sf), "bars")))
-    groups = [g for g in window_partitions(text) if "symbol" in g]
-    whole = [g for g in groups if not {"_blk", "_chunk"} & set(g)]
-    # Only the chunk table is ordered per series, once for every time rows are numbered.
-    assert groups and len(whole) <= sum("_chunk" in g for g in groups)
-    assert "Python" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    for gaps in (False, True):
+        text = plan(bar_features(read_table(spark, work_path(spark, sf), "bars"), gaps=gaps))
+        groups = [g for g in window_partitions(text) if "symbol" in g]
+        whole = [g for g in groups if not {"_blk", "_chunk"} & set(g)]
+        # Only the chunk table is ordered per series, once for every time rows are numbered, and the table of blocks, four times in each scan over gaps.
+        assert groups and len(whole) <= sum("_chunk" in g for g in groups) + (16 if gaps else 0)
+        assert "Python" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def work_path(spark, sf):
@@ -69,3 +70,11 @@ def test_index_has_no_nested_loop(spark, sf):
     base = stored(spark, sf)
     text = plan(decision_index(decision_points(base), stable_bars(base, I.bars_daily(spark, sf), ("5min", "daily")), ("5min", "daily")))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_calendars_and_manifests_have_no_nested_loop(spark, sf):
+    from barspark.catalog import load
+
+    for name in ("calendar_coverage", "gap_plan"):
+        text = plan(load().QUERIES[name](spark, sf))
+        assert "NestedLoop" not in text and "Cartesian" not in text, name

@@ -98,3 +98,53 @@ def test_stream_equals_batch_on_gap_free_input(spark):
     shifted = base.withColumn("datetime", F.col("datetime") - F.make_dt_interval(mins=F.lit(5)))
     batch = aggregate_bars(shifted, "15min").select("open", "high", "low", "close", "volume")
     assert live.count() == 96 and live.exceptAll(batch).count() == 0
+
+
+def test_calendar_neighbours_are_the_plain_ones(spark):
+    """Every range of a small calendar with holes against plain Python, stored edges inside, outside and missing."""
+    import datetime as dt
+    import itertools
+
+    days = [dt.date(2024, 1, d) for d in (2, 3, 4, 8, 9, 15)]
+    cal = spark.createDataFrame([(d, True, "CN") for d in days] + [(dt.date(2024, 1, 6), False, "CN")], "date date, is_trading_day boolean, exchange string")
+    edge = [dt.date(2024, 1, d) for d in (1, 3, 5, 9, 20)]
+    ranges = list(itertools.combinations(edge, 2))
+    got = {(r["start"], r["end"]): r for r in Q.calendar_covered(spark.createDataFrame(ranges, "start date, end date"), cal).collect()}
+    every = sorted([*days, dt.date(2024, 1, 6)])
+    for a, b in ranges:
+        inside = [d for d in every if a <= d <= b]
+        assert (got[a, b]["days"], got[a, b]["first"], got[a, b]["last"]) == (len(inside), inside[0] if inside else None, inside[-1] if inside else None)
+    asked, stored, want = [], [], set()
+    for i, (a, b) in enumerate(ranges):
+        for j, (s, e) in enumerate([(None, None), (dt.date(2024, 1, 4), dt.date(2024, 1, 8)), (dt.date(2024, 1, 1), dt.date(2024, 1, 2)), (dt.date(2024, 1, 2), dt.date(2024, 1, 19))]):
+            name = f"s{i}_{j}"
+            asked.append((name, "daily", "none", a, b))
+            if s:
+                stored.append((name, "daily", "none", dt.datetime(s.year, s.month, s.day), dt.datetime(e.year, e.month, e.day), 5))
+            inside = [d for d in days if a <= d <= b]
+            if not inside or (s and s <= inside[0] and e >= inside[-1]):
+                continue
+            pre, post = ([d for d in inside if s and d < s], [d for d in inside if s and d > e])
+            spans = [(x[0], x[-1], k) for x, k in ((pre, "before"), (post, "after")) if x] or [(inside[0], inside[-1], "whole")]
+            want |= {(name, *x) for x in spans}
+    catalog = spark.createDataFrame(stored, "symbol string, freq string, adjust string, start_datetime timestamp_ntz, end_datetime timestamp_ntz, rows int")
+    out = Q.plan_gaps(spark.createDataFrame(asked, "symbol string, freq string, adjust string, start date, end date"), catalog, cal, today="2024-02-01")
+    assert {tuple(r) for r in out.select("symbol", "from_date", "to_date", "kind").collect()} == want
+
+
+def test_manifest_ranges_of_one_slice(spark, sf):
+    """Many listed ranges of a slice, some wrong; each is checked by its two ends."""
+    from barspark.operators import inventory as V
+
+    bars = I.bars_5min(spark, sf).filter("symbol = '000001.SZ'")
+    parts = []
+    for i, (a, b) in enumerate([(2, 9), (3, 5), (8, 30), (4, 4)]):
+        cut = bars.filter(F.dayofmonth("datetime").between(a, b))
+        c = V.slice_catalog(cut)
+        parts.append(c.select(F.lit(str(i)).alias("id"), "symbol", "freq", "adjust", F.col("start_datetime").alias("actual_start"), F.col("end_datetime").alias("actual_end"),
+                              (F.col("rows") + (1 if i == 1 else 0)).alias("rows"), (F.col("data_hash") + (1 if i == 2 else 0)).alias("data_hash"), F.lit("completed").alias("status")))
+    manifest = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = {r["id"]: r["reason"] for r in Q.verify_manifest(manifest, bars).collect()}
+    assert got == {"0": "", "1": "rows_differ", "2": "hash_differs", "3": ""}
+    moved = manifest.withColumn("actual_start", F.col("actual_start") - F.make_dt_interval(mins=F.lit(1))).filter("id = '3'")
+    assert [r["reason"] for r in Q.verify_manifest(moved, bars).collect()] == ["start_differs"]
