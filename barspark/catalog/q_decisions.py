@@ -94,8 +94,8 @@ def _(spark, sf):
 SELECT decision_id, execution_price, CASE WHEN stage = 'open_auction' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_open_auction, {_AS_DOUBLES} FROM dec"""))
 def _(spark, sf):
     d = decisions(spark, sf)
-    both = D.context_with_constraints(D.decision_context(d), D.constraints(d))
-    return d.select("decision_id", "execution_price").join(both.select("decision_id", "is_open_auction", *CONSTRAINT_FIELDS), ["decision_id"], "left")
+    out = D.decision_rows(d.select("decision_id", "execution_price"), D.decision_context(d), D.constraints(d))
+    return out.select("decision_id", "execution_price", "is_open_auction", *CONSTRAINT_FIELDS)
 
 
 @query("decision_filter", "B18 E7", sql("""SELECT decision_id FROM dec WHERE symbol IN ('000001.SZ', '688001.SH')
@@ -173,9 +173,7 @@ def _(spark, sf):
 @query("eligible_sessions", "E17 D17", sql("""SELECT symbol, datetime FROM session WHERE date_trunc('day', datetime)::TIMESTAMP >
   (SELECT min(s) FROM day WHERE day.symbol = session.symbol)"""))
 def _(spark, sf):
-    bars = I.session_bars(spark, sf).withColumn("session", F.to_date("datetime"))
-    good = D.sessions(bars).filter("session_rank > 1").select("symbol", "adjust", "session")
-    return bars.join(good, ["symbol", "adjust", "session"], "left_semi").select("symbol", "datetime")
+    return D.eligible_bars(I.session_bars(spark, sf)).select("symbol", "datetime")
 
 
 # ---- partial bars and sequences ---------------------------------------------------

