@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.asof import as_of
 from ..operators.features import bar_features, display_lines, feature_frame
+from ..operators.snapshot import feature_states, snapshot_features
 from ..operators import charts as G
 from ..plans.dataset import with_turnover
 from ..plans.registry import DEFAULT_INDICATORS, DEFAULT_SPEC, compile_blueprint, spec_from_config
@@ -99,6 +101,35 @@ def _(spark, sf):
     return rounded(_lines(spark, I.bars_5min(spark, sf), "13_21", "144_169"))
 
 
+_HOLES = "day(datetime) % 5 = 2 OR minute(datetime) % 35 = 0"
+_AVERAGES = {"13_21_fast": 13, "13_21_slow": 21, "144_169_fast": 144, "144_169_slow": 169}
+_GAP_STEPS = ", ".join(f"CASE WHEN x.c IS NULL THEN r.e{n} WHEN r.e{n} IS NULL THEN x.c ELSE (pow(1 - 2.0::DOUBLE / {n + 1}, r.k + 1) * r.e{n} + 2.0::DOUBLE / {n + 1} * x.c) / (pow(1 - 2.0::DOUBLE / {n + 1}, r.k + 1) + 2.0::DOUBLE / {n + 1}) END AS e{n}" for n in _AVERAGES.values())
+
+
+@query("average_lines_over_missing_prices", "D8 D12", with_inputs("bars", body=f"""
+, x AS MATERIALIZED (SELECT symbol, datetime, CASE WHEN {_HOLES} THEN NULL ELSE close END AS c, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS rn FROM bars),
+r AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT symbol, rn, 0::BIGINT AS k, {", ".join(f"c AS e{n}" for n in _AVERAGES.values())} FROM x WHERE rn = 1
+  UNION ALL SELECT x.symbol, x.rn, CASE WHEN x.c IS NULL THEN r.k + 1 ELSE 0 END, {_GAP_STEPS} FROM r JOIN x ON x.symbol = r.symbol AND x.rn = r.rn + 1) SELECT * FROM r))
+SELECT symbol, datetime, round(e13, 6) AS "13_21_fast", round(e21, 6) AS "13_21_slow", round(e144, 6) AS "144_169_fast", round(e169, 6) AS "144_169_slow" FROM x JOIN r USING (symbol, rn)"""))
+def _(spark, sf):
+    """Single prices and whole days are missing; averages hold and step over them."""
+    hole = (F.dayofmonth("datetime") % 5 == 2) | (F.minute("datetime") % 35 == 0)
+    bars = I.bars_5min(spark, sf)
+    return rounded(_lines(spark, bars.withColumn("close", F.when(~hole, F.col("close"))), "13_21", "144_169", gaps=True))
+
+
+@query("partial_bar_features", "D21 I10", feature_sql(["bars"], "src", 96, _PLAIN.format("bars")))
+def _(spark, sf):
+    """Every bar as the partial bar after the one before it: its features are those of the completed bar."""
+    bars = I.bars_5min(spark, sf)
+    known = I.bars_5min(spark, sf).select("symbol", "datetime")
+    snaps = as_of(bars, known.select("symbol", "datetime", F.col("datetime").alias("stable_end_datetime")), ["symbol"], left_time="datetime", right_time="datetime", take=["stable_end_datetime"], strict=True)
+    snaps = snaps.withColumnRenamed("datetime", "bar_datetime").withColumns({
+        "pctChg": F.lit(None).cast("double"), "turn": F.lit(None).cast("double"), "progress": F.lit(1.0), "snapshot_id": F.lit(""), "decision_id": F.lit("")})
+    out = snapshot_features(snaps, feature_states(bars, gaps=False)).withColumnRenamed("bar_datetime", "datetime")
+    return rounded(out.select("symbol", "datetime", "freq", "adjust", *DEFAULT_SPEC.market_fields))
+
+
 @query("macd_lines", "D9", with_inputs("long", body=_PLAIN.format("long") + feature_ctes("src", 60) + """
 SELECT symbol, datetime, round(macd_dif_pct, 6) + 0.0 AS macd_dif_pct, round(macd_dea_pct, 6) + 0.0 AS macd_dea_pct,
   round(macd_hist_pct, 6) + 0.0 AS macd_hist_pct FROM feat"""))

@@ -42,10 +42,26 @@ def _stored(spark, sf):
     return now, store
 
 
-@query("rebuild_plan", "K1 K2 K7 C15 C16 C17", with_inputs("bars", body=f"""
-, l AS (SELECT symbol, date_trunc('day', max(datetime))::TIMESTAMP AS d, max(datetime) AS m FROM bars WHERE datetime < TIMESTAMP '{_CUT}' GROUP BY symbol)
-SELECT DISTINCT b.symbol, CASE b.symbol WHEN '300001.SZ' THEN 'adopt' WHEN '688001.SH' THEN 'full' WHEN '830001.BJ' THEN 'skip' WHEN '600000.SH' THEN 'full' ELSE 'append' END AS action,
-  CASE WHEN b.symbol = '000001.SZ' THEN l.d END AS rebuild_start FROM bars b JOIN l USING (symbol)"""))
+def _buckets(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT symbol, count(*) AS rows, min(e) AS a, max(e) AS z FROM (SELECT symbol, max(datetime) AS e FROM (SELECT symbol, datetime, date_trunc('day', datetime) AS d,
+  (row_number() OVER (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime) - 1) // 3 AS k FROM {source}) GROUP BY symbol, d, k) GROUP BY symbol)"""
+
+
+# The state of ``_state`` and what it says about every series: rows and ends then and now, how much of the known prefix is unchanged, buckets then and now.
+_PLANNED = f"""
+, old AS (SELECT * REPLACE (CASE WHEN symbol = '688001.SH' AND day(datetime) = 5 THEN close + 1 ELSE close END AS close) FROM bars WHERE datetime < TIMESTAMP '{_CUT}' OR symbol IN ('830001.BJ', '300001.SZ')),
+m AS (SELECT symbol, count(*) AS rows, min(datetime) AS a, max(datetime) AS z FROM old WHERE symbol NOT IN ('300001.SZ', '600000.SH') GROUP BY symbol),
+n AS (SELECT symbol, count(*) AS rows, min(datetime) AS a, max(datetime) AS z FROM bars GROUP BY symbol),
+pre AS (SELECT b.symbol, count(*) AS rows, count(o.symbol) AS same FROM bars b JOIN m ON m.symbol = b.symbol AND b.datetime <= m.z LEFT JOIN old o ON o.symbol = b.symbol AND o.datetime = b.datetime
+  AND o.open = b.open AND o.high = b.high AND o.low = b.low AND o.close = b.close AND o.volume = b.volume GROUP BY b.symbol),
+{_buckets("t", "old WHERE symbol <> '600000.SH'")}, {_buckets("want", "bars")},
+planned AS (SELECT n.symbol, CASE WHEN m.rows IS NULL THEN CASE WHEN t.rows = want.rows AND t.a = want.a AND t.z = want.z THEN 'adopt' ELSE 'full' END WHEN n.rows = m.rows AND pre.same = m.rows AND n.z = m.z THEN 'skip'
+  WHEN n.a = m.a AND pre.rows = m.rows AND pre.same = m.rows AND n.z > m.z THEN 'append' ELSE 'full' END AS action, m.z, n.rows = m.rows AND pre.same = m.rows AND n.z = m.z AS matches
+  FROM n LEFT JOIN m USING (symbol) LEFT JOIN pre USING (symbol) LEFT JOIN t USING (symbol) LEFT JOIN want USING (symbol))"""
+
+
+@query("rebuild_plan", "K1 K2 K7 C15 C16 C17", with_inputs("bars", body=_PLANNED + """
+SELECT symbol, action, CASE WHEN action = 'append' THEN date_trunc('day', z)::TIMESTAMP END AS rebuild_start FROM planned"""))
 def _(spark, sf):
     now, target, manifest = _state(spark, sf)
     return N.plan_rebuild(now, target, manifest, base_freq="5min", target_freq="15min").select("symbol", "action", "rebuild_start")
@@ -78,14 +94,16 @@ def _(spark, sf):
     return N.plan_rebuild(now, K.read_bars(store), store.read("manifest"), base_freq="5min", target_freq="15min").select("symbol", "action")
 
 
-@query("manifest_matches", "K5", with_inputs("bars", body="SELECT DISTINCT symbol, symbol = '830001.BJ' AS matches FROM bars WHERE symbol NOT IN ('300001.SZ', '600000.SH')"))
+@query("manifest_matches", "K5", with_inputs("bars", body=_PLANNED + "\nSELECT symbol, matches FROM planned WHERE z IS NOT NULL"))
 def _(spark, sf):
     now, target, manifest = _state(spark, sf)
     return N.manifest_matches(manifest, V.slice_catalog(now), V.slice_catalog(target), base_freq="5min", target_freq="15min").select("symbol", "matches")
 
 
-@query("feature_reuse_plan", "K6", with_inputs("bars", body="""
-SELECT DISTINCT symbol, CASE symbol WHEN '000001.SZ' THEN 'rebuild' WHEN '600000.SH' THEN 'rebuild' ELSE 'reuse' END AS action FROM bars UNION ALL SELECT 'GONE', 'drop' FROM (SELECT 1) WHERE (SELECT count(*) FROM bars) > 0"""))
+@query("feature_reuse_plan", "K6", with_inputs("liquidity", body="""
+, now AS (SELECT DISTINCT symbol FROM bars), stored AS (SELECT DISTINCT CASE symbol WHEN '600000.SH' THEN 'GONE' ELSE symbol END AS symbol FROM bars),
+changed AS (SELECT DISTINCT symbol FROM liquidity WHERE symbol = '000001.SZ' AND day(date) = 4 AND turn <> 0)
+SELECT symbol, CASE WHEN now.symbol IS NULL THEN 'drop' WHEN stored.symbol IS NULL OR symbol IN (FROM changed) THEN 'rebuild' ELSE 'reuse' END AS action FROM now FULL JOIN stored USING (symbol)"""))
 def _(spark, sf):
     """Fingerprints stored before: one symbol new, one with changed turnover, one no longer wanted."""
     sources = {"bars": I.bars_5min(spark, sf), "liquidity": I.liquidity(spark, sf)}
