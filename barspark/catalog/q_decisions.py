@@ -284,7 +284,7 @@ GROUP BY i.decision_id, i.freq, i.w""", "daily"))
 def _(spark, sf):
     """Padded sequences, reduced to sums of their channels and mask."""
     ds = _dataset(spark, sf)
-    seq = P.dataset_sequences(ds, _SMALL)
+    seq = P.dataset_sequences(ds, _SMALL, gaps=False)
 
     def channel(i):
         return F.aggregate("values", F.lit(0.0), lambda a, r: a + r[i].cast("double"))
@@ -300,7 +300,7 @@ FROM (SELECT decision_id, freq, oc, t AS pos FROM stable_vals WHERE back <= w -
   UNION ALL SELECT s.decision_id, s.freq, least(greatest(s.close / s.open - 1, -0.3), 0.3), TIMESTAMP '9999-01-01' FROM snap s JOIN dec USING (decision_id)
     JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE s.freq IN ('15min', 'daily') AND dec.has_limit_reference)""", "daily"))
 def _(spark, sf):
-    out = S.expanded(P.dataset_sequences(_dataset(spark, sf), _SMALL), _SMALL.channels["daily"])
+    out = S.expanded(P.dataset_sequences(_dataset(spark, sf), _SMALL, gaps=False), _SMALL.channels["daily"])
     return rounded(out.select("decision_id", "freq", "sequence_index", F.col("open_close_ret").cast("double").alias("open_close_ret")), 5)
 
 
@@ -308,7 +308,7 @@ def _(spark, sf):
 SELECT decision_id, CAST(2 AS BIGINT) AS frequencies, CAST(64 * 3 AS BIGINT) AS flat_15min, CAST(60 * 3 AS BIGINT) AS flat_daily,
   CAST(coalesce(market_can_buy, false) AS INTEGER)::DOUBLE AS can_buy FROM dec WHERE has_limit_reference"""))
 def _(spark, sf):
-    inputs = P.dataset_inputs(_dataset(spark, sf), _SMALL)
+    inputs = P.dataset_inputs(_dataset(spark, sf), _SMALL, gaps=False)
     flat = S.flat_training_rows(inputs, _SMALL).select("decision_id", F.size("sequence_15min").alias("flat_15min"), F.size("sequence_daily").alias("flat_daily"))
     out = inputs.select("decision_id", F.size("sequences").alias("frequencies"), F.col("decision_context")[1].cast("double").alias("can_buy"))
     return rounded(out.join(flat, ["decision_id"]))

@@ -166,6 +166,8 @@ def with_gap_emas(df: DataFrame, keys: Sequence[str], emas: Iterable[Ema], *, rn
     Every row is an affine step of the average, so a block is one too, and its two numbers are carried over any number of later blocks.
     An average of an average is a second scan over the first one's result."""
     emas, keys = list(emas), list(keys)
+    if not emas:
+        return df
     firsts = {(e.x, e.alpha) for e in emas}
     names = {(x, a): f"_g{i}" for i, (x, a) in enumerate(sorted(firsts))}
     df = _gap_scan(df, keys, names, rn, size)

@@ -6,7 +6,7 @@ from barspark.catalog import inputs
 from barspark.operators.ema import Ema, affine_carries, span, with_emas, with_gap_emas
 from barspark.operators.features import bar_features
 from barspark.operators.series import blocks, number_rows, time_chunk
-from barspark.plans.registry import DEFAULT_SPEC
+from barspark.plans.registry import DEFAULT_SPEC, FeatureSpec
 from barspark.schema import SLICE
 
 from .reference_features import pandas_features
@@ -106,6 +106,7 @@ def test_carries_at_every_level(spark):
 
 def test_missing_price_raises_where_none_was_promised(spark, sf):
     bars = inputs.bars_5min(spark, sf)
+    assert bar_features(bars, FeatureSpec(indicators=())).count() == bars.count()  # no averages at all
     holes = bars.withColumn("close", F.when(F.hour("datetime") != 5, F.col("close")))
     assert bar_features(bars, gaps=False).count() == bars.count()
     with pytest.raises(Exception, match="price is missing"):
