@@ -22,7 +22,7 @@ def stored(spark, sf, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("ds"))
     ds = build_dataset(
         inputs.session_bars(spark, sf), inputs.bars_daily(spark, sf),
-        status=inputs.status(spark, sf), liquidity=inputs.liquidity(spark, sf),
+        status=inputs.status(spark, sf), liquidity=inputs.liquidity(spark, sf), gaps=False,
     )
     write_dataset(ds, root)
     return read_dataset(spark, root)
