@@ -67,9 +67,9 @@ def test_partial_bar_features_equal_features_of_history_plus_partial_bar(spark,
 
 def test_sequences_against_plain_lookup(stored):
     model = compile_blueprint()
-    seqs = dataset_sequences(stored, model).filter(F.col("freq").isin("15min", "daily")).toPandas()
+    seqs = dataset_sequences(stored, model, gaps=False).filter(F.col("freq").isin("15min", "daily")).toPandas()
     feats = stored.market_features.toPandas()
-    snaps = snapshot_feature_rows(stored).toPandas().set_index("snapshot_id")
+    snaps = snapshot_feature_rows(stored, gaps=False).toPandas().set_index("snapshot_id")
     idx = stored.decision_index.toPandas().set_index(["decision_id", "freq"])
     for row in seqs.sample(25, random_state=1).itertuples():
         ix = idx.loc[(row.decision_id, row.freq)]
@@ -91,7 +91,7 @@ def test_sequences_against_plain_lookup(stored):
 
 def test_inputs_and_steps(stored):
     model = compile_blueprint()
-    one = dataset_inputs(stored, model).limit(3).toPandas().iloc[0]
+    one = dataset_inputs(stored, model, gaps=False).limit(3).toPandas().iloc[0]
     assert set(one["sequences"]) == set(model.channels) and len(one["decision_context"]) == 12
     rows = D.with_liquidity(stored.decisions, stored.market_bars.filter("freq='5min'").withColumnRenamed("bar_datetime", "datetime"),
                             stored.market_bars.filter("freq='daily'").withColumnRenamed("bar_datetime", "datetime"))
