@@ -16,6 +16,7 @@ An empty table writes no blocks. Columns other than the two named are not read.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -128,56 +129,78 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
     Byte-level pre-tokenisation always cuts before a space that stands between two characters which are not white space. The pieces between such
-    cuts are independent, so each piece's ids are kept (a bounded number of pieces) and only new pieces go through the tokenizer. A piece that may
-    have been cut elsewhere (white space at its ends) is never kept, and its text takes the slow way.
+    cuts are independent, so each piece's ids are kept (a bounded number of pieces) and only new pieces go through the tokenizer. It also cuts at both ends of
+    a run of letters beside ASCII signs, so a new piece is put together from its words and signs, and only new words go through the tokenizer's model. A
+    piece that may have been cut elsewhere (white space at its ends) is never kept, and its text takes the slow way, as all texts do where the tokenizer
+    is not a plain byte-level one (``whole``).
     """
 
+    letter = "A-Za-zÀ-ÖØ-öø-ɏ"
     cut = re.compile(r"(?<=\S)(?= \S)")
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)").fullmatch
+    # An apostrophe may draw letters to it, two white spaces are cut by what follows them, and added tokens begin with "<".
+    joined = re.compile(rf"[{letter}]+(?:(?:[!-&(-;=-@\[-`{{-~]+\n?|\n)[{letter}]+)*[!-&(-;=-@\[-`{{-~]*").fullmatch
+    runs = re.compile(rf"[{letter}]+|[^{letter}]+").findall
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.whole = not byte_level(json.loads(self.tokenizer.to_str()))
         self.rest: dict[str, bytes] = {}  # by the piece without the space before it
         self.first: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         # Byte-level vocabularies name a byte by its Latin-1 character, or by the next character from 256 on where that is not a visible one.
         shown = {b: chr(b) for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD}
         self.names = shown | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.marks = {"": b""} | {c: self._ids(c) for c in ".,"}
+        self.four = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        """Letters with a full stop or comma are one or two words to the tokenizer's model; other pieces take its whole way."""
-        pieces = {p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()}
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self.cache:
+    def _word(self, word: str, known: dict[str, bytes], lead: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            name = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+            ids = known[word] = b"".join([self.four[x.id] for x in self.tokenizer.model.tokenize(lead + name)])
+        return ids
+
+    def _signs(self, signs: str) -> bytes:
+        ids = self.signs.get(signs)
+        if ids is None:
+            if len(self.signs) >= 1 << 12:
+                self.signs.clear()
+            ids = self.signs[signs] = self._ids(signs)
+        return ids
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> dict[str, bytes]:
+        """The ids of new pieces; those likely to come again are kept, and the words in them."""
+        if len(known) + len(pieces) > self.cache:
             known.clear()
-            new = list(pieces)
-        other, model = [], self.tokenizer.model.tokenize
-        lead = before.translate(self.names)
-        for p in new:
-            if p.isascii():
-                mark = p[-1] if p[-1] in ".," else ""
-                word = p[:-1] if mark else p
-                if not word.isalpha():
-                    other.append(p)
-                    continue
-            elif m := self.plain(p):
-                word, mark = m[1].encode().decode("latin-1").translate(self.names), m[2]
-            else:
+        if len(self.first) > self.cache:
+            self.first.clear()
+        out, other, lead = {}, [], before.translate(self.names)
+        for p in pieces:
+            if p.isalpha() and p.isascii():
+                out[p] = self._word(p, known, lead)
+            elif self.joined(p):
+                word, *runs = self.runs(p)
+                ids = self._word(word, known, lead)
+                for k, r in enumerate(runs):
+                    ids += self._word(r, self.first, "") if k % 2 else self._signs(r)
+                out[p] = ids
+                if len(runs) < 2:
+                    known[p] = ids
+            elif p and not p[0].isspace() and not p[-1].isspace():
                 other.append(p)
-                continue
-            ids = [x.id for x in model(lead + word)]
-            known[p] = struct.pack(f"<{len(ids)}I", *ids) + self.marks[mark]
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                out[p] = known[p] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out: list[bytes] = [b""] * len(texts)
         holes = []
         for i, t in enumerate(texts):
@@ -188,18 +211,28 @@ class Encoder:
                 holes.append((i, pieces, ids, [k for k, x in enumerate(ids) if x is None]))
             else:
                 out[i] = b"".join(ids)
-        self._learn(self.first, {p[0] for _, p, _, k in holes if k[0] == 0}, "")
-        self._learn(self.rest, {p[x] for _, p, _, k in holes for x in k if x}, " ")
+        first = self._learn(self.first, {p[0] for _, p, _, k in holes if k[0] == 0}, "")
+        rest = self._learn(self.rest, {p[x] for _, p, _, k in holes for x in k if x}, " ")
         for i, pieces, ids, missing in holes:
             for k in missing:
-                ids[k] = (self.rest if k else self.first).get(pieces[k])
+                ids[k] = (rest if k else first).get(pieces[k])
             if None in ids:  # white space beside a space, or an empty text
                 cut = self.cut.split(texts[i])
-                ids = [self._ids(c) if k == 0 or (known := self.rest.get(c[1:])) is None else known for k, c in enumerate(cut)]
+                ids = [self._ids(c) if k == 0 or (known := rest.get(c[1:], self.rest.get(c[1:]))) is None else known for k, c in enumerate(cut)]
             out[i] = b"".join(ids)
         return out
 
 
+def byte_level(told: dict) -> bool:
+    """True for a byte-pair vocabulary over bytes whose texts are cut only by the usual byte-level pattern."""
+    cut, model = told.get("pre_tokenizer") or {}, told["model"]
+    return (
+        told.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and all(t["content"][:1] == "<" and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told.get("added_tokens", []))
+    )
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker."""

@@ -149,3 +149,12 @@ def test_token_files(spark, messy, messy_rows, no_documents):
     empty = work_dir(spark, "tokens")
     write_tokens(no_documents, empty, tokenizer_path())
     assert read_tokens(spark, empty).count() == 0
+
+
+def test_encoder_of_any_tokenizer():
+    """A tokenizer with a normaliser takes whole texts; signs, digits, line ends and added tokens beside letters are cut as the library cuts them."""
+    texts = ["Ab<|endoftext|>cd e<|endoftext|> f", "don't 'tis a'b x.\nYou x..\n\nYou a1b2,c é.ß\nÿ", "word,%%% ***a\n\n b\n c.", "", " ", "\n", "a\tb. ćd e"]
+    for other in (ENCODER, Encoder(tokenizer_path("word_bpe_49k.json"))):
+        assert other.whole == (other is not ENCODER)
+        for t, got in zip(texts, other.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == other.tokenizer.encode(t, add_special_tokens=False).ids, t
