@@ -9,8 +9,9 @@ documents; mixer and refinement learn online from all of them too, block by bloc
 averaged over the blocks. Every text is scored with the same finished model, so a score depends neither on order nor on partitions. ``score`` is log10
 of the text's probability; ``bits_per_byte`` its total in bits over the bytes.
 
-Counting tasks send their tables in slices, which are summed slice by slice in a stream; the finished tables have a fixed size (``SLOTS`` for each order)
-and are broadcast. Word counts for the base go through blocks and buckets (see ``blocks``): 64-bit hashes of words with their counts.
+Counting tasks send their tables in compressed slices, which are summed slice by slice in a stream; the finished tables have a fixed size (``SLOTS`` for
+each order) and are broadcast. Word counts for the base go through blocks and buckets (see ``blocks``): 64-bit hashes of words with their 64-bit counts. A
+block learns and names its words in one pass, and is scored in another.
 
 A null or empty text is one end mark. A null doc_id counts as the text "" for the fold. Repeated rows are scored one by one, and each is learned from.
 An empty table gives an empty result; without training documents the predictors have seen nothing and N is 0.
@@ -18,13 +19,13 @@ An empty table gives an empty result; without training documents the predictors
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from copy import copy
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,14 @@ def places(keys: np.ndarray, word: np.ndarray):
         yield [((x ^ turn) * _TURN) >> np.uint64(64 - BITS) for x in base], (byte >> np.uint64(7 - b)) & np.uint64(1), node.astype(np.int64)
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def whole(data) -> pa.Buffer:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(memoryview(data)[:8], "little"), "zstd")
+
+
 def _count(batches):
     """Slices of the tables of one task: order, slice, zeros and ones of its slots."""
     sums = np.zeros((ORDERS, 2 * SLOTS), np.uint32)
@@ -169,7 +178,7 @@ def _count(batches):
                 part = sums[o, 2 * k * SLICE : 2 * (k + 1) * SLICE]
                 if part.any():
                     high = np.flatnonzero(part >> 16)  # few counts need more than 16 bits; where these are, and what is above
-                    data = part.astype("<u2").tobytes() + high.astype("<u4").tobytes() + (part[high] >> 16).astype("<u4").tobytes()
+                    data = squeezed(part.astype("<u2").tobytes() + high.astype("<u4").tobytes() + (part[high] >> 16).astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([o * (SLOTS // SLICE) + k]), pa.array([data])], ["slice", "data"])
 
 
@@ -178,7 +187,8 @@ def _add_up(batches):
     now, total = None, None
     for batch in batches:
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            low, (at, high) = np.frombuffer(data.as_buffer(), "<u2", 2 * SLICE), np.frombuffer(data.as_buffer(), "<u4", offset=4 * SLICE).reshape(2, -1)
+            data = whole(data.as_buffer())
+            low, (at, high) = np.frombuffer(data, "<u2", 2 * SLICE), np.frombuffer(data, "<u4", offset=4 * SLICE).reshape(2, -1)
             if k != now:
                 if now is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
@@ -189,6 +199,26 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
 
 
+KEPT = np.int16(-32768)
+
+
+@functools.lru_cache(maxsize=1)
+def one_less() -> np.ndarray:
+    """By bit, log-odds (13 bits) and smaller count (8 bits) of a cell, the cell with that bit counted once less; ``KEPT`` where it stays as it is."""
+    odds, few = np.divmod(np.arange(1 << 21, dtype=np.int32), 256)
+    odds, few = (odds - 4096).astype(np.float32) * np.float32(1 / 256), few.astype(np.float32)
+    many = np.maximum(np.rint(np.exp(np.abs(odds)) * (few + np.float32(0.05)) - np.float32(0.05)), few)
+    out = []
+    for one in (False, True):
+        mine = np.where(one == (odds > 0), many, few) - 1  # the count of this bit; of two equal ones it does not matter which
+        other = np.where(one == (odds > 0), few, many)
+        total = mine + other
+        left = np.log((np.maximum(mine, 0) + np.float32(0.05)) / (other + np.float32(0.05))) * np.float32(256 if one else -256)
+        left = np.where(total > 0, np.clip(np.rint(left), -4096, 4095), 0).astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
+        out.append(np.where((few == 255) | (mine < 0), KEPT, left))
+    return np.concatenate(out)
+
+
 class Mixer:
     def __init__(self):
         self.memo: tuple[np.ndarray, np.ndarray] | None = None
@@ -211,16 +241,12 @@ class Mixer:
 
     def without(self, o: int, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The cells as they would be if ``bit`` had been counted once less."""
-        cell, few = self.cells[o][slots], self.few[o][slots].astype(np.float32)
-        odds = (cell >> 3).astype(np.float32) * np.float32(1 / 256)
-        many = np.maximum(np.rint(np.exp(np.abs(odds)) * (few + np.float32(0.05)) - np.float32(0.05)), few)
-        one, high = bit == 1, odds > 0
-        mine = np.where(one == high, many, few) - 1  # the count of this bit; of two equal ones it does not matter which
-        other = np.where(one == high, few, many)
-        total = mine + other
-        left = np.log((np.maximum(mine, 0) + np.float32(0.05)) / (other + np.float32(0.05))) * np.where(one, np.float32(256), np.float32(-256))
-        left = np.where(total > 0, np.clip(np.rint(left), -4096, 4095), 0).astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
-        return np.where((few == 255) | (mine < 0), cell, left)
+        cell = self.cells[o][slots]
+        at = (cell >> 3).astype(np.int32) + 4096 << 8
+        at |= self.few[o][slots]
+        at |= bit.astype(np.int32) << 21
+        less = one_less()[at]
+        return np.where(less == KEPT, cell, less)
 
     def inputs(self, slots, counted=None) -> tuple[list[np.ndarray], np.ndarray]:
         """Log-odds of every context, and the gate. ``counted``: the bit that came, where the tables have it, to be left out of them."""
@@ -254,7 +280,7 @@ class Mixer:
         keys, word = keys[some], word[some]
         for i in range(0, len(keys), batch):
             n = often[i : i + batch].astype(np.float32)
-            for slots, bit, node in places(keys[i : i + batch], word[i : i + batch]):
+            for b, (slots, bit, node) in enumerate(places(keys[i : i + batch], word[i : i + batch])):
                 x, gate = self.inputs(slots, bit if counted else None)
                 z = self.mixed(x, gate)
                 low, part, _ = self.refine(z, node)
@@ -263,8 +289,9 @@ class Mixer:
                 pull = rate * np.minimum(np.sqrt(total) / 8, 4) / total
                 for w, y in zip(self.weights, x, strict=True):
                     w += pull * np.bincount(gate, error * y, GATES)
-                flat, size = self.refined.reshape(-1), 256 * STEPS
-                for cell, w in ((node * STEPS + low, (1 - part) * n), (node * STEPS + low + 1, part * n)):
+                size = STEPS << b  # the nodes of this bit
+                flat = self.refined.reshape(-1)[size : 2 * size]
+                for cell, w in ((node * STEPS + low - size, (1 - part) * n), (node * STEPS + low + 1 - size, part * n)):
                     many = np.bincount(cell, w, size)
                     flat += (1 - (1 - pace) ** many) * (np.bincount(cell, w * bit, size) / np.maximum(many, 1e-9) - flat) * (many > 0)
 
@@ -295,46 +322,63 @@ class Mixer:
         return CLASS_BITS + np.add.reduceat(cost[stand].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
-LEARNED = "block bigint, n bigint, data binary"
+LEARNED = "block bigint, data binary"
 
 
 def _averaged(t: pa.Table) -> pa.Table:
     """Sums of what blocks learned, in order of the blocks."""
     t = t.sort_by("block")
     total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in t.column("data")], axis=0)
-    return pa.table([t.column("block").slice(0, 1), pa.array([pa.compute.sum(t.column("n")).as_py()]), pa.array([total.tobytes()])], ["block", "n", "data"])
-
+    return pa.table([t.column("block").slice(0, 1), pa.array([total.tobytes()])], ["block", "data"])
 
-def train(docs: DataFrame, blocks: Blocks, sample: int | None = None) -> Mixer:
-    """``docs`` (doc_id, text, training), dealt into ``blocks``, are the training documents where ``training``.
 
-    Each block learns mixer and refinement from all its training documents; the result is their average, weighted by bytes. ``sample``: learn from so many documents only."""
-    known = docs.where("training")
+def count_contexts(known: DataFrame) -> Mixer:
+    """Tables of all texts, with weights that have learned nothing."""
     slices = known.select("text").mapInArrow(_count, "slice bigint, data binary")
     summed = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_up, "slice bigint, data binary")
     mixer = Mixer()
     for r in summed.toLocalIterator():  # ORDERS x SLOTS counts, however large the input is
         mixer.put(r["slice"], np.frombuffer(r["data"], np.int64))
+    return mixer
+
+
+def learned(mixer: Mixer, t: pa.Table, ids: set | None) -> bytes:
+    """What a block's training documents teach: their bytes, then weights and refinement times these."""
+    rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
+    texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
+    own, n = copy(mixer), sum(len(x) for x, _ in texts)
+    own.weights, own.refined = own.weights.copy(), own.refined.copy()
+    own.learn(texts, counted=True)
+    return np.concatenate([[n], own.weights.ravel() * float(n), own.refined.ravel() * float(n)]).astype(np.float64).tobytes()
+
+
+def finished(mixer: Mixer, blocks: DataFrame) -> Mixer:
+    """``mixer`` with the average of what ``blocks`` (block, data) learned, weighted by bytes."""
+    parts_ = blocks.groupBy(F.pmod("block", F.lit(32))).applyInArrow(_averaged, LEARNED).collect()  # at most 32 rows
+    if parts_:
+        n, *_ = data = np.sum([np.frombuffer(r["data"], np.float64) for r in sorted(parts_, key=lambda r: r["block"])], axis=0)
+        if n:
+            data = data[1:] / n
+            mixer.weights = data[: mixer.weights.size].reshape(mixer.weights.shape).astype(np.float32)
+            mixer.refined = data[mixer.weights.size :].reshape(mixer.refined.shape).astype(np.float32)
+    mixer.few = None
+    return mixer
+
+
+def _sampled_ids(known: DataFrame, sample: int | None) -> set | None:
+    return None if sample is None else {r["doc_id"] for r in sampled(known.select("doc_id"), sample, known.count(), "doc_id").collect()}
+
+
+def train(docs: DataFrame, blocks: Blocks, sample: int | None = None) -> Mixer:
+    """``docs`` (doc_id, text, training), dealt into ``blocks``, are the training documents where ``training``.
+
+    Each block learns mixer and refinement from all its training documents; the result is their average, weighted by bytes. ``sample``: learn from so many documents only."""
+    known = docs.where("training")
+    mixer, ids = count_contexts(known), _sampled_ids(known, sample)
     shared = docs.sparkSession.sparkContext.broadcast(mixer)
-    ids = None if sample is None else {r["doc_id"] for r in sampled(known.select("doc_id"), sample, known.count(), "doc_id").collect()}
-
-    def learned(block, t, told):
-        rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
-        texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
-        own, n = copy(shared.value), sum(len(x) for x, _ in texts)
-        own.weights, own.refined = own.weights.copy(), own.refined.copy()
-        own.learn(texts, counted=True)
-        data = np.concatenate([own.weights.ravel(), own.refined.ravel()]).astype(np.float64) * n
-        return pa.table([pa.array([block], pa.int64()), pa.array([n]), pa.array([data.tobytes()])], ["block", "n", "data"])
-
-    parts_ = blocks.finish(learned, LEARNED).groupBy(F.pmod("block", F.lit(32))).applyInArrow(_averaged, LEARNED).collect()  # at most 32 rows
-    n = sum(r["n"] for r in parts_)
-    if n:
-        data = np.sum([np.frombuffer(r["data"], np.float64) for r in sorted(parts_, key=lambda r: r["block"])], axis=0) / n
-        mixer.weights = data[: mixer.weights.size].reshape(mixer.weights.shape).astype(np.float32)
-        mixer.refined = data[mixer.weights.size :].reshape(mixer.refined.shape).astype(np.float32)
+    mixer = finished(mixer, blocks.finish(
+        lambda block, t, told: pa.table([pa.array([block], pa.int64()), pa.array([learned(shared.value, t, ids)])], ["block", "data"]), LEARNED))
     shared.unpersist()
-    mixer.few = None
     return mixer
 
 
@@ -344,14 +388,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return spans(prefix(byte_values(LOWER[data])), begin, end), first
 
 
-def _say_counts(block, docs, told, buckets):
-    """The block's distinct words with how often its training documents have them."""
+def _say_counts(docs, buckets):
+    """The block's distinct words by bucket with how often its training documents have them: bucket, number of words, words, counts."""
     train_, keys, n = docs.column("training").to_numpy(), [], []
     for i, j, data, starts in parts(docs):
         h, first = word_hashes(data, starts)
-        counts = np.repeat(train_[i:j].astype(np.int64), np.diff(first))
         keys.append(h)
-        n.append(counts)
+        n.append(np.repeat(train_[i:j].astype(np.int64), np.diff(first)))
     keys, n = np.concatenate(keys), np.concatenate(n)
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
@@ -359,24 +402,30 @@ def _say_counts(block, docs, told, buckets):
     if len(at):
         keys, n = keys[at], np.add.reduceat(n, at)
         for bucket, idx in by_bucket(keys, buckets):
-            yield bucket, keys[idx].tobytes() + n[idx].astype(np.uint32).tobytes()
-
-
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = len(x) // 12 * 8
-    return x[:cut].view(np.uint64), x[cut:].view(np.uint32)
+            yield bucket, np.array([bucket, len(idx)], np.int64).tobytes() + keys[idx].tobytes() + squeezed(n[idx].tobytes())
 
 
 def _hear_counts(blocks, data):
-    """To each block the corpus counts of its words; to block -1 the distinct words and occurrences in training documents."""
-    said = [_split(x) for x in data]
-    keys, n = np.concatenate([k for k, _ in said]), np.concatenate([c for _, c in said]).astype(np.int64)
+    """To each block the corpus counts of its words, in the order in which it named them; to block -1 the distinct words and occurrences in training documents."""
+    sizes = [int(x[8:16].view(np.int64)[0]) for x in data]
+    own = [x[16 : 16 + 8 * m].view(np.uint64) for x, m in zip(data, sizes, strict=True)]
+    n = np.concatenate([np.frombuffer(whole(x[16 + 8 * m :]), np.int64) for x, m in zip(data, sizes, strict=True)])
+    keys = np.concatenate(own)
     order = np.argsort(keys)
     at = runs(keys[order])
     key, total = keys[order][at], np.add.reduceat(n[order], at)
     yield -1, np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()
-    for b, (own, _) in zip(blocks, said, strict=True):
-        yield int(b), own.tobytes() + np.minimum(total[np.searchsorted(key, own)], 2**32 - 1).astype(np.uint32).tobytes()
+    for b, x, k in zip(blocks, data, own, strict=True):
+        yield int(b), x[:8].tobytes() + squeezed(total[np.searchsorted(key, k)].tobytes())
+
+
+def _heard_counts(keys: np.ndarray, told: list[np.ndarray], buckets: int) -> np.ndarray:
+    """The corpus counts of a block's distinct words."""
+    got = {int(x[:8].view(np.int64)[0]): np.frombuffer(whole(x[8:]), np.int64) for x in told}
+    n = np.zeros(len(keys), np.int64)
+    for bucket, idx in by_bucket(keys, buckets):
+        n[idx] = got[bucket]
+    return n
 
 
 RESULT = "doc_id bigint, held_out boolean, n_words bigint, known bigint, logs double, bits double, n_bytes bigint"
@@ -386,19 +435,27 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("training", fold() != HELD_OUT)
-    blocks = Blocks(d, carry=("training",))
-    shared = docs.sparkSession.sparkContext.broadcast(train(d, blocks, sample))  # 25 MB, whatever the input
-    heard = staged(blocks.hear(blocks.say(_say_counts), _hear_counts), "word-counts")
+    blocks, known, context = Blocks(d, carry=("training",)), d.where("training"), docs.sparkSession.sparkContext
+    mixer, ids, buckets = count_contexts(known), _sampled_ids(known, sample), blocks.buckets
+    first = context.broadcast(mixer)  # 38 MB, whatever the input
+
+    def said(block, t, told, buckets):  # one pass over a block learns and counts its words
+        yield -1, learned(first.value, t, ids)
+        yield from _say_counts(t, buckets)
+
+    said_ = staged(blocks.say(said), "word-counts")
+    shared = context.broadcast(finished(mixer, said_.where("bucket = -1").select("block", "data")))
+    first.unpersist()
+    heard = staged(blocks.hear(said_.where("bucket >= 0"), _hear_counts), "word-totals")
 
     def result(block, docs, told):
-        model, got = shared.value, [_split(x) for x in told]
-        keys, n = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.uint32)))
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(np.int64)
+        model = shared.value
+        hashes = [word_hashes(data, starts) for _, _, data, starts in parts(docs)]
+        keys = np.unique(np.concatenate([h for h, _ in hashes])) if hashes else np.zeros(0, np.uint64)
+        n = _heard_counts(keys, told, buckets)
         logs = np.log10(n + 1)
         size, known, total, bits, length, texts = [], [], [], [], [], []
-        for i, j, data, starts in parts(docs):
-            h, first = word_hashes(data, starts)
+        for (h, first), (i, j, data, starts) in zip(hashes, parts(docs), strict=True):
             at = np.searchsorted(keys, h)
             doc = np.repeat(np.arange(j - i), np.diff(first))
             size.append(np.diff(first))
