@@ -30,13 +30,9 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bars_5min(spark: SparkSession, sf: str) -> DataFrame:
-    end = at_midnight("ts") + F.make_dt_interval(
-        F.lit(0), F.hour("ts"), (F.floor(F.minute("ts") / 5) + 1).cast("int") * 5, F.lit(0)
-    )
+def _bars(ticks_: DataFrame, end) -> DataFrame:
     return (
-        ticks(spark, sf)
-        .groupBy("symbol", end.alias("datetime"))
+        ticks_.groupBy("symbol", end.alias("datetime"))
         .agg(
             F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
             F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume"),
@@ -46,14 +42,22 @@ def bars_5min(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bars_5min(spark: SparkSession, sf: str) -> DataFrame:
+    end = at_midnight("ts") + F.make_dt_interval(
+        F.lit(0), F.hour("ts"), (F.floor(F.minute("ts") / 5) + 1).cast("int") * 5, F.lit(0)
+    )
+    return _bars(ticks(spark, sf), end)
+
+
 def bars_5min_pct(spark: SparkSession, sf: str) -> DataFrame:
     return refresh_pct_chg(bars_5min(spark, sf))
 
 
 def session_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The 5-minute bars inside the trading session."""
-    m = F.hour("datetime") * 60 + F.minute("datetime")
-    return bars_5min(spark, sf).filter(m.between(575, 690) | m.between(785, 900))
+    """5-minute bars of all events: the day's 48 half hours are laid onto the trading session's 48 bars, in order."""
+    half_hour = F.hour("ts") * 2 + F.floor(F.minute("ts") / 30).cast("int")
+    minute = half_hour * 5 + F.when(half_hour < 24, 575).otherwise(665)
+    return _bars(ticks(spark, sf), at_midnight("ts") + F.make_dt_interval(F.lit(0), F.lit(0), minute, F.lit(0)))
 
 
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,9 +145,12 @@ SQL = {
   FROM (SELECT {_CASE} AS symbol, ts, value,
                date_trunc('hour', ts) + CAST(floor(minute(ts) / 5) + 1 AS INTEGER) * INTERVAL 5 MINUTE AS datetime
         FROM events) GROUP BY 1, 2)""",
-    "session": """session AS (
-  SELECT * FROM bars WHERE hour(datetime) * 60 + minute(datetime) BETWEEN 575 AND 690
-     OR hour(datetime) * 60 + minute(datetime) BETWEEN 785 AND 900)""",
+    "session": f"""session AS (
+  SELECT symbol, datetime, min_by(value, ts) AS open, max(value) AS high, min(value) AS low,
+         max_by(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount,
+         'events' AS source, '5min' AS freq, 'none' AS adjust
+  FROM (SELECT symbol, ts, value, date_trunc('day', ts) + (slot * 5 + CASE WHEN slot < 24 THEN 575 ELSE 665 END) * INTERVAL 1 MINUTE AS datetime
+        FROM (SELECT {_CASE} AS symbol, ts, value, CAST(hour(ts) * 2 + minute(ts) // 30 AS INTEGER) AS slot FROM events)) GROUP BY 1, 2)""",
     "daily": """daily AS (
   SELECT symbol, date_trunc('day', datetime)::TIMESTAMP AS datetime, min_by(open, bars.datetime) AS open, max(high) AS high,
          min(low) AS low, max_by(close, bars.datetime) AS close, sum(volume) AS volume, sum(amount) AS amount,
@@ -170,7 +177,7 @@ SQL = {
   FROM (SELECT o_orderpriority AS strategy, CAST(o_orderdate AS DATE) AS date,
                (avg(o_totalprice) / 250000.0 - 1) * 0.02 AS r FROM orders GROUP BY 1, 2))""",
 }
-_NEEDS = {"session": ["bars"], "daily": ["bars"], "liquidity": ["bars"], "status": ["bars"]}
+_NEEDS = {"daily": ["bars"], "liquidity": ["bars"], "status": ["bars"]}
 
 
 def with_inputs(*names: str, body: str) -> str:
