@@ -10,7 +10,7 @@ from ..operators.features import bar_features
 from ..operators.snapshot import decision_snapshots
 from ..plans import dataset as P
 from ..plans.registry import FeatureSpec, compile_blueprint
-from ..schema import CONSTRAINT_FIELDS, SEQUENCE_WINDOWS
+from ..schema import CONSTRAINT_FIELDS, FREQUENCIES, SEQUENCE_WINDOWS
 from . import inputs as I
 from .inputs import with_inputs
 from .registry import query, rounded
@@ -254,62 +254,76 @@ def _(spark, sf):
                       F.round(F.col("stable_rows")[0][0].cast("double"), 2).alias("oldest"))
 
 
-def _dataset(spark, sf, freqs=("15min", "daily")):
+def _dataset(spark, sf, freqs=FREQUENCIES):
     """A dataset without indicators, which the small blueprint below does not read."""
     return P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), liquidity=I.liquidity(spark, sf), freqs=freqs,
                            spec=FeatureSpec(indicators=()), model=_SMALL, stage=True, gaps=False)
 
 
 _SMALL = compile_blueprint([
-    {"name": n, "stream": "market_sequence", "frequencies": ["15min", "daily"]} for n in ("open_close_ret", "sequence_valid_ratio", "progress")
+    {"name": n, "stream": "market_sequence", "frequencies": list(FREQUENCIES)} for n in ("open_close_ret", "sequence_valid_ratio", "progress")
 ] + [{"name": n, "stream": "decision_context"} for n in ("day_progress", "market_can_buy")])
 
 
-_SEQ = _PARTIAL.lstrip() + _STABLE + """, agg15 AS (SELECT '15min' AS freq, symbol, max(datetime) AS t, min_by(open, st_ord.datetime) AS open, max_by(close, st_ord.datetime) AS close,
-    least(count(*) / 3.0, 1.0) AS progress FROM st_ord GROUP BY symbol, date_trunc('day', datetime), o // 3
-  UNION ALL SELECT 'daily', symbol, datetime, open, close, 1.0 FROM daily),
-stable_vals AS (SELECT i.decision_id, i.freq, i.w, a.t, least(greatest(a.close / a.open - 1, -0.3), 0.3) AS oc, a.progress, i.req,
-    row_number() OVER (PARTITION BY i.decision_id, i.freq ORDER BY a.t DESC) AS back
-  FROM idx i JOIN dec USING (decision_id) JOIN agg15 a ON a.symbol = i.symbol AND a.freq = i.freq AND a.t <= i.stable_end WHERE i.freq IN ('15min', 'daily') AND dec.has_limit_reference),
-used AS (SELECT decision_id, freq, oc, progress FROM stable_vals WHERE back <= w - CAST(req AS INTEGER)
-  UNION ALL SELECT s.decision_id, s.freq, least(greatest(s.close / s.open - 1, -0.3), 0.3), s.progress FROM snap s JOIN dec USING (decision_id)
-    JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE s.freq IN ('15min', 'daily') AND dec.has_limit_reference)"""
+# What every padded sequence holds: place in the array, return inside the bar and progress, as the arrays' 32-bit numbers.
+_SEQ = _PARTIAL.lstrip() + _STABLE + """, aggs AS (SELECT k.freq, symbol, max(datetime) AS t, min_by(open, st_ord.datetime) AS open, max_by(close, st_ord.datetime) AS close,
+    least(count(*) / CAST(k.n AS DOUBLE), 1.0) AS progress FROM st_ord, (VALUES ('5min', 1), ('15min', 3), ('30min', 6), ('60min', 12)) k(freq, n)
+    GROUP BY k.freq, k.n, symbol, date_trunc('day', datetime), o // k.n
+  UNION ALL SELECT 'daily', symbol, datetime, open, close, 1.0 FROM daily
+  UNION ALL SELECT 'weekly', symbol, max(datetime), min_by(open, daily.datetime), max_by(close, daily.datetime), least(count(*) / 5.0, 1.0)
+    FROM daily GROUP BY symbol, date_trunc('week', datetime)
+  UNION ALL SELECT 'monthly', symbol, max(datetime), min_by(open, daily.datetime), max_by(close, daily.datetime), least(count(*) / 21.0, 1.0)
+    FROM daily GROUP BY symbol, date_trunc('month', datetime)),
+stable_vals AS (SELECT i.decision_id, i.freq, i.w, a.open, a.close, a.progress, i.req, row_number() OVER (PARTITION BY i.decision_id, i.freq ORDER BY a.t DESC) AS back
+  FROM idx i JOIN dec USING (decision_id) JOIN aggs a ON a.symbol = i.symbol AND a.freq = i.freq AND a.t <= i.stable_end WHERE dec.has_limit_reference
+  QUALIFY back <= i.w - CAST(i.req AS INTEGER)),
+used AS (SELECT decision_id, freq, w - back - CAST(req AS INTEGER) AS place, CAST(CAST(least(greatest(close / open - 1, -0.3), 0.3) AS FLOAT) AS DOUBLE) AS oc,
+    CAST(CAST(progress AS FLOAT) AS DOUBLE) AS progress FROM (SELECT decision_id, freq, w, back, req, open, close, progress FROM stable_vals
+  UNION ALL SELECT s.decision_id, s.freq, i.w, 0, true, s.open, s.close, s.progress FROM snap s JOIN dec USING (decision_id)
+    JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE dec.has_limit_reference))"""
 
 
 @query("model_sequences", "I10 I13 I14 H11 D21", sql(_SEQ + """
-SELECT i.decision_id, i.freq, CAST(i.w AS BIGINT) AS window_rows, count(u.freq) AS rows, round(coalesce(sum(u.oc), 0), 3) + 0.0 AS open_close_sum, round(coalesce(sum(u.progress), 0), 3) AS progress_sum,
-  round(count(u.freq) / CAST(i.w AS DOUBLE), 4) AS valid_ratio, count(u.freq)::DOUBLE AS mask_sum
-FROM idx i JOIN dec USING (decision_id) LEFT JOIN used u ON u.decision_id = i.decision_id AND u.freq = i.freq WHERE i.freq IN ('15min', 'daily') AND dec.has_limit_reference
+SELECT i.decision_id, i.freq, CAST(i.w AS BIGINT) AS window_rows, count(u.freq) AS rows, round(coalesce(sum(u.oc), 0), 5) + 0.0 AS open_close_sum,
+  round(coalesce(sum(u.oc * (u.place + 1)), 0), 4) + 0.0 AS open_close_places, round(coalesce(sum(u.progress * (u.place + 1)), 0), 4) AS progress_places,
+  round(count(u.freq) / CAST(i.w AS DOUBLE), 4) AS valid_ratio, coalesce(sum(u.place + 1), 0)::DOUBLE AS mask_places
+FROM idx i JOIN dec USING (decision_id) LEFT JOIN used u ON u.decision_id = i.decision_id AND u.freq = i.freq WHERE dec.has_limit_reference
 GROUP BY i.decision_id, i.freq, i.w""", "daily"))
 def _(spark, sf):
-    """Padded sequences, reduced to sums of their channels and mask."""
-    ds = _dataset(spark, sf)
-    seq = P.dataset_sequences(ds, _SMALL, gaps=False)
+    """Padded sequences of all frequencies: sums of channels and mask, and sums weighted by the place in the array."""
+    seq = P.dataset_sequences(_dataset(spark, sf), _SMALL, gaps=False)
+    channel = lambda i: F.transform("values", lambda r: r[i])
+    out = seq.select("decision_id", "freq", F.size("values").alias("window_rows"), "rows", F.round(F.aggregate(channel(0), F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("open_close_sum"),
+                     F.round(_by_place(channel(0)), 4).alias("open_close_places"), F.round(_by_place(channel(2)), 4).alias("progress_places"),
+                     F.round("valid_ratio", 4).alias("valid_ratio"), _by_place(F.col("mask")).alias("mask_places"))
+    return rounded(out)
 
-    def channel(i):
-        return F.aggregate("values", F.lit(0.0), lambda a, r: a + r[i].cast("double"))
 
-    out = seq.select("decision_id", "freq", F.size("values").alias("window_rows"), "rows", F.round(channel(0), 3).alias("open_close_sum"), F.round(channel(2), 3).alias("progress_sum"),
-                     F.round("valid_ratio", 4).alias("valid_ratio"), F.aggregate("mask", F.lit(0.0), lambda a, m: a + m.cast("double")).alias("mask_sum"))
-    return rounded(out)
+def _by_place(values):
+    """The sum of an array's numbers, each times its place from 1 on."""
+    return F.aggregate(F.transform(values, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
 @query("expanded_sequences", "I13", sql(_SEQ + """
-SELECT decision_id, freq, row_number() OVER (PARTITION BY decision_id, freq ORDER BY pos) - 1 AS sequence_index, round(CAST(CAST(oc AS FLOAT) AS DOUBLE), 5) + 0.0 AS open_close_ret
-FROM (SELECT decision_id, freq, oc, t AS pos FROM stable_vals WHERE back <= w - CAST(req AS INTEGER)
-  UNION ALL SELECT s.decision_id, s.freq, least(greatest(s.close / s.open - 1, -0.3), 0.3), TIMESTAMP '9999-01-01' FROM snap s JOIN dec USING (decision_id)
-    JOIN idx i ON i.decision_id = s.decision_id AND i.freq = s.freq AND i.req WHERE s.freq IN ('15min', 'daily') AND dec.has_limit_reference)""", "daily"))
+SELECT decision_id, freq, row_number() OVER (PARTITION BY decision_id, freq ORDER BY place) - 1 AS sequence_index, round(oc, 5) + 0.0 AS open_close_ret FROM used""", "daily"))
 def _(spark, sf):
     out = S.expanded(P.dataset_sequences(_dataset(spark, sf), _SMALL, gaps=False), _SMALL.channels["daily"])
     return rounded(out.select("decision_id", "freq", "sequence_index", F.col("open_close_ret").cast("double").alias("open_close_ret")), 5)
 
 
-@query("model_inputs", "I14 I18 E9", sql("""
-SELECT decision_id, CAST(2 AS BIGINT) AS frequencies, CAST(64 * 3 AS BIGINT) AS flat_15min, CAST(60 * 3 AS BIGINT) AS flat_daily,
-  CAST(coalesce(market_can_buy, false) AS INTEGER)::DOUBLE AS can_buy FROM dec WHERE has_limit_reference"""))
+@query("model_inputs", "I14 I18 E9", sql(_SEQ + """
+SELECT dec.decision_id, CAST(7 AS BIGINT) AS frequencies, CAST(coalesce(any_value(market_can_buy), false) AS INTEGER)::DOUBLE AS can_buy, """ + ", ".join(
+    f"CAST({w} * 3 AS BIGINT) AS size_{f}, round(coalesce(sum(oc * (place + 1)) FILTER (u.freq = '{f}'), 0), 4) + 0.0 AS places_{f}" for f, w in SEQUENCE_WINDOWS.items()) + """
+FROM dec LEFT JOIN used u USING (decision_id) WHERE has_limit_reference GROUP BY dec.decision_id""", "daily"))
 def _(spark, sf):
+    """Arrays of all frequencies as flat training rows: sizes, and the first channel weighted by its place."""
     inputs = P.dataset_inputs(_dataset(spark, sf), _SMALL, gaps=False)
-    flat = S.flat_training_rows(inputs, _SMALL).select("decision_id", F.size("sequence_15min").alias("flat_15min"), F.size("sequence_daily").alias("flat_daily"))
+
+    def first_channel(name):
+        return F.transform(F.filter(name, lambda x, i: i % 3 == 0), lambda x: x.cast("double"))
+
+    flat = S.flat_training_rows(inputs, _SMALL).select("decision_id", *[F.size(f"sequence_{f}").alias(f"size_{f}") for f in FREQUENCIES],
+                                                       *[F.round(_by_place(first_channel(f"sequence_{f}")), 4).alias(f"places_{f}") for f in FREQUENCIES])
     out = inputs.select("decision_id", F.size("sequences").alias("frequencies"), F.col("decision_context")[1].cast("double").alias("can_buy"))
     return rounded(out.join(flat, ["decision_id"]))
 
@@ -325,14 +339,12 @@ def _(spark, sf):
     return rounded(out.select("decision_time", "stage", "slot", "symbol", "active", "execution_price", "is_zero_volume", "market_can_buy", "is_limit_up"))
 
 
-@query("dataset_tables", "I12 C26", sql("""
+@query("dataset_tables", "I12 C26", sql(_PARTIAL.lstrip() + _STABLE + """
 SELECT 'decisions' AS "table", '' AS freq, count(*) AS rows FROM dec WHERE has_limit_reference
 UNION ALL SELECT 'constraints', '', count(*) FROM dec WHERE has_limit_reference UNION ALL SELECT 'decision_context', '', count(*) FROM dec WHERE has_limit_reference
-UNION ALL SELECT 'decision_index', f, count(*) FROM dec, (VALUES ('15min'), ('daily')) t(f) WHERE has_limit_reference GROUP BY f
-UNION ALL SELECT 'decision_snapshots', freq, count(*) FROM snap JOIN dec USING (decision_id) WHERE has_limit_reference AND freq IN ('15min', 'daily') GROUP BY freq
-UNION ALL SELECT t, 'daily', count(*) FROM daily, (VALUES ('market_bars'), ('market_features')) v(t) GROUP BY t
-UNION ALL SELECT t, '15min', CAST(sum((n + 2) // 3) AS BIGINT) FROM (SELECT count(*) AS n FROM session GROUP BY symbol, date_trunc('day', datetime)), (VALUES ('market_bars'), ('market_features')) v(t) GROUP BY t
-""".replace("SELECT 'decisions'", _PARTIAL.lstrip() + "\nSELECT 'decisions'", 1), "daily"))
+UNION ALL SELECT 'decision_index', freq, count(*) FROM idx JOIN dec USING (decision_id) WHERE has_limit_reference GROUP BY freq
+UNION ALL SELECT 'decision_snapshots', freq, count(*) FROM snap JOIN dec USING (decision_id) WHERE has_limit_reference GROUP BY freq
+UNION ALL SELECT what, freq, count(*) FROM stable, (VALUES ('market_bars'), ('market_features')) v(what) GROUP BY what, freq""", "daily"))
 def _(spark, sf):
     return P.build_summary(_dataset(spark, sf))
 

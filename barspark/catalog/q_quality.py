@@ -210,7 +210,7 @@ def _(spark, sf):
 
 
 @query("sequence_checks", "J12 H11", decision_sql("""
-SELECT f AS freq, count(*) AS rows, CAST(0 AS BIGINT) AS wrong_shape, CAST(0 AS BIGINT) AS not_finite FROM dec, (VALUES ('15min'), ('daily')) v(f) WHERE has_limit_reference GROUP BY f"""))
+SELECT f AS freq, count(*) AS rows, CAST(0 AS BIGINT) AS wrong_shape, CAST(0 AS BIGINT) AS not_finite FROM dec, (VALUES ('5min'), ('15min'), ('30min'), ('60min'), ('daily'), ('weekly'), ('monthly')) v(f) WHERE has_limit_reference GROUP BY f"""))
 def _(spark, sf):
     return Q.sequence_checks(P.dataset_sequences(_dataset(spark, sf), _SMALL, gaps=False), {f: len(n) for f, n in _SMALL.channels.items()})
 

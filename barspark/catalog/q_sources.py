@@ -182,20 +182,34 @@ def _(spark, sf):
 
 
 @query("dataset_round_trip", "A16 A17 A18", with_inputs("daily", "bars", "session", "status", body="""
-SELECT 'market_bars' AS "table", count(*) AS rows FROM daily WHERE symbol IN ('000001.SZ', '688001.SH') UNION ALL
-SELECT 'market_features', count(*) FROM daily WHERE symbol IN ('000001.SZ', '688001.SH') UNION ALL
-SELECT t, count(*) + count(DISTINCT (symbol, datetime::DATE)) FROM (SELECT * FROM session WHERE symbol IN ('000001.SZ', '688001.SH') AND datetime::DATE >
-  (SELECT min(datetime)::DATE FROM session s WHERE s.symbol = session.symbol)), (VALUES ('decisions'), ('decision_index'), ('decision_snapshots')) v(t) GROUP BY t"""))
+, later AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY datetime) AS before, row_number() OVER (PARTITION BY symbol, datetime::DATE ORDER BY datetime) AS n,
+  datetime::DATE > min(datetime::DATE) OVER (PARTITION BY symbol) AS referenced FROM session),
+moments AS (SELECT symbol, datetime::DATE AS day, close AS price FROM later WHERE referenced UNION ALL SELECT symbol, datetime::DATE, open FROM later WHERE referenced AND n = 1),
+rows AS (SELECT 'market_bars' AS "table", symbol, close AS v FROM daily
+  UNION ALL SELECT 'market_features', symbol, least(greatest(close / open - 1, -0.3), 0.3) FROM daily
+  UNION ALL SELECT 'decisions', symbol, price FROM moments
+  UNION ALL SELECT 'decision_index', symbol, least(60, 1 + (SELECT count(*) FROM daily y WHERE y.symbol = moments.symbol AND y.datetime < moments.day)) FROM moments
+  UNION ALL SELECT 'decision_snapshots', symbol, price FROM moments)
+SELECT part, "table", symbol, count(*) AS rows, round(sum(v), 4) + 0.0 AS total FROM rows, (VALUES ('whole'), ('two symbols')) p(part)
+WHERE part = 'whole' OR symbol IN ('000001.SZ', '688001.SH') GROUP BY ALL"""))
 def _(spark, sf):
-    """Eight tables written, merged from two parts and read back for two symbols."""
+    """Tables written in two parts, merged and read back, for all symbols and for two: rows and the sum of a column of each."""
     ds = P.build_dataset(I.session_bars(spark, sf), I.bars_daily(spark, sf), status=I.status(spark, sf), freqs=("daily",), stage=True)
     root = work_dir(spark, "dataset")
     halves = (["000001.SZ", "300001.SZ"], ["688001.SH", "830001.BJ", "600000.SH"])
     for i, names in enumerate(halves):
         P.write_dataset(ds.for_symbols(names), f"{root}/{i}")
-    whole = P.merge_datasets([P.read_dataset(spark, f"{root}/{i}") for i in range(len(halves))]).for_symbols(["000001.SZ", "688001.SH"])
-    names = ("market_bars", "market_features", "decisions", "decision_index", "decision_snapshots")
-    return P.build_summary(whole).filter(F.col("table").isin(*names)).select("table", "rows")
+    whole = P.merge_datasets([P.read_dataset(spark, f"{root}/{i}") for i in range(len(halves))])
+    summed = {"market_bars": "close", "market_features": "open_close_ret", "decisions": "execution_price", "decision_index": "valid_rows", "decision_snapshots": "close"}
+    out = []
+    for part, some in (("whole", whole), ("two symbols", whole.for_symbols(["000001.SZ", "688001.SH"]))):
+        for name, column in summed.items():
+            df = getattr(some, name)
+            if "symbol" not in df.columns:
+                df = df.withColumn("symbol", F.split_part("decision_id", F.lit("|"), F.lit(1)))
+            out.append(df.groupBy("symbol").agg(F.count("*").alias("rows"), F.round(F.sum(F.col(column).cast("double")), 4).alias("total"))
+                       .select(F.lit(part).alias("part"), F.lit(name).alias("table"), "symbol", "rows", "total"))
+    return reduce(DataFrame.unionAll, out)
 
 
 @query("market_export", "A19", with_inputs("bars", body="""
