@@ -40,10 +40,12 @@ ORDERS = LAST + 1  # and the word so far
 BITS = 21
 SLOTS = 1 << BITS
 SLICE = 1 << 16
-HELD_BITS = 21
+HELD_BITS = 22  # costs of bytes with contexts that a worker keeps
 HELD = 1 << HELD_BITS
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"
+BLOCK_BYTES = 8 << 20  # what a block repeats, it learns and is told once
+MOST_PLACES = 3 << 20  # distinct bytes with contexts that a counting task holds before they reach its tables
 PADDING = b" " * LAST
 GATES = (ORDERS + 1) * 5
 STEPS = 33
@@ -111,6 +113,50 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own), (np.cumsum(own) - 1)[stand]
 
 
+class Distinct:
+    """Distinct bytes with their contexts and how often they came, gathered piece by piece: ``take`` gives name, byte and context, word and count of each, in
+    order of the names."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, plain_texts: list[tuple[bytes, int]]) -> None:
+        if plain_texts:
+            keys, word, _ = all_grams(plain_texts)
+            name = names(keys, word)
+            some, stand = distinct(name)
+            self.parts.append((name[some], keys[some], word[some], np.bincount(stand, minlength=len(some))))
+            self.size += len(some)
+            if self.size >= MOST_PLACES:
+                self._merge()
+
+    def _merge(self) -> None:
+        name, keys, word, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(name)
+        name = name[order]
+        at = runs(name)
+        first = order[at]
+        self.parts, self.size = [(name[at], keys[first], word[first], np.add.reduceat(n[order], at))], len(at)
+
+    def take(self) -> tuple[np.ndarray, ...] | None:
+        if not self.parts:
+            return None
+        self._merge()
+        (out,), self.parts, self.size = self.parts, [], 0
+        return out
+
+
+def pieces(texts: list[tuple[bytes, int]], most: int = 1 << 20):
+    """Runs of texts of about ``most`` bytes."""
+    i, size = 0, 0
+    for j, (t, _) in enumerate(texts):
+        size += len(t)
+        if size >= most or j + 1 == len(texts):
+            yield texts[i : j + 1]
+            i, size = j + 1, 0
+
+
 def places(keys: np.ndarray, word: np.ndarray):
     """For each bit of the byte: slots of all contexts, the bit, and the bits before it in the byte with a 1 in front."""
     byte, context, kind = keys & np.uint64(255), keys >> np.uint64(8) & np.uint64((1 << 8 * LAST) - 1), (keys >> np.uint64(60)) << np.uint64(52)
@@ -118,7 +164,8 @@ def places(keys: np.ndarray, word: np.ndarray):
     for b in range(8):
         node = (byte | np.uint64(256)) >> np.uint64(8 - b)
         turn = node * _TURN
-        yield [((x ^ turn) * _TURN) >> np.uint64(64 - BITS) for x in base], (byte >> np.uint64(7 - b)) & np.uint64(1), node.astype(np.int64)
+        yield ([(((x ^ turn) * _TURN) >> np.uint64(64 - BITS)).view(np.int64) for x in base], ((byte >> np.uint64(7 - b)) & np.uint64(1)).view(np.int64),
+               node.view(np.int64))
 
 
 def squeezed(data: bytes) -> bytes:
@@ -132,47 +179,33 @@ def whole(data) -> pa.Buffer:
 def _count(batches):
     """Slices of the tables of one task: order, slice, zeros and ones of its slots."""
     sums = np.zeros((ORDERS, 2 * SLOTS), np.uint32)
-    # Counts of what recurs are held by name and reach the tables once, when another name takes the cell or at the end.
-    held, held_key, held_word = (np.zeros(HELD, np.uint64) for _ in range(3))
-    held_n = np.zeros(HELD, np.uint32)
-
-    def put(keys, word, n):
-        for slots, bit, _ in places(keys, word):
-            for o, s in enumerate(slots):
-                np.add.at(sums[o], (s << np.uint64(1) | bit).astype(np.int64), n)
-
-    def add(texts):
-        keys, word, _ = all_grams(texts)
-        name = names(keys, word)
-        some, stand = distinct(name)
-        n = np.bincount(stand, minlength=len(some)).astype(np.uint32)
-        keys, word, name = keys[some], word[some], name[some]
-        cell = (name >> np.uint64(64 - HELD_BITS)).astype(np.int64)
-        known = (held[cell] == name) & (held_n[cell] > 0)
-        np.add.at(held_n, cell[known], n[known])
-        keys, word, name, cell, n = (x[~known] for x in (keys, word, name, cell, n))
-        out = np.unique(cell[held_n[cell] > 0])
-        put(held_key[out], held_word[out], held_n[out])
-        last = np.zeros(len(cell), bool)
-        last[np.unique(cell[::-1], return_index=True)[1]] = True
-        last = last[::-1]  # of several new names for a cell one is held
-        put(keys[~last], word[~last], n[~last])
-        cell = cell[last]
-        held[cell], held_key[cell], held_word[cell], held_n[cell] = name[last], keys[last], word[last], n[last]
-
-    texts, size, some = [], 0, False
+    seen, some = Distinct(), False
+
+    def put():
+        got = seen.take()
+        if got is not None:
+            _, keys, word, n = got
+            n = n.astype(np.uint32)
+            for i in range(0, len(keys), 1 << 15):
+                here = n[i : i + (1 << 15)]
+                for slots, bit, _ in places(keys[i : i + (1 << 15)], word[i : i + (1 << 15)]):
+                    for o, s in enumerate(slots):
+                        np.add.at(sums[o], s << 1 | bit, here)
+
+    texts, size = [], 0
     for batch in batches:
         for t in batch.column(0).to_pylist():
             texts.append(plain((t or "").encode()))
             size += len(texts[-1][0])
             if size >= 1 << 20:
-                add(texts)
+                seen.add(texts)
                 texts, size, some = [], 0, True
+                if seen.size >= MOST_PLACES // 2 and len(seen.parts) == 1:  # merged, and mostly distinct
+                    put()
     if texts:
-        add(texts)
+        seen.add(texts)
     if texts or some:
-        rest = np.flatnonzero(held_n)
-        put(held_key[rest], held_word[rest], held_n[rest])
+        put()
         for o in range(ORDERS):
             for k in range(SLOTS // SLICE):
                 part = sums[o, 2 * k * SLICE : 2 * (k + 1) * SLICE]
@@ -199,23 +232,26 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
 
 
-KEPT = np.int16(-32768)
-
-
 @functools.lru_cache(maxsize=1)
 def one_less() -> np.ndarray:
-    """By bit, log-odds (13 bits) and smaller count (8 bits) of a cell, the cell with that bit counted once less; ``KEPT`` where it stays as it is."""
+    """By bit, log-odds (13 bits) and smaller count (8 bits) of a cell, the cell with that bit counted once less. A cell whose smaller count is 255 or more,
+    or that does not have the bit, stays as it is."""
     odds, few = np.divmod(np.arange(1 << 21, dtype=np.int32), 256)
     odds, few = (odds - 4096).astype(np.float32) * np.float32(1 / 256), few.astype(np.float32)
     many = np.maximum(np.rint(np.exp(np.abs(odds)) * (few + np.float32(0.05)) - np.float32(0.05)), few)
+
+    def seen(total):
+        return np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
+
+    as_it_is = np.rint(odds * 256).astype(np.int16) << 3 | seen(many + few)
     out = []
     for one in (False, True):
         mine = np.where(one == (odds > 0), many, few) - 1  # the count of this bit; of two equal ones it does not matter which
         other = np.where(one == (odds > 0), few, many)
         total = mine + other
         left = np.log((np.maximum(mine, 0) + np.float32(0.05)) / (other + np.float32(0.05))) * np.float32(256 if one else -256)
-        left = np.where(total > 0, np.clip(np.rint(left), -4096, 4095), 0).astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
-        out.append(np.where((few == 255) | (mine < 0), KEPT, left))
+        left = np.where(total > 0, np.clip(np.rint(left), -4096, 4095), 0).astype(np.int16) << 3 | seen(total)
+        out.append(np.where((few == 255) | (mine < 0), as_it_is, left))
     return np.concatenate(out)
 
 
@@ -224,6 +260,7 @@ class Mixer:
         self.memo: tuple[np.ndarray, np.ndarray] | None = None
         self.cells = np.zeros((ORDERS, SLOTS), np.int16)  # log-odds in 1/256, and how often seen in the low 3 bits
         self.few: np.ndarray | None = np.zeros((ORDERS, SLOTS), np.uint8)  # the smaller count up to 255; only learning needs it
+        self.both: np.ndarray | None = None  # log-odds and smaller count side by side, made where learning begins
         self.weights = np.full((ORDERS, GATES), 0.35, np.float32)
         grid = np.linspace(-8, 8, STEPS)
         self.refined = np.tile(1 / (1 + np.exp(-grid)), (256, 1)).astype(np.float32)
@@ -241,32 +278,31 @@ class Mixer:
 
     def without(self, o: int, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The cells as they would be if ``bit`` had been counted once less."""
-        cell = self.cells[o][slots]
-        at = (cell >> 3).astype(np.int32) + 4096 << 8
-        at |= self.few[o][slots]
+        if self.both is None:
+            self.both = (self.cells >> 3).astype(np.int32) + 4096 << 8 | self.few
+        at = self.both[o].take(slots)
         at |= bit.astype(np.int32) << 21
-        less = one_less()[at]
-        return np.where(less == KEPT, cell, less)
+        return one_less().take(at)
 
     def inputs(self, slots, counted=None) -> tuple[list[np.ndarray], np.ndarray]:
         """Log-odds of every context, and the gate. ``counted``: the bit that came, where the tables have it, to be left out of them."""
-        got = [self.cells[o][s] if counted is None else self.without(o, s, counted) for o, s in enumerate(slots)]
+        got = [self.cells[o].take(s) if counted is None else self.without(o, s, counted) for o, s in enumerate(slots)]
         gate = np.zeros(len(got[0]), np.int16)
         for g in got:
             gate += (g & 7) > 0
-        return [(g >> 3).astype(np.float32) * np.float32(1 / 256) for g in got], gate * 5 + (got[2] & 7)
+        return [(g >> 3).astype(np.float32) * np.float32(1 / 256) for g in got], (gate * 5 + (got[2] & 7)).astype(np.int64)
 
     def mixed(self, x, gate):
-        z = self.weights[0][gate] * x[0]
+        z = self.weights[0].take(gate) * x[0]
         for w, y in zip(self.weights[1:], x[1:], strict=True):
-            z += w[gate] * y
+            z += w.take(gate) * y
         return np.clip(z, -8, 8)
 
     def refine(self, z, node):
         at = (z + 8) * np.float32((STEPS - 1) / 16)
         low = np.minimum(at.astype(np.int32), STEPS - 2)
         part, cell, flat = at - low.astype(np.float32), node * STEPS + low, self.refined.reshape(-1)
-        return low, part, (1 - part) * flat[cell] + part * flat[cell + 1]
+        return low, part, (1 - part) * flat.take(cell) + part * flat.take(cell + 1)
 
     def learn(self, texts: list[tuple[bytes, int]], batch: int = 4096, rate: float = 0.02, pace: float = 0.02, counted: bool = False) -> None:
         """Online: predict a batch of bits, then move the weights and the refinement towards what came.
@@ -275,16 +311,17 @@ class Mixer:
         ``counted``: the tables have these texts, so each bit is predicted without its own count."""
         if not texts:
             return
-        keys, word, _ = all_grams(texts)
-        _, some, often = np.unique(names(keys, word), return_index=True, return_counts=True)
-        keys, word = keys[some], word[some]
+        every = Distinct()
+        for piece in pieces(texts):
+            every.add(piece)
+        _, keys, word, often = every.take()
         for i in range(0, len(keys), batch):
             n = often[i : i + batch].astype(np.float32)
             for b, (slots, bit, node) in enumerate(places(keys[i : i + batch], word[i : i + batch])):
                 x, gate = self.inputs(slots, bit if counted else None)
                 z = self.mixed(x, gate)
                 low, part, _ = self.refine(z, node)
-                error = (bit - 1 / (1 + np.exp(-z))) * n
+                error = (bit.astype(np.float32) - 1 / (1 + np.exp(-z))) * n
                 total = np.maximum(np.bincount(gate, n, GATES), 1)
                 pull = rate * np.minimum(np.sqrt(total) / 8, 4) / total
                 for w, y in zip(self.weights, x, strict=True):
@@ -346,6 +383,7 @@ def learned(mixer: Mixer, t: pa.Table, ids: set | None) -> bytes:
     """What a block's training documents teach: their bytes, then weights and refinement times these."""
     rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
     texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
+    mixer.without(0, np.zeros(1, np.int64), np.zeros(1, np.uint64))  # the copies of a worker share what is made for learning
     own, n = copy(mixer), sum(len(x) for x, _ in texts)
     own.weights, own.refined = own.weights.copy(), own.refined.copy()
     own.learn(texts, counted=True)
@@ -361,7 +399,7 @@ def finished(mixer: Mixer, blocks: DataFrame) -> Mixer:
             data = data[1:] / n
             mixer.weights = data[: mixer.weights.size].reshape(mixer.weights.shape).astype(np.float32)
             mixer.refined = data[mixer.weights.size :].reshape(mixer.refined.shape).astype(np.float32)
-    mixer.few = None
+    mixer.few = mixer.both = None
     return mixer
 
 
@@ -435,7 +473,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("training", fold() != HELD_OUT)
-    blocks, known, context = Blocks(d, carry=("training",)), d.where("training"), docs.sparkSession.sparkContext
+    blocks, known, context = Blocks(d, carry=("training",), block_bytes=BLOCK_BYTES), d.where("training"), docs.sparkSession.sparkContext
     mixer, ids, buckets = count_contexts(known), _sampled_ids(known, sample), blocks.buckets
     first = context.broadcast(mixer)  # 38 MB, whatever the input
 
