@@ -45,7 +45,7 @@ HELD = 1 << HELD_BITS
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"
 BLOCK_BYTES = 8 << 20  # what a block repeats, it learns and is told once
-MOST_PLACES = 3 << 20  # distinct bytes with contexts that a counting task holds before they reach its tables
+MOST_PLACES = 2 << 20  # distinct bytes with contexts that a counting task holds before they reach its tables
 PADDING = b" " * LAST
 GATES = (ORDERS + 1) * 5
 STEPS = 33
@@ -132,12 +132,13 @@ class Distinct:
                 self._merge()
 
     def _merge(self) -> None:
-        name, keys, word, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        column = lambda k: np.concatenate([p[k] for p in self.parts])  # noqa: E731  one after the other, for the memory
+        name = column(0)
         order = np.argsort(name)
         name = name[order]
         at = runs(name)
-        first = order[at]
-        self.parts, self.size = [(name[at], keys[first], word[first], np.add.reduceat(n[order], at))], len(at)
+        first, name = order[at], name[at]
+        self.parts, self.size = [(name, column(1)[first], column(2)[first], np.add.reduceat(column(3)[order], at))], len(at)
 
     def take(self) -> tuple[np.ndarray, ...] | None:
         if not self.parts:
