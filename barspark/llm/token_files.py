@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import zlib
@@ -235,7 +236,8 @@ def byte_level(told: dict) -> bool:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker. A task has one core, so the tokenizers library starts no threads of its own there unless it is told to."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
