@@ -76,20 +76,27 @@ def consistency_report(bars: DataFrame, *, max_gap_days: int = 14) -> DataFrame:
     """Issues and warnings per symbol; rows with an unreadable time only count as such."""
     o, h, l, c = (F.col(x) for x in PRICE_COLUMNS)
     known = F.col("datetime").isNotNull()
-    base = bars.groupBy("symbol").agg(
-        count_if(known).alias("rows"), count_if(~known).alias("bad_datetime"),
-        *[count_if(known & is_bad_number(x)).alias(f"bad_{x}") for x in (*PRICE_COLUMNS, "volume")],
-        count_if(known & (h < l)).alias("high_below_low"), count_if(known & (h < o)).alias("high_below_open"),
-        count_if(known & (h < c)).alias("high_below_close"), count_if(known & (l > o)).alias("low_above_open"),
-        count_if(known & (l > c)).alias("low_above_close"),
-        count_if(known & ((o < 0) | (h < 0) | (l < 0) | (c < 0))).alias("negative_price"),
-        count_if(known & (F.col("volume") < 0)).alias("negative_volume"),
-    )
-    repeats = bars.filter(known).groupBy("symbol", "datetime").agg((F.count("*") - 1).alias("n")).groupBy("symbol").agg(F.sum("n").alias("duplicates"))
-    one = bars.filter(known).groupBy("symbol", "datetime").agg(F.count("*").alias("_n"))
-    gaps = running(one, ["symbol"], ["datetime"], F.to_date("datetime"), {"previous": ("last", "datetime")}, exclusive=True)
-    gaps = gaps.groupBy("symbol").agg(count_if(F.extract(F.lit("DAY"), F.col("datetime") - F.col("previous")) > max_gap_days).alias("large_gaps"))
-    df = base.join(repeats, ["symbol"], "left").join(gaps, ["symbol"], "left").na.fill(0, ["duplicates", "large_gaps"])
+    counts = {
+        "rows": known, "bad_datetime": ~known,
+        **{f"bad_{x}": known & is_bad_number(x) for x in (*PRICE_COLUMNS, "volume")},
+        "high_below_low": known & (h < l), "high_below_open": known & (h < o),
+        "high_below_close": known & (h < c), "low_above_open": known & (l > o),
+        "low_above_close": known & (l > c),
+        "negative_price": known & ((o < 0) | (h < 0) | (l < 0) | (c < 0)),
+        "negative_volume": known & (F.col("volume") < 0),
+    }
+    base = bars.groupBy("symbol").agg(*[count_if(x).alias(n) for n, x in counts.items()])
+    # Inside so many days no gap is too long, so the first and last times of each such span tell all long gaps.
+    span = F.floor(F.unix_date(F.to_date("datetime")) / (max_gap_days + 1))
+    inside = Window.partitionBy("symbol", "_span").orderBy("datetime")
+    times = bars.filter(known).select("symbol", "datetime", span.alias("_span"))
+    times = times.withColumn("_again", F.lag("datetime").over(inside) == F.col("datetime"))
+    spans = times.groupBy("symbol", "_span").agg(
+        count_if(F.col("_again")).alias("_repeats"), F.min("datetime").alias("_first"), F.max("datetime").alias("_last"))
+    previous = F.lag("_last").over(Window.partitionBy("symbol").orderBy("_span"))
+    spans = spans.withColumn("_gap", F.extract(F.lit("DAY"), F.col("_first") - previous) > max_gap_days)
+    found = spans.groupBy("symbol").agg(F.sum("_repeats").alias("duplicates"), count_if(F.col("_gap")).alias("large_gaps"))
+    df = base.join(found, ["symbol"], "left").na.fill(0, ["duplicates", "large_gaps"])
 
     def named(cols: Sequence[str]) -> Column:
         return F.array_compact(F.array(*[F.when(F.col(x) > 0, F.lit(x)) for x in cols]))

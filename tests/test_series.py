@@ -1,8 +1,11 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barspark.operators.quality import consistency_report
 from barspark.operators.normalize import keep_last
 from barspark.operators.selection import last_rows, sample_by_board
 from barspark.operators.sequences import tails
@@ -66,3 +69,20 @@ def test_round_robin_takes_from_every_board(spark):
     names = spark.createDataFrame([(f"{p}{i:03d}.{m}",) for p, m, n in (("688", "SH", 30), ("600", "SH", 30), ("830", "BJ", 2)) for i in range(n)], "symbol STRING")
     got = {r["board"]: r["n"] for r in sample_by_board(names, 10, 3).groupBy("board").agg(F.count("*").alias("n")).collect()}
     assert got == {"beijing": 2, "sh": 4, "star": 4}
+
+
+def test_gaps_and_repeats_of_spans_are_those_of_all_times(spark):
+    """Long gaps are found from the first and last times of spans, whatever edge they fall on, and no row is sorted with all others of its symbol."""
+    day, start = dt.timedelta(days=1), dt.datetime(1969, 12, 20)
+    steps = [14 * day, 15 * day, 15 * day - dt.timedelta(seconds=1), 16 * day, 1 * day, 40 * day, 0 * day, 14 * day, 29 * day, 15 * day]
+    for shift in range(0, 30, 7):
+        times = [start + shift * day]
+        for s in steps:
+            times.append(times[-1] + s)
+        rows = [(name, t, 1.0, 1.0, 1.0, 1.0, 1.0) for name in ("a", "b") for t in times] + [("b", None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+        bars = spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, open double, high double, low double, close double, volume double")
+        report = consistency_report(bars)
+        got = {r["symbol"]: (r["rows"], r["bad_datetime"], r["duplicates"], r["large_gaps"]) for r in report.collect()}
+        assert got == {"a": (11, 0, 1, 5), "b": (11, 1, 1, 5)}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and not any("open" in line for line in plan.splitlines() if "Window [" in line)
