@@ -233,6 +233,22 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()])], ["slice", "data"])
 
 
+def cells_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of zeros and ones of some slots: log-odds in 1/256 with how often seen in the low 3 bits, and the smaller count up to 255."""
+    n = counts.reshape(-1, 2)
+    total, fewer = n.sum(1), n.min(1)
+    odds = np.where(total > 0, np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), 0)
+    odds = np.clip(np.round(odds * 256), -4096, 4095)  # 13 bits
+    return odds.astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16), np.minimum(fewer, 255).astype(np.uint8)
+
+
+def _add_up_cells(batches):
+    """Cells of the sums, compressed: 3 bytes a slot at most for the driver, where the sums have 16."""
+    for batch in _add_up(batches):
+        cells, few = cells_of(np.frombuffer(batch.column(1)[0].as_buffer(), np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeezed(cells.tobytes() + few.tobytes())])], ["slice", "data"])
+
+
 @functools.lru_cache(maxsize=1)
 def one_less() -> np.ndarray:
     """By bit, log-odds (13 bits) and smaller count (8 bits) of a cell, the cell with that bit counted once less. A cell whose smaller count is 255 or more,
@@ -261,29 +277,30 @@ class Mixer:
         self.memo: tuple[np.ndarray, np.ndarray] | None = None
         self.cells = np.zeros((ORDERS, SLOTS), np.int16)  # log-odds in 1/256, and how often seen in the low 3 bits
         self.few: np.ndarray | None = np.zeros((ORDERS, SLOTS), np.uint8)  # the smaller count up to 255; only learning needs it
-        self.both: np.ndarray | None = None  # log-odds and smaller count side by side, made where learning begins
+        self.both: np.ndarray | None = None  # cells without one 0 and without one 1, side by side, made where learning begins
         self.weights = np.full((ORDERS, GATES), 0.35, np.float32)
         grid = np.linspace(-8, 8, STEPS)
         self.refined = np.tile(1 / (1 + np.exp(-grid)), (256, 1)).astype(np.float32)
 
     def put(self, k: int, counts: np.ndarray) -> None:
         """A slice of summed counts."""
+        self.put_cells(k, *cells_of(counts))
+
+    def put_cells(self, k: int, cells: np.ndarray, few: np.ndarray) -> None:
         o, i = divmod(k, SLOTS // SLICE)
-        n = counts.reshape(-1, 2).astype(np.float64)
-        total = n.sum(1)
         here = slice(i * SLICE, (i + 1) * SLICE)
-        odds = np.where(total > 0, np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)), 0)
-        odds = np.clip(np.round(odds * 256), -4096, 4095)  # 13 bits
-        self.few[o, here] = np.minimum(n.min(1), 255)
-        self.cells[o, here] = odds.astype(np.int16) << 3 | np.searchsorted([1, 2, 4, 16], total, "right").astype(np.int16)
+        self.cells[o, here], self.few[o, here] = cells, few
 
     def without(self, o: int, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The cells as they would be if ``bit`` had been counted once less."""
         if self.both is None:
-            self.both = (self.cells >> 3).astype(np.int32) + 4096 << 8 | self.few
-        at = self.both[o].take(slots)
-        at |= bit.astype(np.int32) << 21
-        return one_less().take(at)
+            self.both = np.empty((ORDERS, 2 * SLOTS), np.int16)
+            table_ = one_less()
+            for p in range(ORDERS):
+                for i in range(0, SLOTS, SLICE):
+                    at = (self.cells[p, i : i + SLICE] >> 3).astype(np.int32) + 4096 << 8 | self.few[p, i : i + SLICE]
+                    self.both[p, 2 * i : 2 * (i + SLICE) : 2], self.both[p, 2 * i + 1 : 2 * (i + SLICE) : 2] = table_[at], table_[at | 1 << 21]
+        return self.both[o].take(slots << 1 | bit)
 
     def inputs(self, slots, counted=None) -> tuple[list[np.ndarray], np.ndarray]:
         """Log-odds of every context, and the gate. ``counted``: the bit that came, where the tables have it, to be left out of them."""
@@ -299,11 +316,16 @@ class Mixer:
             z += w.take(gate) * y
         return np.clip(z, -8, 8)
 
-    def refine(self, z, node):
+    def steps(self, z):
+        """The step of the grid below ``z``, and how far it is beyond it."""
         at = (z + 8) * np.float32((STEPS - 1) / 16)
         low = np.minimum(at.astype(np.int32), STEPS - 2)
-        part, cell, flat = at - low.astype(np.float32), node * STEPS + low, self.refined.reshape(-1)
-        return low, part, (1 - part) * flat.take(cell) + part * flat.take(cell + 1)
+        return low, at - low.astype(np.float32)
+
+    def refine(self, z, node):
+        low, part = self.steps(z)
+        cell, flat = node * STEPS + low, self.refined.reshape(-1)
+        return (1 - part) * flat.take(cell) + part * flat.take(cell + 1)
 
     def learn(self, texts: list[tuple[bytes, int]], batch: int = 4096, rate: float = 0.02, pace: float = 0.02, counted: bool = False) -> None:
         """Online: predict a batch of bits, then move the weights and the refinement towards what came.
@@ -321,17 +343,23 @@ class Mixer:
             for b, (slots, bit, node) in enumerate(places(keys[i : i + batch], word[i : i + batch])):
                 x, gate = self.inputs(slots, bit if counted else None)
                 z = self.mixed(x, gate)
-                low, part, _ = self.refine(z, node)
+                low, part = self.steps(z)
                 error = (bit.astype(np.float32) - 1 / (1 + np.exp(-z))) * n
-                total = np.maximum(np.bincount(gate, n, GATES), 1)
+                order = np.argsort(gate.astype(np.int8), kind="stable")
+                first = runs(gate[order])
+                here = gate[order[first]]
+                total = np.maximum(np.add.reduceat(n[order], first, dtype=np.float64), 1)
                 pull = rate * np.minimum(np.sqrt(total) / 8, 4) / total
                 for w, y in zip(self.weights, x, strict=True):
-                    w += pull * np.bincount(gate, error * y, GATES)
+                    w[here] += pull * np.add.reduceat((error * y)[order], first, dtype=np.float64)
                 size = STEPS << b  # the nodes of this bit
                 flat = self.refined.reshape(-1)[size : 2 * size]
                 for cell, w in ((node * STEPS + low - size, (1 - part) * n), (node * STEPS + low + 1 - size, part * n)):
-                    many = np.bincount(cell, w, size)
-                    flat += (1 - (1 - pace) ** many) * (np.bincount(cell, w * bit, size) / np.maximum(many, 1e-9) - flat) * (many > 0)
+                    each = np.bincount(cell << 1 | bit, w, 2 * size).reshape(-1, 2)
+                    many = each[:, 0] + each[:, 1]
+                    here = np.flatnonzero(many)
+                    many, ones = many[here], each[here, 1]
+                    flat[here] += (1 - (1 - pace) ** many) * (ones / np.maximum(many, 1e-9) - flat[here])
 
     def bits(self, keys: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The cost in bits of each byte after its contexts."""
@@ -340,7 +368,7 @@ class Mixer:
             part = out[i : i + (1 << 14)]
             for slots, bit, node in places(keys[i : i + (1 << 14)], word[i : i + (1 << 14)]):
                 z = self.mixed(*self.inputs(slots))
-                p = (1 / (1 + np.exp(-z)) + self.refine(z, node)[2]) / 2
+                p = (1 / (1 + np.exp(-z)) + self.refine(z, node)) / 2
                 part -= np.log2(np.clip(np.where(bit == 1, p, 1 - p), 1e-5, 1))
         return out
 
@@ -373,10 +401,11 @@ def _averaged(t: pa.Table) -> pa.Table:
 def count_contexts(known: DataFrame) -> Mixer:
     """Tables of all texts, with weights that have learned nothing."""
     slices = known.select("text").mapInArrow(_count, "slice bigint, data binary")
-    summed = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_up, "slice bigint, data binary")
+    summed = slices.repartition(F.col("slice")).sortWithinPartitions("slice").mapInArrow(_add_up_cells, "slice bigint, data binary")
     mixer = Mixer()
-    for r in summed.toLocalIterator():  # ORDERS x SLOTS counts, however large the input is
-        mixer.put(r["slice"], np.frombuffer(r["data"], np.int64))
+    for r in summed.toLocalIterator():  # ORDERS x SLOTS cells, 38 MB before they are compressed, however large the input is
+        data = whole(r["data"])
+        mixer.put_cells(r["slice"], np.frombuffer(data, np.int16, SLICE), np.frombuffer(data, np.uint8, offset=2 * SLICE))
     return mixer
 
 
@@ -384,7 +413,7 @@ def learned(mixer: Mixer, t: pa.Table, ids: set | None) -> bytes:
     """What a block's training documents teach: their bytes, then weights and refinement times these."""
     rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
     texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
-    mixer.without(0, np.zeros(1, np.int64), np.zeros(1, np.uint64))  # the copies of a worker share what is made for learning
+    mixer.without(0, np.zeros(1, np.int64), np.zeros(1, np.int64))  # the copies of a worker share what is made for learning
     own, n = copy(mixer), sum(len(x) for x, _ in texts)
     own.weights, own.refined = own.weights.copy(), own.refined.copy()
     own.learn(texts, counted=True)
