@@ -6,7 +6,8 @@ A whole corpus cannot be one suffix array, and most of it repeats nowhere. So th
 2. Around an anchor that several documents have, every 50-byte string that holds it lies in its *cell*, the anchor with 30 bytes on either side.
    A block sends each distinct cell once, with its smallest document. A bucket has all cells of an anchor. Where there is one cell, its smallest
    document is the answer for all its strings. Otherwise the cells (the anchor as one symbol, a separator after each) make one sequence, whose suffix array
-   brings equal strings together; each run of equal strings knows its smallest document. Cells that share no string hash are left out.
+   brings equal strings together; each run of equal strings knows its smallest document. Cells that share no string hash are left out, of the others what
+   no other cell has at their ends; cells that are equal in between are sorted once.
 3. Blocks hear which strings of their cells a smaller document has, and remove them.
 
 Nulls are empty texts; texts under 50 bytes lose nothing. Repeated doc_ids do not cover each other. A null doc_id counts as larger than all
@@ -166,27 +167,38 @@ def string_owners(cells: np.ndarray) -> np.ndarray:
     seen, many = np.unique(h[there], return_counts=True)
     often = there & member(h, seen[many > 1])
     todo = np.flatnonzero(often.any(1))
-    cut = np.flatnonzero(np.diff(group[todo], prepend=-1))  # whole anchors to one array
+    # What is sorted of a cell goes from its first to its last string that another cell has; of cells that are equal there, one stands for all, with the
+    # smallest document.
+    most, fewest = SIDE - np.argmax(often[todo, ::-1], 1), np.argmax(often[todo], 1)
+    inside = (j >= fewest[:, None]) & (j <= most[:, None])
+    _, one, piece = np.unique(spans(sums, todo * width + SIDE - most, todo * width + 2 * SIDE + 1 - fewest), return_index=True, return_inverse=True)
+    least = np.full(len(one), none)
+    np.minimum.at(least, piece, cells["doc"][todo])
+    owner[todo[one]] = np.where(inside[one], least[:, None], owner[todo[one]])
+    sorted_ = np.sort(one)  # in order of the anchors
+    cut = np.flatnonzero(np.diff(group[todo[sorted_]], prepend=-1))  # whole anchors to one array
     edges, last = [0], 0
-    for c in [*cut[1:].tolist(), len(todo)]:
+    for c in [*cut[1:].tolist(), len(sorted_)]:
         if c - edges[-1] > SORTED // width and last > edges[-1]:
             edges.append(last)
         last = c
-    for a, b in zip(edges, [*edges[1:], len(todo)], strict=True):
-        some = todo[a:b]
+    column = np.arange(width)
+    for a, b in zip(edges, [*edges[1:], len(sorted_)], strict=True):
+        some = sorted_[a:b]
         if not len(some):
             continue
-        text = symbols[some].reshape(-1)
-        sa = suffix_array(text)
-        cell, before = sa // width, SIDE - sa % width
-        inside = before >= 0
-        cell, before = some[cell[inside]], before[inside]
-        inside = there[cell, before]
-        cell, before = cell[inside], before[inside]
+        rows, end = symbols[todo[some]], 2 * SIDE + 1 - fewest[some]
+        rows[np.arange(len(some)), end] = 0
+        row, at = np.nonzero((column >= (SIDE - most[some])[:, None]) & (column <= end[:, None]))
+        sa = suffix_array(rows[row, at])
+        row, before = some[row[sa]], SIDE - at[sa]
+        whole = before >= fewest[row]
+        cell, before = todo[row[whole]], before[whole]
         own = h[cell, before]  # equal strings are neighbours now
         first = runs(own)
         low = np.minimum.reduceat(owner[cell, before], first) if len(first) else first
         owner[cell, before] = np.repeat(low, np.diff(np.append(first, len(own))))
+    owner[todo] = np.where(inside, owner[todo[one[piece]]], owner[todo])
     return owner
 
 

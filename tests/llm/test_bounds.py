@@ -1,9 +1,9 @@
-"""Sizes of what operators send to the driver."""
+"""Sizes of what operators send to the driver, and of what they sort."""
 
 import numpy as np
 import pyarrow as pa
 
-from barspark.llm import context_mixing
+from barspark.llm import context_mixing, suffix_dedup
 
 
 def slices():
@@ -25,3 +25,33 @@ def test_cells_for_the_driver_are_small_and_equal_those_of_the_counts():
         got.put_cells(b.column(0)[0].as_py(), np.frombuffer(data, np.int16, context_mixing.SLICE), np.frombuffer(data, np.uint8, offset=2 * context_mixing.SLICE))
     assert max(sent) < 3 * context_mixing.SLICE + 1024  # the counts have 16 bytes a slot
     assert (want.cells == got.cells).all() and (want.few == got.few).all() and want.cells.any()
+
+
+def test_equal_parts_of_cells_are_sorted_once(monkeypatch):
+    """A passage between other texts in many documents: the suffix arrays get what its cells share once, and every string still knows its smallest document."""
+    r = np.random.default_rng(5)
+    passage = bytes(r.integers(97, 123, 70).astype(np.uint8))
+    texts = [bytes(r.integers(97, 123, 40).astype(np.uint8)) + passage[d % 3 :] + bytes(r.integers(97, 123, 40).astype(np.uint8)) for d in range(200)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    sizes = []
+    array = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda x: sizes.append(len(x)) or array(x))
+    docs = pa.table({"doc_id": pa.array(range(200)), "text": pa.array([t.decode() for t in texts])})
+    shared = [np.frombuffer(d, np.uint8) for _, d in suffix_dedup._say_anchors(0, docs, [], 1)]
+    told = [np.frombuffer(d, np.uint8) for _, d in suffix_dedup.shared_keys(np.array([0]), shared)]
+    said = [np.frombuffer(d, np.uint8) for _, d in suffix_dedup._say_cells(0, docs, told, 1)]
+    cells = np.sort(np.concatenate([suffix_dedup.expand(x) for x in said]), order=["anchor", "cell"])
+    owner = suffix_dedup.string_owners(cells)
+    first = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    got = {}  # a string can lie around several anchors; one of them has it in all documents
+    for c, own in zip(cells, owner, strict=True):
+        text = c["text"].tobytes()
+        for k in range(31):
+            if k <= c["left"] and 50 - k <= c["right"]:
+                string = text[30 - k : 80 - k]
+                got[string] = min(got.get(string, 200), own[k])
+    assert got and got == {k: first[k] for k in got}
+    assert len(cells) >= 200 and 0 < sum(sizes) < 31 * len(cells)  # 62 for each, were all of them sorted whole
