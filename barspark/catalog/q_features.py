@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query("bar_features_daily_history", "D2 D3 D4 D5 D6 D8 D9 D10 D11 D12 D13 D14 D15", feature_sql(["long"], "src", 60, _PLAIN.format("long")))
 def _(spark, sf):
-    return rounded(bar_features(I.bars_daily_long(spark, sf), gaps=False))
+    return rounded(bar_features(I.bars_daily_long(spark, sf), gaps=False, one_per_day=True))
 
 
 @query("bar_features_with_turnover", "D7 D15 E1", feature_sql(["daily", "liquidity"], "src", 60, _TURN))
@@ -88,9 +88,9 @@ def _(spark, sf):
     return rounded(bar_features(with_turnover(I.bars_daily(spark, sf), I.liquidity(spark, sf)), gaps=False))
 
 
-def _lines(spark, bars, *ids, gaps=False):
+def _lines(spark, bars, *ids, gaps=False, one_per_day=False):
     spec = spec_from_config([{"id": i.id, "kind": i.kind, "params": dict(i.params), "frequencies": ["5min", "daily"]} for i in DEFAULT_INDICATORS if i.id in ids])
-    frame = feature_frame(bars, spec, gaps=gaps).filter("_core")
+    frame = feature_frame(bars, spec, gaps=gaps, one_per_day=one_per_day).filter("_core")
     return frame.select("symbol", "datetime", *[c.alias(n) for i in spec.active for n, c in display_lines(frame, i).items()])
 
 
@@ -134,13 +134,13 @@ def _(spark, sf):
 SELECT symbol, datetime, round(macd_dif_pct, 6) + 0.0 AS macd_dif_pct, round(macd_dea_pct, 6) + 0.0 AS macd_dea_pct,
   round(macd_hist_pct, 6) + 0.0 AS macd_hist_pct FROM feat"""))
 def _(spark, sf):
-    return rounded(_lines(spark, I.bars_daily_long(spark, sf), "macd"))
+    return rounded(_lines(spark, I.bars_daily_long(spark, sf), "macd", one_per_day=True))
 
 
 @query("kd_lines", "D10", with_inputs("long", body=_PLAIN.format("long") + feature_ctes("src", 60) + """
 SELECT symbol, datetime, round(k, 6) AS kd_k_norm, round(d, 6) AS kd_d_norm, round(k - d, 6) + 0.0 AS kd_diff_norm FROM feat"""))
 def _(spark, sf):
-    return rounded(_lines(spark, I.bars_daily_long(spark, sf), "kd"))
+    return rounded(_lines(spark, I.bars_daily_long(spark, sf), "kd", one_per_day=True))
 
 
 @query("force_lines", "D11", with_inputs("bars", body=_PLAIN.format("bars") + feature_ctes("src", 96) + """
@@ -205,7 +205,7 @@ SELECT symbol, datetime, round(f13, 6) AS "13_21_fast", round(s21, 6) AS "13_21_
 def _(spark, sf):
     """The last 40 bars per symbol, computed with warm-up rows before them that are then cut off."""
     item = next(i for i in DEFAULT_INDICATORS if i.id == "13_21")
-    out = G.indicator_window(I.bars_daily_long(spark, sf), item, rows=40, warmup=None, gaps=False)
+    out = G.indicator_window(I.bars_daily_long(spark, sf), item, rows=40, warmup=None, gaps=False, one_per_day=True)
     return rounded(out.select("symbol", "datetime", "13_21_fast", "13_21_slow", "ema_channel_13_21_gap"))
 
 
