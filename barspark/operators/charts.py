@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import FeatureSpec, Indicator
@@ -11,11 +11,11 @@ from .features import display_lines, feature_frame, finish_features
 from .selection import last_rows
 
 
-def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = None, gaps: bool = True) -> DataFrame:
+def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int | None = None, gaps: bool = True, one_per_day: bool = False) -> DataFrame:
     """Chart lines and clipped model fields of the last ``rows`` bars of each series.
 
     The whole history is used, so the values equal the stored features; with ``warmup`` only that many times the
-    indicator's lookback of hidden earlier bars are.
+    indicator's lookback of hidden earlier bars are. ``one_per_day``: see ``feature_frame``.
     """
     from dataclasses import replace
 
@@ -23,11 +23,14 @@ def indicator_window(bars: DataFrame, item: Indicator, *, rows: int, warmup: int
     used = bars
     if warmup is not None:
         used = last_rows(bars, rows + max(20, item.lookback * warmup)).drop("from_end")
-    frame = feature_frame(used, spec, gaps=gaps)
+    frame = feature_frame(used, spec, gaps=gaps, one_per_day=one_per_day)
     lines = display_lines(frame, item)
-    model = finish_features(frame.withColumns(lines), spec, *[n for n in lines if n not in item.fields])
-    return last_rows(model.select("symbol", "datetime", "freq", "adjust", *item.fields, "history_coverage",
-                                  *[n for n in lines if n not in item.fields]), rows)
+    model = finish_features(frame.withColumns(lines), spec, *[n for n in lines if n not in item.fields], *["rn"] * one_per_day)
+    from_end = F.count("*").over(Window.partitionBy(*SLICE)) - F.col("rn") + 1  # in a slice that one window holds
+    shown = ["symbol", "datetime", "freq", "adjust", *item.fields, "history_coverage", *[n for n in lines if n not in item.fields]]
+    if one_per_day:
+        return model.withColumn("from_end", from_end).filter(F.col("from_end") <= rows).select(*shown, "from_end")
+    return last_rows(model.select(*shown), rows)
 
 
 def window_summary(bars: DataFrame, *, rows: int) -> DataFrame:
