@@ -42,6 +42,21 @@ def test_features_equal_those_of_blocks(spark, sf):
     np.testing.assert_allclose(a[numbers].to_numpy(), b[numbers].to_numpy(), rtol=1e-7, atol=1e-9)
 
 
+def test_wide_features_use_small_methods(spark, sf):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "65535")
+        plan = bar_features(inputs.bars_daily_long(spark, sf), gaps=False, one_per_day=True)._jdf.queryExecution().executedPlan().toString()
+        assert spark.conf.get(key) == "8000"
+        assert "lag(turn" not in plan and "avg(turn" not in plan  # bars without a turnover have none to look back at
+        spark.conf.set(key, "4000")
+        bar_features(inputs.bars_daily_long(spark, sf), gaps=False)
+        assert spark.conf.get(key) == "4000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_one_per_day_is_for_complete_bars(spark, sf):
     with pytest.raises(ValueError):
         feature_frame(inputs.bars_daily(spark, sf), one_per_day=True)
