@@ -2,7 +2,7 @@
 
 The model predicts a text's bits: its words in lower case (A-Z only), one space between two, one end mark. Six predictors look up the bits seen after
 the last 1 to 5 bytes (across words), and after the word so far, in hashed tables of counts. Most places of a corpus have contexts that recur, and each
-distinct one of a batch is predicted once. What the text says about its language is said once: 4 bits name the text's class (a hash of its most frequent
+distinct one of a batch is predicted once (see ``Cut``). What the text says about its language is said once: 4 bits name the text's class (a hash of its most frequent
 short word), on which contexts depend. A mixer adds their log-odds with weights that a gate chooses (how many contexts were seen
 before, and how often the one of three bytes), and an adaptive table refines the sum by the bits so far of the byte. The tables count all training
 documents; mixer and refinement learn online from all of them too, block by block (see ``blocks``), each bit predicted without its own count, and are
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Callable
 from copy import copy
 from zlib import crc32
 
@@ -33,19 +34,18 @@ from .blocks import Blocks, by_bucket, runs
 from .files import sampled, staged, table
 from .registry import query
 from .substrings import parts
-from .text import LOWER, NOT_SPACE, byte_values, covered, mix, prefix, spans, words
+from .text import LOWER, NOT_SPACE, byte_values, chunks, covered, longer, mix, prefix, ramp, spans, words
 
 LAST = 5  # bytes of the longest byte context
 ORDERS = LAST + 1  # and the word so far
 BITS = 21
 SLOTS = 1 << BITS
 SLICE = 1 << 16
-HELD_BITS = 22  # costs of bytes with contexts that a worker keeps
+HELD_BITS = 23  # costs of bytes with contexts, and of ends of words, that a worker keeps
 HELD = 1 << HELD_BITS
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"
-BLOCK_BYTES = 8 << 20  # what a block repeats, it learns and is told once
-MOST_PLACES = 2 << 20  # distinct bytes with contexts that a counting task holds before they reach its tables
+BLOCK_BYTES = 16 << 20  # what a block repeats, it learns and is told once
 PADDING = b" " * LAST
 GATES = (ORDERS + 1) * 5
 STEPS = 33
@@ -62,7 +62,7 @@ CLASS_BITS = 4
 def plain(text: bytes) -> tuple[bytes, int]:
     """The bytes to predict and the text's class."""
     own = text.lower().split()
-    short = Counter(w for w in own if len(w) < 5)
+    short = Counter([w for w in own if len(w) < 5])
     most = max(short.values(), default=0)
     kind = crc32(min((w for w, n in short.items() if n == most), default=b"")) % (1 << CLASS_BITS)
     return b" ".join(own) + END, kind
@@ -85,17 +85,6 @@ def grams(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
     return context[own] | np.repeat(kinds, sizes) << np.uint64(60), word[own], sizes
 
 
-def all_grams(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``grams`` of many texts, in pieces that stay in a processor's cache."""
-    parts, i, size = [], 0, 0
-    for j, (t, _) in enumerate(plain_texts):
-        size += len(t)
-        if size >= 1 << 17 or j + 1 == len(plain_texts):
-            parts.append(grams(plain_texts[i : j + 1]))
-            i, size = j + 1, 0
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
-
-
 def names(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One number for a byte and all its contexts."""
     return mix(keys * _TURN ^ word)
@@ -103,9 +92,10 @@ def names(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places that stand for all equal ones, and for each place the number of its stand-in. (Some equal places stand for themselves.)"""
-    cell = (key >> np.uint64(43)).astype(np.int64)
+    bits = min(21, len(key).bit_length() + 1)
+    cell = (key >> np.uint64(64 - bits)).view(np.int64)
     at = np.arange(len(key), dtype=np.int32)
-    holder = np.zeros(1 << 21, np.int32)
+    holder = np.empty(1 << bits, np.int32)
     holder[cell] = at
     stand = holder[cell]
     stand = np.where(key[stand] == key, stand, at)
@@ -113,39 +103,102 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own), (np.cumsum(own) - 1)[stand]
 
 
-class Distinct:
-    """Distinct bytes with their contexts and how often they came, gathered piece by piece: ``take`` gives name, byte and context, word and count of each, in
-    order of the names."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-
-    def add(self, plain_texts: list[tuple[bytes, int]]) -> None:
-        if plain_texts:
-            keys, word, _ = all_grams(plain_texts)
-            name = names(keys, word)
-            some, stand = distinct(name)
-            self.parts.append((name[some], keys[some], word[some], np.bincount(stand, minlength=len(some))))
-            self.size += len(some)
-            if self.size >= MOST_PLACES:
-                self._merge()
-
-    def _merge(self) -> None:
-        column = lambda k: np.concatenate([p[k] for p in self.parts])  # noqa: E731  one after the other, for the memory
-        name = column(0)
-        order = np.argsort(name)
-        name = name[order]
-        at = runs(name)
-        first, name = order[at], name[at]
-        self.parts, self.size = [(name, column(1)[first], column(2)[first], np.add.reduceat(column(3)[order], at))], len(at)
-
-    def take(self) -> tuple[np.ndarray, ...] | None:
-        if not self.parts:
-            return None
-        self._merge()
-        (out,), self.parts, self.size = self.parts, [], 0
-        return out
+class Cut:
+    """The bytes of plain texts in two parts. A byte with a space among the five before it is told by these six (and the class): ``keys``, of each text so many as
+    ``heads``. The others lie further in a word, and are the same wherever the word is: ``name`` and place of every word that has such, of each text so many
+    as ``tails``."""
+
+    def __init__(self, plain_texts: list[tuple[bytes, int]]):
+        parts_, at, n = [], 0, 0
+        self.keys = np.empty(sum(len(t) for t, _ in plain_texts), np.uint64)
+        for piece in pieces(plain_texts, 1 << 17):  # stays in a processor's cache
+            keys, buffer, heads, kind, name, start, end, tails = cut(piece)
+            self.keys[n : n + len(keys)] = keys
+            parts_.append((buffer, heads, kind, name, start + at, end + at, tails))
+            at, n = at + len(buffer), n + len(keys)
+        self.keys = self.keys[:n]
+        self.buffer, self.heads, self.kind, self.name, self.start, self.end, self.tails = (np.concatenate(x) for x in zip(*parts_, strict=True))
+
+    def spread(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``grams`` of the bytes of ``some`` words from the sixth on, and how many there are in each."""
+        start, size, kind = self.start[some], self.end[some] - self.start[some], self.kind[some]
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), 1 << 16):
+            length, late = size[i:j], size[i:j] - LAST
+            first = np.cumsum(length) - length
+            buffer = np.concatenate([self.buffer[ramp(length) + np.repeat(start[i:j], length)], np.zeros(2, np.uint8)])
+            at = ramp(late) + np.repeat(first, late)
+            context = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,)).astype(np.uint64)[at] >> np.uint64(16)
+            word = spans(prefix(byte_values(buffer)), np.repeat(first, late), at + LAST)
+            out.append((context | np.repeat(kind[i:j] << np.uint64(60), late), word, late))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def cut(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
+    buffer = np.frombuffer(PADDING + PADDING.join(t for t, _ in plain_texts) + PADDING, np.uint8)
+    kinds, sizes = np.array([k for _, k in plain_texts], np.uint64), np.array([len(t) for t, _ in plain_texts], np.int64)
+    begins = np.cumsum(sizes + LAST) - sizes
+    space, last = buffer == 0x20, buffer == END[0]
+    near = space[:-LAST].copy()  # of the place LAST later
+    for i in range(1, LAST):
+        near |= space[i : i - LAST]
+    near &= ~(space[LAST:] & (space[LAST - 1 : -1] | last[LAST - 1 : -1]))  # padding
+    at = np.flatnonzero(near)
+    heads = np.diff(np.searchsorted(at, begins - LAST), append=len(at))
+    keys = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,)).astype(np.uint64)[at] >> np.uint64(16) | np.repeat(kinds << np.uint64(60), heads)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    end = end + ~last[end - 1]  # with the space after it
+    long = end - start > LAST
+    start, end = start[long], end[long]
+    tails = np.diff(np.searchsorted(start, begins), append=len(start))
+    kind = np.repeat(kinds, tails)
+    return keys, buffer, heads, kind, names(kind, spans(prefix(byte_values(buffer)), start, end)), start, end, tails
+
+
+def word_so_far(keys: np.ndarray) -> np.ndarray:
+    """Of ``Cut.keys``, the hash that ``grams`` gives."""
+    out = np.empty(len(keys), np.uint64)
+    for i in range(0, len(keys), 1 << 14):
+        some = keys[i : i + (1 << 14)]
+        h, inside = np.zeros(len(some), np.uint64), np.ones(len(some), bool)
+        for k in range(1, LAST + 1):
+            byte = (some >> np.uint64(8 * k)).astype(np.uint8)
+            inside &= byte != 0x20
+            h = np.where(inside, longer(byte_values(byte), h), h)
+        out[i : i + (1 << 14)] = mix(h)
+    return out
+
+
+def backwards(keys: np.ndarray) -> np.ndarray:
+    """``keys`` with the byte in front and the ones before it after it, and back again. In this order neighbours share most of their slots."""
+    return keys >> np.uint64(60) << np.uint64(60) | (keys << np.uint64(16)).byteswap()
+
+
+def distinct_bytes(plain_texts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bytes with their contexts: byte and context, word, and how often they came. Both parts are in the order of ``backwards``."""
+    c = Cut(plain_texts)
+    keys = c.keys
+    for i in range(0, len(keys), 1 << 16):  # in place, for the memory
+        keys[i : i + (1 << 16)] = backwards(keys[i : i + (1 << 16)])
+    keys.sort()
+    at = runs(keys)
+    n = np.diff(at, append=len(keys))
+    keys = backwards(keys[at])
+    c.keys = None
+    some, stand = distinct(c.name)
+    tails, word, size = c.spread(some)
+    name = names(tails, word)
+    order = np.argsort(name)
+    at = runs(name[order])
+    if len(at):
+        many = np.add.reduceat(np.repeat(np.bincount(stand, minlength=len(some)), size)[order], at)
+        first = order[at]
+        order = np.argsort(backwards(tails[first]))
+        n, first = np.concatenate([n, many[order]]), first[order]
+    else:
+        first = order
+    return np.concatenate([keys, tails[first]]), np.concatenate([word_so_far(keys), word[first]]), n
 
 
 def pieces(texts: list[tuple[bytes, int]], most: int = 1 << 20):
@@ -159,14 +212,17 @@ def pieces(texts: list[tuple[bytes, int]], most: int = 1 << 20):
 
 
 def places(keys: np.ndarray, word: np.ndarray):
-    """For each bit of the byte: slots of all contexts, the bit, and the bits before it in the byte with a 1 in front."""
+    """For each bit of the byte: slots of all contexts, the bit, and the bits before it in the byte with a 1 in front. A context has 16 neighbouring slots for the
+    first half of the byte and 16 for the second after the first, so that a processor finds its four bits together."""
     byte, context, kind = keys & np.uint64(255), keys >> np.uint64(8) & np.uint64((1 << 8 * LAST) - 1), (keys >> np.uint64(60)) << np.uint64(52)
     base = [mix((context & np.uint64((1 << 8 * o) - 1)) + np.uint64(o << 56) + (kind if o < LAST else np.uint64(0))) for o in range(1, LAST + 1)] + [mix(word + kind)]
+    byte = byte.view(np.int64)
+    first = (byte >> 4 | 16).view(np.uint64) * _TURN
+    halves = [[(x >> np.uint64(64 - BITS)).view(np.int64) for x in base], [(((x ^ first) * _TURN) >> np.uint64(64 - BITS)).view(np.int64) for x in base]]
     for b in range(8):
-        node = (byte | np.uint64(256)) >> np.uint64(8 - b)
-        turn = node * _TURN
-        yield ([(((x ^ turn) * _TURN) >> np.uint64(64 - BITS)).view(np.int64) for x in base], ((byte >> np.uint64(7 - b)) & np.uint64(1)).view(np.int64),
-               node.view(np.int64))
+        node = (byte | 256) >> 8 - b
+        own = node if b < 4 else node & (1 << b - 4) - 1 | 1 << b - 4  # 1 to 15
+        yield [x ^ own for x in halves[b >> 2]], byte >> 7 - b & 1, node
 
 
 def squeezed(data: bytes) -> bytes:
@@ -180,33 +236,27 @@ def whole(data) -> pa.Buffer:
 def _count(batches):
     """Slices of the tables of one task: order, slice, zeros and ones of its slots."""
     sums = np.zeros((ORDERS, 2 * SLOTS), np.uint32)
-    seen, some = Distinct(), False
-
-    def put():
-        got = seen.take()
-        if got is not None:
-            _, keys, word, n = got
-            n = n.astype(np.uint32)
-            for i in range(0, len(keys), 1 << 15):
-                here = n[i : i + (1 << 15)]
-                for slots, bit, _ in places(keys[i : i + (1 << 15)], word[i : i + (1 << 15)]):
-                    for o, s in enumerate(slots):
-                        np.add.at(sums[o], s << 1 | bit, here)
-
-    texts, size = [], 0
+
+    def put(texts):
+        keys, word, n = distinct_bytes(texts)
+        n = n.astype(np.uint32)
+        for i in range(0, len(keys), 1 << 13):
+            here = n[i : i + (1 << 13)]
+            for slots, bit, _ in places(keys[i : i + (1 << 13)], word[i : i + (1 << 13)]):
+                for o, s in enumerate(slots):
+                    np.add.at(sums[o], s << 1 | bit, here)
+
+    texts, size, some = [], 0, False
     for batch in batches:
         for t in batch.column(0).to_pylist():
             texts.append(plain((t or "").encode()))
             size += len(texts[-1][0])
-            if size >= 1 << 20:
-                seen.add(texts)
+            if size >= BLOCK_BYTES:
+                put(texts)
                 texts, size, some = [], 0, True
-                if seen.size >= MOST_PLACES // 2 and len(seen.parts) == 1:  # merged, and mostly distinct
-                    put()
     if texts:
-        seen.add(texts)
+        put(texts)
     if texts or some:
-        put()
         for o in range(ORDERS):
             for k in range(SLOTS // SLICE):
                 part = sums[o, 2 * k * SLICE : 2 * (k + 1) * SLICE]
@@ -302,19 +352,20 @@ class Mixer:
                     self.both[p, 2 * i : 2 * (i + SLICE) : 2], self.both[p, 2 * i + 1 : 2 * (i + SLICE) : 2] = table_[at], table_[at | 1 << 21]
         return self.both[o].take(slots << 1 | bit)
 
-    def inputs(self, slots, counted=None) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, slots, counted=None) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of every context, and the gate. ``counted``: the bit that came, where the tables have it, to be left out of them."""
-        got = [self.cells[o].take(s) if counted is None else self.without(o, s, counted) for o, s in enumerate(slots)]
-        gate = np.zeros(len(got[0]), np.int16)
-        for g in got:
-            gate += (g & 7) > 0
-        return [(g >> 3).astype(np.float32) * np.float32(1 / 256) for g in got], (gate * 5 + (got[2] & 7)).astype(np.int64)
+        got = np.empty((ORDERS, len(slots[0])), np.int16)
+        for o, s in enumerate(slots):
+            got[o] = self.cells[o].take(s) if counted is None else self.without(o, s, counted)
+        seen = np.add.reduce(((got & 7) != 0).view(np.int8), axis=0, dtype=np.int8)
+        odds = (got >> 3).astype(np.float32)
+        odds *= np.float32(1 / 256)
+        return odds, seen.astype(np.int64) * 5 + (got[2] & 7)
 
     def mixed(self, x, gate):
-        z = self.weights[0].take(gate) * x[0]
-        for w, y in zip(self.weights[1:], x[1:], strict=True):
-            z += w.take(gate) * y
-        return np.clip(z, -8, 8)
+        z = self.weights.take(gate, axis=1)
+        z *= x
+        return np.clip(z.sum(0), -8, 8)
 
     def steps(self, z):
         """The step of the grid below ``z``, and how far it is beyond it."""
@@ -334,10 +385,9 @@ class Mixer:
         ``counted``: the tables have these texts, so each bit is predicted without its own count."""
         if not texts:
             return
-        every = Distinct()
-        for piece in pieces(texts):
-            every.add(piece)
-        _, keys, word, often = every.take()
+        keys, word, often = distinct_bytes(texts)
+        order = np.argsort(names(keys, word))
+        keys, word, often = keys[order], word[order], often[order]
         for i in range(0, len(keys), batch):
             n = often[i : i + batch].astype(np.float32)
             for b, (slots, bit, node) in enumerate(places(keys[i : i + batch], word[i : i + batch])):
@@ -345,13 +395,10 @@ class Mixer:
                 z = self.mixed(x, gate)
                 low, part = self.steps(z)
                 error = (bit.astype(np.float32) - 1 / (1 + np.exp(-z))) * n
-                order = np.argsort(gate.astype(np.int8), kind="stable")
-                first = runs(gate[order])
-                here = gate[order[first]]
-                total = np.maximum(np.add.reduceat(n[order], first, dtype=np.float64), 1)
+                total = np.maximum(np.bincount(gate, n, GATES), 1)
                 pull = rate * np.minimum(np.sqrt(total) / 8, 4) / total
-                for w, y in zip(self.weights, x, strict=True):
-                    w[here] += pull * np.add.reduceat((error * y)[order], first, dtype=np.float64)
+                for w, y in zip(self.weights, error * x, strict=True):
+                    w += pull * np.bincount(gate, y, GATES)
                 size = STEPS << b  # the nodes of this bit
                 flat = self.refined.reshape(-1)[size : 2 * size]
                 for cell, w in ((node * STEPS + low - size, (1 - part) * n), (node * STEPS + low + 1 - size, part * n)):
@@ -359,33 +406,51 @@ class Mixer:
                     many = each[:, 0] + each[:, 1]
                     here = np.flatnonzero(many)
                     many, ones = many[here], each[here, 1]
-                    flat[here] += (1 - (1 - pace) ** many) * (ones / np.maximum(many, 1e-9) - flat[here])
+                    flat[here] -= np.expm1(many * np.log1p(-pace)) * (ones / np.maximum(many, 1e-9) - flat[here])
 
     def bits(self, keys: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The cost in bits of each byte after its contexts."""
-        out = np.zeros(len(keys))
-        for i in range(0, len(keys), 1 << 14):
-            part = out[i : i + (1 << 14)]
-            for slots, bit, node in places(keys[i : i + (1 << 14)], word[i : i + (1 << 14)]):
+        order = np.argsort(backwards(keys))
+        keys, word, out = keys[order], word[order], np.empty(len(keys))
+        for i in range(0, len(keys), 1 << 12):
+            part = np.ones(len(keys[i : i + (1 << 12)]))  # the probability of all bits, 1e-40 or more
+            for slots, bit, node in places(keys[i : i + (1 << 12)], word[i : i + (1 << 12)]):
                 z = self.mixed(*self.inputs(slots))
-                p = (1 / (1 + np.exp(-z)) + self.refine(z, node)) / 2
-                part -= np.log2(np.clip(np.where(bit == 1, p, 1 - p), 1e-5, 1))
-        return out
+                p = (1 / (1 + np.exp(-z)) + self.refine(z, node)) * np.float32(0.5)
+                part *= np.clip(np.abs(p - (1 - bit).astype(np.float32)), np.float32(1e-5), 1)
+            out[i : i + (1 << 12)] = -np.log2(part)
+        cost = np.empty(len(out))
+        cost[order] = out
+        return cost
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each plain text; equal bytes after equal contexts are predicted once."""
         if self.memo is None:
             self.memo = np.zeros(HELD, np.uint64), np.zeros(HELD, np.float32)  # what was predicted before in this worker
-        keys, word, sizes = all_grams(texts)
-        name = names(keys, word)
-        some, stand = distinct(name)
-        name, (known, costs) = name[some], self.memo
-        cell = (name >> np.uint64(64 - HELD_BITS)).astype(np.int64)
+        c = Cut(texts)
+
+        def tail(some):
+            keys, word, size = c.spread(some)
+            own, stand = distinct(names(keys, word))
+            return np.add.reduceat(self.bits(keys[own], word[own])[stand], np.cumsum(size) - size)
+
+        heads = self.recalled(mix(c.keys), lambda some: self.bits(c.keys[some], word_so_far(c.keys[some])))
+        tails = self.recalled(c.name, tail)
+        return CLASS_BITS + np.add.reduceat(heads.astype(np.float64), np.cumsum(c.heads) - c.heads) + np.bincount(np.repeat(np.arange(len(texts)), c.tails), tails, len(texts))
+
+    def recalled(self, name: np.ndarray, work: Callable) -> np.ndarray:
+        """The cost of each name; ``work`` tells it for places whose names this worker does not keep."""
+        known, costs = self.memo
+        cell = (name >> np.uint64(64 - HELD_BITS)).view(np.int64)
         cost = costs[cell]
         new = np.flatnonzero(known[cell] != name)
-        cost[new] = self.bits(keys[some[new]], word[some[new]])
-        known[cell[new]], costs[cell[new]] = name[new], cost[new]
-        return CLASS_BITS + np.add.reduceat(cost[stand].astype(np.float64), np.cumsum(sizes) - sizes)
+        if len(new):
+            some, stand = distinct(name[new])
+            own = work(new[some]).astype(np.float32)
+            cost[new] = own[stand]
+            cell = cell[new[some]]
+            known[cell], costs[cell] = name[new[some]], own
+        return cost
 
 
 LEARNED = "block bigint, data binary"
@@ -409,10 +474,18 @@ def count_contexts(known: DataFrame) -> Mixer:
     return mixer
 
 
+def texts_of(data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
 def learned(mixer: Mixer, t: pa.Table, ids: set | None) -> bytes:
     """What a block's training documents teach: their bytes, then weights and refinement times these."""
-    rows = zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("training").to_pylist(), strict=True)
-    texts = [plain((x or "").encode()) for d, x, training in rows if training and (ids is None or d in ids)]
+    kept, texts = t.column("training").to_numpy(), []
+    if ids is not None:
+        kept = kept & np.array([d in ids for d in t.column("doc_id").to_pylist()], bool)
+    for i, j, data, starts in parts(t):
+        texts += [plain(x) for x, own in zip(texts_of(data, starts), kept[i:j].tolist(), strict=True) if own]
     mixer.without(0, np.zeros(1, np.int64), np.zeros(1, np.int64))  # the copies of a worker share what is made for learning
     own, n = copy(mixer), sum(len(x) for x, _ in texts)
     own.weights, own.refined = own.weights.copy(), own.refined.copy()
@@ -529,8 +602,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size.append(np.diff(first))
             known.append(np.bincount(doc, n[at] > 0, j - i).astype(np.int64))
             total.append(np.bincount(doc, logs[at], j - i))
-            raw = data.tobytes()
-            texts += [plain(raw[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            texts += [plain(x) for x in texts_of(data, starts)]
             if sum(len(t) for t, _ in texts) >= 1 << 20 or j == docs.num_rows:
                 bits.append(model.score(texts))
                 length.append(np.array([len(t) for t, _ in texts], np.int64))

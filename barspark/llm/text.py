@@ -42,6 +42,11 @@ def spans(sums: np.ndarray, start, end) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def longer(values: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """What ``spans`` mixes, of sequences with one more value in front."""
+    return values + sums * np.uint64(_MULT)
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
