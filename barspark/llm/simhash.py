@@ -112,11 +112,13 @@ def _homes(batches):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at 2 or fewer differing bits, each once."""
+    """Pairs (a, b), a < b, of distinct fingerprints at 2 or fewer differing bits, each once.
+
+    Neither side is broadcast: Spark takes the copies to be as small as the table of fingerprints they are made from, which is about 60 times too little."""
     homes = fps.select("fp").mapInArrow(_homes, "anchor int, fp bigint").withColumnRenamed("fp", "a")
     copies = fps.select("fp").mapInArrow(_copies, "anchor int, fp bigint").withColumnRenamed("fp", "b")
     met = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    return homes.join(copies, "anchor").where(met).select("a", "b")
+    return homes.join(copies.hint("merge"), "anchor").where(met).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

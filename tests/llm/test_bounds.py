@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from barspark.llm import context_mixing, suffix_dedup
+from barspark.llm import context_mixing, simhash, suffix_dedup
 
 
 def slices():
@@ -55,3 +55,17 @@ def test_equal_parts_of_cells_are_sorted_once(monkeypatch):
                 got[string] = min(got.get(string, 200), own[k])
     assert got and got == {k: first[k] for k in got}
     assert len(cells) >= 200 and 0 < sum(sizes) < 31 * len(cells)  # 62 for each, were all of them sorted whole
+
+
+def test_copies_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    """A small table of fingerprints has about 60 times as many copies, whatever size Spark gives them."""
+    r = np.random.default_rng(7)
+    own = r.integers(-(1 << 63), 1 << 63, 300)
+    near = own[:200] ^ (1 << r.integers(0, 63, 200)) ^ (1 << r.integers(0, 63, 200))
+    fps = sorted({*own.tolist(), *near.tolist()})
+    spark.createDataFrame([(x,) for x in fps], "fp bigint").write.parquet(f"{tmp_path}/fps")
+    links = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    assert len(want) >= 190 and sorted(map(tuple, links.collect())) == sorted(want)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
