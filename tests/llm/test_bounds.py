@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from barspark.llm import context_mixing, simhash, suffix_dedup
 
 
@@ -69,3 +70,16 @@ def test_copies_of_fingerprints_are_not_broadcast(spark, tmp_path):
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
     assert len(want) >= 190 and sorted(map(tuple, links.collect())) == sorted(want)
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicates_of_the_pipeline_broadcast_no_copies(spark, messy, monkeypatch):
+    plans, links = [], simhash.links
+
+    def seen(fps):
+        out = links(fps)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "links", seen)
+    assert corpus_pipeline.near_duplicates(spark, messy, "").columns == corpus_pipeline.COLUMNS
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
